@@ -136,9 +136,7 @@ class Block:
 
     doc_ids: np.ndarray
     sizes: np.ndarray
-    tokens: np.ndarray
     raw: list | bytes
-    runs: Runs
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         """The doc_id at places."""
@@ -156,6 +154,7 @@ class Method:
     length: int
     anchor: int
     split: Callable[[list[str]], tuple]
+    hashes: Callable[[list | bytes], np.ndarray]
     context: Callable[[list | bytes, int, int], bytes]
     windows_in: Callable[[bytes], int]
     classes: Callable[[list[bytes]], list[np.ndarray]]
@@ -164,8 +163,13 @@ class Method:
 
     def block(self, pdf: pd.DataFrame) -> Block:
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-        raw, tokens, sizes = self.split(pdf["text"].tolist())
-        return Block(pdf["doc_id"].to_numpy(np.int64), sizes, tokens, raw, find_runs(tokens, sizes, self.length, self.anchor))
+        raw, sizes = self.split(pdf["text"].tolist())
+        return Block(pdf["doc_id"].to_numpy(np.int64), sizes, raw)
+
+    def runs(self, block: Block) -> tuple[np.ndarray, Runs]:
+        """The hashes of a block's tokens, and its runs."""
+        tokens = self.hashes(block.raw)
+        return tokens, find_runs(tokens, block.sizes, self.length, self.anchor)
 
 
 def _dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +182,19 @@ def _cuts(g: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, np.int64)
 
 
+def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places lo, lo + 1, ... of each run, size of them."""
+    size = size.astype(np.int64)
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _rows(out: list) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["b", "g", "body"])
 
 
 def _anchors(method: Method, groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.unique(method.block(pdf).runs.key, return_counts=True)
+        keys, counts = np.unique(method.runs(method.block(pdf))[1].key, return_counts=True)
         g, order = _dealt(keys, groups)
         g, keys, counts, cut = g[order], keys[order], np.minimum(counts[order], 65535).astype(np.uint16), _cuts(g[order])
         return _rows([(pdf["b"].iloc[0], g[a], pack(keys[a:z], counts[a:z])) for a, z in zip(cut[:-1], cut[1:])])
@@ -210,51 +220,64 @@ def _contexts(method: Method, count_groups: int, groups: int) -> Callable[[pd.Da
         if not len(docs) or not len(verdicts):
             return _rows([])
         block, b = method.block(docs), docs["b"].iloc[0]
-        runs = block.runs
+        tokens, runs = method.runs(block)
         keys, place = np.unique(runs.key, return_inverse=True)
         _, order = _dealt(keys, count_groups)
         state = np.empty(len(keys), np.uint8)
         state[order] = np.concatenate([unpack(v, np.uint8)[0] for v in verdicts.sort_values("g")["body"]])
         state = state[place]
-        out, first, again = [], {}, {}
+        out, first, copies = [], {}, []
         for r in np.flatnonzero(state == 1).tolist():
             text = method.context(block.raw, int(runs.lo[r]), int(runs.hi[r]))
             kept = first.setdefault(text, r)
             if kept != r:
-                again[kept] = 1
+                copies.append((kept, r))
         if first:
             reps, texts = np.array(list(first.values())), list(first)
             g, order = _dealt(runs.key[reps], groups)
             g, reps, texts = g[order], reps[order], [texts[i] for i in order]
-            many = np.array([again.get(r, 0) for r in reps.tolist()], np.uint8)
+            # a copy within the block need not be judged: its windows go, and its place is sent with its original
+            of, copy = np.array(copies, np.int64).reshape(-1, 2).T
+            place = np.empty(len(runs.lo), np.int64)
+            place[reps] = np.arange(len(reps))
+            order = np.argsort(place[of], kind="stable")
+            of, copy = place[of][order], copy[order]
+            many = np.zeros(len(reps), np.uint8)
+            many[of] = 1
+            length = (runs.hi - runs.lo + 1).astype(np.int32)
             ids, cut = block.owner(runs.lo[reps]), _cuts(g)
             for a, z in zip(cut[:-1], cut[1:]):
                 sizes = np.fromiter(map(len, texts[a:z]), np.int32, z - a)
                 data = np.frombuffer(b"".join(texts[a:z]), np.uint8)
-                out.append((b, g[a], pack(reps[a:z].astype(np.int32), runs.key[reps[a:z]], many[a:z], ids[a:z], runs.lo[reps[a:z]], sizes, data)))
+                r, c = reps[a:z], copy[np.searchsorted(of, a) : np.searchsorted(of, z)]
+                out.append((b, g[a], pack(runs.lo[r], length[r], runs.lo[c], length[c], runs.key[r], many[a:z], ids[a:z], sizes, data)))
         hot = np.flatnonzero(state == 2)
         if len(hot):
             size = runs.hi[hot] - runs.lo[hot] + 1
             at = np.repeat(runs.lo[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            d1, d2 = rolling(block.tokens, method.length, _ODD[2])[at], rolling(block.tokens, method.length, _ODD[3])[at]
+            d1, d2 = rolling(tokens, method.length, _ODD[2])[at], rolling(tokens, method.length, _ODD[3])[at]
             order = np.lexsort((at, d2, d1))
             d1, d2, at = d1[order], d2[order], at[order]
             new = np.flatnonzero(np.concatenate(([True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))))
             many = (np.diff(np.concatenate((new, [len(d1)]))) > 1).astype(np.uint8)
+            copy = np.sort(np.delete(at, new))
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(copy) != 1))) if len(copy) else np.empty(0, np.int64)
+            copy, length = copy[cut], np.diff(np.concatenate((cut, [len(copy)]))).astype(np.int32)
             d1, d2, at = d1[new], d2[new], at[new]
             g, order = _dealt(d1, groups)
             g, d1, d2, at, many = g[order], d1[order], d2[order], at[order], many[order]
             ids, cut = block.owner(at), _cuts(g)
             for a, z in zip(cut[:-1], cut[1:]):
-                out.append((b, -1 - g[a], pack(at[a:z].astype(np.int64), d1[a:z], d2[a:z], many[a:z], ids[a:z])))
+                own = slice(None) if a == 0 else slice(0)
+                out.append((b, -1 - g[a], pack(at[a:z], np.ones(z - a, np.int32), copy[own], length[own], d1[a:z], d2[a:z], many[a:z], ids[a:z])))
         return _rows(out)
 
     return send
 
 
 def _judge_digests(pdf: pd.DataFrame, keep_first: bool) -> pd.DataFrame:
-    parts = [unpack(b, np.int64, np.uint64, np.uint64, np.uint8, np.int64) for b in pdf["body"]]
-    at, d1, d2, many, ids = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    parts = [unpack(b, np.int64, np.int32, np.int64, np.int32, np.uint64, np.uint64, np.uint8, np.int64) for b in pdf["body"]]
+    at, d1, d2, many, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 4, 5, 6, 7))
     order = np.lexsort((at, ids, d2, d1))
     new = np.concatenate(([True], (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])))
     kind = np.cumsum(new) - 1
@@ -264,19 +287,19 @@ def _judge_digests(pdf: pd.DataFrame, keep_first: bool) -> pd.DataFrame:
     else:
         gone[order] = np.bincount(kind, 1.0 + many[order])[kind] > 1
     ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return _rows([(b, g, pack(p[0], np.packbits(v))) for b, g, p, v in zip(pdf["b"], pdf["g"], parts, np.split(gone, ends))])
+    return _rows([(b, g, pack(*p[:4], np.packbits(v))) for b, g, p, v in zip(pdf["b"], pdf["g"], parts, np.split(gone, ends))])
 
 
 def _judge(method: Method) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["g"].iloc[0] < 0:
             return _judge_digests(pdf, method.keep_first)
-        parts = [unpack(b, np.int32, np.uint64, np.uint8, np.int64, np.int64, np.int32, np.uint8) for b in pdf["body"]]
-        keys, many, ids, lo = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
+        parts = [unpack(b, np.int64, np.int32, np.int64, np.int32, np.uint64, np.uint8, np.int64, np.int32, np.uint8) for b in pdf["body"]]
+        lo, keys, many, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 4, 5, 6))
         number: dict[bytes, int] = {}
         which = []
         for p in parts:
-            raw, ends = p[6].tobytes(), np.cumsum(p[5]).tolist()
+            raw, ends = p[8].tobytes(), np.cumsum(p[7]).tolist()
             which += [number.setdefault(raw[a:z], len(number)) for a, z in zip([0, *ends], ends)]
         texts, which = list(number), np.array(which)
         sizes = np.fromiter(map(method.windows_in, texts), np.int64, len(texts))
@@ -302,16 +325,13 @@ def _judge(method: Method) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 gone[where] = np.bincount(kind, np.repeat(total[mixed], sizes[mixed]))[kind] > 1
         is_first = np.zeros(len(which), bool)
         is_first[first] = True
-        out, at = [], 0
-        for b, g, p in zip(pdf["b"], pdf["g"], parts):
-            bits = []
-            for i in range(at, at + len(p[0])):
-                w = which[i]
-                own = gone[starts[w] : starts[w] + sizes[w]]
-                bits.append(own if is_first[i] or not method.keep_first else np.ones(sizes[w], bool))
-            at += len(p[0])
-            out.append((b, g, pack(p[0], np.packbits(np.concatenate(bits)))))
-        return _rows(out)
+        every = sizes[which]
+        ends = np.cumsum(every)
+        own = gone[np.repeat(starts[which] - (ends - every), every) + np.arange(ends[-1])]
+        if method.keep_first:
+            own |= np.repeat(~is_first, every)
+        own = np.split(own, ends[np.cumsum([len(p[0]) for p in parts])[:-1] - 1])
+        return _rows([(b, g, pack(*p[:4], np.packbits(v))) for b, g, p, v in zip(pdf["b"], pdf["g"], parts, own)])
 
     return judge
 
@@ -319,26 +339,15 @@ def _judge(method: Method) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _finish(method: Method) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def finish(docs: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return method.finish(Block(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), method.split([])[0], None), np.empty(0, bool))
+            return method.finish(Block(np.empty(0, np.int64), np.empty(0, np.int64), method.split([])[0]), np.empty(0, bool))
         block = method.block(docs)
-        runs, change = block.runs, np.zeros(len(block.tokens) + 1, np.int64)
-        gone = np.zeros(len(block.tokens), bool)
-        reps: list = []
-        for g, body in zip(verdicts["g"], verdicts["body"]):
-            at, bits = unpack(body, np.int32 if g >= 0 else np.int64, np.uint8)
-            if g >= 0:
-                size = runs.hi[at] - runs.lo[at] + 1
-                at, run = np.repeat(runs.lo[at] - (np.cumsum(size) - size), size) + np.arange(size.sum()), at
-            else:
-                run = np.searchsorted(runs.lo, at, side="right") - 1
-            reps.append((at, np.unpackbits(bits)[: len(at)].astype(bool), np.unique(runs.key[run])))
-        if reps:
-            # every window with a repeated anchor repeats one that was sent, unless it is that one
-            same = np.flatnonzero(np.isin(runs.key, np.unique(np.concatenate([k for _, _, k in reps]))))
-            size = runs.hi[same] - runs.lo[same] + 1
-            gone[np.repeat(runs.lo[same] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = True
-            for at, bits, _ in reps:
-                gone[at] = bits
+        n = int(block.sizes.sum())
+        change, gone = np.zeros(n + 1, np.int64), np.zeros(n, bool)
+        for body in verdicts["body"]:
+            lo, size, copy, length, bits = unpack(body, np.int64, np.int32, np.int64, np.int32, np.uint8)
+            at = _spread(lo, size)
+            gone[at] = np.unpackbits(bits)[: len(at)].astype(bool)
+            gone[_spread(copy, length)] = True
         starts = np.flatnonzero(gone)
         np.add.at(change, starts, 1)
         np.add.at(change, starts + method.length, -1)

@@ -15,11 +15,14 @@ ANCHOR = 64
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def split_bytes(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of texts end to end, a hash of each byte, and each text's number of bytes."""
+def split_bytes(texts: list[str]) -> tuple[bytes, np.ndarray]:
+    """The UTF-8 bytes of texts end to end, and each text's number of bytes."""
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
-    raw = b"".join(parts)
-    return raw, _BYTE[np.frombuffer(raw, np.uint8)], np.fromiter(map(len, parts), np.int64, len(parts))
+    return b"".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def byte_hashes(raw: bytes) -> np.ndarray:
+    return _BYTE[np.frombuffer(raw, np.uint8)]
 
 
 def refined(data: np.ndarray, depth: int) -> np.ndarray:
@@ -48,11 +51,13 @@ def refined(data: np.ndarray, depth: int) -> np.ndarray:
         follow = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         order = np.lexsort((follow, rank[open_]))
         r, f = rank[open_][order], follow[order]
+        place = np.arange(len(r))
         group = np.concatenate(([True], r[1:] != r[:-1]))
         sub = group | np.concatenate(([True], f[1:] != f[:-1]))
-        place = np.arange(len(r))
-        inside = place - np.maximum.accumulate(np.where(group, place, 0))
-        rank[open_[order]] = r + np.maximum.accumulate(np.where(sub, inside + np.maximum.accumulate(np.where(group, place, 0)), 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        # a suffix's new rank is its group's old one and the number of suffixes of the group before its subgroup
+        first_of_group = np.maximum.accumulate(np.where(group, place, 0))
+        first_of_sub = np.maximum.accumulate(np.where(sub, place, 0))
+        rank[open_[order]] = r + first_of_sub - first_of_group
         reached *= 2
     return rank
 
@@ -87,6 +92,7 @@ METHOD = repeats.Method(
     length=LENGTH,
     anchor=ANCHOR,
     split=split_bytes,
+    hashes=byte_hashes,
     context=lambda raw, lo, hi: raw[lo : hi + LENGTH],
     windows_in=lambda context: len(context) - LENGTH + 1,
     classes=equal_strings,

@@ -16,11 +16,15 @@ LENGTH = 20
 PREFIX = 6
 
 
-def split_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of texts end to end, a hash of each, and each text's number of words."""
+def split_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The words of texts end to end, and each text's number of words."""
     lists = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     words = [w for x in lists for w in x]
-    return words, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.fromiter(map(len, lists), np.int64, len(lists))
+    return words, np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def deep_nodes(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -56,6 +60,7 @@ METHOD = repeats.Method(
     length=LENGTH,
     anchor=PREFIX,
     split=split_words,
+    hashes=word_hashes,
     context=lambda words, lo, hi: b" ".join(words[lo : hi + LENGTH]),
     windows_in=lambda context: context.count(b" ") + 2 - LENGTH,
     classes=deep_nodes,
