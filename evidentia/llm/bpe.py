@@ -17,8 +17,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-
 #: The white space that \s means to the tokenizer, spelled out for the JVM, whose \s is ASCII alone.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: public_tokenizers.PATTERN in the JVM's dialect.
@@ -96,6 +94,15 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """32-bit numbers with their lowest bytes first, then their second ones, and so on."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
 def _strings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and bytes of a string array."""
     words = words.cast(pa.large_binary())
@@ -110,8 +117,9 @@ BLOCKS = "block long, part int, doc_ids array<long>, body binary"
 def blocks(docs: DataFrame, groups: int) -> DataFrame:
     """Explode pre-tokens with positions, a block of documents at a time.
 
-    A row with part >= 0 has the distinct words of the block that fall to that group, sorted; the row with part -1 has
-    the documents' ids, their numbers of pre-tokens, and for every position the place of its word in the block's list.
+    A row with part >= 0 has the distinct words of the block that fall to that group; the row with part -1 has the
+    documents' ids, their numbers of pre-tokens, for every position the number of its word, most frequent first, and for
+    every such number the word's place among those of the groups, in their order.
     Texts with characters that the JVM's tables lack are split here, the others in the JVM.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -133,10 +141,13 @@ def blocks(docs: DataFrame, groups: int) -> DataFrame:
             words, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
             part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object)) % groups).astype(np.int32) if len(words) else np.empty(0, np.int32)
             order = np.argsort(part, kind="stable")
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
             edges = np.searchsorted(part[order], np.arange(groups + 1))
-            rows = [(-1, batch.column(0).to_pylist(), _pack(counts, rank[place], np.diff(edges).astype(np.int32)))]
+            # positions name words by frequency, in planes of bytes: most are then small numbers and the planes pack well
+            often = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
+            by_count, by_group = np.empty(len(words), np.int32), np.empty(len(words), np.int32)
+            by_count[often] = np.arange(len(words), dtype=np.int32)
+            by_group[order] = np.arange(len(words), dtype=np.int32)
+            rows = [(-1, batch.column(0).to_pylist(), _pack(counts, _planes(by_count[place]), _planes(by_group[often])))]
             ordered = words.take(pa.array(order))
             for g in np.flatnonzero(np.diff(edges)):
                 rows.append((int(g), None, _pack(*_strings(ordered.slice(edges[g], edges[g + 1] - edges[g])))))
@@ -181,36 +192,39 @@ def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
     groups = GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    # what a batch of documents may hold is a setting of the session, read when the plan runs: it stays at block size
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
-    try:
-        found = saved(blocks(docs, groups))
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    ids = encoded_groups(found.where("part >= 0").select("block", "part", "body"), path)
-    whole = found.where("part = -1").unionByName(ids)
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part", kind="stable")
-        head = pdf.iloc[0]
-        counts, place, _ = _unpack(head["body"], np.int32, np.int32, np.int32)
-        lists = [_unpack(b, np.int32, np.uint32) for b in pdf["body"].iloc[1:]]
-        sizes = np.concatenate([a for a, _ in lists] or [np.empty(0, np.int32)]).astype(np.int64)
-        flat = np.concatenate([b for _, b in lists] or [np.empty(0, np.uint32)])
-        starts, out, at = np.cumsum(sizes) - sizes, [], 0
-        for doc, n in zip(head["doc_ids"], counts):
-            p = place[at : at + n]
-            at += n
-            size = sizes[p]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if n else 0
-            take = np.repeat(starts[p] - (ends - size), size) + np.arange(total)
-            out.append((doc, total, flat[take].astype("<u4").tobytes()))
+    found = blocks(docs, groups).repartition("block")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.greater_equal(batch.column(1), 0))
+
+    # one exchange of blocks serves both: a Python filter, which is not pushed below it, takes the words from it
+    ids = encoded_groups(found.mapInArrow(words, BLOCKS), path)
+
+    def assemble(block: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
+        out, head = [], block[block["part"] == -1]
+        if len(head):
+            counts, numbers, order = _unpack(head["body"].iloc[0], np.int32, np.uint8, np.uint8)
+            place = _numbers(order)[_numbers(numbers)]
+            lists = [_unpack(b, np.int32, np.uint32) for b in coded.sort_values("part")["body"]]
+            sizes = np.concatenate([a for a, _ in lists] or [np.empty(0, np.int32)]).astype(np.int64)
+            flat = np.concatenate([b for _, b in lists] or [np.empty(0, np.uint32)])
+            starts, at = np.cumsum(sizes) - sizes, 0
+            for doc, n in zip(head["doc_ids"].iloc[0], counts.tolist()):
+                p = place[at : at + n]
+                at += n
+                size = sizes[p]
+                ends = np.cumsum(size)
+                total = int(ends[-1]) if n else 0
+                take = np.repeat(starts[p] - (ends - size), size) + np.arange(total)
+                out.append((doc, total, flat[take].astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "token_ids"]).astype({"doc_id": "Int64"})
 
-    return whole.groupBy("block").applyInPandas(assemble, "doc_id long, n_tokens long, token_ids binary")
+    pairs = found.groupBy("block").cogroup(ids.groupBy("block"))
+    return pairs.applyInPandas(assemble, "doc_id long, n_tokens long, token_ids binary")
 
 
 def decoded(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
