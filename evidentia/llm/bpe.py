@@ -24,7 +24,7 @@ JVM_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}
 #: Words of a block are dealt out to this many groups for each shuffle partition's worth of work.
 GROUPS = 4
 #: Rows and bytes that Arrow hands over at once: a block of documents, whose distinct words travel together.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 24 << 20
+BLOCK_ROWS, BLOCK_BYTES = 3072, 18 << 20
 
 
 @lru_cache(maxsize=2)
@@ -151,10 +151,14 @@ def blocks(docs: DataFrame, groups: int) -> DataFrame:
             ordered = words.take(pa.array(order))
             for g in np.flatnonzero(np.diff(edges)):
                 rows.append((int(g), None, _pack(*_strings(ordered.slice(edges[g], edges[g + 1] - edges[g])))))
-            yield pa.record_batch(
+            out = pa.record_batch(
                 [pa.array([base + number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())],
                 names=["block", "part", "doc_ids", "body"],
             )
+            # the next batch comes while this generator waits: nothing of this one should still be held then
+            del batch, lists, coded, words, place, part, order, often, by_count, by_group, ordered, rows
+            pa.default_memory_pool().release_unused()
+            yield out
 
     return split.mapInArrow(build, BLOCKS)
 
