@@ -22,14 +22,19 @@ SCRIPTS = [
 ]
 
 
-def language_scores(text: Column) -> dict[str, Column]:
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\s+", " "), F.lit(" "))
+def folded(text: Column) -> Column:
+    """Lower case, white space runs as one space, a space at either end: what language markers are looked for in."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\s+", " "), F.lit(" "))
+
+
+def language_scores(low: Column) -> dict[str, Column]:
+    """The score of each language; low is a column that holds folded() text, so that it is worked out once."""
     out = {}
     for lang, markers in MARKERS.items():
         parts = [F.when(F.contains(low, F.lit(m)), max(1.0, len(m.strip()) / 4)).otherwise(0.0) for m in markers]
         if lang in LETTERS:
             letters, bonus = LETTERS[lang]
-            parts.append(F.when(F.lower(text).rlike(f"[{letters}]"), float(bonus)).otherwise(0.0))
+            parts.append(F.when(low.rlike(f"[{letters}]"), float(bonus)).otherwise(0.0))
         out[lang] = reduce(lambda a, b: a + b, parts)
     return out
 

@@ -293,7 +293,8 @@ def _language_sql() -> str:
 @query("language_detect", _language_sql())
 def _(spark, load):
     names = list(tx.MARKERS)
-    scored = load("documents").select("doc_id", *[c.alias(n) for n, c in tx.language_scores(F.col("text")).items()])
+    low = load("documents").select("doc_id", tx.folded(F.col("text")).alias("low"))
+    scored = low.select("doc_id", *[c.alias(n) for n, c in tx.language_scores(F.col("low")).items()])
     best, total = F.greatest(*names), sum((F.col(n) for n in names[1:]), F.col(names[0]))
     pick = F.coalesce(*[F.when(F.col(n) == best, n) for n in names])
     return scored.select("doc_id", F.when((best >= 2) & (best >= 0.45 * total), pick).otherwise("und").alias("language"))
