@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import graph, observe, retrieval
+from .operators import evidence, graph, observe, retrieval
 from .plans import semantic, store_query
 from .sources import tables
 from .streaming import events as streaming
@@ -476,3 +476,102 @@ def _(spark, load):
 @query("stream_sessions", "SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def _(spark, load):
     return streaming.sessions(load("events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, load):
+    return streaming.deduplicated(load("events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+# evidence
+
+@query("federation_rrf", f"SELECT 'w' AS workspace_id, 'documents' AS source_id, id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT * FROM {_lane('lexical', LEX, 150)} UNION ALL SELECT * FROM {_lane('exact_reference', EXACT, 50)}) GROUP BY id ORDER BY score DESC, id LIMIT 50")
+def _(spark, load):
+    lanes = (retrieval.lexical(load("documents"), QUESTION, 150, id_column="doc_id"), retrieval.exact(load("documents"), ["the th", "ION "], 50, id_column="doc_id"))
+    return evidence.federated([x.select(F.lit("w").alias("workspace_id"), F.lit("documents").alias("source_id"), "id", "rank") for x in lanes])
+
+
+@query("rerank_external", f"SELECT id, rank, row_number() OVER (ORDER BY CASE WHEN rank <= 100 THEN 0 ELSE 1 END, CASE WHEN rank <= 100 THEN coalesce(quality, 0) ELSE 0 END DESC, rank) AS new_rank FROM {_lane('lexical', LEX, 150)} LEFT JOIN labels ON id = doc_id")
+def _(spark, load):
+    scores = load("labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))
+    return evidence.reranked(retrieval.lexical(load("documents"), QUESTION, 150, id_column="doc_id").select("id", "rank"), scores)
+
+
+@query("diversify_greedy")
+def _(spark, load):
+    docs = load("documents")
+    fused = retrieval.lexical(docs, QUESTION, 100, id_column="doc_id").select("id", "rank")
+    hits = fused.join(docs, fused.id == docs.doc_id).select(F.lit(1).alias("query_id"), "id", "rank", F.col("source").alias("document_id"), F.concat_ws("/", "source", "lang").alias("section_id"), "text")
+    return evidence.diversified(hits, 25, words=None)
+
+
+INTENTS = "SELECT unnest(range(60)) AS query_id, CASE query_id % 4 WHEN 0 THEN 'comparison' WHEN 1 THEN 'diagnostic' WHEN 2 THEN 'exact_reference' ELSE 'lookup' END AS intent"
+PASSAGES = "SELECT doc_id % 50 AS query_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars DESC, doc_id) AS rank, source, lang, contains(lower(text), 'heonha') AS exact, " + ", ".join(f"regexp_matches(lower(text), '{evidence.polarity_pattern(w)}') AS {n}" for w, n in ((evidence.POSITIVE, "positive"), (evidence.NEGATIVE, "negative"))) + " FROM documents"
+
+
+@query("answerability", f"WITH q AS ({INTENTS.replace('SELECT unnest(range(60)) AS query_id,', 'SELECT query_id,')} FROM range(60) t(query_id)), a AS (SELECT query_id, count(*) AS n, count(DISTINCT source) AS docs, count(DISTINCT lang) AS sections, bool_or(exact) AS exact, bool_or(positive AND rank <= 30) AND bool_or(negative AND rank <= 30) AS both_ways FROM ({PASSAGES}) GROUP BY 1), v AS (SELECT q.query_id, coalesce(n, 0) AS n, CASE WHEN intent IN ('comparison', 'diagnostic') THEN 2 ELSE 1 END AS need, coalesce(coalesce(n, 0) < need OR (intent = 'exact_reference' AND NOT exact) OR (intent = 'comparison' AND docs < 2 AND sections < 2), false) AS abstained, coalesce(docs >= 2 AND both_ways, false) AS conflict FROM q LEFT JOIN a USING (query_id)) SELECT query_id, CASE WHEN abstained THEN 'insufficient' WHEN conflict THEN 'conflicting' ELSE 'sufficient' END AS status, round(CASE WHEN abstained THEN least(0.49, n / need * 0.49) WHEN conflict THEN 0.65 ELSE least(1.0, 0.75 + n * 0.05) END::DOUBLE, 6) AS score, abstained FROM v")
+def _(spark, load):
+    k = F.col("query_id") % 4
+    questions = spark.range(60).select(F.col("id").alias("query_id")).withColumn("intent", F.when(k == 0, "comparison").when(k == 1, "diagnostic").when(k == 2, "exact_reference").otherwise("lookup"))
+    flagged = load("documents").select("doc_id", "n_chars", (F.col("doc_id") % 50).alias("query_id"), F.col("source").alias("document_id"), F.col("lang").alias("section_id"), F.contains(F.lower("text"), F.lit("heonha")).alias("exact"), *evidence.polarity(F.col("text")))
+    w = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "doc_id")
+    return evidence.answerability(questions, flagged.withColumn("rank", F.row_number().over(w)))
+
+
+RECALL = "Tell me what erblest inenan and hahahe enst are, my User"
+
+
+def _stems_sql(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in evidence.STOP_WORDS)
+    pronouns = "|".join(evidence.PRONOUNS).replace("'", "''")
+    norm = f"regexp_replace(translate(strip_accents(lower(coalesce({text}, ''))), 'ł', 'l'), '\\b({pronouns})\\b', ' user ', 'g')"
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all({norm}, '[a-z0-9]+'), lambda x: len(x) > 1 AND x NOT IN ({stop})), lambda x: substr(x, 1, {evidence.STEM})))"
+
+
+@query("tfidf_recall", f"WITH t AS (SELECT item_id AS id, unnest({_stems_sql('text')}) AS stem FROM benchmark), d AS (SELECT stem, count(*) AS df, ln(((SELECT count(*) FROM benchmark) + 1) / (1 + count(*))) + 1 AS w FROM t GROUP BY 1), q AS (SELECT unnest({_stems_sql(chr(39) + RECALL + chr(39))}) AS stem), k AS (SELECT sum(w) AS known FROM d WHERE stem IN (SELECT stem FROM q)), s AS (SELECT id, sum(w) AS own, sum(w) FILTER (stem IN (SELECT stem FROM q)) AS shared, count(*) FILTER (stem IN (SELECT stem FROM q)) AS hits, bool_or(stem IN (SELECT stem FROM q) AND df <= 1 AND length(stem) >= 5) AS rare FROM t JOIN d USING (stem) GROUP BY 1), r AS (SELECT id, round(shared / least(own, known), 9) AS score FROM s, k WHERE hits >= 2 OR rare) SELECT max(id) AS id, score FROM (SELECT r.id, score, text FROM r JOIN benchmark ON item_id = r.id WHERE score >= 0.35) GROUP BY text, score ORDER BY score DESC, id DESC LIMIT 5")
+def _(spark, load):
+    return evidence.recalled(load("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("fact"), F.col("item_id").alias("created_at")), RECALL)
+
+
+ENTRIES = "SELECT CASE doc_id % 3 WHEN 0 THEN 'mem0' WHEN 1 THEN 'file-index' ELSE 'other' END AS type, source AS uuid, md5(text) AS content, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 / 10 END AS confidence, doc_id AS ordinal FROM documents"
+
+
+@query("hybrid_merge_dedupe", f"SELECT type, uuid, content, score, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY type, uuid, content ORDER BY score DESC, ordinal) AS k FROM (SELECT *, coalesce(confidence, 0) + CASE type WHEN 'mem0' THEN 2 WHEN 'file-index' THEN 1 ELSE 0 END AS score FROM ({ENTRIES}))) WHERE k = 1 ORDER BY score DESC, ordinal LIMIT 12")
+def _(spark, load):
+    d = F.col("doc_id")
+    kind = F.when(d % 3 == 0, "mem0").when(d % 3 == 1, "file-index").otherwise("other")
+    return evidence.merged(load("documents").select(kind.alias("type"), F.col("source").alias("uuid"), F.md5("text").alias("content"), F.when(d % 5 != 0, d % 7 / 10).alias("confidence"), d.alias("ordinal")))
+
+
+@query("lookup_coverage", "SELECT id, score FROM (SELECT id, score, sum(score) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) - score AS b, sum(score) OVER () AS a FROM (SELECT doc_id AS id, CAST((length(low) - length(replace(low, 'heonha', ''))) / 6 + (length(low) - length(replace(low, 'the th', ''))) / 6 AS BIGINT) AS score FROM (SELECT doc_id, lower(text) AS low FROM documents)) WHERE score > 0) WHERE b < 0.5 * a")
+def _(spark, load):
+    return evidence.looked_up(load("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), ["heonha", "THE TH"])
+
+
+@query("file_index_search", "SELECT doc_id AS id, CAST(2 * (contains(lower(text), 'heonha')::INT + contains(lower(text), 'web')::INT) + 3 * (contains(lower(source), 'heonha')::INT + contains(lower(source), 'web')::INT) AS BIGINT) AS score FROM documents WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+def _(spark, load):
+    return evidence.file_search(load("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"), F.col("text").alias("content")), "heonha, Web")
+
+
+@query("hash_vectorizer", "SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS weight FROM (SELECT id, ('0x' || substr(sha1(w), 1, 8))::BIGINT % 384 AS bucket, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9À-ɏ]{2,}')) AS w FROM documents) GROUP BY 1, 2)")
+def _(spark, load):
+    return evidence.hash_vectors(load("documents"), id_column="doc_id")
+
+
+def _fingerprint_sql() -> str:
+    votes = ", ".join(f"sum((h{k // 32} >> {31 - k % 32}) & 1) * 2 >= count(*) AS v{k}" for k in range(64))
+    digits = " || ".join("lower(to_hex(" + " + ".join(f"CASE WHEN v{k + j} THEN {8 >> j} ELSE 0 END" for j in range(4)) + "))" for k in range(0, 64, 4))
+    words = r"SELECT doc_id AS id, sha256(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}'))) AS d FROM documents"
+    voted = f"SELECT id, {votes} FROM (SELECT id, ('0x' || substr(d, 1, 8))::BIGINT AS h0, ('0x' || substr(d, 9, 8))::BIGINT AS h1 FROM ({words})) GROUP BY id"
+    return f"SELECT doc_id AS id, coalesce(f, 'ffffffffffffffff') AS fingerprint FROM documents LEFT JOIN (SELECT id, {digits} AS f FROM ({voted})) ON id = doc_id"
+
+
+@query("census_simhash", _fingerprint_sql())
+def _(spark, load):
+    return evidence.fingerprints(load("documents"), id_column="doc_id")
+
+
+@query("suite_score", "SELECT user_id AS run_id, round(sum(value * (event_id % 3)) / nullif(sum(event_id % 3), 0), 6) AS score, round(count(*) FILTER (value > 20) / count(*), 6) AS pass_rate, NOT bool_or(value <= 20 AND event_type = 'purchase') AND count(*) FILTER (value > 20) / count(*) >= 0.5 AS passed FROM events GROUP BY 1")
+def _(spark, load):
+    e = load("events").select(F.col("user_id").alias("run_id"), F.col("value").alias("score"), (F.col("event_id") % 3).alias("weight"), (F.col("value") > 20).alias("passed"), (F.col("event_type") == "purchase").alias("required"))
+    return evidence.suite_scores(e, 0.5)

@@ -21,6 +21,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
+def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One event of each key; on a stream with a watermark, of those within it, so that state is let go."""
+    return events.dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what its source holds now and return its result table."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
