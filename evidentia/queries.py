@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import entities as ent
 from .functions import text as tx
-from .operators import evidence, graph, observe, retrieval
+from .operators import evidence, govern, graph, observe, passages, retrieval
 from .plans import semantic, store_query
 from .sources import tables
 from .streaming import events as streaming
@@ -311,9 +312,12 @@ def _(spark, load):
     return lines.where(F.col("line").rlike("(?i)[0-9]+ (the|and)|idiot")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
-@query("redact_patterns", r"SELECT doc_id, md5(regexp_replace(substr(text, 1, 3000), '(?i)([a-z][a-z0-9+.-]*://[^:/\s]+:)[^@\s]+@', '\1[REDACTED]@', 'g')) AS digest FROM documents")
+REDACTED = r"regexp_replace(regexp_replace(regexp_replace(text, '\bsk-(?:proj-)?[A-Za-z0-9_-]{12,}\b', '[REDACTED]', 'g'), '(?i)\bBearer\s+[A-Za-z0-9._~+/-]{12,}=*\b', 'Bearer [REDACTED]', 'g'), '(?i)([a-z][a-z0-9+.-]*://[^:/\s]+:)[^@\s]+@', '\1[REDACTED]@', 'g')"
+
+
+@query("redact_patterns", f"SELECT doc_id, md5(CASE WHEN length(r) > 4000 THEN substr(r, 1, 4000) || '…[TRUNCATED]' ELSE r END) AS digest FROM (SELECT doc_id, {REDACTED} AS r FROM documents)")
 def _(spark, load):
-    return load("documents").select("doc_id", F.md5(tx.redacted(F.substring("text", 1, 3000))).alias("digest"))
+    return load("documents").select("doc_id", F.md5(tx.redacted(F.col("text"))).alias("digest"))
 
 
 @query("token_estimate", "SELECT doc_id, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS n FROM documents")
@@ -575,3 +579,163 @@ def _(spark, load):
 def _(spark, load):
     e = load("events").select(F.col("user_id").alias("run_id"), F.col("value").alias("score"), (F.col("event_id") % 3).alias("weight"), (F.col("value") > 20).alias("passed"), (F.col("event_type") == "purchase").alias("required"))
     return evidence.suite_scores(e, 0.5)
+
+
+# lines, sections and passages
+
+LINES = "SELECT doc_id AS id, i AS line_no, line, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 - strlen(line) AS start_byte, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS end_byte FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)"
+
+
+@query("line_byte_ranges", f"SELECT id, line_no, md5(line) AS digest, start_byte::BIGINT AS start_byte, end_byte::BIGINT AS end_byte FROM ({LINES})")
+def _(spark, load):
+    found = passages.lines(load("documents"), id_column="doc_id")
+    return found.select("id", "line_no", F.md5("line").alias("digest"), "start_byte", "end_byte")
+
+
+@query("markdown_sections")
+def _(spark, load):
+    return passages.sections(load("documents"), id_column="doc_id")
+
+
+@query("passage_packing")
+def _(spark, load):
+    found = passages.lines(load("documents"), id_column="doc_id").where("trim(line) <> ''")
+    return passages.packed(found.select("id", F.col("line_no").alias("ordinal"), F.lit("paragraph").alias("type"), F.col("line").alias("text")))
+
+
+@query("evidence_verification", f"SELECT id, start_byte::BIGINT AS start_byte, end_byte::BIGINT AS end_byte FROM (SELECT id, arg_max(start_byte, (strlen(line), -line_no)) AS start_byte, arg_max(end_byte, (strlen(line), -line_no)) AS end_byte FROM ({LINES}) GROUP BY id) WHERE id % 3 <> 2 AND id % 7 <> 0")
+def _(spark, load):
+    docs = _scoped(load).join(load("documents").select("doc_id", "text"), "doc_id")
+    longest = passages.lines(docs, id_column="doc_id").groupBy("id").agg(F.max_by(F.struct("line", "start_byte", "end_byte"), F.struct(F.octet_length("line"), -F.col("line_no"))).alias("l"))
+    stored = F.sha2(F.when(F.col("id") % 7 == 0, F.concat("l.line", F.lit("!"))).otherwise(F.col("l.line")), 256)
+    return passages.verified(longest.select("id", "l.start_byte", "l.end_byte", stored.alias("content_sha256")), docs, ["a"], id_column="doc_id").select("id", "start_byte", "end_byte")
+
+
+CLEAN = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 800) AS t FROM conversations"
+
+
+@query("conversation_compact", f"SELECT conv_id, turn, md5(substr(t, 1, CAST(room AS INT))) AS digest FROM (SELECT *, 3000 - (sum(length(t)) OVER (PARTITION BY conv_id ORDER BY age) - length(t)) AS room FROM ({CLEAN}) WHERE age <= 6) WHERE room > 0 AND t <> ''")
+def _(spark, load):
+    return passages.compacted(load("conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
+BESIDE = "SELECT conv_id, turn, role, length(trim(text)) < 180 OR NOT regexp_matches(trim(text), '[.!?;:)\\]]$') AS needs, lag(turn) OVER w AS p, lead(turn) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+
+
+@query("neighbour_when_short", f"WITH b AS (SELECT *, 1.0::DOUBLE / (1 + turn) AS score FROM ({BESIDE}) WHERE role = 'assistant'), r AS (SELECT conv_id, turn AS t, turn AS rank, 0 AS k, score FROM b UNION ALL SELECT conv_id, p, turn, 1, score * 0.95::DOUBLE FROM b WHERE needs AND p IS NOT NULL UNION ALL SELECT conv_id, n, turn, 2, score * 0.95::DOUBLE FROM b WHERE needs AND n IS NOT NULL) SELECT conv_id, t AS turn, round(arg_min(score, (rank, k)), 9) AS score, arg_min(k, (rank, k)) > 0 AS neighbour FROM r GROUP BY 1, 2")
+def _(spark, load):
+    c = load("conversations").select("conv_id", "turn", "role", "text")
+    hits = c.where("role = 'assistant'").select("conv_id", "turn", F.col("turn").alias("rank"), (1.0 / (1 + F.col("turn"))).alias("score"))
+    return passages.expanded(hits, c, "conv_id", "turn").withColumn("score", F.round("score", 9))
+
+
+PIECES = "SELECT id, i AS ordinal, substr(text, i * 2000 + 1, 2000) AS text FROM (SELECT doc_id AS id, text, unnest(range(0, CAST(greatest(0, floor((length(text) - 1) / 2000.0)) AS INT) + 1)) AS i FROM documents WHERE doc_id IN (SELECT id FROM " + _lane("lexical", LEX, 30) + "))"
+
+
+@query("hierarchical_routing", "SELECT rank, score, id FROM " + _lane("lexical", LEX.replace("doc_id AS id", "doc_id AS id").replace("FROM documents", "FROM (SELECT id || '/' || ordinal AS doc_id, text FROM (" + PIECES.replace("FROM documents", "FROM documents ") + "))"), 50))
+def _(spark, load):
+    docs = load("documents").select("doc_id", "text")
+    routed = retrieval.lexical(docs, QUESTION, 30, id_column="doc_id").select(F.col("id").alias("doc_id"))
+    inside = docs.join(F.broadcast(routed), "doc_id", "left_semi")  # 30 ids
+    cut = inside.select("doc_id", F.posexplode(tx.chunk_list(F.col("text"))).alias("ordinal", "text"))
+    return retrieval.lexical(cut.select(F.concat_ws("/", "doc_id", "ordinal").alias("id"), "text"), QUESTION, 50).drop("retriever")
+
+
+def _entity_sql() -> str:
+    parts = [f"SELECT doc_id AS id, '{kind}' AS type, '{predicate}' AS predicate, {sure}::DOUBLE AS confidence, unnest(regexp_extract_all(text, $p${pattern}$p$, 1)) AS name FROM documents" for kind, predicate, sure, pattern in ent.FAMILIES]
+    return f"SELECT id, type, predicate, name, max(confidence) AS confidence FROM (SELECT id, type, predicate, confidence, regexp_replace(lower(trim(name)), '\\s+', ' ', 'g') AS name FROM ({' UNION ALL '.join(parts)})) WHERE name <> '' GROUP BY 1, 2, 3, 4"
+
+
+@query("entity_extraction", _entity_sql())
+def _(spark, load):
+    return ent.entities(load("documents"), id_column="doc_id")
+
+
+@query("exclusion_globs", "SELECT page_id FROM pages WHERE NOT regexp_matches(lower(url), '^(.*/)?[^/]*[0-4]$') AND NOT regexp_matches(lower(url), '^https?://[^/]*/.*7[^/]*$')")
+def _(spark, load):
+    return load("pages").where(~ent.excluded(F.col("url"), ["**/*[0-4]", "http?://*/**7*", "http://*/**7*"])).select("page_id")
+
+
+@query("duration_parse", "SELECT event_id, (CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 60000 WHEN 3 THEN 3600000 WHEN 4 THEN 86400000 END * (event_id % 50))::BIGINT AS ms FROM events WHERE event_id % 6 <> 5")
+def _(spark, load):
+    unit = F.element_at(F.array(*map(F.lit, ("ms", "s", "m", "h", "d", "weeks"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return load("events").select("event_id", ent.duration_ms(F.concat((F.col("event_id") % 50).cast("string"), unit)).alias("ms")).where("ms is not null")
+
+
+# governance
+
+@query("connector_grants", "SELECT event_id, CASE WHEN event_type = 'purchase' AND user_id % 10 = 3 THEN 'denied' WHEN user_id % 10 = 9 THEN 'no grant' WHEN event_type IN ('click', 'view') AND event_id % 2 = 0 THEN 'allowed' WHEN user_id % 10 = 1 AND starts_with(event_type, 's') THEN 'allowed' ELSE 'no grant' END AS decision FROM events")
+def _(spark, load):
+    e = load("events").select("event_id", (F.col("user_id") % 10).cast("string").alias("principal"), F.when(F.col("user_id") % 10 == 9, "none").otherwise("crm").alias("connector"), F.col("event_type").alias("tool"), F.lit("run").alias("action"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit("read"))).otherwise(F.array(F.lit("read"), F.lit("write"))).alias("scopes"))
+    grants = spark.createDataFrame(
+        [("crm", "*", ["click", "view:run"], [], ["read"], None), ("crm", "3", ["*"], ["purchase"], ["none"], None), ("crm", "1", ["s*"], [], ["*"], None), ("crm", "2", ["*"], [], ["*"], "2020-01-01")],
+        "connector string, principal string, allowed_tools array<string>, denied_tools array<string>, scopes array<string>, expires_at string",
+    ).withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    return govern.decisions(e, grants, F.lit("2024-06-01").cast("timestamp")).select("event_id", "decision")
+
+
+@query("shadow_labels", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN quality = 0 AND toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'mixed' ELSE 'unlabeled' END AS outcome FROM labels")
+def _(spark, load):
+    names = F.array_compact(F.array(F.when(F.col("quality") == 1, " Good"), F.when(F.col("toxic") == 1, "REJECT")))
+    return load("labels").select("doc_id", govern.outcome(names).alias("outcome"))
+
+
+@query("summary_division", "SELECT o.l_orderkey AS id, s.signature FROM (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) o JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, arg_max(l_returnflag || l_linestatus, (l_shipdate, l_returnflag || l_linestatus)) AS signature FROM lineitem WHERE l_quantity > 5 GROUP BY 1) s ON o.l_orderkey = s.l_orderkey AND o.n = s.n")
+def _(spark, load):
+    item = load("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("section"), F.concat("l_returnflag", "l_linestatus").alias("signature"), F.col("l_shipdate").alias("created"), "l_quantity")
+    return govern.complete_signatures(item.select("id", "section").distinct(), item.where("l_quantity > 5").drop("l_quantity"))
+
+
+@query("publication_state", "SELECT source, count(*) AS documents, count(vec_id) AS embedded, CASE WHEN count(vec_id) = 0 THEN 'lexical' WHEN count(vec_id) = count(*) THEN 'hybrid_complete' ELSE 'hybrid_partial' END AS state FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY 1")
+def _(spark, load):
+    d, e = load("documents").select("doc_id", "source"), load("embeddings").select("vec_id")
+    found = d.join(e, d.doc_id == e.vec_id, "left").groupBy("source").agg(F.count("*").alias("documents"), F.count("vec_id").alias("embedded"))
+    return found.withColumn("state", govern.publication_state(F.col("documents"), F.col("embedded")))
+
+
+@query("storage_forecast", "SELECT CAST(ceil(sum(n_chars) * 0.65) AS BIGINT) AS lexical_bytes, sum(n_chars)::BIGINT AS object_bytes, count(*) AS vectors, count(*) * 384 * 4 AS vector_bytes, CAST(ceil(count(*) * 384 * 4 * 1.5) AS BIGINT) AS index_bytes FROM documents")
+def _(spark, load):
+    raw = F.count("*") * 384 * 4
+    return load("documents").agg(F.ceil(F.sum("n_chars") * F.expr("0.65")).cast("long").alias("lexical_bytes"), F.sum("n_chars").alias("object_bytes"), F.count("*").alias("vectors"), raw.alias("vector_bytes"), F.ceil(raw * F.expr("1.5")).cast("long").alias("index_bytes"))
+
+
+@query("metric_rows", "SELECT coalesce(event_type, '') AS category, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT event_type, count(*)::DOUBLE AS events, avg(value) AS mean, max(value) AS most FROM events GROUP BY GROUPING SETS ((event_type), ())) ON events, mean, most INTO NAME metric VALUE value)")
+def _(spark, load):
+    wide = load("events").groupingSets([["event_type"], []], "event_type").agg(F.count("*").cast("double").alias("events"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    long = wide.unpivot("event_type", ["events", "mean", "most"], "metric", "value")
+    return long.select(F.coalesce("event_type", F.lit("")).alias("category"), "metric", F.round("value", 6).alias("value"))
+
+
+@query("approval_wait", "SELECT event_id, round(greatest(0, epoch_us(ts) - epoch_us(asked)) / 1e6, 6) AS wait_seconds FROM events JOIN (SELECT user_id, max(ts) AS asked FROM events WHERE event_type = 'view' GROUP BY 1) USING (user_id) WHERE event_type = 'purchase'")
+def _(spark, load):
+    e = load("events").select("event_id", "user_id", "ts", "event_type")
+    return govern.waits(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "ts").select("event_id", "wait_seconds")
+
+
+@query("span_attributes", "SELECT user_id, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS attributes FROM (SELECT user_id, event_type, arg_max(json_extract_string(props, '$.k'), (ts, event_id)) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
+def _(spark, load):
+    e = load("events").select("user_id", "ts", "event_id", F.create_map("event_type", F.get_json_object("props", "$.k")).alias("attributes"))
+    merged = govern.merged_attributes(e, "user_id", ["ts", "event_id"], "attributes")
+    return merged.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("attributes"))
+
+
+@query("asof_join", "SELECT p.event_id, c.ts AS clicked_at FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY user_id, ts) c ON p.user_id = c.user_id AND p.ts >= c.ts")
+def _(spark, load):
+    e = load("events").select("event_id", "user_id", "ts", "event_type")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("ts").alias("clicked_at"))
+    return govern.as_of(e.where("event_type = 'purchase'").drop("event_type"), clicks, "user_id", "ts", ["clicked_at"]).select("event_id", "clicked_at")
+
+
+@query("case_scores", "SELECT event_id, round(CASE WHEN value <= 40 THEN 1.0 ELSE 40 / value END, 6) AS latency, round(CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE least(event_id % 4, 2) / (event_id % 4)::DOUBLE END, 6) AS precision, round(least(event_id % 4, 2) / 2.0::DOUBLE, 6) AS recall FROM events")
+def _(spark, load):
+    found = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (F.col("event_id") % 4).cast("int"))
+    wanted = F.array(F.lit("a"), F.lit("b"))
+    scores = (govern.budget_score(F.col("value"), F.lit(40.0)).alias("latency"), govern.precision_score(found, wanted).alias("precision"), govern.recall_score(found, wanted).alias("recall"))
+    return load("events").select("event_id", *scores).select("event_id", *[F.round(c, 6).alias(c) for c in ("latency", "precision", "recall")])
+
+
+@query("lane_union_first", f"SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY source DESC) AS k FROM (SELECT id, 'workspace' AS source FROM {_lane('lexical', LEX, 50)} UNION ALL SELECT id, 'upstream' FROM {_lane('exact_reference', EXACT, 50)})) WHERE k = 1")
+def _(spark, load):
+    own, other = retrieval.lexical(load("documents"), QUESTION, 50, id_column="doc_id"), retrieval.exact(load("documents"), ["the th", "ION "], 50, id_column="doc_id")
+    both = own.select("id", F.lit("workspace").alias("source"), F.lit(0).alias("p")).unionByName(other.select("id", F.lit("upstream").alias("source"), F.lit(1).alias("p")))
+    return both.groupBy("id").agg(F.min_by("source", "p").alias("source"))
