@@ -49,6 +49,35 @@ def outcome(labels: Column) -> Column:
     return F.when(F.coalesce(F.size(clean), F.lit(0)) <= 0, "unlabeled").when(yes & ~no, "accepted").when(no & ~yes, "rejected").otherwise("mixed")
 
 
+# The severity of an issue; what is not critical is a warning.
+CRITICAL = ("expired", "down", "permission_denied")
+
+
+def findings(sources: DataFrame, unknown: bool = False) -> DataFrame:
+    """(source_id, issue, severity) for each issue of sources (id, health, permission, staleness); null states raise none."""
+    health, stale = F.col("health"), F.col("staleness")
+    late = ["expired", "stale"] + (["unknown"] if unknown else [])
+    issues = F.array_compact(F.array(
+        F.when(health.isin("down", "degraded"), health), F.when(F.col("permission") == "denied", "permission_denied"),
+        F.when(stale.isin(late), F.when(stale == "unknown", "unknown_freshness").otherwise(stale)),
+    ))
+    rows = sources.select(F.col("id").alias("source_id"), F.explode(issues).alias("issue"))
+    return rows.withColumn("severity", F.when(F.col("issue").isin(*CRITICAL), "critical").otherwise("warning"))
+
+
+def health_report(sources: DataFrame, unknown: bool = False) -> DataFrame:
+    """One row: sources in all, healthy, stale and unhealthy ones, and findings by severity."""
+    per = findings(sources, unknown).groupBy("source_id").agg(
+        F.bool_or(F.col("issue").isin("stale", "expired")).alias("late"), F.bool_or(F.col("issue").isin("degraded", "down", "permission_denied")).alias("bad"),
+        F.count_if(F.col("severity") == "warning").alias("w"), F.count_if(F.col("severity") == "critical").alias("c"),
+    )
+    joined = sources.select("id").join(per, F.col("id") == F.col("source_id"), "left")
+    return joined.agg(
+        F.count("*").alias("sources"), F.count_if(F.col("source_id").isNull()).alias("healthy"), F.count_if("late").alias("stale"), F.count_if("bad").alias("unhealthy"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("warnings"), F.coalesce(F.sum("c"), F.lit(0)).alias("criticals"),
+    )
+
+
 def complete_signatures(sections: DataFrame, summaries: DataFrame) -> DataFrame:
     """Per document the signature of its latest summary, where no section lacks one.
 

@@ -739,3 +739,24 @@ def _(spark, load):
     own, other = retrieval.lexical(load("documents"), QUESTION, 50, id_column="doc_id"), retrieval.exact(load("documents"), ["the th", "ION "], 50, id_column="doc_id")
     both = own.select("id", F.lit("workspace").alias("source"), F.lit(0).alias("p")).unionByName(other.select("id", F.lit("upstream").alias("source"), F.lit(1).alias("p")))
     return both.groupBy("id").agg(F.min_by("source", "p").alias("source"))
+
+
+STATES = "SELECT o_orderkey AS id, CASE o_custkey % 4 WHEN 0 THEN 'down' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS health, CASE WHEN o_custkey % 7 = 0 THEN 'denied' ELSE 'granted' END AS permission, CASE o_custkey % 5 WHEN 0 THEN 'stale' WHEN 1 THEN 'expired' WHEN 2 THEN 'unknown' ELSE 'fresh' END AS staleness FROM orders"
+
+
+def _states(load) -> DataFrame:
+    c = F.col("o_custkey")
+    return load("orders").select(
+        F.col("o_orderkey").alias("id"), F.when(c % 4 == 0, "down").when(c % 4 == 1, "degraded").otherwise("healthy").alias("health"), F.when(c % 7 == 0, "denied").otherwise("granted").alias("permission"),
+        F.when(c % 5 == 0, "stale").when(c % 5 == 1, "expired").when(c % 5 == 2, "unknown").otherwise("fresh").alias("staleness"),
+    )
+
+
+@query("source_findings", f"SELECT id AS source_id, issue, CASE WHEN issue IN ('expired', 'down', 'permission_denied') THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT id, health AS issue FROM ({STATES}) WHERE health <> 'healthy' UNION ALL SELECT id, 'permission_denied' FROM ({STATES}) WHERE permission = 'denied' UNION ALL SELECT id, CASE staleness WHEN 'unknown' THEN 'unknown_freshness' ELSE staleness END FROM ({STATES}) WHERE staleness <> 'fresh')")
+def _(spark, load):
+    return govern.findings(_states(load), unknown=True)
+
+
+@query("source_health_report", f"SELECT count(*) AS sources, count(*) FILTER (health = 'healthy' AND permission = 'granted' AND staleness IN ('fresh', 'unknown')) AS healthy, count(*) FILTER (staleness IN ('stale', 'expired')) AS stale, count(*) FILTER (health <> 'healthy' OR permission = 'denied') AS unhealthy, count(*) FILTER (health = 'degraded') + count(*) FILTER (staleness = 'stale') AS warnings, count(*) FILTER (health = 'down') + count(*) FILTER (permission = 'denied') + count(*) FILTER (staleness = 'expired') AS criticals FROM ({STATES})")
+def _(spark, load):
+    return govern.health_report(_states(load))

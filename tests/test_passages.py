@@ -86,3 +86,12 @@ def test_outcomes_division_and_as_of(spark):
     left = spark.createDataFrame([("u", 5, 1), ("u", 1, 2), ("v", 9, 3)], "k string, t int, n int")
     right = spark.createDataFrame([("u", 2, "x"), ("u", 5, "y"), ("w", 1, "z")], "k string, t int, v string")
     assert {r.n: r.v for r in govern.as_of(left, right, "k", "t", ["v"]).collect()} == {1: "y", 2: None, 3: None}
+
+
+def test_source_health(spark):
+    rows = [(1, "down", "denied", "stale"), (2, "healthy", "granted", "unknown"), (3, "degraded", None, "expired"), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, health string, permission string, staleness string")
+    got = {(r.source_id, r.issue, r.severity) for r in govern.findings(df, unknown=True).collect()}
+    assert got == {(1, "down", "critical"), (1, "permission_denied", "critical"), (1, "stale", "warning"), (2, "unknown_freshness", "warning"), (3, "degraded", "warning"), (3, "expired", "critical")}
+    assert tuple(govern.health_report(df).first()) == (4, 2, 2, 2, 2, 3)
+    assert tuple(govern.health_report(df.limit(0)).first()) == (0, 0, 0, 0, 0, 0)
