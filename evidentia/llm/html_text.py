@@ -19,11 +19,14 @@ MAX_TRAINING_PAGES = 240
 PATH, WORD, OTHER, STATE = 64, 8, 6, 24
 TABLE = 4096
 
-#: Elements that end a block, whose content no reader sees, and that have no content.
+#: Elements that end a block, whose content no reader sees (RAW holds characters, HIDDEN tags), and that have no content.
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-HIDDEN = "script|style|noscript|template|textarea|iframe|svg|select|title|object|canvas|math"
+RAW = "script|style|noscript|template|textarea|iframe|title"
+HIDDEN = set("svg math select object canvas".split())
+#: Elements in which "/>" ends an element, and those in them in which it does not.
+FOREIGN, HTML_AGAIN = ("svg", "math"), ("foreignobject", "desc")
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: What names the parts of a page that are not its main text.
 ASIDE_TAGS = set("nav aside header footer form button menu dialog label option legend fieldset head".split())
@@ -32,7 +35,7 @@ ASIDE_NAMES = set(
 )
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN})\b[^>]*+>.*?(?:</(?P=hidden)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
@@ -50,6 +53,57 @@ class Block:
     words: list[str] = field(default_factory=list)
 
 
+def _tokens(source: str) -> tuple[list[re.Match], set[int]]:
+    """The tags and texts of a page without what raw-text elements hold, and which of them open a hidden element.
+
+    A raw-text element runs to its end tag or else to the end of the page; in svg and math it may be empty, and ends
+    with them. An element of HIDDEN counts only with an end tag of its own: an unclosed one hides nothing.
+    """
+    found: list[re.Match] = []
+    opened: dict[str, list[int]] = {t: [] for t in HIDDEN}
+    closed: set[int] = set()
+    foreign: list[str] = []
+    ends: dict[str, int] = {}
+
+    def end(name: str) -> int:
+        """Where the next end tag of a name starts, or the page's length; searches go on from the last one found."""
+        if ends.get(name, -1) < at:
+            m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+            ends[name] = m.start() if m else len(source)
+        return ends[name]
+
+    at = 0
+    while at < len(source):
+        m = TOKEN.match(source, at)
+        at = m.end()
+        if m["raw"]:
+            close = end(m["raw"].lower())
+            if foreign and foreign[-1] in FOREIGN and (m[0].endswith("/>") or close == len(source) or end(foreign[-1]) < close):
+                continue
+            at = source.find(">", close) + 1 or len(source)
+        elif m["tag"]:
+            tag = m["tag"].lower()
+            if m["close"]:
+                if tag in foreign:
+                    del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
+                if opened.get(tag):
+                    closed.add(opened[tag].pop())
+            elif tag in FOREIGN or (foreign and tag in HTML_AGAIN):
+                if not m["more"].endswith("/"):
+                    foreign.append(tag)
+                    if tag in HIDDEN:
+                        opened[tag].append(len(found))
+            elif tag in HIDDEN:
+                opened[tag].append(len(found))
+            elif tag in BLOCK:
+                while foreign and foreign[-1] in FOREIGN:
+                    foreign.pop()
+            found.append(m)
+        elif m["text"]:
+            found.append(m)
+    return found, closed
+
+
 def page_blocks(source: str | None) -> list[Block]:
     """The text blocks of a page in order, with character references decoded and white space as single spaces."""
     stack: list[tuple[str, list[str]]] = []
@@ -57,6 +111,7 @@ def page_blocks(source: str | None) -> list[Block]:
     parts: list[str] = []
     link_parts: list[str] = []
     in_link = 0
+    hidden = None  # where the outermost hidden element is on the stack
 
     def flush() -> None:
         nonlocal parts, link_parts
@@ -66,34 +121,44 @@ def page_blocks(source: str | None) -> list[Block]:
                 found.append(Block([t for _, names in stack for t in names], " ".join(words), len("".join(link_parts)), words))
             parts, link_parts = [], []
 
-    for m in TOKEN.finditer(source or ""):
+    tokens, hides = _tokens(source or "")
+    for n, m in enumerate(tokens):
         text = m["text"]
         if text is not None:
-            parts.append(text)
-            if in_link:
-                link_parts.append(text)
-            continue
-        if m["tag"] is None:
+            if hidden is None:
+                parts.append(text)
+                if in_link:
+                    link_parts.append(text)
             continue
         tag = m["tag"].lower()
-        if tag == "a":
-            in_link = 0 if m["close"] else 1
-        if tag == "br":
-            parts.append(" ")
-        if tag not in BLOCK:
+        if hidden is None:
+            if tag == "a":
+                in_link = 0 if m["close"] else 1
+            if tag == "br":
+                parts.append(" ")
+        if n in hides:
+            hidden = len(stack) if hidden is None else hidden
+            stack.append((tag, []))
+        if tag not in BLOCK and not (tag in HIDDEN and m["close"]):
             continue
-        flush()
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-        elif tag not in VOID and not m["more"].endswith("/"):
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), len(stack))
+            if hidden is not None and k <= hidden:
+                del stack[hidden:]
+                hidden = None
+            if hidden is None and tag in BLOCK:
+                flush()
+            del stack[k:]
+            continue
+        if hidden is None:
+            flush()
+        if tag not in VOID and not m["more"].endswith("/"):
             while stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
                 stack.pop()
             names = [p for g in NAMES.findall(m["more"]) for p in NAME_PARTS.findall("".join(g).lower())]
             stack.append((tag, [tag, *("." + n for n in names)]))
-            in_link = 0
+            if hidden is None:
+                in_link = 0
     flush()
     return found
 

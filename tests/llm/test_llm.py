@@ -235,6 +235,23 @@ def test_html_blocks_and_text(spark):
     assert got["u"].text == got["w"].text == "A & B\none two three\nx yz" and got["u"].n_chars == 24 and got[None].text == got["v"].text == ""
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        *((f"<p>a</p><{t}></{t}><p>b</p>", ["a", "b"]) for t in ("svg-icon", "math-renderer", "title-bar", "select-x", "object-view")),
+        *((f"<p>a</p>{t}<p>b</p>", ["a", "b"]) for t in ("<svg/>", '<svg aria-label="a > b" />', "<math/>", "<object>", "<canvas>", "<select>", "<svg>", "<math>")),
+        ("<p>a <svg><title>t</title><text>x</text></svg> b</p><p>c", ["a b", "c"]),
+        ("<svg><title/><path/></svg><p>a</p><svg><title>t</svg><p>b", ["a", "b"]),
+        ("<p>a <select><option>x<option>y</select> b</p>", ["a b"]),
+        ("<object><object>x</object><p>y</p></object><p>z", ["z"]),
+        ("<div><object><p>x</div><p>a</p><div></object></div><p>b", ["a", "b"]),
+        *((f"<p>a</p><{t}>x<p>b", ["a"]) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")),
+    ],
+)
+def test_html_hidden_elements_hide_no_more_than_themselves(page, want):
+    assert [b.text for b in html_text.page_blocks(page)] == want
+
+
 def test_html_labeller_learns(spark):
     tables = html_text._vectors(html_text.PATH, 11), html_text._vectors(html_text.WORD, 12)
     seen = [html_text.page_blocks(p) for p in html_text.practice_pages(300)]
