@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, tokens
+from ..functions.text import chunk_list, cosine, tokens
+from .passages import sections
 
 RRF_K = 60
+#: Fixed values of hierarchical routing: rows of a lane of each level, and how many of each the fused lanes route to.
+LANES = {"collection": 20, "document": 50, "section": 100, "passage": 150}
+ROUTED = {"collection": 10, "document": 30, "section": 50}
 
 
 def ranked(df: DataFrame, retriever: str, limit: int, score: str = "score", id_column: str = "id") -> DataFrame:
@@ -22,11 +26,21 @@ def ranked(df: DataFrame, retriever: str, limit: int, score: str = "score", id_c
 
 def lexical(df: DataFrame, query: str, limit: int, text: str = "text", id_column: str = "id") -> DataFrame:
     """Matching tokens over the root of (distinct query terms times tokens of the text); rows without a match do not count."""
-    terms = sorted(set(df.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
-    scored = df.select(F.col(id_column).alias("id"), tokens(F.col(text)).alias("_t")).select(
-        "id", F.size("_t").alias("_n"), F.size(F.filter("_t", lambda t: t.isin(terms))).alias("_m")
-    )
-    return ranked(scored.where("_m > 0").withColumn("score", F.round(F.col("_m") / F.sqrt(F.lit(float(len(terms))) * F.col("_n")), 9)), "lexical", limit)
+    terms = query_terms(df, query)
+    return _matching(counted(df.select(F.col(id_column).alias("id"), F.col(text).alias("_text")), terms, "_text"), len(terms), "lexical", limit)
+
+
+def query_terms(df: DataFrame, query: str) -> list[str]:
+    return sorted(set(df.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
+
+
+def counted(df: DataFrame, terms: list[str], text: str) -> DataFrame:
+    """df with the tokens of a text (_n) and those that are query terms (_m) in its place."""
+    return df.withColumn("_t", tokens(F.col(text))).drop(text).select(*[c for c in df.columns if c != text], F.size("_t").alias("_n"), F.size(F.filter("_t", lambda t: t.isin(terms))).alias("_m"))
+
+
+def _matching(counts: DataFrame, terms: int, retriever: str, limit: int) -> DataFrame:
+    return ranked(counts.where("_m > 0").withColumn("score", F.round(F.col("_m") / F.sqrt(F.lit(float(terms)) * F.col("_n")), 9)), retriever, limit)
 
 
 def exact(df: DataFrame, references: list[str], limit: int, text: str = "text", id_column: str = "id") -> DataFrame:
@@ -84,3 +98,41 @@ def coverage(df: DataFrame, group: str, score: str, id_column: str, share: float
     w = Window.partitionBy(group)
     before = F.sum(score).over(w.orderBy(F.col(score).desc(), id_column).rowsBetween(Window.unboundedPreceding, 0)) - F.col(score)
     return df.withColumn("_before", before).withColumn("_all", F.sum(score).over(w)).where(F.col("_before") < share * F.col("_all")).drop("_before", "_all")
+
+
+def hierarchical(docs: DataFrame, query: str, collection: str, text: str = "text", id_column: str = "id", limit: int = 100) -> DataFrame:
+    """Passages (document/section/ordinal) by fusion of a lane in the routed documents and sections and one in the routed collections.
+
+    Collection, document and section lanes are fused to the routed collections; document and section lanes inside those
+    join them, and their fusion routes to documents (of documents and of sections) and to sections. The ids that are
+    routed to and the hits reach the driver, a fixed number of each. A text's tokens are those of its sections, so one
+    pass over the texts counts for all levels. Rows without an id are left out; those without a collection are in none.
+    """
+    terms = query_terms(docs, query)
+    known = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), F.col(collection).alias("collection"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    cut = F.substring(F.encode("text", "UTF-8"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int"))
+    parts = known.join(sections(known, id_column="doc").withColumnRenamed("id", "doc"), "doc").select("collection", "doc", "section", F.decode(cut, "UTF-8").alias("text"))
+    tallies = F.transform(chunk_list(F.col("text")), lambda c: F.struct(F.size(tokens(c)).alias("_n"), F.size(F.filter(tokens(c), lambda t: t.isin(terms))).alias("_m")))
+    counts = counted(parts.withColumn("pieces", tallies), terms, "text").persist()
+
+    def lane(level: str, inside: DataFrame, retriever: str = "lexical") -> DataFrame:
+        keys = ["collection", "doc", "section"][: list(LANES).index(level) + 1]
+        names = [F.col(k) if k in keys else F.lit(None).cast(parts.schema[k].dataType).alias(k) for k in ("collection", "doc", "section")]
+        sums = inside.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
+        return _matching(sums.select(F.struct(F.lit(level).alias("level"), *names).alias("id"), "_n", "_m"), len(terms), retriever, LANES[level])
+
+    lanes = [lane("collection", counts.where("collection is not null")), lane("document", counts), lane("section", counts)]
+    hits = [r.id for r in fuse(lanes, limit=sum(LANES.values())).collect()]
+    collections = [h.collection for h in hits if h.level == "collection"][: ROUTED["collection"]]
+    if collections:
+        members = counts.where(F.col("collection").isin(collections))
+        lanes += [lane(level, members, "collection_member_route") for level in ("document", "section")]
+        hits = [r.id for r in fuse(lanes, limit=2 * sum(LANES.values())).collect()]
+    found = {h.doc: None for h in [h for h in hits if h.level != "collection"][: ROUTED["document"]]}
+    inner = [f"{h.doc}/{h.section}" for h in hits if h.level == "section"][: ROUTED["section"]]
+    scopes = {"passage_lexical": F.col("doc").isin([*found]) & F.concat_ws("/", "doc", "section").isin(inner), "passage_lexical_collection": F.col("collection").isin(collections)}
+    pieces = lambda scope: counts.where(scope).select("doc", "section", F.posexplode("pieces").alias("ordinal", "p")).select(F.concat_ws("/", "doc", "section", "ordinal").alias("id"), "p._n", "p._m")
+    fused = fuse([_matching(pieces(scope), len(terms), name, LANES["passage"]) for name, scope in scopes.items()], limit=limit)
+    best = docs.sparkSession.createDataFrame(fused.collect(), fused.schema)
+    counts.unpersist()
+    return best

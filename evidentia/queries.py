@@ -641,6 +641,11 @@ def _(spark, load):
     return retrieval.lexical(cut.select(F.concat_ws("/", "doc_id", "ordinal").alias("id"), "text"), QUESTION, 50).drop("retriever")
 
 
+@query("hierarchical_routing_levels")
+def _(spark, load):
+    return retrieval.hierarchical(load("documents"), QUESTION, "source", id_column="doc_id")
+
+
 def _entity_sql() -> str:
     parts = [f"SELECT doc_id AS id, '{kind}' AS type, '{predicate}' AS predicate, {sure}::DOUBLE AS confidence, unnest(regexp_extract_all(text, $p${pattern}$p$, 1)) AS name FROM documents" for kind, predicate, sure, pattern in ent.FAMILIES]
     return f"SELECT id, type, predicate, name, max(confidence) AS confidence FROM (SELECT id, type, predicate, confidence, regexp_replace(lower(trim(name)), '\\s+', ' ', 'g') AS name FROM ({' UNION ALL '.join(parts)})) WHERE name <> '' GROUP BY 1, 2, 3, 4"

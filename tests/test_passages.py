@@ -1,11 +1,12 @@
 """Sections, passages, entities and governance on hand-computed rows."""
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
 from evidentia.functions import entities as ent
-from evidentia.operators import govern, passages
+from evidentia.operators import govern, passages, retrieval
 
 
 def test_lines_slice_back_to_the_text(spark):
@@ -95,3 +96,49 @@ def test_source_health(spark):
     assert got == {(1, "down", "critical"), (1, "permission_denied", "critical"), (1, "stale", "warning"), (2, "unknown_freshness", "warning"), (3, "degraded", "warning"), (3, "expired", "critical")}
     assert tuple(govern.health_report(df).first()) == (4, 2, 2, 2, 2, 3)
     assert tuple(govern.health_report(df.limit(0)).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_hierarchical_routing_finds_the_section_of_a_long_document(spark):
+    rows = [(k, f"c{k % 9}", "thing " + "word " * (k % 7 + 1)) for k in range(60)] + [(k, f"c{k}", "thing " + "word " * 20000) for k in (70, 71)] + [(99, "c99", "# A\n" + "word " * 9000 + "\n# Thing\nthing contract é"), (None, "c1", "thing"), (98, None, "thing é"), (97, "c1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    terms = {"thing", "contract"}
+
+    def lane(counts, limit):
+        scored = [(-round(m / (2 * n) ** 0.5, 9), i) for i, (m, n) in counts.items() if m]
+        return [(i, k + 1, -s) for k, (s, i) in enumerate(sorted(scored)[:limit])]
+
+    def fused(lanes):
+        out, best = {}, {}
+        for i, k, s in (h for found in lanes for h in found):
+            out[i], best[i] = out.get(i, 0) + 1 / (60 + k), max(best.get(i, 0), s)
+        return sorted(((round(v, 9), best[i], i) for i, v in out.items()), key=lambda h: (-h[0], -h[1], h[2]))
+
+    def counts(level, inside, key):
+        out = {}
+        for c, d, n, t in inside:
+            if key(c, d, n) is not None:
+                words = re.findall(r"\w+", t.lower())
+                m, size = out.get((level, *key(c, d, n)), (0, 0))
+                out[(level, *key(c, d, n))] = (m + sum(w in terms for w in words), size + len(words))
+        return out
+
+    parts = [(c or "", d, n, t) for d, c, text in rows if d is not None for n, t in ([(1, "# A " + "word " * 9000), (2, "# Thing thing contract é")] if d == 99 else [(0, text or "")])]
+    of = {"collection": lambda c, d, n: (c, -1, -1) if c else None, "document": lambda c, d, n: (c, d, -1), "section": lambda c, d, n: (c, d, n)}
+    size = {"collection": 20, "document": 50, "section": 100}
+    lanes = [lane(counts(level, parts, of[level]), size[level]) for level in size]
+    top = [i[1] for _, _, i in fused(lanes) if i[0] == "collection"][:10]
+    lanes += [lane(counts(level, [p for p in parts if p[0] in top], of[level]), size[level]) for level in ("document", "section")]
+    hits = [i for _, _, i in fused(lanes)]
+    found = {i[2] for i in [i for i in hits if i[0] != "collection"][:30]}
+    inner = {i[2:] for i in [i for i in hits if i[0] == "section"][:50]}
+    cut = {(d, n, k): (c, t[k * 2000 : k * 2000 + 2000]) for c, d, n, t in parts for k in range(max(1, -(-len(t) // 2000)))}
+
+    def passage_lane(keep):
+        chosen = [(c, d, f"{d}/{n}/{k}", t) for (d, n, k), (c, t) in cut.items() if keep(c, d, n)]
+        return [(i[1], k, s) for i, k, s in lane(counts("passage", chosen, lambda c, d, n: (n,)), 150)]
+
+    want = fused([passage_lane(lambda c, d, n: d in found and (d, n) in inner), passage_lane(lambda c, d, n: c in top)])[:100]
+    got = [(r.fusion, r.score, r.id) for r in retrieval.hierarchical(docs, "Thing contract", "source", id_column="doc_id").collect()]
+    assert got == want and "99/2/0" in [i for _, _, i in got] and "70/0/0" not in [i for _, _, i in got] and len(got) > 30
+    assert "99" not in [str(r.id) for r in retrieval.lexical(docs, "Thing contract", 30, id_column="doc_id").collect()]
+    assert retrieval.hierarchical(docs.limit(0), "Thing", "source", id_column="doc_id").count() == 0
