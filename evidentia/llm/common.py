@@ -55,6 +55,11 @@ def within(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int = BR
     return docs.join(F.broadcast(ids) if small else ids, docs[key] == ids["_keep"], "left_semi")
 
 
+def one_each(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text): of the rows of a key the text of smallest hash, found before any task or the driver holds them all."""
+    return rows.groupBy(key).agg(F.min_by(text, F.xxhash64(text)).alias(text))
+
+
 def remainder(column: Column, modulus: int) -> Column:
     """crc32 of an id as text, modulo modulus: the folds of the classifiers."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

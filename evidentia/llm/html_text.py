@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import one_each
+
 #: At most this many pages, those with the smallest hash of their page_id, are learned from.
 MAX_TRAINING_PAGES = 240
 #: Widths of the hashed vectors of tag paths and words, of the other inputs, and of each direction's state.
@@ -336,7 +338,7 @@ def train(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> dict[str, np
 
     sample = pages.where("page_id is not null").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     ids = sample.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
-    chosen = sample.join(F.broadcast(ids), "page_id", "left_semi").withColumn("one", F.lit(0))
+    chosen = one_each(sample.join(F.broadcast(ids), "page_id", "left_semi"), "page_id", "html").withColumn("one", F.lit(0))
     row = chosen.groupBy("one").applyInPandas(learn, ", ".join(f"{n} binary" for n in names)).head()
     plain = Labeller().w
     return {n: np.frombuffer(row[n], np.float32).reshape(plain[n].shape).copy() for n in names} if row else plain

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, saved
+from .common import one_each, remainder, saved
 
 #: At most this many labelled rows are learned from, those with the smallest hash of their doc_id: 20 numbers each.
 MAX_TRAINING_ROWS = 5_000
@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    sample = statistics(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").toPandas()
+    known = one_each(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", "text")
+    sample = statistics(known).join(F.broadcast(chosen), "doc_id").toPandas()
     sample = sample.drop_duplicates("doc_id").sort_values("doc_id")
     return fit({c: sample[c].to_numpy(float) for c in sample.columns if c not in ("doc_id", "quality")}, sample["quality"].to_numpy(float))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, saved, without
+from .common import one_each, remainder, saved, without
 
 #: Features are hashed to this many bits. A model holds the non-zero weights alone, at most 12 bytes each.
 BITS = 20
@@ -102,7 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
             ids = [np.unique(features(t.as_py(), bits)).astype(np.int32).tobytes() for t in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"])
 
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    known = one_each(texts.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = known.select("doc_id", "toxic", "text").mapInArrow(hashed, schema)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:

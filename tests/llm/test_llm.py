@@ -305,6 +305,22 @@ def test_toxicity_corners(spark):
     assert toxicity.toxicity_scores(frame(spark, ["x"]), labels.limit(0)).first().score == 0.5
 
 
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    df, labels = frame(spark, ["bad"] * 50 + ["good"], [1] * 50 + [2]), spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    sent, frames = [], type(df)
+    arrow, statistics, grouped = frames.mapInArrow, quality.statistics, frames.groupBy
+    monkeypatch.setattr(frames, "mapInArrow", lambda self, *a: sent.append(self.count()) or arrow(self, *a))
+    monkeypatch.setattr(quality, "statistics", lambda d: sent.append(d.count()) or statistics(d))
+    monkeypatch.setattr(frames, "groupBy", lambda self, *a: (sent.append(self.count()) if str(a[0]) == "one" else None) or grouped(self, *a))
+    monkeypatch.setattr(toxicity, "remainder", lambda c, n: common.F.lit(2))
+    monkeypatch.setattr(quality, "remainder", lambda c, n: common.F.lit(2))
+    monkeypatch.setattr(html_text, "practice_pages", lambda n: ["<p>a</p>"])
+    toxicity.train(df, labels)
+    quality.train(df, labels)
+    html_text.train(df.selectExpr("doc_id AS page_id", "text AS html"))
+    assert sent == [2, 2, 2]
+
+
 def test_quality_held_out_and_corners(spark):
     sf = "/root/testdata/sf0.01"
     labels = labelled(spark, sf)
