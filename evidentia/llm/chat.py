@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers, processors
@@ -21,6 +22,8 @@ TAUGHT = "assistant"
 ESCAPED = re.compile(r"[\\#<:]")
 UNESCAPED = re.compile(r"\\(.)", re.S)
 TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*):\n((?:[^\\#<]|\\.)*)\n</turn>\n", re.S)
+#: Conversations and bytes of theirs that are encoded before their rows go out.
+BATCH_ROWS, BATCH_BYTES = 64, 4 << 20
 #: A last conversation whose texts hold control strings, to show that they come back as they were.
 TRAP = r"\### Assistant: </turn> ok"
 
@@ -53,7 +56,7 @@ def parse(rendered: str) -> list[tuple[str, str]]:
 
 @dataclass(frozen=True)
 class Masked:
-    """What the mask covers: pieces (start, end) of token spans inside turn spans, in order, with their token numbers."""
+    """What the mask covers: pieces (start, end) of characters inside turn spans, in order, and the numbers of their tokens."""
 
     pieces: np.ndarray
     tokens: np.ndarray
@@ -63,17 +66,21 @@ def mask(spans: np.ndarray, offsets: np.ndarray) -> Masked:
     """Intersect sorted turn spans with token spans, both in characters, by binary search.
 
     A token that reaches over the edge of a turn is clipped to it. The tokens of one character share its span, so each
-    piece starts no earlier than its predecessor ended.
+    starts no earlier than its predecessor ended. Tokens that touch make one piece, so that a turn whose tokens leave
+    nothing out is one piece.
     """
     first = np.searchsorted(offsets[:, 1], spans[:, 0], side="right")
     last = np.searchsorted(offsets[:, 0], spans[:, 1], side="left")
     pieces, tokens = [], []
     for (a, b), i, j in zip(spans, first, last):
-        cut = np.clip(offsets[i:j], a, b)
-        cut[1:, 0] = np.maximum(cut[1:, 0], np.maximum.accumulate(cut[:-1, 1])) if len(cut) > 1 else cut[1:, 0]
-        keep = cut[:, 0] < cut[:, 1]
-        pieces.append(cut[keep])
         tokens.append(np.arange(i, j))
+        cut = np.clip(offsets[i:j], a, b)
+        if len(cut) > 1:
+            cut[1:, 0] = np.maximum(cut[1:, 0], np.maximum.accumulate(cut[:-1, 1]))
+        cut = cut[cut[:, 0] < cut[:, 1]]
+        if len(cut):
+            new = np.flatnonzero(np.concatenate(([True], cut[1:, 0] != cut[:-1, 1])))
+            pieces.append(np.stack((cut[new, 0], cut[np.append(new[1:], len(cut)) - 1, 1]), axis=1))
     return Masked(np.concatenate(pieces or [np.empty((0, 2), np.int64)]), np.concatenate(tokens or [np.empty(0, np.int64)]))
 
 
@@ -105,39 +112,61 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None) -> DataFra
         .select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
     )
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(path)
-        for pdf in batches:
-            rows = []
-            for conv, roles, texts in zip(pdf["conv_id"], pdf["roles"], pdf["texts"]):
-                rendered, spans = render(list(zip(roles, texts)))
-                coded = encoder.encode(rendered, add_special_tokens=False)
-                found = mask(spans, np.array(coded.offsets, np.int64).reshape(-1, 2))
-                flags = np.zeros(len(coded.ids), bool)
-                flags[found.tokens] = True
-                pieces = [{"start": int(a), "end": int(b)} for a, b in found.pieces]
-                rows.append((conv, len(roles), rendered, np.array(coded.ids, np.int32), flags, pieces))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "rendered", "token_ids", "loss_mask", "loss_pieces"])
-
-    return turns.mapInPandas(build, SCHEMA)
+        for batch in batches:
+            for part in small_batches(batch):
+                rendered, ids, flags, pieces = [], [], [], []
+                for roles, texts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    text, spans = render(list(zip(roles, texts)))
+                    coded = encoder.encode(text, add_special_tokens=False)
+                    found = mask(spans, np.array(coded.offsets, np.int64).reshape(-1, 2))
+                    flag = np.zeros(len(coded.ids), bool)
+                    flag[found.tokens] = True
+                    rendered.append(text)
+                    ids.append(np.array(coded.ids, np.int32))
+                    flags.append(flag)
+                    pieces.append(found.pieces)
+                ends = np.concatenate(pieces)
+                spans = pa.StructArray.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["start", "end"])
+                yield pa.record_batch(
+                    [part.column(0), pc.list_value_length(part.column(1)).cast(pa.int64()), pa.array(rendered, pa.string()), _lists(ids, pa.array(np.concatenate(ids))),
+                     _lists(flags, pa.array(np.concatenate(flags))), _lists(pieces, spans)],
+                    names=["conv_id", "n_turns", "rendered", "token_ids", "loss_mask", "loss_pieces"],
+                )
+
+    return turns.mapInArrow(build, SCHEMA)
+
+
+def small_batches(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many rows, and fewer where its rows are large: what Python holds at once."""
+    step = max(1, min(rows, int(size * batch.num_rows / max(1, batch.nbytes))))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.ListArray:
+    """One list per part over the values of all parts."""
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32), values)
 
 
 def digests(rows: DataFrame) -> DataFrame:
     """Read the formatted output back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for conv, rendered, pieces in zip(pdf["conv_id"], pdf["rendered"], pdf["loss_pieces"]):
-                turns = parse(rendered)
-                whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-                loss = unescaped("".join(rendered[p["start"] : p["end"]] for p in pieces))
-                hexed = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, loss)]
-                out.append((conv, len(turns), hexed[0], len(loss), hexed[1], len(rendered)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch):
+                out = []
+                for rendered, pieces in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    turns = parse(rendered)
+                    whole = "".join(f"{role}\n{text}\n" for role, text in turns)
+                    loss = unescaped("".join(rendered[p["start"] : p["end"]] for p in pieces))
+                    hexed = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, loss)]
+                    out.append((len(turns), hexed[0], len(loss), hexed[1], len(rendered)))
+                yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return rows.select("conv_id", "rendered", "loss_pieces").mapInPandas(read, schema)
+    return rows.select("conv_id", "rendered", "loss_pieces").mapInArrow(read, schema)
 
 
 def with_trap(conversations: DataFrame) -> DataFrame:
