@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, chat, common, decontaminate, exact_dedup, html_text, quality, repeats, simhash, suffix_array, suffix_tree, toxicity
+from . import bpe, chat, common, decontaminate, exact_dedup, html_text, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity
 from .common import table
 
 
@@ -69,4 +69,4 @@ QUERIES = {
 }
 
 #: The modules whose functions run in Python workers.
-ship(*(m.__name__ for m in (bpe, chat, common, html_text, quality, repeats, simhash, suffix_array, suffix_tree, toxicity)))
+ship(*(m.__name__ for m in (bpe, chat, common, html_text, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity)))

@@ -1,36 +1,45 @@
 """What suffix-tree and suffix-array deduplication share: finding, gathering and judging repeated windows of tokens.
 
-Documents are dealt out once, by a hash of doc_id, into blocks of a few MB. Three passes read those blocks:
+Documents are dealt out once, evenly, into blocks of a few MB. Three passes read those blocks:
 
 1. Each window of L tokens is assigned an anchor, the k-token prefix inside it with the smallest hash (leftmost of ties).
-   Equal windows have equal anchors at equal places. A block sends its distinct anchors; their counts come back.
-2. Windows whose anchor occurs once in the corpus are unique. For the others a block sends one context per run of windows
-   with one anchor, once for equal contexts, to the group of that anchor, where a suffix structure judges them.
-   Anchors that occur very often would make an unbounded group: their windows go by 128-bit digest to groups of their
-   own instead, each distinct window once per block.
-3. The verdicts come back to the block, which removes what they say.
-
-Only anchors, contexts of repeated anchors and verdicts are shuffled besides the one dealing of the texts.
+   Equal windows have equal anchors at equal places. The windows of a run that share an anchor make one context; a block
+   sends the anchor and the 128-bit BLAKE2 digest of each of its contexts.
+2. Anchors that occur once in the corpus prove their windows unique. Of the others, the first occurrence of each distinct
+   context is sent, by its block, to the partition of its anchor prefix, where a suffix structure judges its windows.
+   Prefixes vary in length: one that more than MOST distinct contexts share is lengthened, and its contexts are cut
+   again into runs that share the longer prefix, until the groups fit or the prefix is the whole window.
+3. The verdicts come back to the blocks, which remove what they say.
+
+Anchors, the distinct contexts of repeated anchors and the verdicts are all that is shuffled besides the one dealing of
+the texts. How much there is of each grows with the corpus and not with the number of blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, and in the share of the corpus that a group of anchors or contexts answers for.
-BLOCK_BYTES = 2 << 20
-#: An anchor with more occurrences than this is judged by digests of its windows instead of one group.
-HOT = 4096
-ROWS = "b int, g long, body binary"
+from .common import saved
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Bytes of text in a block, of contexts in a group, and of contexts that are judged at once.
+BLOCK_BYTES, GROUP_BYTES, PART_BYTES = 2 << 20, 4 << 20, 1 << 20
+#: A prefix that more distinct contexts than this share is lengthened.
+MOST = 4096
+#: The place of a document without a doc_id: after all others.
+LAST = 2**63 - 1
+#: A context: its prefix, digest, copies (in the block, or in the corpus), and its first place: block, document, window and windows.
+CONTEXT = "b int, key long, d1 long, d2 long, n long, doc long, lo int, size int"
+VERDICT = "b int, lo int, size int, bits binary"
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -132,54 +141,57 @@ def find_runs(tokens: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -
 
 @dataclass
 class Block:
-    """The documents of a block by doc_id (and text, where ids repeat), as tokens laid end to end."""
+    """Documents as tokens laid end to end: token k is raw[starts[k]:stops[k]], its hash is hashes[k]; sizes are theirs in tokens."""
 
-    doc_ids: np.ndarray
+    raw: bytes
+    starts: np.ndarray
+    stops: np.ndarray
+    hashes: np.ndarray
     sizes: np.ndarray
-    raw: list | bytes
+    doc: np.ndarray | None = None
+    known: np.ndarray | None = None
+
+    def doc_ids(self) -> pd.array:
+        """The doc_id of every document, missing where it is not known."""
+        return pd.arrays.IntegerArray(self.doc, ~self.known)
 
     def owner(self, places: np.ndarray) -> np.ndarray:
-        """The doc_id at places."""
-        return self.doc_ids[np.searchsorted(np.cumsum(self.sizes), places, side="right")]
+        """The number of the document at places."""
+        return np.searchsorted(np.cumsum(self.sizes), places, side="right")
 
 
 @dataclass(frozen=True)
 class Method:
-    """How texts become tokens, what a context's bytes are, and how the contexts of a group are judged.
+    """How texts become tokens, how long windows and their prefixes are, and how the contexts of a group are judged.
 
-    classes(contexts) gives, for each context, a number for every window in it, equal where windows are equal.
+    classes(contexts, keys) gives, for every window of the contexts in turn, a number, equal where windows are equal; the
+    contexts come in the order of keys, and only windows of one key can be equal.
     keep_first: whether the first occurrence of a window stays, or every occurrence goes.
     """
 
     length: int
-    anchor: int
-    split: Callable[[list[str]], tuple]
-    hashes: Callable[[list | bytes], np.ndarray]
-    context: Callable[[list | bytes, int, int], bytes]
-    windows_in: Callable[[bytes], int]
-    classes: Callable[[list[bytes]], list[np.ndarray]]
+    prefixes: tuple[int, ...]
+    block: Callable[[list[bytes]], Block]
+    classes: Callable[[list[bytes], np.ndarray], np.ndarray]
     finish: Callable[[Block, np.ndarray], pd.DataFrame]
     keep_first: bool
 
-    def block(self, pdf: pd.DataFrame) -> Block:
-        pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-        raw, sizes = self.split(pdf["text"].tolist())
-        return Block(pdf["doc_id"].to_numpy(np.int64), sizes, raw)
-
-    def runs(self, block: Block) -> tuple[np.ndarray, Runs]:
-        """The hashes of a block's tokens, and its runs."""
-        tokens = self.hashes(block.raw)
-        return tokens, find_runs(tokens, block.sizes, self.length, self.anchor)
-
+    def blocked(self, pdf: pd.DataFrame) -> Block:
+        """A block's documents, by doc_id, in the order of the table where ids are equal or missing."""
+        pdf = pdf.sort_values(["doc", "row"], kind="stable")
+        block = self.block([t.encode("utf-8", "surrogatepass") for t in pdf["text"]])
+        block.doc, block.known = pdf["doc"].to_numpy(np.int64), pdf["known"].to_numpy(bool)
+        return block
 
-def _dealt(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """The group of each key, and the order that puts groups together and keys in order within them."""
-    g = ((keys >> np.uint64(7)) % np.uint64(groups)).astype(np.int64)
-    return g, np.lexsort((keys, g))
+    def contexts(self, block: Block, prefix: int) -> tuple[Runs, Callable[[int], bytes]]:
+        """The runs of windows of a block that share a prefix, and what cuts out the text of run r."""
+        runs = find_runs(block.hashes, block.sizes, self.length, prefix)
+        a, z = block.starts[runs.lo].tolist(), block.stops[runs.hi + self.length - 1].tolist()
+        return runs, lambda r: block.raw[a[r] : z[r]]
 
 
-def _cuts(g: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, np.int64)
+def digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -188,166 +200,176 @@ def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _rows(out: list) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=["b", "g", "body"])
-
-
-def _anchors(method: Method, groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.unique(method.runs(method.block(pdf))[1].key, return_counts=True)
-        g, order = _dealt(keys, groups)
-        g, keys, counts, cut = g[order], keys[order], np.minimum(counts[order], 65535).astype(np.uint16), _cuts(g[order])
-        return _rows([(pdf["b"].iloc[0], g[a], pack(keys[a:z], counts[a:z])) for a, z in zip(cut[:-1], cut[1:])])
-
-    return send
-
-
-def _count(hot: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(b, np.uint64, np.uint16) for b in pdf["body"]]
-        keys = np.concatenate([k for k, _ in parts])
-        unique, place = np.unique(keys, return_inverse=True)
-        total = np.bincount(place, np.concatenate([c for _, c in parts]).astype(float), len(unique))
-        verdict = ((total > 1).astype(np.uint8) + (total > hot))[place].astype(np.uint8)
-        ends = np.cumsum([len(k) for k, _ in parts])[:-1]
-        return _rows([(b, g, pack(v)) for b, g, v in zip(pdf["b"], pdf["g"], np.split(verdict, ends))])
-
-    return count
-
-
-def _contexts(method: Method, count_groups: int, groups: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def send(docs: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(verdicts):
-            return _rows([])
-        block, b = method.block(docs), docs["b"].iloc[0]
-        tokens, runs = method.runs(block)
-        keys, place = np.unique(runs.key, return_inverse=True)
-        _, order = _dealt(keys, count_groups)
-        state = np.empty(len(keys), np.uint8)
-        state[order] = np.concatenate([unpack(v, np.uint8)[0] for v in verdicts.sort_values("g")["body"]])
-        state = state[place]
-        out, first, copies = [], {}, []
-        for r in np.flatnonzero(state == 1).tolist():
-            text = method.context(block.raw, int(runs.lo[r]), int(runs.hi[r]))
-            kept = first.setdefault(text, r)
-            if kept != r:
-                copies.append((kept, r))
-        if first:
-            reps, texts = np.array(list(first.values())), list(first)
-            g, order = _dealt(runs.key[reps], groups)
-            g, reps, texts = g[order], reps[order], [texts[i] for i in order]
-            # a copy within the block need not be judged: its windows go, and its place is sent with its original
-            of, copy = np.array(copies, np.int64).reshape(-1, 2).T
-            place = np.empty(len(runs.lo), np.int64)
-            place[reps] = np.arange(len(reps))
-            order = np.argsort(place[of], kind="stable")
-            of, copy = place[of][order], copy[order]
-            many = np.zeros(len(reps), np.uint8)
-            many[of] = 1
-            length = (runs.hi - runs.lo + 1).astype(np.int32)
-            ids, cut = block.owner(runs.lo[reps]), _cuts(g)
-            for a, z in zip(cut[:-1], cut[1:]):
-                sizes = np.fromiter(map(len, texts[a:z]), np.int32, z - a)
-                data = np.frombuffer(b"".join(texts[a:z]), np.uint8)
-                r, c = reps[a:z], copy[np.searchsorted(of, a) : np.searchsorted(of, z)]
-                out.append((b, g[a], pack(runs.lo[r], length[r], runs.lo[c], length[c], runs.key[r], many[a:z], ids[a:z], sizes, data)))
-        hot = np.flatnonzero(state == 2)
-        if len(hot):
-            size = runs.hi[hot] - runs.lo[hot] + 1
-            at = np.repeat(runs.lo[hot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            d1, d2 = rolling(tokens, method.length, _ODD[2])[at], rolling(tokens, method.length, _ODD[3])[at]
-            order = np.lexsort((at, d2, d1))
-            d1, d2, at = d1[order], d2[order], at[order]
-            new = np.flatnonzero(np.concatenate(([True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))))
-            many = (np.diff(np.concatenate((new, [len(d1)]))) > 1).astype(np.uint8)
-            copy = np.sort(np.delete(at, new))
-            cut = np.flatnonzero(np.concatenate(([True], np.diff(copy) != 1))) if len(copy) else np.empty(0, np.int64)
-            copy, length = copy[cut], np.diff(np.concatenate((cut, [len(copy)]))).astype(np.int32)
-            d1, d2, at = d1[new], d2[new], at[new]
-            g, order = _dealt(d1, groups)
-            g, d1, d2, at, many = g[order], d1[order], d2[order], at[order], many[order]
-            ids, cut = block.owner(at), _cuts(g)
-            for a, z in zip(cut[:-1], cut[1:]):
-                own = slice(None) if a == 0 else slice(0)
-                out.append((b, -1 - g[a], pack(at[a:z], np.ones(z - a, np.int32), copy[own], length[own], d1[a:z], d2[a:z], many[a:z], ids[a:z])))
-        return _rows(out)
+def _halves(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
+def _columns(b: int, block: Block, runs: Runs, at: np.ndarray, digests: list[bytes], n: np.ndarray) -> dict:
+    """The columns of CONTEXT for the runs at the numbers at."""
+    halves = _halves(digests)
+    return {
+        "b": b, "key": runs.key[at].view(np.int64), "d1": halves[:, 0], "d2": halves[:, 1], "n": n,
+        "doc": block.doc[block.owner(runs.lo[at])], "lo": runs.lo[at], "size": runs.hi[at] - runs.lo[at] + 1,
+    }
+
+
+def _announce(method: Method) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def announce(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The distinct contexts of a block, each with its first place there and the number of its copies."""
+        block = method.blocked(pdf)
+        runs, text = method.contexts(block, method.prefixes[0])
+        first: dict[bytes, int] = {}
+        which = np.fromiter((first.setdefault(digest(text(r)), r) for r in range(len(runs.lo))), np.int64, len(runs.lo))
+        at = np.fromiter(first.values(), np.int64, len(first))
+        return pd.DataFrame(_columns(pdf["b"].iloc[0], block, runs, at, list(first), np.bincount(which, minlength=len(runs.lo))[at]))
+
+    return announce
+
+
+def elected(contexts: DataFrame) -> DataFrame:
+    """Contexts whose prefix occurs more than once, with the copies of each in the corpus (n), whether the row is its first
+    occurrence (first) and how many distinct contexts share the prefix (variants). The rows are of a fixed small size."""
+    same, prefix = Window.partitionBy("key", "d1", "d2"), Window.partitionBy("key")
+    return (
+        contexts.repartition("key")
+        .withColumn("first", F.row_number().over(same.orderBy("doc", "b", "lo")) == 1)
+        .withColumn("copies", F.sum("n").over(same))
+        .withColumn("all", F.sum("n").over(prefix))
+        .withColumn("variants", F.sum(F.col("first").cast("int")).over(prefix))
+        .where("all > 1")
+        .drop("n", "all")
+        .withColumnRenamed("copies", "n")
+    )
+
+
+def _send(method: Method) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    names = ["b", "key", "n", "doc", "lo", "size", "variants", "body"]
+
+    def send(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """The texts of the contexts that this block has first, and in one row the places of copies of known contexts."""
+        if not len(docs) or not len(found):
+            return pd.DataFrame([], columns=names)
+        block, b = method.blocked(docs), int(docs["b"].iloc[0])
+        runs, text = method.contexts(block, method.prefixes[0])
+        halves = np.stack((found["d1"].to_numpy(), found["d2"].to_numpy()), axis=1)
+        known = {h.tobytes(): k for k, h in enumerate(halves)}
+        first, n, variants = found["first"].to_numpy(), found["n"].to_numpy(), found["variants"].to_numpy()
+        at, which, texts, copies = [], [], [], []
+        taken: set[int] = set()
+        for r in np.flatnonzero(np.isin(runs.key.view(np.int64), found["key"].to_numpy())).tolist():
+            body = text(r)
+            k = known[digest(body)]
+            if first[k] and k not in taken:
+                taken.add(k)
+                at.append(r)
+                which.append(k)
+                texts.append(body)
+            else:
+                copies.append(r)
+        at, which, copies = (np.array(x, np.int64) for x in (at, which, copies))
+        columns = _columns(b, block, runs, at, [b"\0" * 16] * len(at), n[which])
+        out = pd.DataFrame({c: columns[c] for c in names[:6]} | {"variants": variants[which], "body": texts})
+        if len(copies):
+            places = pack(runs.lo[copies].astype(np.int32), (runs.hi - runs.lo + 1)[copies].astype(np.int32))
+            out = pd.concat([out, pd.DataFrame([(b, None, None, None, None, None, None, places)], columns=names)])
+        return out.astype({c: "Int64" for c in names[:-1]})
 
     return send
 
 
-def _judge_digests(pdf: pd.DataFrame, keep_first: bool) -> pd.DataFrame:
-    parts = [unpack(b, np.int64, np.int32, np.int64, np.int32, np.uint64, np.uint64, np.uint8, np.int64) for b in pdf["body"]]
-    at, d1, d2, many, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 4, 5, 6, 7))
-    order = np.lexsort((at, ids, d2, d1))
-    new = np.concatenate(([True], (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])))
-    kind = np.cumsum(new) - 1
-    gone = np.empty(len(at), bool)
-    if keep_first:
-        gone[order] = ~new
-    else:
-        gone[order] = np.bincount(kind, 1.0 + many[order])[kind] > 1
-    ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return _rows([(b, g, pack(*p[:4], np.packbits(v))) for b, g, p, v in zip(pdf["b"], pdf["g"], parts, np.split(gone, ends))])
-
-
 def _judge(method: Method) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["g"].iloc[0] < 0:
-            return _judge_digests(pdf, method.keep_first)
-        parts = [unpack(b, np.int64, np.int32, np.int64, np.int32, np.uint64, np.uint8, np.int64, np.int32, np.uint8) for b in pdf["body"]]
-        lo, keys, many, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 4, 5, 6))
-        number: dict[bytes, int] = {}
-        which = []
-        for p in parts:
-            raw, ends = p[8].tobytes(), np.cumsum(p[7]).tolist()
-            which += [number.setdefault(raw[a:z], len(number)) for a, z in zip([0, *ends], ends)]
-        texts, which = list(number), np.array(which)
-        sizes = np.fromiter(map(method.windows_in, texts), np.int64, len(texts))
-        total = np.bincount(which, 1.0 + many, len(texts))
-        # the first sender of each context, by doc_id and place
-        order = np.lexsort((lo, ids, which))
-        first = order[np.concatenate(([True], which[order][1:] != which[order][:-1]))]
-        starts = np.cumsum(sizes) - sizes
-        gone = np.repeat(total > 1, sizes) if not method.keep_first else np.zeros(sizes.sum(), bool)
-        pair = np.unique(np.stack((keys, which.astype(np.uint64)), axis=1), axis=0)
-        _, place, counts = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-        mixed = np.unique(pair[counts[place] > 1, 1]).astype(np.int64)
-        if len(mixed):
-            found = method.classes([texts[i] for i in mixed])
-            kind = np.concatenate(found)
-            where = np.concatenate([starts[i] + np.arange(sizes[i]) for i in mixed])
+        """For each context of a group a bit per window: whether it goes. Contexts without such a window give no row."""
+        pdf = pdf.sort_values(["key", "doc", "b", "lo"], kind="stable")
+        size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        bodies = [bytes(x) for x in pdf["body"]]
+        keys, total, gone = pdf["key"].to_numpy(np.int64), np.cumsum([len(x) for x in bodies]), []
+        # parts of about PART_BYTES, cut where a key begins: windows of different keys differ
+        marks = np.searchsorted(total, np.arange(PART_BYTES, total[-1], PART_BYTES))
+        cuts = sorted({0, len(pdf), *np.searchsorted(keys, keys[marks]).tolist()})
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            kind = method.classes(bodies[a:z], keys[a:z])
+            sizes = size[a:z]
             if method.keep_first:
-                step = np.concatenate([np.arange(sizes[i]) for i in mixed])
-                sender = np.repeat(first[mixed], sizes[mixed])
-                order = np.lexsort((lo[sender] + step, ids[sender], kind))
-                gone[where[order]] = np.concatenate(([False], kind[order][1:] == kind[order][:-1]))
+                rank = np.lexsort((pdf["lo"].to_numpy()[a:z], pdf["b"].to_numpy()[a:z], pdf["doc"].to_numpy()[a:z]))
+                place = np.empty(z - a, np.int64)
+                place[rank] = np.arange(z - a)
+                order = np.lexsort((np.arange(sizes.sum()), np.repeat(place, sizes), kind))
+                flags = np.empty(len(kind), bool)
+                flags[order] = np.concatenate(([False], kind[order][1:] == kind[order][:-1]))
             else:
-                gone[where] = np.bincount(kind, np.repeat(total[mixed], sizes[mixed]))[kind] > 1
-        is_first = np.zeros(len(which), bool)
-        is_first[first] = True
-        every = sizes[which]
-        ends = np.cumsum(every)
-        own = gone[np.repeat(starts[which] - (ends - every), every) + np.arange(ends[-1])]
-        if method.keep_first:
-            own |= np.repeat(~is_first, every)
-        own = np.split(own, ends[np.cumsum([len(p[0]) for p in parts])[:-1] - 1])
-        return _rows([(b, g, pack(*p[:4], np.packbits(v))) for b, g, p, v in zip(pdf["b"], pdf["g"], parts, own)])
+                flags = np.bincount(kind, np.repeat(n[a:z], sizes).astype(float))[kind] > 1
+            gone.append(flags)
+        gone = np.concatenate(gone)
+        ends = np.cumsum(size)
+        bits = [np.packbits(gone[a:z]).tobytes() if gone[a:z].any() else None for a, z in zip((ends - size).tolist(), ends.tolist())]
+        return pd.DataFrame({"b": pdf["b"].to_numpy(), "lo": pdf["lo"].to_numpy(), "size": size, "bits": bits}).dropna(subset=["bits"])
 
     return judge
 
 
+def judged(sent: DataFrame, method: Method) -> DataFrame:
+    """The verdicts on distinct contexts, in groups of prefixes whose contexts have about GROUP_BYTES together."""
+    total = sent.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    groups = sent.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(1 + total // GROUP_BYTES)))
+    return groups.select("g", "b", "key", "n", "doc", "lo", "size", "body").groupBy("g").applyInPandas(_judge(method), VERDICT)
+
+
+def _lengthened(method: Method, prefix: int) -> Callable:
+    def cut(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                bodies = [bytes(x) for x in part["body"]]
+                block = method.block(bodies)
+                runs, text = method.contexts(block, prefix)
+                own = block.owner(runs.lo)
+                texts = [text(r) for r in range(len(runs.lo))]
+                halves = _halves([digest(t) for t in texts])
+                first = (np.cumsum(block.sizes) - block.sizes)[own]
+                yield pd.DataFrame(
+                    {
+                        "b": part["b"].to_numpy()[own], "key": runs.key.view(np.int64), "d1": halves[:, 0], "d2": halves[:, 1], "n": part["n"].to_numpy()[own],
+                        "doc": part["doc"].to_numpy()[own], "lo": part["lo"].to_numpy()[own] + runs.lo - first, "size": runs.hi - runs.lo + 1, "body": texts,
+                    }
+                )
+
+    return cut
+
+
+def verdicts(sent: DataFrame, method: Method, most: int) -> DataFrame:
+    """The verdicts on all contexts that were sent; prefixes that too many of them share are lengthened step by step."""
+    pending = sent.where("key is not null")
+    out = judged(pending.where(F.col("variants") <= most), method)
+    pending = pending.where(F.col("variants") > most)
+    for prefix in method.prefixes[1:]:
+        if pending.isEmpty():
+            break
+        names = "b", "key", "n", "doc", "lo", "size", "body"
+        parts = saved(elected(pending.select(*names).mapInPandas(_lengthened(method, prefix), CONTEXT + ", body binary")))
+        # what is not the first of its kind goes whole
+        ones = F.lit(b"\xff" * ((method.length + 7) // 8))
+        out = out.unionByName(parts.where("not first").select("b", "lo", "size", ones.alias("bits")))
+        fits = F.lit(True) if prefix == method.prefixes[-1] else F.col("variants") <= most
+        out = out.unionByName(judged(parts.where("first").where(fits), method))
+        pending = parts.where("first").where(~fits)
+    return out
+
+
 def _finish(method: Method) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def finish(docs: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return method.finish(Block(np.empty(0, np.int64), np.empty(0, np.int64), method.split([])[0]), np.empty(0, bool))
-        block = method.block(docs)
-        n = int(block.sizes.sum())
-        change, gone = np.zeros(n + 1, np.int64), np.zeros(n, bool)
-        for body in verdicts["body"]:
-            lo, size, copy, length, bits = unpack(body, np.int64, np.int32, np.int64, np.int32, np.uint8)
-            at = _spread(lo, size)
-            gone[at] = np.unpackbits(bits)[: len(at)].astype(bool)
-            gone[_spread(copy, length)] = True
+    def finish(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        block = method.blocked(docs)
+        n = len(block.starts)
+        gone = np.zeros(n, bool)
+        copies = found["size"].isna()
+        for body in found.loc[copies, "bits"]:
+            gone[_spread(*unpack(body, np.int32, np.int32))] = True
+        some = found[~copies]
+        if len(some):
+            size = some["size"].to_numpy(np.int64)
+            flags = [np.unpackbits(np.frombuffer(x, np.uint8))[:k] for x, k in zip(some["bits"], size.tolist())]
+            gone[_spread(some["lo"].to_numpy(np.int64), size)[np.concatenate(flags).astype(bool)]] = True
+        change = np.zeros(n + 1, np.int64)
         starts = np.flatnonzero(gone)
         np.add.at(change, starts, 1)
         np.add.at(change, starts + method.length, -1)
@@ -356,19 +378,19 @@ def _finish(method: Method) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFra
     return finish
 
 
-def removed(docs: DataFrame, method: Method, schema: str, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, method: Method, schema: str, block_bytes: int = BLOCK_BYTES, most: int = MOST) -> DataFrame:
     """Run the three passes over docs (doc_id, text) and return what method.finish makes of each block.
 
-    Texts that are null count as empty; rows without a doc_id are left out. The dealt-out texts are one exchange that
-    all three passes read.
+    Null texts count as empty. Rows without a doc_id come after all others; rows of one doc_id follow each other in the
+    order of the table. The dealt-out texts are one exchange that all three passes read. Rows are dealt by their place in
+    the table, so that no id, source or text can fill a block.
     """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = groups = max(2 * partitions, -(-size // block_bytes))
-    dealt = texts.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition("b")
-    by_block = dealt.groupBy("b")
-    counted = by_block.applyInPandas(_anchors(method, groups), ROWS).groupBy("g").applyInPandas(_count(hot), ROWS)
-    sent = by_block.cogroup(counted.groupBy("b")).applyInPandas(_contexts(method, groups, groups), ROWS)
-    judged = sent.groupBy("g").applyInPandas(_judge(method), ROWS)
-    return by_block.cogroup(judged.groupBy("b")).applyInPandas(_finish(method), schema)
+    blocks = max(2 * partitions, -(-size // block_bytes))
+    by_block = texts.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).repartition("b").groupBy("b")
+    found = saved(elected(by_block.applyInPandas(_announce(method), CONTEXT)).select("b", "key", "d1", "d2", "n", "first", "variants"))
+    sent = saved(by_block.cogroup(found.groupBy("b")).applyInPandas(_send(method), "b int, key long, n long, doc long, lo int, size int, variants long, body binary"))
+    copies = sent.where("key is null").select("b", "lo", "size", F.col("body").alias("bits"))
+    return by_block.cogroup(verdicts(sent, method, most).unionByName(copies).groupBy("b")).applyInPandas(_finish(method), schema)

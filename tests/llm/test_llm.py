@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from evidentia.llm import bpe, chat, common, decontaminate, exact_dedup, html_text, quality, queries, repeats, simhash, suffix_array, suffix_tree, toxicity
+from evidentia.llm import bpe, chat, common, decontaminate, exact_dedup, html_text, quality, queries, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,30 +97,64 @@ def strings(texts, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 2])
-def test_substring_operators(spark, texts, hot):
+@pytest.mark.parametrize("most, part, shard", [(repeats.MOST, 1 << 20, 256 << 10), (2, 1 << 20, 256 << 10), (repeats.MOST, 600, 500), (8, 2000, 900)])
+def test_substring_operators(spark, texts, monkeypatch, most, part, shard):
+    monkeypatch.setattr(repeats, "PART_BYTES", part)
+    monkeypatch.setattr(suffix_array.classes, "__defaults__", (suffix_array.LENGTH, shard))
     df = frame(spark, texts)
-    got = repeats.removed(df, suffix_tree.METHOD, "doc_id long, n_words long, n_removed long, kept string", 2000, hot)
+    got = repeats.removed(df, suffix_tree.METHOD, "doc_id long, n_words long, n_removed long, kept string", 2000, most)
     assert rows(got, "doc_id", "n_words", "n_removed", "kept") == windows(texts)
-    got = repeats.removed(df, suffix_array.METHOD, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", 2000, hot)
+    got = repeats.removed(df, suffix_array.METHOD, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", 2000, most)
     assert [(*r[:4], bytes(r[4])) for r in rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept")] == strings(texts)
 
 
-def test_substring_operators_on_nothing(spark):
+def test_substring_operators_where_many_contexts_share_a_prefix(spark):
+    """One line in many places: its prefixes are lengthened up to whole windows."""
+    line = prose(5, 45, 900)
+    texts = [prose(200 + k, 3 + k % 7, 900) + " " + line + " " + prose(300 + k, k % 5, 900) for k in range(40)]
+    df = frame(spark, texts).repartition(3)
+    for most in (1, 5, 100):
+        got = repeats.removed(df, suffix_tree.METHOD, "doc_id long, n_words long, n_removed long, kept string", 2000, most)
+        assert rows(got, "doc_id", "n_words", "n_removed", "kept") == windows(texts)
+        got = repeats.removed(df, suffix_array.METHOD, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", 2000, most)
+        assert [(*r[:4], bytes(r[4])) for r in rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept")] == strings(texts)
+
+
+def test_substring_operators_on_nothing_and_on_missing_and_repeated_ids(spark):
+    text = prose(6, 60, 900)
     for op in (suffix_tree, suffix_array):
         assert op.without_repeats(frame(spark, [])).count() == 0
         assert op.without_repeats(frame(spark, ["a b c"])).count() == 1
+        got = op.without_repeats(frame(spark, [text, text, text, "x"], [None, 2**60 + 1, 2**60 + 1, 7])).collect()
+        size = len(text.split()) if op is suffix_tree else len(text.encode())
+        gone = sorted((r.doc_id or -1, r.n_removed) for r in got)
+        assert gone == sorted([(-1, size), (7, 0), (2**60 + 1, 0 if op is suffix_tree else size), (2**60 + 1, size)])
 
 
-def test_refined_ranks_order_suffixes():
+def test_refined_ranks_and_common_prefixes():
     rng = np.random.default_rng(0)
-    for data in (rng.integers(0, 3, 400), np.zeros(300, int), np.tile([1, 2, 3, 1], 90)):
-        data = data.astype(np.uint8)
-        raw = data.tobytes()
-        rank = suffix_array.refined(data, 128)
-        keys = [raw[i : i + 128].ljust(128, b"\0") for i in range(len(raw))]
-        inner = range(len(raw) - 128)
-        assert len({(rank[i], keys[i]) for i in inner}) == len({keys[i] for i in inner}) == len({rank[i] for i in inner})
+    for data in (rng.integers(0, 3, 400), np.zeros(300, int), np.tile([1, 2, 3, 1], 90), np.arange(5), rng.integers(0, 2, 1)):
+        tokens = data.astype(np.uint8)
+        raw = tokens.tobytes()
+        for found in (suffix_sort.byte_suffixes(tokens, 200), suffix_sort.number_suffixes(data, 200)):
+            order = found.order(np.arange(len(raw)))
+            assert all(raw[i : i + 200] <= raw[j : j + 200] for i, j in zip(order, order[1:]))
+            common = found.common(order[:-1], order[1:], 200)
+            assert common.tolist() == [next((k for k in range(200) if raw[i + k : i + k + 1] != raw[j + k : j + k + 1] or i + k >= len(raw)), 200) for i, j in zip(order, order[1:])]
+
+
+def test_repeated_nodes_are_repeats():
+    words = prose(8, 200, 60).split()
+    texts = [" ".join(words[:60]), " ".join(words[20:90]), "x " + " ".join(words[5:31]), " ".join(words[100:])]
+    lists = [t.split(" ") for t in texts]
+    every = [(k, i) for k, w in enumerate(lists) for i in range(len(w) - 19)]
+    nodes = suffix_tree.repeated_nodes([t.encode() for t in texts])
+    seen = Counter(tuple(lists[k][i : i + 20]) for k, i in every)
+    assert sum(len(n.leaves) for n in nodes) == sum(c for c in seen.values() if c > 1) and len(nodes) == sum(c > 1 for c in seen.values())
+    for node in nodes:
+        spans = [tuple(lists[k][i : i + node.depth]) for k, i in (every[leaf] for leaf in node.leaves)]
+        longer = {tuple(lists[k][i : i + node.depth + 1]) for k, i in (every[leaf] for leaf in node.leaves)}
+        assert len(set(spans)) == 1 and len(spans[0]) == node.depth >= 20 and (node.depth == 40 or len(longer) > 1)
 
 
 def slow_fingerprint(text):
