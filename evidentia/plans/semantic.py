@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 ROW_CAP = 100
 #: Words that no read-only statement holds.
-DENIED = "insert update delete merge drop alter create truncate grant revoke copy call do execute vacuum analyze refresh set reset lock listen notify".split()
+DENIED = "insert update delete merge drop alter create truncate grant revoke copy call execute do vacuum analyze set reset begin commit rollback".split()
+#: More of them, which write or wait in some engine.
+DENIED_TOO = "into refresh lock listen notify".split()
+#: A statement's pieces: quoted text, comments, what opens one of them without an end, and all else.
+PIECES = re.compile(
+    r"(?P<quoted>'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|\$(?P<tag>\w*)\$.*?\$(?P=tag)\$)|(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<open>['\"`]|/\*)|.", re.S
+)
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "string_contains")
 
 
@@ -94,6 +100,8 @@ def plan(df: DataFrame, table: CatalogTable, metric_name: str, dimensions: tuple
         raise PlanError(f"metric {metric_name} is unknown or its table not allowed")
     columns = [_resolve(table, d, metric.dimensions).name for d in dimensions]
     if table.row_filter:
+        if faults := check_condition(table.row_filter):
+            raise PlanError(f"row filter: {'; '.join(faults)}")
         df = df.where(F.expr(table.row_filter))
     for name, op, value in filters:
         if op not in OPERATORS:
@@ -108,18 +116,52 @@ def plan(df: DataFrame, table: CatalogTable, metric_name: str, dimensions: tuple
     return Plan(frame, bound, "high" if points >= 6 else "medium" if points >= 3 else "low", warnings)
 
 
+def bare_sql(sql: str) -> tuple[str, list[str]]:
+    """A statement without comments and without what quotes hold, read from left to right, and what cannot be read safely.
+
+    Engines differ on a backslash before a quote and on a comment inside a comment, and so on where a quote or comment
+    ends; both are faults, as are quotes and comments that do not end.
+    """
+    out, faults = [], []
+    for m in PIECES.finditer(sql):
+        if m["quoted"]:
+            out.append("''" if m["quoted"][0] == "'" else '""')
+            faults += ["backslash in quoted text"] * ("\\" in m["quoted"])
+        elif m["comment"]:
+            out.append(" ")
+            faults += ["comment inside a comment"] * ("/*" in m["comment"][2:] and m["comment"][0] == "/")
+        elif m["open"]:
+            faults.append("a quote or comment does not end")
+        else:
+            out.append(m[0])
+    return "".join(out).strip(), faults
+
+
+def _words(bare: str) -> list[str]:
+    return [f"{w.upper()} is not allowed" for w in (*DENIED, *DENIED_TOO) if re.search(rf"\b{w}\b", bare, re.I)]
+
+
 def check_sql(sql: str, need_limit: bool = True) -> list[str]:
     """What is wrong with a statement that should be a bounded read: comments and quoted text do not count."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
-    bare = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"", "''", bare).strip().rstrip(";").strip()
-    faults = []
+    bare, faults = bare_sql(sql)
+    bare = bare.rstrip("; \t\r\n")
     if not re.match(r"select\b", bare, re.I):
         faults.append("statement must start with SELECT")
     if ";" in bare:
         faults.append("one statement only")
-    faults += [f"{w.upper()} is not allowed" for w in DENIED if re.search(rf"\b{w}\b", bare, re.I)]
+    faults += _words(bare)
     if re.search(r"\bcross\s+join\b", bare, re.I):
         faults.append("CROSS JOIN is not allowed")
     if need_limit and not re.search(r"\blimit\s+\d+", bare, re.I):
         faults.append("LIMIT is required")
     return faults
+
+
+def check_condition(condition: str) -> list[str]:
+    """What is wrong with a row filter, which is one condition over the table's own columns."""
+    bare, faults = bare_sql(condition)
+    if not bare or ";" in bare:
+        faults.append("one condition only")
+    if re.search(r"\bselect\b", bare, re.I):
+        faults.append("a row filter does not read other tables")
+    return faults + _words(bare)

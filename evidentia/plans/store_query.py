@@ -32,8 +32,11 @@ def validate(query: dict) -> None:
             raise StoreQueryError(f"/{key}", "unknown_key")
     if query.get("where") is not None:
         _validate_filter(query["where"], "/where")
-    for k, spec in enumerate(query.get("sort") or []):
-        if not spec.get("field") or spec.get("dir", "asc") not in ("asc", "desc"):
+    sort = query.get("sort") or []
+    if not isinstance(sort, list):
+        raise StoreQueryError("/sort", "invalid_sort")
+    for k, spec in enumerate(sort):
+        if not isinstance(spec, dict) or not spec.get("field") or spec.get("dir", "asc") not in ("asc", "desc"):
             raise StoreQueryError(f"/sort/{k}", "invalid_sort")
     limit = query.get("limit")
     if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
@@ -119,15 +122,24 @@ def encode_cursor(query: dict, offset: int) -> str:
     return base64.urlsafe_b64encode(json.dumps(state, separators=(",", ":")).encode()).decode()
 
 
+def decode_cursor(cursor: str) -> dict:
+    """The query and the offset that a cursor carries."""
+    try:
+        state = json.loads(base64.urlsafe_b64decode(cursor))
+    except (ValueError, TypeError):
+        state = None
+    offset = state.get("offset", 0) if isinstance(state, dict) else None
+    if not isinstance(offset, int) or isinstance(offset, bool) or offset < 0:
+        raise StoreQueryError("/cursor", "invalid_cursor")
+    return {k: state.get(k) for k in ("where", "sort", "limit")} | {"offset": offset}
+
+
 def run(df: DataFrame, query: dict, id_column: str = "id") -> DataFrame:
     """The rows of a page. A cursor carries the whole query and overrides what else is given."""
     offset = 0
     if query.get("cursor"):
-        try:
-            query = json.loads(base64.urlsafe_b64decode(query["cursor"]))
-        except ValueError:
-            raise StoreQueryError("/cursor", "invalid_cursor") from None
-        offset = query.pop("offset", 0)
+        query = decode_cursor(query["cursor"])
+        offset = query.pop("offset")
     validate(query)
     if query.get("where"):
         df = df.where(compile_filter(query["where"], df.schema))
@@ -138,7 +150,7 @@ def run(df: DataFrame, query: dict, id_column: str = "id") -> DataFrame:
 
 def page(df: DataFrame, query: dict, id_column: str = "id") -> tuple[DataFrame, int, str | None]:
     """A page, the number of rows before paging, and the cursor of the next page if there is one."""
-    state = json.loads(base64.urlsafe_b64decode(query["cursor"])) if query.get("cursor") else query
+    state = decode_cursor(query["cursor"]) if query.get("cursor") else query
     plain = {k: state.get(k) for k in ("where", "sort")}
     total = run(df, {k: v for k, v in plain.items() if v}, id_column).count()
     end = state.get("offset", 0) + (state.get("limit") or total)

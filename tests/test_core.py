@@ -1,5 +1,7 @@
 """The engine's operators on hand-computed rows."""
 
+import base64
+import dataclasses
 import datetime as dt
 import math
 
@@ -45,7 +47,7 @@ def test_store_pages_and_errors(spark):
     assert ids(rows) == ["2", "3"]
     rows, total, cursor = store_query.page(df, {"cursor": cursor})
     assert ids(rows) == ["4"] and cursor is None
-    for bad, at in (({"limit": 0}, "/limit"), ({"where": {"op": "and", "filters": []}}, "/where/filters"), ({"where": {"op": "like", "field": "a"}}, "/where/op"), ({"what": 1}, "/what"), ({"cursor": "!"}, "/cursor")):
+    for bad, at in (({"limit": 0}, "/limit"), ({"where": {"op": "and", "filters": []}}, "/where/filters"), ({"where": {"op": "like", "field": "a"}}, "/where/op"), ({"what": 1}, "/what"), ({"cursor": "!"}, "/cursor"), *(({"cursor": base64.urlsafe_b64encode(c).decode()}, "/cursor") for c in (b"[1]", b"null", b"\"x\"", b"{\"offset\": -1}", b"{\"offset\": true}")), ({"sort": ["a"]}, "/sort/0"), ({"sort": "a"}, "/sort")):
         with pytest.raises(store_query.StoreQueryError) as e:
             store_query.run(df, bad)
         assert e.value.pointer == at
@@ -56,6 +58,12 @@ def test_semantic_plan_caps_and_refuses(spark):
     table = semantic.CatalogTable("orders", (semantic.CatalogColumn("status", display_name="Order Status"), semantic.CatalogColumn("amount", allowed=False)), (semantic.Metric("total", "sum", "amount"), semantic.Metric("rate", "ratio", "amount")), max_rows=50)
     plan = semantic.plan(df, table, "total", ("Order Status",), (("status", "eq", "paid"),), 200)
     assert plan.frame.collect() == [("paid", 5.0)] and plan.limit == 50 and plan.warnings
+    limited = dataclasses.replace(table, row_filter="status = 'open;'  or status = 'paid'")
+    assert semantic.plan(df, limited, "total").frame.collect() == [(5.0,)]
+    for bad in ("1 = 1; DROP TABLE t", "amount > (SELECT 1)", "", "a = 1 /* x", "delete = 1"):
+        assert semantic.check_condition(bad)
+    with pytest.raises(semantic.PlanError):
+        semantic.plan(df, dataclasses.replace(table, row_filter="amount > (SELECT 1)"), "total")
     for args in (("nothing",), ("total", ("amount",)), ("rate",)):
         with pytest.raises(semantic.PlanError):
             semantic.plan(df, table, *args)
@@ -66,6 +74,8 @@ def test_semantic_plan_caps_and_refuses(spark):
     [
         ("SELECT a FROM t LIMIT 5", True), ("SELECT a FROM t -- delete\nLIMIT 5;", True), ("SELECT 'drop' FROM t LIMIT 1", True), ("DELETE FROM t", False), ("SELECT a FROM t", False),
         ("SELECT a FROM t CROSS JOIN u LIMIT 1", False), ("SELECT 1 LIMIT 1; SELECT 2 LIMIT 1", False), ("WITH x AS (DELETE FROM t) SELECT 1 LIMIT 1", False),
+        ("SELECT 1 LIMIT 1 + '--'; DROP TABLE t", False), ("SELECT '/*'; DROP TABLE t; SELECT '*/' LIMIT 1", False), ("SELECT '--', \"/*\" FROM t /* ; */ LIMIT 1", True), ("SELECT 'it''s; drop' FROM t LIMIT 1;;", True),
+        ("SELECT a INTO b FROM t LIMIT 1", False), ("SELECT 'a\\'; DROP TABLE t --' LIMIT 1", False), ("SELECT /* /* */ ' */ ; DROP TABLE t --' LIMIT 1", False), ("SELECT 'a LIMIT 1", False), ("SELECT a /* LIMIT 1", False), ("COMMIT", False),
     ],
 )
 def test_sql_gate(sql, good):
