@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir; it goes when the session ends."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir; it goes when the session ends.
+
+    Where the setting is missing, a local session gets a temporary folder; on a cluster, whose executors would each write
+    to a disk of their own, that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
@@ -41,18 +47,38 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for every row, written once so that it stays, and that column's name.
+
+    Stages filter by it: doc_id may repeat or be missing, and a verdict on a row must not touch another one.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return saved(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
     """The rows of docs whose key is not in ids. ids is counted first: up to limit rows it is broadcast, else both sides shuffle."""
-    ids = saved(ids.select(F.col(key).alias("_drop")).where("_drop is not null").distinct())
+    ids = saved(ids.select(F.col(key).alias("_id")).distinct())
     small = ids.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(ids) if small else ids, docs[key] == ids["_drop"], "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, docs[key] == ids["_id"], "left_anti")
 
 
-def within(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of docs whose key is in ids, by the same rule as without()."""
-    ids = saved(ids.select(F.col(key).alias("_keep")).where("_keep is not null").distinct())
-    small = ids.limit(limit + 1).count() <= limit
-    return docs.join(F.broadcast(ids) if small else ids, docs[key] == ids["_keep"], "left_semi")
+#: A hot group's rows are spread over this many tasks where they meet what is known of the group.
+SALTS = 16
+
+
+def salted(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of groups, null where there is none. rows has a column salt, 0 to SALTS - 1; groups, of which
+    there is one row a key, is repeated for each salt, so that no group, however large, meets in one task."""
+    spread = groups.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.join(spread, [key, "salt"], "left").drop("salt")
+
+
+def salt() -> Column:
+    """A salt for each row of a table that is about to be written: by its place, as ids may repeat."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
 
 
 def one_each(rows: DataFrame, key: str, text: str) -> DataFrame:

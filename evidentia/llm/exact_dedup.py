@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, without
+from .common import keyed, salt, salted, saved, without
 
 #: A chunk has 256 to 4096 characters and ends before a word that starts with one of these letter pairs: where it ends
 #: hangs on the text near by alone, so equal passages give equal chunks wherever they stand. Text without such words is
@@ -44,20 +44,24 @@ def verified_identifiers(texts: DataFrame) -> tuple[DataFrame, bool]:
     return saved(named.select("fp", F.sha2("chunk", 256).alias("digest"), "ordinal")), True
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_sha256 and recipe, the ordered list of (fingerprint, ordinal) of its chunks."""
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("text"))
+def recipes(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """One row per row of docs: row, doc_id, text_sha256, salt and recipe, the ordered list of (fingerprint, ordinal) of its chunks.
+
+    row is the column key or else a number given here.
+    """
+    texts = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), "doc_id", normalised(F.col("text")).alias("text"))
     clashes, any_clash = verified_identifiers(texts)
     plain = texts.select(
+        "row",
         "doc_id",
         F.sha2("text", 256).alias("text_sha256"),
+        salt().alias("salt"),
         F.transform(chunks("text"), lambda c: F.struct(F.xxhash64(c).alias("fp"), F.lit(0).alias("ordinal"))).alias("recipe"),
     )
     if not any_clash:
         return saved(plain)
-    keyed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    keyed = saved(keyed)
-    parts = keyed.select("row", F.posexplode(chunks("text")).alias("pos", "chunk")).select(
+    rows = saved(texts)
+    parts = rows.select("row", F.posexplode(chunks("text")).alias("pos", "chunk")).select(
         "row", "pos", F.xxhash64("chunk").alias("fp"), F.sha2("chunk", 256).alias("digest")
     )
     lists = (
@@ -68,30 +72,38 @@ def recipes(docs: DataFrame) -> DataFrame:
     )
     empty = F.array().cast(plain.schema["recipe"].dataType)
     return saved(
-        keyed.select("row", "doc_id", F.sha2("text", 256).alias("text_sha256"))
+        rows.select("row", "doc_id", F.sha2("text", 256).alias("text_sha256"))
         .join(lists, "row", "left")
-        .select("doc_id", "text_sha256", F.coalesce("recipe", empty).alias("recipe"))
+        .select("row", "doc_id", "text_sha256", salt().alias("salt"), F.coalesce("recipe", empty).alias("recipe"))
     )
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (and the column key, if given, which tells rows apart).
 
     Texts are equal when identical after white space runs become one space; null counts as empty. Long texts move once,
     as chunks, to verify the identifiers; after that only recipes of 12 bytes per chunk are compared, with partial
-    aggregation, and joined back (a plain equi-join that adaptive execution splits where one group is hot).
+    aggregation. Only groups of two or more are joined back, by recipe and salt, so that a hot group meets in many tasks.
 
-    Rows that repeat a doc_id each count and get a row; those of the kept doc_id are all kept. A null doc_id is never
-    the smallest: such a row is kept only where its group has no other id, and keep_id is then null. An empty table
-    gives an empty result. Columns other than doc_id and text are not looked at.
+    The row of smallest doc_id stays; a missing doc_id comes after all others, and of rows with one doc_id the first in
+    the table stays. Every row gets a row. An empty table gives an empty result. Other columns are not looked at.
     """
-    found = recipes(docs)
-    groups = found.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return found.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    found = recipes(docs, key)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = found.groupBy("recipe").agg(F.min(order).alias("keep"), F.count("*").alias("size")).where("size > 1")
+    rows = salted(found, groups, "recipe")
+    alone = F.col("size").isNull()
+    return rows.select(
+        *([F.col("row").alias(key)] if key else []),
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep.row"))).alias("kept"),
+        "text_sha256",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the smallest doc_id of each group of equal texts, all columns as they are."""
-    return without(docs, exact_groups(docs).where(~F.col("kept")))
+    """Of each group of equal texts the row of smallest doc_id, as exact_groups() has it, all columns as they are."""
+    docs, key = keyed(docs)
+    return without(docs, exact_groups(docs, key).where(~F.col("kept")), key).drop(key)

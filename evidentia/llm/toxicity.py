@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_each, remainder, saved, without
+from .common import one_each, remainder, saved
 
 #: Features are hashed to this many bits. A model holds the non-zero weights alone, at most 12 bytes each.
 BITS = 20
@@ -49,10 +49,12 @@ class Weights:
     weight: np.ndarray
     bias: float
 
-    def dense(self, bits: int = BITS) -> np.ndarray:
-        table = np.zeros(1 << bits, np.float32)
-        table[self.index] = self.weight
-        return table
+
+def dense(index: np.ndarray, weight: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The weight of every feature number."""
+    table = np.zeros(1 << bits, np.float32)
+    table[index] = weight
+    return table
 
 
 def ftrl(
@@ -130,13 +132,13 @@ def score_texts(texts, table: np.ndarray, bias: float, bits: int = BITS) -> np.n
 
 def scored(docs: DataFrame, model: Weights, bits: int = BITS) -> DataFrame:
     """doc_id and score of every row and whole text; null and empty texts score the intercept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value.dense(bits)
+        table, bias = dense(*sent.value[:2], bits), sent.value[2]
         for batch in batches:
             values = np.concatenate(
-                [score_texts(batch.column(1).slice(a, 64).to_pylist(), table, sent.value.bias, bits) for a in range(0, batch.num_rows, 64)]
+                [score_texts(batch.column(1).slice(a, 64).to_pylist(), table, bias, bits) for a in range(0, batch.num_rows, 64)]
                 or [np.empty(0)]
             )
             yield pa.record_batch([batch.column(0), pa.array(values)], names=["doc_id", "score"])
@@ -157,5 +159,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not predicted toxic, all columns as they are."""
-    return without(docs, toxicity_scores(docs, labels, threshold).where("predicted = 1"))
+    """The rows of docs that are not predicted toxic, all columns as they are. Rows are judged by themselves, whatever their id."""
+    model, names = train(docs, labels), docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    sent, bits = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias)), BITS
+    at = names.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bias = dense(*sent.value[:2], bits), sent.value[2]
+        for batch in batches:
+            for part in (batch.slice(a, 64) for a in range(0, batch.num_rows, 64)):
+                yield part.filter(pa.array(score_texts(part.column(at).to_pylist(), table, bias, bits) < threshold))
+
+    return rows.mapInArrow(keep, rows.schema).toDF(*names)

@@ -55,8 +55,42 @@ def test_exact_groups(spark, texts):
 
 def test_exact_groups_empty_repeated_and_null_ids(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
-    got = exact_dedup.exact_groups(frame(spark, ["a", "a", "b", "c"], [3, 3, None, 4])).collect()
-    assert sorted((r.doc_id or -1, r.kept, r.group_size) for r in got) == [(-1, True, 1), (3, True, 2), (3, True, 2), (4, True, 1)]
+    got = exact_dedup.exact_groups(frame(spark, ["a", "a", "b", "c"], [3, 3, None, 4]).coalesce(1)).collect()
+    assert sorted((r.doc_id or -1, r.kept, r.group_size) for r in got) == [(-1, True, 1), (3, False, 2), (3, True, 2), (4, True, 1)]
+
+
+@pytest.fixture
+def loose(spark):
+    """Rows whose ids repeat and are missing; the texts tell them apart."""
+    rows = [(1, "a"), (3, "unique"), (3, "a"), (None, "a"), (None, "a"), (None, "only one"), (None, None), (None, "")]
+    return frame(spark, [t for _, t in rows], [i for i, _ in rows])
+
+
+def test_stages_keep_every_unique_row_under_repeated_and_missing_ids(spark, loose):
+    want = [(None, None), (None, "only one"), (1, "a"), (3, "unique")]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    for op in (exact_dedup.drop_copies, simhash.drop_near_copies):
+        got = op(loose.withColumn("_row", common.F.lit(7)))
+        assert sorted(map(key, got.select("doc_id", "text").collect())) == sorted(map(key, want)) and got.columns == [*loose.columns, "_row"]
+    bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    got = decontaminate.drop_contaminated(loose, bench)
+    assert sorted(map(key, got.select("doc_id", "text").collect())) == sorted(map(key, [(None, None), (None, ""), (None, "only one"), (3, "unique")])) and got.columns == loose.columns
+
+
+def test_toxic_rows_go_by_themselves(spark, loose, monkeypatch):
+    model = toxicity.Weights(np.unique(toxicity.features("a")), np.full(len(np.unique(toxicity.features("a"))), 9, np.float32), 0.0)
+    monkeypatch.setattr(toxicity, "train", lambda *a: model)
+    got = toxicity.drop_toxic(loose.withColumn("score", common.F.lit("x")), None)
+    assert sorted(r.text or "" for r in got.collect()) == ["", "", "only one", "unique"] and got.columns == [*loose.columns, "score"]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Away:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://far:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Away)
 
 
 def test_chunks_cover_texts_and_clashing_fingerprints_get_ordinals(spark, texts, monkeypatch):
@@ -195,9 +229,15 @@ def test_simhash_pieces_and_dense_postings(spark, monkeypatch):
     assert simhash.fingerprint(text) == want
     rng, base = random.Random(1), 0x0123456789ABCDEF
     fps = sorted({base ^ sum(1 << b for b in rng.sample(range(16), rng.randint(0, 6))) for _ in range(900)} | {rng.getrandbits(64) for _ in range(300)})
-    nodes = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in enumerate(fps)], "fp long, id long")
-    parts = dict(rows(common.connected(simhash.links(nodes)), "node", "component"))
-    assert [parts.get(i, i) for i in range(len(fps))] == components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    want = components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+    for long in (32, 2, 10**6):
+        monkeypatch.setattr(simhash, "LONG_LIST", long)
+        edges = rows(simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long")), "a", "b")
+        assert long < 10**6 or all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in edges)
+        parts = dict(rows(common.connected(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
+        named = [parts.get(signed(f), signed(f)) for f in fps]
+        assert [named.index(n) for n in named] == [want.index(w) for w in want]
 
 
 def test_connected_long_chain(spark):
@@ -209,21 +249,24 @@ def test_connected_long_chain(spark):
 
 def shingle_set(text, n=5):
     w = re.findall(r"\w+", (text or "").lower())
-    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_decontamination(spark, texts, limit):
-    items = [(0, prose(1, 60, 500)), (1, "it's 12 日本語"), (2, None), (3, ""), (4, prose(77, 40)), (5, prose(2, 900, 400)[:3000] + " cut"), (0, prose(1, 60, 500))]
+    items = [(0, prose(1, 60, 500)), (1, "it's 12 日本語"), (2, None), (3, ""), (4, prose(77, 40)), (5, prose(2, 900, 400)[:3000] + " cut"), (0, prose(1, 60, 500)), (6, "Alpha"), (7, "12 日本語 naïve"), (None, "alpha")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", common.F.lit(1))
     got = rows(decontaminate.contained_items(frame(spark, texts), bench, broadcast_rows=limit), "doc_id", "item_id", "n_shared")
     want = set()
     for d, t in enumerate(texts):
         for i, x in items:
-            a, b = shingle_set(x), shingle_set(t)
-            if a and len(a & b) >= 0.8 * len(a):
+            n = min(5, len(re.findall(r"\w+", (x or "").lower())))
+            a, b = shingle_set(x, n), shingle_set(t, n)
+            if i is not None and n and a and len(a & b) >= 0.8 * len(a):
                 want.add((d, i, len(a & b)))
-    assert got == sorted(want) and len(want) > 6
+    assert got == sorted(want) and len(want) > 12
+    loose = decontaminate.contained_items(frame(spark, [texts[9], texts[9], texts[9]], [None, None, 4]), bench, broadcast_rows=limit).where("item_id = 0").collect()
+    assert sorted((r.doc_id or -1) for r in loose) == [-1, 4]
 
 
 def test_bpe_against_tiktoken(spark, texts, sf):
