@@ -14,16 +14,14 @@ import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that \s means to the tokenizer, spelled out for the JVM, whose \s is ASCII alone.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: public_tokenizers.PATTERN in the JVM's dialect.
 JVM_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Words of a block are dealt out to this many groups for each shuffle partition's worth of work.
-GROUPS = 4
-#: Rows and bytes that Arrow hands over at once: a block of documents, whose distinct words travel together.
+#: Rows and bytes of a block of documents, whose distinct words travel together.
 BLOCK_ROWS, BLOCK_BYTES = 3072, 18 << 20
 
 
@@ -111,16 +109,30 @@ def _strings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(ends), data
 
 
-BLOCKS = "block long, part int, doc_ids array<long>, body binary"
+def _binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The inverse of _strings()."""
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def blocks(docs: DataFrame, groups: int) -> DataFrame:
-    """Explode pre-tokens with positions, a block of documents at a time.
+BLOCKS = "block long, doc_ids array<long>, places binary, words binary"
+WORDS = "block long, number int, word binary"
 
-    A row with part >= 0 has the distinct words of the block that fall to that group; the row with part -1 has the
-    documents' ids, their numbers of pre-tokens, for every position the number of its word, most frequent first, and for
-    every such number the word's place among those of the groups, in their order.
-    Texts with characters that the JVM's tables lack are split here, the others in the JVM.
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in equal parts of at most BLOCK_ROWS rows and, but for single rows, about BLOCK_BYTES."""
+    parts = max(1, -(-batch.num_rows // BLOCK_ROWS), -(-batch.nbytes // BLOCK_BYTES))
+    step = max(1, -(-batch.num_rows // parts))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Explode pre-tokens with positions, a block of documents at a time; a row for each block.
+
+    words has the block's distinct words, most frequent first; places has each document's number of pre-tokens and, for
+    every position, the number of its word. Texts with characters that the JVM's tables lack are split here, the others
+    in the JVM.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     odd = text.rlike(r"\p{Cn}")
@@ -131,121 +143,120 @@ def blocks(docs: DataFrame, groups: int) -> DataFrame:
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, base = regex.compile(public_tokenizers.PATTERN), TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(batches):
-            lists = batch.column(1)
-            if batch.column(2).null_count < batch.num_rows:
-                lists = pa.array([pattern.findall(o) if o is not None else w for w, o in zip(lists.to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.string()))
-            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
-            coded = lists.flatten().dictionary_encode()
-            words, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-            part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object)) % groups).astype(np.int32) if len(words) else np.empty(0, np.int32)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(groups + 1))
-            # positions name words by frequency, in planes of bytes: most are then small numbers and the planes pack well
-            often = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
-            by_count, by_group = np.empty(len(words), np.int32), np.empty(len(words), np.int32)
-            by_count[often] = np.arange(len(words), dtype=np.int32)
-            by_group[order] = np.arange(len(words), dtype=np.int32)
-            rows = [(-1, batch.column(0).to_pylist(), _pack(counts, _planes(by_count[place]), _planes(by_group[often])))]
-            ordered = words.take(pa.array(order))
-            for g in np.flatnonzero(np.diff(edges)):
-                rows.append((int(g), None, _pack(*_strings(ordered.slice(edges[g], edges[g + 1] - edges[g])))))
-            out = pa.record_batch(
-                [pa.array([base + number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())],
-                names=["block", "part", "doc_ids", "body"],
-            )
-            # the next batch comes while this generator waits: nothing of this one should still be held then
-            del batch, lists, coded, words, place, part, order, often, by_count, by_group, ordered, rows
-            pa.default_memory_pool().release_unused()
-            yield out
+        pattern, number = regex.compile(public_tokenizers.PATTERN), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in _slices(batch):
+                lists = part.column(1)
+                if part.column(2).null_count < part.num_rows:
+                    lists = pa.array([pattern.findall(o) if o is not None else w for w, o in zip(lists.to_pylist(), part.column(2).to_pylist())], pa.list_(pa.string()))
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+                coded = lists.flatten().dictionary_encode()
+                place = coded.indices.to_numpy(zero_copy_only=False)
+                # positions name words by frequency, in planes of bytes: most are then small numbers and the planes pack well
+                often = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
+                named = np.empty(len(often), np.int32)
+                named[often] = np.arange(len(often), dtype=np.int32)
+                bodies = _pack(counts, _planes(named[place])), _pack(*_strings(coded.dictionary.take(pa.array(often))))
+                out = pa.record_batch(
+                    [pa.array([number], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in bodies)],
+                    names=["block", "doc_ids", "places", "words"],
+                )
+                number += 1
+                # the next part comes while this generator waits: nothing of this one should still be held then
+                del part, lists, coded, place, often, named, bodies
+                pa.default_memory_pool().release_unused()
+                yield out
 
     return split.mapInArrow(build, BLOCKS)
 
 
-def encoded_groups(parts: DataFrame, path: str) -> DataFrame:
-    """For each block and group the ids of its words, in the order of the words; a group encodes each distinct word once."""
+def distinct_words(found: DataFrame) -> DataFrame:
+    """A row for every distinct word of every block."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = _binaries(*_unpack(body.as_buffer(), np.int64, np.uint8))
+                yield pa.record_batch([pa.repeat(pa.scalar(block, pa.int64()), len(words)), pa.array(np.arange(len(words), dtype=np.int32)), words], names=["block", "number", "word"])
+
+    return found.select("block", "words").mapInArrow(explode, WORDS)
+
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, known, out = ranks(path), {}, []
-        for block, part, body in zip(pdf["block"], pdf["part"], pdf["body"]):
-            lengths, data = _unpack(body, np.int64, np.uint8)
-            raw, ends = data.tobytes(), np.cumsum(lengths).tolist()
-            found = []
-            for a, b in zip([0, *ends], ends):
-                word = raw[a:b]
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = encode_word(word, table)
-                found.append(ids)
-            sizes = np.fromiter(map(len, found), np.int32, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            out.append((block, part, None, _pack(sizes, flat)))
-        return pd.DataFrame(out, columns=["block", "part", "doc_ids", "body"])
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """block, number and ids (binary) of every word. A word's rows are neighbours in one task, which encodes it once and streams on."""
 
-    return parts.groupBy("part").applyInPandas(encode, BLOCKS)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, last = ranks(path), (None, b"")
+        for batch in batches:
+            if batch.num_rows:
+                coded = batch.column(2).dictionary_encode()
+                found = [last[1] if w == last[0] else np.array(encode_word(w, table), "<u4").tobytes() for w in coded.dictionary.to_pylist()]
+                last = coded.dictionary[-1].as_py(), found[-1]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary()).take(coded.indices)], names=["block", "number", "ids"])
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, number int, ids binary")
 
 
 def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and token_ids (unsigned 32-bit, little-endian, as binary) of every row and whole text.
 
-    Distinct words travel once per block of documents, packed, to the group that encodes them, and their ids come back
-    to the block, where positions put them in order. So no occurrence is shuffled, only a block's list and its positions.
-    Null texts count as empty. A null doc_id is kept as null, and repeated rows get a row each.
+    A block's distinct words are shuffled to the tasks that encode each word of the corpus once, and their ids are joined
+    back to the block, where positions put them in order. So no occurrence is shuffled, only a block's list and its
+    positions. The rows grow with the corpus, and no task holds more than a block, a batch of words or a very long text.
+    Null texts count as empty. A null doc_id is kept as null, repeated rows get a row each, an empty table gives an empty
+    result. ranks_path must be readable by every executor.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    spark = docs.sparkSession
-    groups = GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # what a batch of documents may hold is a setting of the session, read when the plan runs: it stays at block size
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
-    found = blocks(docs, groups).repartition("block")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pc.greater_equal(batch.column(1), 0))
-
-    # one exchange of blocks serves both: a Python filter, which is not pushed below it, takes the words from it
-    ids = encoded_groups(found.mapInArrow(words, BLOCKS), path)
+    found = blocks(docs).repartition("block")  # one exchange: the words are taken from it, and the positions wait in it
+    ids = encoded_words(distinct_words(found), path)
 
     def assemble(block: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        out, head = [], block[block["part"] == -1]
-        if len(head):
-            counts, numbers, order = _unpack(head["body"].iloc[0], np.int32, np.uint8, np.uint8)
-            place = _numbers(order)[_numbers(numbers)]
-            lists = [_unpack(b, np.int32, np.uint32) for b in coded.sort_values("part")["body"]]
-            sizes = np.concatenate([a for a, _ in lists] or [np.empty(0, np.int32)]).astype(np.int64)
-            flat = np.concatenate([b for _, b in lists] or [np.empty(0, np.uint32)])
+        out = []
+        if len(block):
+            counts, numbers = _unpack(block["places"].iloc[0], np.int32, np.uint8)
+            place, words = _numbers(numbers), coded["ids"].to_numpy()[np.argsort(coded["number"].to_numpy())]
+            sizes, flat = np.fromiter(map(len, words), np.int64, len(words)) // 4, np.frombuffer(b"".join(words), "<u4")
             starts, at = np.cumsum(sizes) - sizes, 0
-            for doc, n in zip(head["doc_ids"].iloc[0], counts.tolist()):
+            for doc, n in zip(block["doc_ids"].iloc[0], counts.tolist()):
                 p = place[at : at + n]
                 at += n
                 size = sizes[p]
                 ends = np.cumsum(size)
                 total = int(ends[-1]) if n else 0
                 take = np.repeat(starts[p] - (ends - size), size) + np.arange(total)
-                out.append((doc, total, flat[take].astype("<u4").tobytes()))
+                out.append((doc, total, flat[take].tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "token_ids"]).astype({"doc_id": "Int64"})
 
-    pairs = found.groupBy("block").cogroup(ids.groupBy("block"))
+    pairs = found.select("block", "doc_ids", "places").groupBy("block").cogroup(ids.groupBy("block"))
     return pairs.applyInPandas(assemble, "doc_id long, n_tokens long, token_ids binary")
 
 
-def decoded(rows: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """rows with the column decoded (binary): each id joined to its bytes in the token table, whose size the vocabulary bounds."""
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+def token_table(spark: SparkSession, ranks_path: str | None = None) -> DataFrame:
+    """id and bytes of every token, in the order of ids: as many rows as the vocabulary has."""
+    rows = sorted((i, b) for b, i in ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")).items())
+    return spark.createDataFrame(rows, "id int, bytes binary")
+
+
+def decoded(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """rows with the column decoded (binary): the bytes of each id, joined to the token table (id, bytes).
+
+    The table has a row for each id from 0 on, so that it is bounded by the vocabulary; it is broadcast and met by a whole
+    batch of ids at a time, in their order, as exploding every token into a row would shuffle them all to put them back.
+    """
+    table = sorted((r["id"], bytes(r["bytes"])) for r in (tokens if tokens is not None else token_table(rows.sparkSession)).collect())
+    sent = rows.sparkSession.sparkContext.broadcast([b for _, b in table])
     names = rows.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", decoded binary"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sorted((i, b) for b, i in ranks(path).items())
-        tokens = [b""] * (table[-1][0] + 1)
-        for i, b in table:
-            tokens[i] = b
+        known = pa.array(sent.value, pa.large_binary())
         for batch in batches:
-            ids = batch.column(names.index("token_ids"))
-            texts = [b"".join([tokens[i] for i in np.frombuffer(x.as_buffer(), "<u4").tolist()]) for x in ids]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
+            for part in (batch.slice(a, 64) for a in range(0, batch.num_rows, 64)):
+                sizes, data = _strings(part.column(names.index("token_ids")))
+                joined = known.take(pa.array(data.view("<u4")))
+                ends = np.concatenate(([0], np.cumsum(_strings(joined)[0])))
+                texts = _binaries(np.diff(ends[np.concatenate(([0], np.cumsum(sizes // 4)))]), _strings(joined)[1])
+                yield pa.record_batch([*part.columns, texts], names=[*names, "decoded"])
 
     return rows.mapInArrow(decode, schema)
 

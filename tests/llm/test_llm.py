@@ -269,12 +269,16 @@ def test_decontamination(spark, texts, limit):
     assert sorted((r.doc_id or -1) for r in loose) == [-1, 4]
 
 
-def test_bpe_against_tiktoken(spark, texts, sf):
+@pytest.mark.parametrize("block", [bpe.BLOCK_ROWS, 7])
+def test_bpe_against_tiktoken(spark, texts, sf, monkeypatch, block):
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     odd = ["\x85a\xa0b  c ᠎ d", " \n \t  x", "x" * 3000, "ab" * 2000 + "  ", "don't WE'LL 'S  's", "\U0001e4d0͸ new", "½ ② ٣٤", "é ﻿"]
     every = texts + odd + [r.text for r in common.table(spark, sf, "documents").limit(60).collect()]
+    monkeypatch.setattr(bpe, "BLOCK_ROWS", block)
+    settings = {k: v for k, v in spark.conf.getAll.items() if "arrow" in k}
     got = rows(bpe.decoded(bpe.encoded(frame(spark, every))), "doc_id", "n_tokens", "token_ids", "decoded")
+    assert {k: v for k, v in spark.conf.getAll.items() if "arrow" in k} == settings
     for i, n, ids, back in got:
         want = encoding.encode_ordinary(every[i] or "")
         assert np.frombuffer(bytes(ids), "<u4").tolist() == want and n == len(want) and bytes(back) == (every[i] or "").encode(), every[i]
