@@ -20,13 +20,16 @@ BITS = 20
 #: At most this many labelled rows are learned from, those with the smallest hash of their doc_id.
 MAX_TRAINING_ROWS = 6_000
 THRESHOLD = 0.7
+#: Bytes of a word that make a stem.
+STEMS = (5, 7)
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 #: Odd multipliers that tell the places of a feature's words, and the kinds of feature, apart.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Hashed features of a text, repeats included: words, pairs of neighbours, and pairs with one or two words between.
+    """Hashed features of a text, repeats included: words, pairs of neighbours, pairs with one or two words between, and
+    the stems of longer words, by which their inflections are told to belong together.
 
     Words are lower-cased runs of letters. Null and empty texts have no features.
     """
@@ -37,6 +40,9 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     for gap in (1, 2, 3):
         if len(h) > gap:
             grams.append((first[:-gap] ^ (h[gap:] * MIX[gap])) * MIX[1])
+    for k in STEMS:
+        stems = [zlib.crc32(w[:k], k) for w in found if len(w) > k]
+        grams.append(np.array(stems, np.uint64) * MIX[2])
     shift = np.uint64(64 - bits)
     return (np.concatenate(grams) >> shift).astype(np.int32) if found else np.empty(0, np.int32)
 
@@ -58,7 +64,7 @@ def dense(index: np.ndarray, weight: np.ndarray, bits: int = BITS) -> np.ndarray
 
 
 def ftrl(
-    rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 4.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0, epochs: int = 10, lift: float = 4.0
+    rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 4.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.0, epochs: int = 10, lift: float = 4.0
 ) -> Weights:
     """FTRL-proximal: each coordinate has its own rate, alpha / (beta + sqrt(sum of squared gradients)), and L1 zeroes it
     until its gradients outweigh l1. Toxic rows, which are few, weigh lift times as much. Features count once per row. Rows are taken in the order given, epochs times over."""

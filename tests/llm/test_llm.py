@@ -368,14 +368,33 @@ def labelled(spark, sf):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = labelled(spark, sf)
     got = queries.op1_toxicity(spark, sf).collect()
     held = [r for r in got if r.held_out and r.doc_id in labels]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
-    hits = [labels[r.doc_id].toxic for r in held if r.predicted]
-    assert len(hits) >= 8 and np.mean(hits) > 0.9
-    assert np.mean([r.predicted == labels[r.doc_id].toxic for r in held]) > 0.9
+    assert np.mean([labels[r.doc_id].toxic for r in held if r.predicted]) > 0.95  # precision
+    assert np.mean([r.predicted for r in held if labels[r.doc_id].toxic]) > 0.86  # recall: one in sixteen labelled toxic has no toxic word
+    assert np.mean([r.predicted == labels[r.doc_id].toxic for r in held]) > 0.97
+
+
+def test_toxicity_scores_are_features_times_weights(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    model = toxicity.train(docs, common.table(spark, sf, "labels"))
+    weight = dict(zip(model.index.tolist(), model.weight.tolist()))
+
+    def slow(text):
+        m64, words, ids = 2**64 - 1, re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode()), set()
+        mix = [int(x) for x in toxicity.MIX]
+        h = [zlib.crc32(w) for w in words]
+        for i, x in enumerate(h):
+            ids.add((x * mix[0]) & m64)
+            ids |= {(((x * mix[0] & m64) ^ (h[i + g] * mix[g] & m64)) * mix[1]) & m64 for g in (1, 2, 3) if i + g < len(h)}
+            ids |= {(zlib.crc32(words[i][:k], k) * mix[2]) & m64 for k in (5, 7) if len(words[i]) > k}
+        return 1 / (1 + np.exp(-(model.bias + sum(weight.get(f, 0) for f in {i >> 44 for i in ids}))))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(weight) > 10 and all(abs(r.score - slow(texts[r.doc_id])) < 1e-5 for r in toxicity.scored(docs, model).collect())
 
 
 def test_toxicity_corners(spark):
@@ -402,6 +421,25 @@ def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
     assert sent == [2, 2, 2]
 
 
+def test_quality_scores_are_rules_that_hold(spark, texts):
+    """Statistics worked out by hand, rules asked one by one, against the compiled columns."""
+    df = frame(spark, texts)
+    stats = {r.doc_id: r.asDict() for r in quality.statistics(df).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        got = stats[i]
+        assert abs(got["log_words"] - np.log1p(len(words))) < 1e-9 and abs(got["log_chars"] - np.log1p(len(t or ""))) < 1e-9
+        assert abs(got["distinct_share"] - (len(set(words)) / len(words) if words else 0)) < 1e-9
+        assert abs(got["digit_share"] - (sum(c in "0123456789" for c in t or "") / len(t) if t else 0)) < 1e-9
+        assert got["line_copies"] == len((t or "").split("\n")) - len(set((t or "").split("\n")))
+    names = [c for c in stats[0] if c != "doc_id"]
+    x = {c: np.array([stats[i][c] for i in range(len(texts))], float) for c in names}
+    model = quality.fit(x, (x["log_words"] > 3).astype(float), penalty=0.01)
+    total = model.bias + sum((r.weight * r.holds(x) for r in model.rules), np.zeros(len(texts)))
+    got = dict(rows(quality.statistics(df).select("doc_id", model.column().alias("s")), "doc_id", "s"))
+    assert model.rules and all(abs(got[i] - 1 / (1 + np.exp(-total[i]))) < 1e-9 for i in range(len(texts)))
+
+
 def test_quality_held_out_and_corners(spark):
     sf = "/root/testdata/sf0.01"
     labels = labelled(spark, sf)
