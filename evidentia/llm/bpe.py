@@ -171,15 +171,15 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def distinct_words(found: DataFrame) -> DataFrame:
-    """A row for every distinct word of every block."""
+    """A row for every distinct word of every block. All columns are taken, so that both readers of found share its exchange."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(3)):
                 words = _binaries(*_unpack(body.as_buffer(), np.int64, np.uint8))
                 yield pa.record_batch([pa.repeat(pa.scalar(block, pa.int64()), len(words)), pa.array(np.arange(len(words), dtype=np.int32)), words], names=["block", "number", "word"])
 
-    return found.select("block", "words").mapInArrow(explode, WORDS)
+    return found.mapInArrow(explode, WORDS)
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
@@ -227,7 +227,7 @@ def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 out.append((doc, total, flat[take].tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "token_ids"]).astype({"doc_id": "Int64"})
 
-    pairs = found.select("block", "doc_ids", "places").groupBy("block").cogroup(ids.groupBy("block"))
+    pairs = found.groupBy("block").cogroup(ids.groupBy("block"))
     return pairs.applyInPandas(assemble, "doc_id long, n_tokens long, token_ids binary")
 
 
