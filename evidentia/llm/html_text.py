@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,8 +18,9 @@ from .common import one_each
 
 #: At most this many pages, those with the smallest hash of their page_id, are learned from.
 MAX_TRAINING_PAGES = 240
+MADE_UP_PAGES = 1600
 #: Widths of the hashed vectors of tag paths and words, of the other inputs, and of each direction's state.
-PATH, WORD, OTHER, STATE = 64, 8, 6, 24
+PATH, WORD, OTHER, STATE = 64, 8, 14, 24
 TABLE = 4096
 
 #: Elements that end a block, whose content no reader sees (RAW holds characters, HIDDEN tags), and that have no content.
@@ -30,11 +32,8 @@ HIDDEN = set("svg math select object canvas".split())
 #: Elements in which "/>" ends an element, and those in them in which it does not.
 FOREIGN, HTML_AGAIN = ("svg", "math"), ("foreignobject", "desc")
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-#: What names the parts of a page that are not its main text.
+#: HTML's elements for parts of a page that are not its main text.
 ASIDE_TAGS = set("nav aside header footer form button menu dialog label option legend fieldset head".split())
-ASIDE_NAMES = set(
-    "ad ads advert advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies reply respond sharing share sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
-)
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>"
@@ -165,43 +164,151 @@ def page_blocks(source: str | None) -> list[Block]:
     return found
 
 
-def teacher(blocks: list[Block]) -> np.ndarray:
-    """Labels to learn from: blocks outside named page furniture, within an article or main element if the page has one."""
-    framed = any("article" in b.path or "main" in b.path for b in blocks)
-    out = []
-    for b in blocks:
-        aside = any(t in ASIDE_TAGS or (t[0] == "." and t[1:] in ASIDE_NAMES) for t in b.path)
-        inside = "article" in b.path or "main" in b.path if framed else b.link_chars * 2 <= len(b.text)
-        out.append(float(inside and not aside))
-    return np.array(out)
-
-
-def practice_pages(count: int, seed: int = 5) -> list[str]:
-    """Made-up pages in many layouts, so that the labeller meets furniture that a sample of the corpus may lack."""
-    rng = np.random.default_rng(seed)
-    letters = list("abcdefghijklmnoprstuvwy")
-    say = lambda n: " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(n)).capitalize() + "."
-    pick = lambda *x: x[rng.integers(len(x))]
-    pages = []
-    names = sorted(ASIDE_NAMES)
-    for _ in range(count):
-        links = lambda: "".join(f"<li><a href='/{k}'>{say(rng.integers(1, 4))}</a></li>" for k in range(rng.integers(2, 8)))
-        box = lambda: pick(
-            f"<nav><ul>{links()}</ul></nav>", f"<aside><h3>{say(2)}</h3><p>{say(12)}</p></aside>", f"<form><label>{say(2)}</label><button>{say(1)}</button></form>",
-            f"<{(t := pick('div', 'section'))} {pick('class', 'id')}=\"{pick(*names)}{pick('', ' box', '-wrap', '-list')}\">{pick(f'<p>{say(rng.integers(3, 30))}</p>', f'<ul>{links()}</ul>', say(9))}</{t}>",
-        )
-        body = [pick(f"<h1>{say(5)}</h1>", f"<h2>{say(5)}</h2>", "")]
-        for _ in range(rng.integers(1, 12)):
-            body.append(pick(*[f"<p>{say(rng.integers(3, 80))}</p>"] * 5, f"<p>{say(9)}<br>", f"<h2>{say(3)}</h2>", f"<ul><li>{say(6)}</li><li>{say(5)}</li></ul>", f"<blockquote>{say(20)}</blockquote>", f"<pre>{say(8)}</pre>", f"<p>{say(3)} <a href='#'>{say(2)}</a> {say(9)}</p>", f"<table><tr><td>{say(2)}<td>{say(3)}</tr></table>"))
-            if rng.random() < 0.12:
-                body.append(box())
-        frame = pick("article", "article", "main", "div class='content'", "div id='post-body'", "section")
-        inner = f"<{frame}>{''.join(body)}{box() if rng.random() < 0.3 else ''}</{frame.split()[0]}>"
-        top, bottom = "".join(box() for _ in range(rng.integers(0, 4))), "".join(box() for _ in range(rng.integers(0, 4)))
-        pages.append(
-            f"<html><head><title>{say(4)}</title></head><body>{pick(f'<header><h1>{say(2)}</h1></header>', '')}{top}{inner}{bottom}{pick(f'<footer>&copy; {say(6)}</footer>', f'<footer><p>{say(6)}</p></footer>', '')}</body></html>"
-        )
-    return pages
+def semantic_labels(blocks: list[Block]) -> np.ndarray | None:
+    """Labels of a page that says itself what its parts are: main text is what stands in an article or main element and in
+    none of HTML's elements for other parts. Names of classes are not looked at. None where a page has no such element."""
+    if not any("article" in b.path or "main" in b.path for b in blocks):
+        return None
+    return np.array([float(("article" in b.path or "main" in b.path) and not any(t in ASIDE_TAGS for t in b.path)) for b in blocks])
+
+
+MARK = "\ue000"
+
+
+def marked(blocks: list[Block]) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a made-up page without the marks on its main text, and their labels."""
+    labels = np.array([float(MARK in b.text) for b in blocks])
+    plain = [Block(b.path, " ".join(w for w in (w.replace(MARK, "") for w in b.words) if w), b.link_chars - b.text.count(MARK) * bool(b.link_chars), [w for w in (w.replace(MARK, "") for w in b.words) if w]) for b in blocks]
+    keep = [k for k, b in enumerate(plain) if b.text]
+    return [plain[k] for k in keep], labels[keep]
+
+
+class Maker:
+    """Made-up pages whose main text is known, as it is marked when written: many layouts, and containers whose names are
+    telling, random or missing, so that a part must be known by what it looks like and stands next to."""
+
+    def __init__(self, seed: int, telling: float = 0.5):
+        self.rng, self.telling = np.random.default_rng(seed), telling
+        letters = np.array(list("abcdefghijklmnoprstuvwy"))
+        self.words = ["".join(letters[self.rng.integers(0, len(letters), k)]) for k in self.rng.integers(2, 9, 6000)]
+
+    def pick(self, *options):
+        return options[self.rng.integers(len(options))]
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def word(self) -> str:
+        return self.words[self.rng.integers(len(self.words))]
+
+    def say(self, low: int, high: int, stop: str = ".") -> str:
+        words = [self.words[k] for k in self.rng.integers(0, len(self.words), self.rng.integers(low, high + 1))]
+        for k in range(6, len(words) - 2, int(self.rng.integers(6, 15))):
+            words[k] += self.pick(",", ".", ".")
+            if words[k][-1] == ".":
+                words[k + 1] = words[k + 1].capitalize()
+        return " ".join(words).capitalize() + stop
+
+    def box(self, inner: str, names: str, tags: tuple = ("div",)) -> str:
+        tag = self.pick(*tags)
+        if tag in ASIDE_TAGS and self.chance(0.6):
+            return f"<{tag}>{inner}</{tag}>"
+        if tag in ASIDE_TAGS:
+            tag = self.pick("div", "section", "ul" if inner.startswith("<li") else "div")
+        if self.chance(self.telling):
+            name = f' {self.pick("class", "id", "class")}="{self.pick(*names.split())}{self.pick("", "", "-wrap", " box", "-list", "__inner")}"'
+        else:
+            name = self.pick("", f' class="{self.word()}"', f' class="{self.word()}-{self.word()}"', f' id="{self.word()}"')
+        return f"<{tag}{name}>{inner}</{tag}>"
+
+    def links(self, low: int, high: int, words: int = 2) -> str:
+        items = [f'<a href="/{self.word()}">{self.say(1, words, "")}</a>' for _ in range(self.rng.integers(low, high + 1))]
+        return self.pick("<ul>" + "".join(f"<li>{i}" + self.pick("", "</li>") for i in items) + "</ul>", " | ".join(items), "".join(f"<div>{i}</div>" for i in items), " ".join(items))
+
+    def menu(self) -> str:
+        return self.box(self.links(3, 9), "nav menu navbar topbar navigation toolbar tabs crumbs breadcrumb", ("nav", "div", "header", "section"))
+
+    def banner(self) -> str:
+        inner = f"<{(t := self.pick('h1', 'div', 'p', 'a'))}>{self.say(1, 3, '')}</{t}>" + self.pick("", f"<p>{self.say(2, 6, '')}</p>", self.links(2, 5))
+        return self.box(inner, "header masthead top brand topbar site-head logo", ("header", "div"))
+
+    def side(self) -> str:
+        return self.box(f"<h3>{self.say(1, 3, '')}</h3>" + self.pick(self.links(2, 7, 7), f"<p>{self.say(6, 25)}</p>", f"<ul>{''.join(f'<li>{self.say(2, 7, chr(8230))}' for _ in range(4))}</ul>"), "sidebar aside widget related recommended popular rail", ("aside", "div", "section"))
+
+    def advert(self) -> str:
+        return self.box(self.pick(self.say(4, 18), f"<p>{self.say(4, 18)}</p>", f"<a href='/x'>{self.say(3, 9, '!')}</a> {self.say(2, 6, '!')}"), "ad ads advert banner sponsor promo sponsored", ("div", "section", "aside"))
+
+    def notice(self) -> str:
+        words = self.pick("We use cookies", "This site uses cookies to", "Accept our terms and", "Subscribe to our newsletter", "Sign up for", "Wir verwenden Cookies", "Nous utilisons des cookies", "Usamos cookies")
+        return self.box(f"<p>{words} {self.say(3, 14)}</p>" + self.pick("<button>OK</button>", "<a href='#'>Accept</a>", ""), "cookie consent notice gdpr newsletter modal popup subscribe", ("div", "section"))
+
+    def form(self) -> str:
+        return f"<form>{self.pick(f'<label>{self.say(1, 2, chr(58))}</label>', f'<p>{self.say(2, 6)}</p>', '')}<input><button>{self.say(1, 2, '')}</button></form>"
+
+    def share(self) -> str:
+        return self.box(self.pick("Share", "Tweet", "Print", "Teilen", "Partager") + " " + self.links(2, 4, 1), "share social tags meta byline tools", ("div", "p", "ul"))
+
+    def comments(self) -> str:
+        who = lambda: self.word().capitalize() + self.pick("", " " + self.word().capitalize())
+        when = lambda: self.pick(f"{self.rng.integers(1, 28)} {self.pick('Jan', 'May', 'Juli', 'mars')} 20{self.rng.integers(10, 27)}", f"{self.rng.integers(2, 50)} {self.pick('hours', 'days', 'minutes')} ago", f"20{self.rng.integers(10, 27)}-0{self.rng.integers(1, 9)}-1{self.rng.integers(0, 9)}", f"vor {self.rng.integers(2, 9)} Tagen", "")
+        tag, style = self.pick("div", "li", "div", "article", "section"), self.rng.integers(4)
+        text = lambda: "".join(f"<p>{self.say(3, 40, self.pick('.', '!', '?', ''))}</p>" for _ in range(self.pick(1, 1, 2)))
+        reply = self.pick("Reply", "Antworten", "Répondre", "Responder", "Like", "")
+        one = [
+            lambda: f"<b>{who()}</b> {when()}{text()}", lambda: f"<p>{who()} {self.pick('says', 'wrote', 'schrieb', 'dit')}:</p>{text()}",
+            lambda: f"<div>{who()}</div><div>{when()}</div>{text()}<a href='#'>{reply}</a>", lambda: f"<p>{who()}: {self.say(4, 30)}</p>",
+        ][style]
+        head = self.pick("", f"<h3>{self.rng.integers(1, 90)} {self.pick('Comments', 'Responses', 'Kommentare', 'commentaires', 'Comentarios', 'Opinions')}</h3>", f"<h2>{self.pick('Comments', 'Discussion', 'Kommentare', 'Leave a reply', 'What readers say')}</h2>")
+        items = [f'<{tag}{self.pick("", f" class={chr(34)}{self.word()}{chr(34)}")}>{one()}</{tag}>' for _ in range(self.rng.integers(1, 6))]
+        name = "comments comment responses disqus respond replies discussion feedback talk opinions thread reader-comments"
+        return self.box(head + "".join(items) + self.pick("", "", self.form()), name, ("div", "section"))
+
+    def footer(self) -> str:
+        own = f"&copy; {self.pick('', '2021 ', '2024 ')}{self.say(1, 6)}" + self.pick("", f" &middot; {self.say(3, 12)}")
+        inner = self.pick(own, f"<p>{own}</p>", f"<p>{own}</p>{self.links(2, 5)}", f"{self.links(3, 6)}<div>{own}</div>", f"{own}<address>{self.say(3, 7)}</address>")
+        return self.box(inner, "footer foot bottom copyright legal imprint", ("footer", "div"))
+
+    def main(self) -> str:
+        m, text = MARK, lambda *a: MARK + self.say(*a)
+        parts = [self.pick(f"<h1>{text(3, 9, '')}</h1>", f"<h2>{text(3, 9, '')}</h2>", f"<div>{text(3, 9, '')}</div>", "")]
+        par = self.pick("p", "p", "p", "div")
+        for _ in range(self.rng.integers(1, 11)):
+            parts.append(
+                self.pick(
+                    *[f"<{par}>{text(8, 80)}</{par}>"] * 6, f"<{par}>{text(2, 9)}</{par}>", f"<p><b>{text(6, 20)}<br>{self.say(3, 9)}", f"<h2>{text(1, 5, '')}</h2><{par}>{text(9, 50)}</{par}>",
+                    f"<ul><li>{text(2, 9)}</li><li>{text(2, 9)}</li></ul>", f"<blockquote>{text(6, 30)}</blockquote>", f"<pre>{text(3, 9, '')}</pre>",
+                    f"<{par}>{text(2, 9, '')} <a href='/x'>{self.say(1, 3, '')}</a> {self.say(4, 30)}</{par}>", f"<table><tr><td>{text(1, 3, '')}<td>{m}{self.rng.integers(1, 99)}</tr></table>", f"<figure><figcaption>{text(3, 9)}</figcaption></figure>",
+                )
+            )
+            if self.chance(0.08):
+                parts.append(self.pick(self.advert, self.share, self.side, self.menu, self.notice)())
+        if self.chance(0.25):
+            parts.append(self.pick(self.comments, self.comments, self.share)())
+        inner = "".join(parts)
+        frame = self.pick("article", "main", "box", "box", "box", "bare")
+        if frame == "bare":
+            return inner
+        if frame == "box":
+            return self.box(inner, "content entry post story text body article page main single-post entry-content post-body", ("div", "section", "div"))
+        return f"<{frame}{self.pick('', f' class={chr(34)}{self.word()}{chr(34)}')}>{inner}</{frame}>"
+
+    def page(self) -> str:
+        top = [self.pick(self.menu, self.menu, self.banner, self.advert, self.notice, self.side, self.form)() for _ in range(self.rng.integers(0, 4))]
+        after = [self.pick(self.side, self.advert, self.menu, self.notice, self.form, self.share)() for _ in range(self.rng.integers(0, 3))]
+        if self.chance(0.35):
+            after.insert(0, self.comments())
+        end = [self.footer()] if self.chance(0.85) else []
+        inner = "".join([*top, self.main(), *after, *end])
+        if self.chance(0.3):
+            inner = f'<div{self.pick("", f" class={chr(34)}{self.word()}{chr(34)}", " id=wrapper")}>{inner}</div>'
+        return f"<html><head><title>{self.say(2, 6, '')}</title></head><body>{inner}</body></html>"
+
+
+def practice(count: int, seed: int = 5, telling: float = 0.5) -> list[tuple[list[Block], np.ndarray]]:
+    """The blocks and labels of made-up pages."""
+    maker = Maker(seed, telling)
+    pages = [marked(page_blocks(maker.page())) for _ in range(count)]
+    return [p for p in pages if p[0]]
 
 
 def _vectors(width: int, seed: int) -> np.ndarray:
@@ -221,15 +328,25 @@ def _means(lists: list[list[str]], table: np.ndarray, total: bool) -> np.ndarray
 
 def inputs(blocks: list[Block], paths: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The input vectors of blocks: hashed tag path, hashed words (all of them), and a few measures."""
-    chars = np.array([len(b.text) for b in blocks], np.float32)
+    chars, n = np.array([len(b.text) for b in blocks], np.float32), len(blocks)
+    share = lambda f: np.array([f(b) / max(1, len(b.text)) for b in blocks], np.float32)
+    seen = Counter(tuple(b.path) for b in blocks)
     other = np.stack(
         [
             np.log1p(chars) / 5,
-            np.array([min(1.0, b.link_chars / max(1, len(b.text))) for b in blocks], np.float32),
+            np.minimum(1, share(lambda b: b.link_chars)),
             np.array([b.text[-1] in ".!?:;\"'" for b in blocks], np.float32),
             np.array([len(b.path) / 10 for b in blocks], np.float32),
             np.array([b.path[-1][0] == "." if b.path else 0 for b in blocks], np.float32),
-            np.ones(len(blocks), np.float32),
+            np.ones(n, np.float32),
+            np.log1p(np.array([seen[tuple(b.path)] for b in blocks], np.float32)) / 3,
+            np.arange(n, dtype=np.float32) / max(1, n - 1),
+            np.minimum(1, 5 * share(lambda b: sum(map(b.text.count, "0123456789")))),
+            np.minimum(1, 20 * share(lambda b: b.text.count(",") + b.text.count("."))),
+            np.array([any(t in ("h1", "h2", "h3", "h4") for t in b.path[-2:]) for b in blocks], np.float32),
+            np.array(["\u00a9" in b.text for b in blocks], np.float32),
+            np.array([":" in b.text[-2:] or "|" in b.text for b in blocks], np.float32),
+            np.minimum(1, np.array([len(b.words) for b in blocks], np.float32) / 12),
         ],
         axis=1,
     )
@@ -306,7 +423,7 @@ class Labeller:
             grads |= {way + "h": gh, way + "x": np.einsum("tbd,tba->da", x, da_all, optimize=True), way + "c": da_all.sum(axis=(0, 1))}
         return grads
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, rate: float = 0.01, seed: int = 1) -> "Labeller":
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, rate: float = 0.01, seed: int = 1) -> "Labeller":
         """Adam over batches of pages of like length."""
         rng = np.random.default_rng(seed)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
@@ -326,14 +443,13 @@ class Labeller:
 
 
 def train(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> dict[str, np.ndarray]:
-    """Weights of a labeller learned from a bounded sample of the pages and as many made-up ones, by one task."""
+    """Weights of a labeller learned by one task from a bounded sample of the pages, as far as they label themselves, and
+    from made-up ones."""
     names = sorted(Labeller().w)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        sources = [*pdf.sort_values("page_id")["html"], *practice_pages(360)]
-        tables = _vectors(PATH, 11), _vectors(WORD, 12)
-        blocks = [b for b in (page_blocks(s) for s in sources) if b]
-        model = Labeller().fit([inputs(b, *tables) for b in blocks], [teacher(b) for b in blocks])
+        own = [(b, y) for b in (page_blocks(h) for h in pdf.sort_values("page_id")["html"]) if b and (y := semantic_labels(b)) is not None]
+        model = fitted(own + practice(MADE_UP_PAGES))
         return pd.DataFrame({n: [model.w[n].tobytes()] for n in names})
 
     sample = pages.where("page_id is not null").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
@@ -344,6 +460,12 @@ def train(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> dict[str, np
     return {n: np.frombuffer(row[n], np.float32).reshape(plain[n].shape).copy() for n in names} if row else plain
 
 
+def fitted(pages: list[tuple[list[Block], np.ndarray]]) -> Labeller:
+    """A labeller that has learned from blocks and their labels."""
+    tables = _vectors(PATH, 11), _vectors(WORD, 12)
+    return Labeller().fit([inputs(b, *tables) for b, _ in pages], [y for _, y in pages])
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text (main blocks in page order, one newline between), n_chars.
 

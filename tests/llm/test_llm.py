@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -333,13 +334,49 @@ def test_html_hidden_elements_hide_no_more_than_themselves(page, want):
     assert [b.text for b in html_text.page_blocks(page)] == want
 
 
-def test_html_labeller_learns(spark):
+LONG = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. "
+
+
+def test_html_labeller_on_unseen_layouts_and_names():
+    """Labels of made-up pages are known as they are made, and no class name of the new pages was seen in training."""
     tables = html_text._vectors(html_text.PATH, 11), html_text._vectors(html_text.WORD, 12)
-    seen = [html_text.page_blocks(p) for p in html_text.practice_pages(300)]
-    new = [html_text.page_blocks(p) for p in html_text.practice_pages(80, seed=44)]
-    model = html_text.Labeller().fit([html_text.inputs(b, *tables) for b in seen], [html_text.teacher(b) for b in seen])
-    right = [((s >= 0.5) == (html_text.teacher(b) > 0)) for s, b in zip(model.scores([html_text.inputs(b, *tables) for b in new]), new)]
-    assert np.concatenate(right).mean() > 0.97
+    model = html_text.fitted(html_text.practice(1000))
+
+    def main(blocks):
+        return [b.text for b, s in zip(blocks, model.scores([html_text.inputs(blocks, *tables)])[0]) if s >= 0.5]
+
+    for telling, least in ((0.5, 0.97), (0.0, 0.955)):
+        new = html_text.practice(200, 44, telling)
+        right = [(s >= 0.5) == (y > 0) for s, (_, y) in zip(model.scores([html_text.inputs(b, *tables) for b, _ in new]), new)]
+        assert np.concatenate(right).mean() > least
+    page = f'<div class="topbar"><a href="/a">Home</a> <a href="/b">News</a></div><div class="entry"><h1>A title</h1><p>{LONG * 2}</p><p>{LONG}</p><p>{LONG * 3}</p></div><div class="discussion"><h3>3 replies</h3><div><b>Anna</b> 3 days ago<p>I liked this very much!</p></div><div><b>Bob</b> 1 day ago<p>Me too.</p></div></div><div class="base">&copy; 2024 Example</div>'
+    assert main(html_text.page_blocks(page)) == ["A title", (LONG * 2).strip(), LONG.strip(), (LONG * 3).strip()]
+    page = f'<nav><a href=x>Home</a></nav><article><h1>A title</h1><p>{LONG}</p><p>{LONG * 2}</p><div class="reader-opinions"><p>Anna: I do not agree with it at all.</p><p>Bob wrote: well said</p></div></article><footer>&copy; x</footer>'
+    assert main(html_text.page_blocks(page)) == ["A title", LONG.strip(), (LONG * 2).strip()]
+
+
+def test_html_main_text_of_the_given_pages(spark):
+    """An extraction of its own for pages that have one article and no furniture within it."""
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    got = {r.page_id: r for r in html_text.main_text(pages).collect()}
+
+    def slow(source):
+        inner = re.search(r"<article>(.*?)</article>", source, re.S)[1]
+        inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inner, flags=re.S)
+        inner = re.sub(r"<br\s*/?>", " ", inner)
+        inner = re.sub(r"</?(p|h1|h2|h3|ul|ol|li|div|blockquote|table|tr|td|pre|figure|figcaption|section)\b[^>]*>", "\0", inner)
+        return "\n".join(t for t in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in inner.split("\0")) if t)
+
+    pages = [r for r in pages.collect() if len(re.findall(r"<article>", r.html)) == 1]
+    assert len(pages) > 200 and all(got[r.page_id].text == slow(r.html) for r in pages)
+
+
+def test_html_nothing_and_very_long_pages(spark):
+    schema = "page_id long, url string, html string"
+    assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
+    page = "<nav><a href=x>home</a></nav><article>" + "".join(f"<p>{LONG}{k}</p>" for k in range(6000)) + "</article>"
+    got = html_text.main_text(spark.createDataFrame([(1, "u", page), (1, "u", page)], schema)).collect()
+    assert [r.text.count("\n") for r in got] == [5999, 5999] and got[0].n_chars == len(got[0].text)
 
 
 def test_lstm_gradients():
@@ -414,7 +451,7 @@ def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
     monkeypatch.setattr(frames, "groupBy", lambda self, *a: (sent.append(self.count()) if str(a[0]) == "one" else None) or grouped(self, *a))
     monkeypatch.setattr(toxicity, "remainder", lambda c, n: common.F.lit(2))
     monkeypatch.setattr(quality, "remainder", lambda c, n: common.F.lit(2))
-    monkeypatch.setattr(html_text, "practice_pages", lambda n: ["<p>a</p>"])
+    monkeypatch.setattr(html_text, "practice", lambda n: [(html_text.page_blocks("<p>a</p>"), np.ones(1))])
     toxicity.train(df, labels)
     quality.train(df, labels)
     html_text.train(df.selectExpr("doc_id AS page_id", "text AS html"))
