@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: public_tokenizers.PATTERN in the JVM's dialect.
 JVM_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Parts that words are dealt to for each shuffle partition, and bytes of text to a part if that makes more of them.
+PARTS, PART_BYTES = 4, 16 << 20
 #: Rows and bytes of a block of documents, whose distinct words travel together.
 BLOCK_ROWS, BLOCK_BYTES = 3072, 18 << 20
 
@@ -116,7 +118,7 @@ def _binaries(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
 
 
 BLOCKS = "block long, doc_ids array<long>, places binary, words binary"
-WORDS = "block long, number int, word binary"
+WORDS = "block long, part int, body binary"
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -170,31 +172,50 @@ def blocks(docs: DataFrame) -> DataFrame:
     return split.mapInArrow(build, BLOCKS)
 
 
-def distinct_words(found: DataFrame) -> DataFrame:
-    """A row for every distinct word of every block. All columns are taken, so that both readers of found share its exchange."""
+def distinct_words(found: DataFrame, parts: int) -> DataFrame:
+    """The distinct words of every block, dealt out to parts by hash: a row for each block and part that has any.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    All columns of found are taken, so that both readers of found share its exchange.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(3)):
                 words = _binaries(*_unpack(body.as_buffer(), np.int64, np.uint8))
-                yield pa.record_batch([pa.repeat(pa.scalar(block, pa.int64()), len(words)), pa.array(np.arange(len(words), dtype=np.int32)), words], names=["block", "number", "word"])
+                if not len(words):
+                    continue
+                part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object)) % parts).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                words, part, edges = words.take(pa.array(order)), part[order], np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0, [True])))
+                rows = [_pack(order[a:z].astype(np.int32), *_strings(words.slice(a, z - a))) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                yield pa.record_batch([pa.repeat(pa.scalar(block, pa.int64()), len(rows)), pa.array(part[edges[:-1]]), pa.array(rows, pa.binary())], names=["block", "part", "body"])
 
-    return found.mapInArrow(explode, WORDS)
+    return found.mapInArrow(deal, WORDS)
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """block, number and ids (binary) of every word. A word's rows are neighbours in one task, which encodes it once and streams on."""
+    """For every row of distinct_words() the numbers of its words and their ids. A part's rows are neighbours in one task,
+    which streams over them and encodes each word once: it holds the part's distinct words, never its rows."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last = ranks(path), (None, b"")
+        table, now, known = ranks(path), None, {}
         for batch in batches:
-            if batch.num_rows:
-                coded = batch.column(2).dictionary_encode()
-                found = [last[1] if w == last[0] else np.array(encode_word(w, table), "<u4").tobytes() for w in coded.dictionary.to_pylist()]
-                last = coded.dictionary[-1].as_py(), found[-1]
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary()).take(coded.indices)], names=["block", "number", "ids"])
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, number int, ids binary")
+            out = []
+            for part, body in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if part != now:
+                    now, known = part, {}
+                numbers, lengths, data = _unpack(body.as_buffer(), np.int32, np.int64, np.uint8)
+                raw, ends, found = data.tobytes(), np.cumsum(lengths).tolist(), []
+                for a, b in zip([0, *ends], ends):
+                    ids = known.get(raw[a:b])
+                    if ids is None:
+                        ids = known[raw[a:b]] = encode_word(raw[a:b], table)
+                    found.append(ids)
+                sizes = np.fromiter(map(len, found), np.int32, len(found))
+                out.append(_pack(numbers, sizes, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "part", "body"])
+
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(encode, WORDS)
 
 
 def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -202,21 +223,24 @@ def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
     A block's distinct words are shuffled to the tasks that encode each word of the corpus once, and their ids are joined
     back to the block, where positions put them in order. So no occurrence is shuffled, only a block's list and its
-    positions. The rows grow with the corpus, and no task holds more than a block, a batch of words or a very long text.
+    positions. No task holds more than a block, the distinct words of a part or a very long text.
     Null texts count as empty. A null doc_id is kept as null, repeated rows get a row each, an empty table gives an empty
     result. ranks_path must be readable by every executor.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = blocks(docs).repartition("block")  # one exchange: the words are taken from it, and the positions wait in it
-    ids = encoded_words(distinct_words(found), path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    ids = encoded_words(distinct_words(found, parts), path)
 
     def assemble(block: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block):
             counts, numbers = _unpack(block["places"].iloc[0], np.int32, np.uint8)
-            place, words = _numbers(numbers), coded["ids"].to_numpy()[np.argsort(coded["number"].to_numpy())]
-            sizes, flat = np.fromiter(map(len, words), np.int64, len(words)) // 4, np.frombuffer(b"".join(words), "<u4")
-            starts, at = np.cumsum(sizes) - sizes, 0
+            place, lists = _numbers(numbers), [_unpack(b, np.int32, np.int32, np.uint32) for b in coded["body"]]
+            where, size, flat = (np.concatenate([x[k] for x in lists] or [np.empty(0, np.int32)]) for k in range(3))
+            sizes, starts, at = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64), 0
+            sizes[where], starts[where] = size, np.cumsum(size.astype(np.int64)) - size
             for doc, n in zip(block["doc_ids"].iloc[0], counts.tolist()):
                 p = place[at : at + n]
                 at += n
@@ -224,7 +248,7 @@ def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 ends = np.cumsum(size)
                 total = int(ends[-1]) if n else 0
                 take = np.repeat(starts[p] - (ends - size), size) + np.arange(total)
-                out.append((doc, total, flat[take].tobytes()))
+                out.append((doc, total, flat[take].astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", "token_ids"]).astype({"doc_id": "Int64"})
 
     pairs = found.groupBy("block").cogroup(ids.groupBy("block"))
