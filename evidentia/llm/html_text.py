@@ -480,10 +480,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 blocks = [page_blocks(h) for h in part["html"]]
-                sizes = [len(b) for b in blocks]
-                flat = [b for page in blocks for b in page]
-                x = inputs(flat, *tables) if flat else np.empty((0, PATH + WORD + OTHER), np.float32)
-                scores = model.scores(np.split(x, np.cumsum(sizes)[:-1]) if sizes else [])
+                scores = model.scores([inputs(b, *tables) if b else np.empty((0, PATH + WORD + OTHER), np.float32) for b in blocks])
                 texts = ["\n".join(b.text for b, p in zip(page, s) if p >= 0.5) for page, s in zip(blocks, scores)]
                 yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]}).astype({"page_id": "Int64"})
 
