@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,6 @@ PARTS, PART_BYTES = 4, 16 << 20
 BLOCK_ROWS, BLOCK_BYTES = 3072, 18 << 20
 
 
-@lru_cache(maxsize=2)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -121,12 +119,16 @@ BLOCKS = "block long, doc_ids array<long>, places binary, words binary"
 WORDS = "block long, part int, body binary"
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in equal parts of at most BLOCK_ROWS rows and, but for single rows, about BLOCK_BYTES."""
-    parts = max(1, -(-batch.num_rows // BLOCK_ROWS), -(-batch.nbytes // BLOCK_BYTES))
-    step = max(1, -(-batch.num_rows // parts))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in equal parts of at most BLOCK_ROWS rows and, but for single rows, about BLOCK_BYTES; nothing of a batch is
+    held while the next one comes."""
+    for batch in batches:
+        parts = max(1, -(-batch.num_rows // BLOCK_ROWS), -(-batch.nbytes // BLOCK_BYTES))
+        step = max(1, -(-batch.num_rows // parts))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -146,32 +148,37 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, number = regex.compile(public_tokenizers.PATTERN), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in _slices(batch):
-                lists = part.column(1)
-                if part.column(2).null_count < part.num_rows:
-                    lists = pa.array([pattern.findall(o) if o is not None else w for w, o in zip(lists.to_pylist(), part.column(2).to_pylist())], pa.list_(pa.string()))
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
-                coded = lists.flatten().dictionary_encode()
-                place = coded.indices.to_numpy(zero_copy_only=False)
-                # positions name words by frequency, in planes of bytes: most are then small numbers and the planes pack well
-                often = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
-                named = np.empty(len(often), np.int32)
-                named[often] = np.arange(len(often), dtype=np.int32)
-                bodies = _pack(counts, _planes(named[place])), _pack(*_strings(coded.dictionary.take(pa.array(often))))
-                out = pa.record_batch(
-                    [pa.array([number], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in bodies)],
-                    names=["block", "doc_ids", "places", "words"],
-                )
-                number += 1
-                # the next part comes while this generator waits: nothing of this one should still be held then
-                del part, lists, coded, place, often, named, bodies
-                pa.default_memory_pool().release_unused()
-                yield out
+        for part in _slices(batches):
+            lists = part.column(1)
+            if part.column(2).null_count < part.num_rows:
+                lists = pa.array([pattern.findall(o) if o is not None else w for w, o in zip(lists.to_pylist(), part.column(2).to_pylist())], pa.list_(pa.string()))
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+            coded = lists.flatten().dictionary_encode()
+            place = coded.indices.to_numpy(zero_copy_only=False)
+            # positions name words by frequency, in planes of bytes: most are then small numbers and the planes pack well
+            often = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
+            named = np.empty(len(often), np.int32)
+            named[often] = np.arange(len(often), dtype=np.int32)
+            bodies = _pack(counts, _planes(named[place])), _pack(*_strings(coded.dictionary.take(pa.array(often))))
+            out = pa.record_batch(
+                [pa.array([number], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in bodies)],
+                names=["block", "doc_ids", "places", "words"],
+            )
+            number += 1
+            # the next part comes while this generator waits: nothing of this one should still be held then
+            del part, lists, coded, place, often, named, bodies
+            pa.default_memory_pool().release_unused()
+            yield out
 
     return split.mapInArrow(build, BLOCKS)
 
 
+def _dealt(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each word, and the order that puts parts together."""
+    part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object)) % parts).astype(np.int32) if len(words) else np.empty(0, np.int32)
+    return part, np.argsort(part, kind="stable")
+
+
 def distinct_words(found: DataFrame, parts: int) -> DataFrame:
     """The distinct words of every block, dealt out to parts by hash: a row for each block and part that has any.
 
@@ -184,17 +191,17 @@ def distinct_words(found: DataFrame, parts: int) -> DataFrame:
                 words = _binaries(*_unpack(body.as_buffer(), np.int64, np.uint8))
                 if not len(words):
                     continue
-                part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object)) % parts).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                words, part, edges = words.take(pa.array(order)), part[order], np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0, [True])))
-                rows = [_pack(order[a:z].astype(np.int32), *_strings(words.slice(a, z - a))) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                part, order = _dealt(words, parts)
+                words, part = words.take(pa.array(order)), part[order]
+                edges = np.flatnonzero(np.concatenate(([True], np.diff(part) != 0, [True])))
+                rows = [_pack(*_strings(words.slice(a, z - a))) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
                 yield pa.record_batch([pa.repeat(pa.scalar(block, pa.int64()), len(rows)), pa.array(part[edges[:-1]]), pa.array(rows, pa.binary())], names=["block", "part", "body"])
 
     return found.mapInArrow(deal, WORDS)
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """For every row of distinct_words() the numbers of its words and their ids. A part's rows are neighbours in one task,
+    """For every row of distinct_words() the ids of its words, in their order. A part's rows are neighbours in one task,
     which streams over them and encodes each word once: it holds the part's distinct words, never its rows."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
             for part, body in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if part != now:
                     now, known = part, {}
-                numbers, lengths, data = _unpack(body.as_buffer(), np.int32, np.int64, np.uint8)
+                lengths, data = _unpack(body.as_buffer(), np.int64, np.uint8)
                 raw, ends, found = data.tobytes(), np.cumsum(lengths).tolist(), []
                 for a, b in zip([0, *ends], ends):
                     ids = known.get(raw[a:b])
@@ -212,33 +219,56 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                         ids = known[raw[a:b]] = encode_word(raw[a:b], table)
                     found.append(ids)
                 sizes = np.fromiter(map(len, found), np.int32, len(found))
-                out.append(_pack(numbers, sizes, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))))
+                out.append(_pack(sizes, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "part", "body"])
 
     return words.repartition("part").sortWithinPartitions("part").mapInArrow(encode, WORDS)
 
 
-def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+def token_table(spark: SparkSession, ranks_path: str | None = None) -> DataFrame:
+    """id and bytes of every token: as many rows as the vocabulary has."""
+    rows = sorted((i, b) for b, i in ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")).items())
+    return spark.createDataFrame(rows, "id int, bytes binary")
+
+
+def _sent(tokens: DataFrame):
+    """The token table as a broadcast, which the vocabulary bounds: the bytes of each id, ids from 0 on."""
+    return tokens.sparkSession.sparkContext.broadcast([bytes(r["bytes"]) for r in tokens.orderBy("id").collect()])
+
+
+def join_tokens(ids: np.ndarray, counts: np.ndarray, known: pa.Array) -> pa.Array:
+    """The bytes of texts whose ids lie end to end, counts of them each: every id meets its row of the token table, in order."""
+    sizes, data = _strings(known.take(pa.array(ids)))
+    ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+    return _binaries(np.diff(ends), data)
+
+
+def encoded(docs: DataFrame, ranks_path: str | None = None, tokens: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens and token_ids (unsigned 32-bit, little-endian, as binary) of every row and whole text.
 
     A block's distinct words are shuffled to the tasks that encode each word of the corpus once, and their ids are joined
     back to the block, where positions put them in order. So no occurrence is shuffled, only a block's list and its
     positions. No task holds more than a block, the distinct words of a part or a very long text.
     Null texts count as empty. A null doc_id is kept as null, repeated rows get a row each, an empty table gives an empty
-    result. ranks_path must be readable by every executor.
+    result. ranks_path must be readable by every executor. With a token table (id, bytes), the column decoded is added,
+    what decoded() makes of the ids, while they are at hand.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = blocks(docs).repartition("block")  # one exchange: the words are taken from it, and the positions wait in it
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     ids = encoded_words(distinct_words(found, parts), path)
+    sent = _sent(tokens) if tokens is not None else None
+    names = ["doc_id", "n_tokens", "token_ids"] + ["decoded"] * (sent is not None)
 
     def assemble(block: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, known = [], pa.array(sent.value, pa.large_binary()) if sent else None
         if len(block):
             counts, numbers = _unpack(block["places"].iloc[0], np.int32, np.uint8)
-            place, lists = _numbers(numbers), [_unpack(b, np.int32, np.int32, np.uint32) for b in coded["body"]]
-            where, size, flat = (np.concatenate([x[k] for x in lists] or [np.empty(0, np.int32)]) for k in range(3))
+            place, lists = _numbers(numbers), [_unpack(b, np.int32, np.uint32) for b in coded.sort_values("part")["body"]]
+            size, flat = (np.concatenate([x[k] for x in lists] or [np.empty(0, np.int32)]) for k in range(2))
+            # the ids come in the order of parts, in which the block's words were dealt
+            where = _dealt(_binaries(*_unpack(block["words"].iloc[0], np.int64, np.uint8)), parts)[1]
             sizes, starts, at = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64), 0
             sizes[where], starts[where] = size, np.cumsum(size.astype(np.int64)) - size
             for doc, n in zip(block["doc_ids"].iloc[0], counts.tolist()):
@@ -247,29 +277,20 @@ def encoded(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 size = sizes[p]
                 ends = np.cumsum(size)
                 total = int(ends[-1]) if n else 0
-                take = np.repeat(starts[p] - (ends - size), size) + np.arange(total)
-                out.append((doc, total, flat[take].astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "n_tokens", "token_ids"]).astype({"doc_id": "Int64"})
+                got = flat[np.repeat(starts[p] - (ends - size), size) + np.arange(total)].astype("<u4")
+                out.append((doc, total, got.tobytes(), *([join_tokens(got, np.array([total]), known)[0].as_py()] if sent else [])))
+        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    pairs = found.groupBy("block").cogroup(ids.groupBy("block"))
-    return pairs.applyInPandas(assemble, "doc_id long, n_tokens long, token_ids binary")
-
-
-def token_table(spark: SparkSession, ranks_path: str | None = None) -> DataFrame:
-    """id and bytes of every token, in the order of ids: as many rows as the vocabulary has."""
-    rows = sorted((i, b) for b, i in ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")).items())
-    return spark.createDataFrame(rows, "id int, bytes binary")
+    return found.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(assemble, "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * (sent is not None))
 
 
 def decoded(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """rows with the column decoded (binary): the bytes of each id, joined to the token table (id, bytes).
 
-    The table has a row for each id from 0 on, so that it is bounded by the vocabulary; it is broadcast and met by a whole
-    batch of ids at a time, in their order, as exploding every token into a row would shuffle them all to put them back.
+    The table is broadcast and met by a whole batch of ids at a time, in their order: exploding every token into a row
+    would shuffle them all to put them back.
     """
-    table = sorted((r["id"], bytes(r["bytes"])) for r in (tokens if tokens is not None else token_table(rows.sparkSession)).collect())
-    sent = rows.sparkSession.sparkContext.broadcast([b for _, b in table])
-    names = rows.columns
+    sent, names = _sent(tokens if tokens is not None else token_table(rows.sparkSession)), rows.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", decoded binary"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,16 +298,18 @@ def decoded(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(a, 64) for a in range(0, batch.num_rows, 64)):
                 sizes, data = _strings(part.column(names.index("token_ids")))
-                joined = known.take(pa.array(data.view("<u4")))
-                ends = np.concatenate(([0], np.cumsum(_strings(joined)[0])))
-                texts = _binaries(np.diff(ends[np.concatenate(([0], np.cumsum(sizes // 4)))]), _strings(joined)[1])
-                yield pa.record_batch([*part.columns, texts], names=[*names, "decoded"])
+                yield pa.record_batch([*part.columns, join_tokens(data.view("<u4"), sizes // 4, known)], names=[*names, "decoded"])
 
     return rows.mapInArrow(decode, schema)
 
 
+def encoded_and_decoded(docs: DataFrame) -> DataFrame:
+    """encoded() with the column decoded, without a second Python process beside the first."""
+    return encoded(docs, tokens=token_table(docs.sparkSession))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, from the encoded and decoded documents."""
-    return decoded(encoded(docs)).select(
+    return encoded_and_decoded(docs).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -6,7 +6,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -84,7 +83,6 @@ def mask(spans: np.ndarray, offsets: np.ndarray) -> Masked:
     return Masked(np.concatenate(pieces or [np.empty((0, 2), np.int64)]), np.concatenate(tokens or [np.empty(0, np.int64)]))
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True

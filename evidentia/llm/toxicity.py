@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_each, remainder, saved
+from .common import keyed, one_each, remainder, saved, without
 
 #: Features are hashed to this many bits. A model holds the non-zero weights alone, at most 12 bytes each.
 BITS = 20
@@ -70,7 +70,7 @@ def ftrl(
     until its gradients outweigh l1. Toxic rows, which are few, weigh lift times as much. Features count once per row. Rows are taken in the order given, epochs times over."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     last = 1 << bits  # the intercept, without penalty
-    rows = [(np.append(np.unique(x), last), y) for x, y in rows]
+    rows = [(np.append(np.unique(x), np.int32(last)).astype(np.int32), y) for x, y in rows]
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -117,7 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id")
         order = np.argsort([zlib.crc32(str(i).encode()) for i in pdf["doc_id"]], kind="stable")
-        model = ftrl([(np.frombuffer(pdf["ids"].iloc[k], np.int32), int(pdf["toxic"].iloc[k])) for k in order], bits)
+        rows = [(np.frombuffer(pdf["ids"].iloc[k], np.int32), int(pdf["toxic"].iloc[k])) for k in order]
+        del pdf
+        model = ftrl(rows, bits)
         return pd.DataFrame({"index": [model.index.tobytes()], "weight": [model.weight.tobytes()], "bias": [model.bias]})
 
     one = rows.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "index binary, weight binary, bias double").collect()
@@ -136,8 +138,8 @@ def score_texts(texts, table: np.ndarray, bias: float, bits: int = BITS) -> np.n
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def scored(docs: DataFrame, model: Weights, bits: int = BITS) -> DataFrame:
-    """doc_id and score of every row and whole text; null and empty texts score the intercept."""
+def scored(docs: DataFrame, model: Weights, bits: int = BITS, key: str = "doc_id") -> DataFrame:
+    """key and score of every row and whole text; null and empty texts score the intercept."""
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +149,9 @@ def scored(docs: DataFrame, model: Weights, bits: int = BITS) -> DataFrame:
                 [score_texts(batch.column(1).slice(a, 64).to_pylist(), table, bias, bits) for a in range(0, batch.num_rows, 64)]
                 or [np.empty(0)]
             )
-            yield pa.record_batch([batch.column(0), pa.array(values)], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(values)], names=[key, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(score, f"{key} long, score double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,15 +168,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not predicted toxic, all columns as they are. Rows are judged by themselves, whatever their id."""
-    model, names = train(docs, labels), docs.columns
-    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    sent, bits = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias)), BITS
-    at = names.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bias = dense(*sent.value[:2], bits), sent.value[2]
-        for batch in batches:
-            for part in (batch.slice(a, 64) for a in range(0, batch.num_rows, 64)):
-                yield part.filter(pa.array(score_texts(part.column(at).to_pylist(), table, bias, bits) < threshold))
-
-    return rows.mapInArrow(keep, rows.schema).toDF(*names)
+    model = train(docs, labels)
+    docs, key = keyed(docs)
+    return without(docs, scored(docs, model, key=key).where(F.col("score") >= threshold), key).drop(key)

@@ -280,6 +280,7 @@ def test_bpe_against_tiktoken(spark, texts, sf, monkeypatch, block):
     settings = {k: v for k, v in spark.conf.getAll.items() if "arrow" in k}
     got = rows(bpe.decoded(bpe.encoded(frame(spark, every))), "doc_id", "n_tokens", "token_ids", "decoded")
     assert {k: v for k, v in spark.conf.getAll.items() if "arrow" in k} == settings
+    assert got == rows(bpe.encoded_and_decoded(frame(spark, every)), "doc_id", "n_tokens", "token_ids", "decoded")
     for i, n, ids, back in got:
         want = encoding.encode_ordinary(every[i] or "")
         assert np.frombuffer(bytes(ids), "<u4").tolist() == want and n == len(want) and bytes(back) == (every[i] or "").encode(), every[i]
