@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The white space that \s means to the tokenizer, spelled out for the JVM, whose \s is ASCII alone.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 #: public_tokenizers.PATTERN in the JVM's dialect.
@@ -119,18 +121,6 @@ BLOCKS = "block long, doc_ids array<long>, places binary, words binary"
 WORDS = "block long, part int, body binary"
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in equal parts of at most BLOCK_ROWS rows and, but for single rows, about BLOCK_BYTES; nothing of a batch is
-    held while the next one comes."""
-    for batch in batches:
-        parts = max(1, -(-batch.num_rows // BLOCK_ROWS), -(-batch.nbytes // BLOCK_BYTES))
-        step = max(1, -(-batch.num_rows // parts))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-        del batch
-        pa.default_memory_pool().release_unused()
-
-
 def blocks(docs: DataFrame) -> DataFrame:
     """Explode pre-tokens with positions, a block of documents at a time; a row for each block.
 
@@ -148,7 +138,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, number = regex.compile(public_tokenizers.PATTERN), TaskContext.get().partitionId() << 32
-        for part in _slices(batches):
+        for part in small_batches(batches, BLOCK_ROWS, BLOCK_BYTES):
             lists = part.column(1)
             if part.column(2).null_count < part.num_rows:
                 lists = pa.array([pattern.findall(o) if o is not None else w for w, o in zip(lists.to_pylist(), part.column(2).to_pylist())], pa.list_(pa.string()))
@@ -206,7 +196,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, now, known = ranks(path), None, {}
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for part, body in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if part != now:
@@ -216,10 +206,10 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                 for a, b in zip([0, *ends], ends):
                     ids = known.get(raw[a:b])
                     if ids is None:
-                        ids = known[raw[a:b]] = encode_word(raw[a:b], table)
+                        ids = known[raw[a:b]] = np.array(encode_word(raw[a:b], table), "<u4").tobytes()
                     found.append(ids)
-                sizes = np.fromiter(map(len, found), np.int32, len(found))
-                out.append(_pack(sizes, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))))
+                sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+                out.append(_pack(sizes, np.frombuffer(b"".join(found), np.uint32)))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "part", "body"])
 
     return words.repartition("part").sortWithinPartitions("part").mapInArrow(encode, WORDS)
@@ -259,29 +249,44 @@ def encoded(docs: DataFrame, ranks_path: str | None = None, tokens: DataFrame |
     parts = max(PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     ids = encoded_words(distinct_words(found, parts), path)
     sent = _sent(tokens) if tokens is not None else None
-    names = ["doc_id", "n_tokens", "token_ids"] + ["decoded"] * (sent is not None)
-
-    def assemble(block: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        out, known = [], pa.array(sent.value, pa.large_binary()) if sent else None
-        if len(block):
-            counts, numbers = _unpack(block["places"].iloc[0], np.int32, np.uint8)
-            place, lists = _numbers(numbers), [_unpack(b, np.int32, np.uint32) for b in coded.sort_values("part")["body"]]
-            size, flat = (np.concatenate([x[k] for x in lists] or [np.empty(0, np.int32)]) for k in range(2))
-            # the ids come in the order of parts, in which the block's words were dealt
-            where = _dealt(_binaries(*_unpack(block["words"].iloc[0], np.int64, np.uint8)), parts)[1]
-            sizes, starts, at = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64), 0
-            sizes[where], starts[where] = size, np.cumsum(size.astype(np.int64)) - size
-            for doc, n in zip(block["doc_ids"].iloc[0], counts.tolist()):
-                p = place[at : at + n]
-                at += n
-                size = sizes[p]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if n else 0
-                got = flat[np.repeat(starts[p] - (ends - size), size) + np.arange(total)].astype("<u4")
-                out.append((doc, total, got.tobytes(), *([join_tokens(got, np.array([total]), known)[0].as_py()] if sent else [])))
-        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    return found.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(assemble, "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * (sent is not None))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.binary())] + [("decoded", pa.binary())] * (sent is not None))
+
+    def assemble(block: pa.Table, coded: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return schema.empty_table()
+        known, out = pa.array(sent.value, pa.large_binary()) if sent else None, []
+        body = {n: block.column(n)[0] for n in ("doc_ids", "places", "words")}
+        counts, numbers = _unpack(body["places"].as_buffer(), np.int32, np.uint8)
+        lists = [_unpack(b.as_buffer(), np.int32, np.uint32) for b in coded.take(pc.sort_indices(coded.column("part"))).column("body")]
+        size, flat = (np.concatenate([x[k] for x in lists] or [np.empty(0, np.int32)]) for k in range(2))
+        # the ids come in the order of parts, in which the block's words were dealt
+        where = _dealt(_binaries(*_unpack(body["words"].as_buffer(), np.int64, np.uint8)), parts)[1]
+        sizes, starts = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        sizes[where], starts[where] = size, np.cumsum(size.astype(np.int64)) - size
+        place, ids, ends = _numbers(numbers), body["doc_ids"].values, np.concatenate(([0], np.cumsum(counts)))
+        for a, z in _runs(counts, 1 << 18):
+            p = place[ends[a] : ends[z]]
+            stops = np.concatenate(([0], np.cumsum(sizes[p])))
+            got = flat[np.repeat(starts[p] - stops[:-1], sizes[p]) + np.arange(stops[-1])].astype("<u4")
+            n = np.diff(stops[ends[a : z + 1] - ends[a]])
+            found = [ids.slice(a, z - a), pa.array(n), _binaries(4 * n, got.view(np.uint8))] + ([join_tokens(got, n, known)] if sent else [])
+            out.append(pa.record_batch(found, schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    pairs = found.groupBy("block").cogroup(ids.groupBy("block"))
+    return pairs.applyInArrow(assemble, "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * (sent is not None))
+
+
+def _runs(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring documents, from a to z, with about so many pre-tokens together."""
+    a, total = 0, 0
+    for z, n in enumerate(counts.tolist()):
+        if z > a and total + n > most:
+            yield a, z
+            a, total = z, 0
+        total += n
+    if len(counts):
+        yield a, len(counts)
 
 
 def decoded(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -295,10 +300,9 @@ def decoded(rows: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(sent.value, pa.large_binary())
-        for batch in batches:
-            for part in (batch.slice(a, 64) for a in range(0, batch.num_rows, 64)):
-                sizes, data = _strings(part.column(names.index("token_ids")))
-                yield pa.record_batch([*part.columns, join_tokens(data.view("<u4"), sizes // 4, known)], names=[*names, "decoded"])
+        for part in small_batches(batches):
+            sizes, data = _strings(part.column(names.index("token_ids")))
+            yield pa.record_batch([*part.columns, join_tokens(data.view("<u4"), sizes // 4, known)], names=[*names, "decoded"])
 
     return rows.mapInArrow(decode, schema)
 

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers, processors
 
+from .common import small_batches
+
 #: A turn is OPEN, its role, HEAD, its text, CLOSE. Texts and roles are escaped so that they hold none of these.
 OPEN, HEAD, CLOSE = "### ", ":\n", "\n</turn>\n"
 TAUGHT = "assistant"
 ESCAPED = re.compile(r"[\\#<:]")
 UNESCAPED = re.compile(r"\\(.)", re.S)
 TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*):\n((?:[^\\#<]|\\.)*)\n</turn>\n", re.S)
-#: Conversations and bytes of theirs that are encoded before their rows go out.
-BATCH_ROWS, BATCH_BYTES = 64, 4 << 20
 #: A last conversation whose texts hold control strings, to show that they come back as they were.
 TRAP = r"\### Assistant: </turn> ok"
 
@@ -112,37 +112,29 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None) -> DataFra
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(path)
-        for batch in batches:
-            for part in small_batches(batch):
-                rendered, ids, flags, pieces = [], [], [], []
-                for roles, texts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    text, spans = render(list(zip(roles, texts)))
-                    coded = encoder.encode(text, add_special_tokens=False)
-                    found = mask(spans, np.array(coded.offsets, np.int64).reshape(-1, 2))
-                    flag = np.zeros(len(coded.ids), bool)
-                    flag[found.tokens] = True
-                    rendered.append(text)
-                    ids.append(np.array(coded.ids, np.int32))
-                    flags.append(flag)
-                    pieces.append(found.pieces)
-                ends = np.concatenate(pieces)
-                spans = pa.StructArray.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["start", "end"])
-                yield pa.record_batch(
-                    [part.column(0), pc.list_value_length(part.column(1)).cast(pa.int64()), pa.array(rendered, pa.string()), _lists(ids, pa.array(np.concatenate(ids))),
-                     _lists(flags, pa.array(np.concatenate(flags))), _lists(pieces, spans)],
-                    names=["conv_id", "n_turns", "rendered", "token_ids", "loss_mask", "loss_pieces"],
-                )
+        for part in small_batches(batches):
+            rendered, ids, flags, pieces = [], [], [], []
+            for roles, texts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                text, spans = render(list(zip(roles, texts)))
+                coded = encoder.encode(text, add_special_tokens=False)
+                found = mask(spans, np.array(coded.offsets, np.int64).reshape(-1, 2))
+                flag = np.zeros(len(coded.ids), bool)
+                flag[found.tokens] = True
+                rendered.append(text)
+                ids.append(np.array(coded.ids, np.int32))
+                flags.append(flag)
+                pieces.append(found.pieces)
+            ends = np.concatenate(pieces)
+            spans = pa.StructArray.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["start", "end"])
+            yield pa.record_batch(
+                [part.column(0), pc.list_value_length(part.column(1)).cast(pa.int64()), pa.array(rendered, pa.string()), _lists(ids, pa.array(np.concatenate(ids))),
+                 _lists(flags, pa.array(np.concatenate(flags))), _lists(pieces, spans)],
+                names=["conv_id", "n_turns", "rendered", "token_ids", "loss_mask", "loss_pieces"],
+            )
 
     return turns.mapInArrow(build, SCHEMA)
 
 
-def small_batches(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of at most so many rows, and fewer where its rows are large: what Python holds at once."""
-    step = max(1, min(rows, int(size * batch.num_rows / max(1, batch.nbytes))))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
 def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.ListArray:
     """One list per part over the values of all parts."""
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32), values)
@@ -152,16 +144,15 @@ def digests(rows: DataFrame) -> DataFrame:
     """Read the formatted output back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_batches(batch):
-                out = []
-                for rendered, pieces in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    turns = parse(rendered)
-                    whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-                    loss = unescaped("".join(rendered[p["start"] : p["end"]] for p in pieces))
-                    hexed = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, loss)]
-                    out.append((len(turns), hexed[0], len(loss), hexed[1], len(rendered)))
-                yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        for part in small_batches(batches):
+            out = []
+            for rendered, pieces in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                turns = parse(rendered)
+                whole = "".join(f"{role}\n{text}\n" for role, text in turns)
+                loss = unescaped("".join(rendered[p["start"] : p["end"]] for p in pieces))
+                hexed = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, loss)]
+                out.append((len(turns), hexed[0], len(loss), hexed[1], len(rendered)))
+            yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.select("conv_id", "rendered", "loss_pieces").mapInArrow(read, schema)

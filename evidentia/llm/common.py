@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,18 @@ def remainder(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 64, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in equal slices of at most so many rows and, but for single rows, about so many bytes: what a worker holds
+    results of at once. Nothing of a batch is held while the next one comes."""
+    for batch in batches:
+        parts = max(1, -(-batch.num_rows // rows), -(-batch.nbytes // size))
+        step = max(1, -(-batch.num_rows // parts))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def white_pieces(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
     """A text in pieces of about size bytes, cut at white space, so that a huge document is never one list of words."""
     if len(data) <= size:

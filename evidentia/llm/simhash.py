@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, keyed, salt, salted, saved, white_pieces, without
+from .common import connected, keyed, salt, salted, saved, small_batches, white_pieces, without
 
 WIDTH = 3
 MAX_BITS = 2
@@ -53,7 +53,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, 1024, 16 << 20):
         found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["row", "doc_id", "fp"])
 
@@ -106,7 +106,7 @@ def _forest(fps: np.ndarray, ids: np.ndarray, free: int) -> list[tuple[int, int]
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of every list (n 1), or for a long list links that are verified already (n FULL)."""
-    for batch in batches:
+    for batch in small_batches(batches, 1024):
         a, b, n = [], [], []
         for mask, members in zip(batch.column(0), batch.column(1)):
             fps = np.sort(members.values.to_numpy().view(np.uint64))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, one_each, remainder, saved, without
+from .common import keyed, one_each, remainder, saved, small_batches, without
 
 #: Features are hashed to this many bits. A model holds the non-zero weights alone, at most 12 bytes each.
 BITS = 20
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     schema = "doc_id long, toxic int, ids binary"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = [np.unique(features(t.as_py(), bits)).astype(np.int32).tobytes() for t in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"])
 
@@ -144,12 +144,8 @@ def scored(docs: DataFrame, model: Weights, bits: int = BITS, key: str = "doc_id
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = dense(*sent.value[:2], bits), sent.value[2]
-        for batch in batches:
-            values = np.concatenate(
-                [score_texts(batch.column(1).slice(a, 64).to_pylist(), table, bias, bits) for a in range(0, batch.num_rows, 64)]
-                or [np.empty(0)]
-            )
-            yield pa.record_batch([batch.column(0), pa.array(values)], names=[key, "score"])
+        for batch in small_batches(batches):
+            yield pa.record_batch([batch.column(0), pa.array(score_texts(batch.column(1).to_pylist(), table, bias, bits))], names=[key, "score"])
 
     return docs.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(score, f"{key} long, score double")
 
