@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of what is left, with digests of the ids and of the text decoded from them."""
-    return bpe.decoded(bpe.encoded(docs)).select(
+    return bpe.encoded_and_decoded(docs).select(
         "doc_id", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
