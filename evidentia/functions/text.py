@@ -64,7 +64,8 @@ def chunk_list(text: Column, size: int = 2000) -> Column:
 
 
 def hash_id(prefix: str, *parts: Column) -> Column:
-    return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 32))
+    """A name made of its parts, of which missing ones are empty."""
+    return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(F.concat_ws("\0", *[F.coalesce(p, F.lit("")) for p in parts]), 256), 1, 32))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -403,6 +403,82 @@ def _(spark, load):
     return graph.paths(_edges(load), "n1", "n6", 4).select(F.array_join("path", ">").alias("path"))
 
 
+
+ENTITIES = "SELECT 'n' || n_nationkey AS id, 'system' AS type, n_name AS name, ['N ' || n_nationkey, n_name] AS aliases, n_nationkey::VARCHAR AS key FROM nation UNION ALL SELECT 's' || s_suppkey, 'person', s_name, ['S ' || s_suppkey], s_suppkey::VARCHAR FROM supplier"
+RELATIONS = "SELECT 's' || s_suppkey || '>n' || s_nationkey AS id, 's' || s_suppkey AS subject, 'n' || s_nationkey AS object, s_suppkey % 5 AS source FROM supplier"
+NORMAL = "coalesce(nullif(regexp_replace(regexp_replace(lower(trim({})), '[^a-z0-9_@./:#-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed')"
+
+
+def _entities(load) -> DataFrame:
+    fixed = F.lit("w").alias("workspace_id"), F.lit(None).cast("string").alias("sensitivity")
+    n = load("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("system").alias("type"), F.col("n_name").alias("canonical_name"), F.array(F.concat(F.lit("N "), "n_nationkey"), "n_name").alias("aliases"), F.create_map(F.lit("key"), F.col("n_nationkey").cast("string")).alias("identifiers"), *fixed)
+    return n.unionByName(load("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("person").alias("type"), F.col("s_name").alias("canonical_name"), F.array(F.concat(F.lit("S "), "s_suppkey")).alias("aliases"), F.create_map(F.lit("key"), F.col("s_suppkey").cast("string")).alias("identifiers"), *fixed))
+
+
+def _relations(load) -> DataFrame:
+    s, n = F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")
+    return load("supplier").select(F.concat(s, F.lit(">"), n).alias("id"), F.lit("w").alias("workspace_id"), s.alias("subject"), F.lit("located_in").alias("predicate"), n.alias("object"), F.lit(0.9).alias("confidence"), F.concat(F.lit("d"), F.col("s_suppkey") % 5).alias("source_id"))
+
+
+def _sources(spark) -> DataFrame:
+    """d0 is denied, d1 partial, d2 down, d3 stale and d4 as it should be."""
+    k = F.col("id")
+    state = lambda at, word, rest: F.when(k == at, word).otherwise(rest)
+    return spark.range(5).select(F.concat(F.lit("d"), k).alias("id"), F.lit("w").alias("workspace_id"), F.concat(F.lit("Source "), k).alias("title"), F.when(k == 0, "denied").when(k == 1, "partial").otherwise("granted").alias("permission"), state(2, "down", "healthy").alias("health"), state(3, "stale", "fresh").alias("staleness"))
+
+
+@query("graph_entity_ids", f"SELECT id, 'context-entity:' || substr(sha256('w' || chr(0) || type || chr(0) || {NORMAL.format('name')}), 1, 32) AS entity_id, upper({NORMAL.format('name')}).regexp_replace('[^A-Z0-9_]', '_', 'g') AS relationship_type FROM ({ENTITIES})")
+def _(spark, load):
+    name = F.col("canonical_name")
+    return _entities(load).select("id", graph.entity_id(F.col("workspace_id"), F.col("type"), name).alias("entity_id"), graph.relationship_type(name).alias("relationship_type"))
+
+
+@query("graph_entity_search", f"SELECT id, (contains(h, 'an') :: INT + contains(h, 's_1') :: INT + contains(h, 'person') :: INT)::INT AS score FROM (SELECT id, name, {NORMAL.format('name')} || ' ' || array_to_string(list_transform(aliases, lambda x: {NORMAL.format('x')}), ' ') || ' ' || key || ' ' || type AS h FROM ({ENTITIES})) WHERE contains(h, 'an') OR contains(h, 's_1') OR contains(h, 'person') ORDER BY score DESC, name, id LIMIT 20")
+def _(spark, load):
+    return graph.search(_entities(load), "w", ["An", " S 1", "person", " "], 20)
+
+
+@query("graph_upsert", f"SELECT id, CASE WHEN starts_with(id, 's') THEN name ELSE name || ' II' END AS canonical_name, CASE WHEN starts_with(id, 's') THEN array_to_string(aliases, ',') ELSE array_to_string(aliases, ',') || ',new' END AS aliases, CASE WHEN starts_with(id, 's') THEN 'internal' ELSE 'secret' END AS sensitivity FROM (SELECT id, name, CASE WHEN starts_with(id, 'n') THEN [aliases[1], aliases[2]] ELSE aliases END AS aliases FROM ({ENTITIES}))")
+def _(spark, load):
+    old = _entities(load)
+    new = old.where("type = 'system'").withColumn("canonical_name", F.concat("canonical_name", F.lit("  II "))).withColumn("aliases", F.array(F.col("aliases")[1], F.lit(" new "), F.lit(" "))).withColumn("sensitivity", F.lit("secret")).withColumn("seq", F.lit(0))
+    later = new.withColumn("sensitivity", F.lit(None).cast("string")).withColumn("seq", F.lit(1))
+    return graph.upserted(old, new.unionByName(later)).select("id", "canonical_name", F.array_join("aliases", ",").alias("aliases"), "sensitivity")
+
+
+@query("graph_assert", f"SELECT subject, object, CASE WHEN object = 'n3' THEN 'unknown object' END AS fault, least(1, max(k) / 40.0)::DOUBLE AS confidence FROM (SELECT subject, object, substr(subject, 2)::INT AS k FROM ({RELATIONS})) GROUP BY 1, 2")
+def _(spark, load):
+    said = _relations(load).withColumn("predicate", F.lit("Located In")).withColumn("confidence", F.substring("subject", 2, 9).cast("int") / 40)
+    found = graph.asserted(said.unionByName(said.withColumn("confidence", F.lit(-1.0))), _entities(load).where("id <> 'n3'"))
+    return found.where("predicate = 'located_in'").select("subject", "object", "fault", "confidence")
+
+
+@query("graph_relationships", f"WITH RECURSIVE r AS (SELECT * FROM ({RELATIONS}) WHERE source <> 0), u AS (SELECT id, subject AS src, object AS dst FROM r UNION ALL SELECT id, object, subject FROM r), w AS (SELECT 'n2' AS v, 0 AS distance UNION SELECT dst, distance + 1 FROM w JOIN u ON w.v = u.src WHERE distance < 2) SELECT u.id, min(distance) + 1 AS step FROM w JOIN u ON w.v = u.src GROUP BY 1 ORDER BY step, 1 LIMIT 40")
+def _(spark, load):
+    return graph.surrounding(graph.permitted(_relations(load), _sources(spark)), spark.range(1).select(F.lit("n2").alias("id")), 3, 40)
+
+
+@query("graph_facts", f"SELECT r.id, s.name AS subject_name, o.name AS object_name, 'Source ' || source AS source_title, CASE source WHEN 1 THEN 'Source \"Source 1\" has partial permissions.' WHEN 2 THEN 'Source \"Source 2\" health is down.' WHEN 3 THEN 'Source \"Source 3\" is stale.' END AS warning FROM ({RELATIONS}) r JOIN ({ENTITIES}) s ON s.id = subject JOIN ({ENTITIES}) o ON o.id = object WHERE source <> 0")
+def _(spark, load):
+    return graph.facts(_relations(load), _entities(load), _sources(spark)).select("id", "subject_name", "object_name", "source_title", "warning")
+
+
+@query("graph_context", f"SELECT id FROM ({RELATIONS}) WHERE source <> 0 AND (object = 'n2' OR subject = 's7' OR subject IN (SELECT subject FROM ({RELATIONS}) WHERE source = 4) OR object IN (SELECT object FROM ({RELATIONS}) WHERE source = 4)) ORDER BY id LIMIT 100")
+def _(spark, load):
+    return graph.context(_entities(load), _relations(load), _sources(spark), "w", ["n2", "s7"], [], ["d4"], 1, 100).select("id")
+
+
+@query("graph_ingest", "SELECT 's' || doc_id AS source_id, 1 + count(n)::BIGINT AS entity_count, count(n)::BIGINT AS relationship_count FROM documents LEFT JOIN (SELECT DISTINCT id, type, predicate, name AS n FROM (" + "$ENTITY$" + ")) e ON e.id = doc_id GROUP BY 1")
+def _(spark, load):
+    rows = load("documents").select(F.concat(F.lit("s"), "doc_id").alias("id"), F.lit("w").alias("workspace_id"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("uri"), "text")
+    return graph.ingested(rows)[2]
+
+
+@query("graph_paths_bounded", f"WITH RECURSIVE e AS ({EDGES}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT ['r1'] AS path, 'r1' AS tip UNION ALL SELECT list_append(path, dst), dst FROM w JOIN u ON w.tip = u.src WHERE len(path) <= 4 AND NOT list_contains(path, dst) AND tip <> 'n3') SELECT array_to_string(path, '>') AS path FROM w WHERE tip = 'n3' ORDER BY len(path), path LIMIT 3")
+def _(spark, load):
+    return graph.paths(_edges(load), "r1", "n3", 4, 3).select(F.array_join("path", ">").alias("path"))
+
+
 # observability
 
 @query("trace_rollup", "SELECT user_id AS trace_id, min(ts) AS started_at, max(ts) AS updated_at, count(*) AS n_events, count(DISTINCT event_type) AS n_kinds, round(sum(value), 6) AS total_value, arg_max(event_type, (ts, event_id)) AS last_kind FROM events GROUP BY 1")
@@ -765,3 +841,6 @@ def _(spark, load):
 @query("source_health_report", f"SELECT count(*) AS sources, count(*) FILTER (health = 'healthy' AND permission = 'granted' AND staleness IN ('fresh', 'unknown')) AS healthy, count(*) FILTER (staleness IN ('stale', 'expired')) AS stale, count(*) FILTER (health <> 'healthy' OR permission = 'denied') AS unhealthy, count(*) FILTER (health = 'degraded') + count(*) FILTER (staleness = 'stale') AS warnings, count(*) FILTER (health = 'down') + count(*) FILTER (permission = 'denied') + count(*) FILTER (staleness = 'expired') AS criticals FROM ({STATES})")
 def _(spark, load):
     return govern.health_report(_states(load))
+
+
+SQL["graph_ingest"] = SQL["graph_ingest"].replace("$ENTITY$", _entity_sql())
