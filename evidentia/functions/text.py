@@ -28,17 +28,28 @@ def folded(text: Column) -> Column:
 
 
 def language_scores(low: Column) -> dict[str, Column]:
-    """The score of each language; low is a column that holds folded() text, so that it is worked out once."""
+    """The score of each language; low is a column that holds what marked() found in a text."""
     out = {}
     for lang, markers in MARKERS.items():
-        parts = [F.when(F.contains(low, F.lit(m)), max(1.0, len(m.strip()) / 4)).otherwise(0.0) for m in markers]
+        parts = [F.when(F.array_contains(low["words"], m.strip() if m.endswith(" ") else m), max(1.0, len(m.strip()) / 4)).otherwise(0.0) for m in markers]
         if lang in LETTERS:
             letters, bonus = LETTERS[lang]
-            parts.append(F.when(low.rlike(f"[{letters}]"), float(bonus)).otherwise(0.0))
+            parts.append(F.when(low["letters"].rlike(f"[{letters}]"), float(bonus)).otherwise(0.0))
         out[lang] = reduce(lambda a, b: a + b, parts)
     return out
 
 
+def marked(text: Column) -> Column:
+    """What of a text bears on its language, in one pass: the marker words it has, the markers that are beginnings of words
+    (kept with their leading space), and its accented letters."""
+    low, every = folded(text), [m for markers in MARKERS.values() for m in markers]
+    whole, starts = sorted({m.strip() for m in every if m.endswith(" ")}), [m for m in every if not m.endswith(" ")]
+    words = F.array_intersect(F.split(low, " "), F.array(*map(F.lit, whole)))
+    begun = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(m)), m) for m in starts]))
+    letters = "".join(sorted(set("".join(a for a, _ in LETTERS.values()))))
+    return F.struct(F.concat(words, begun).alias("words"), F.regexp_replace(low, f"[^{letters}]+", "").alias("letters"))
+
+
 def script(text: Column) -> Column:
     return reduce(lambda rest, s: F.when(text.rlike(s[1]), s[0]).otherwise(rest), reversed(SCRIPTS), F.lit("Unknown"))
 

@@ -47,11 +47,10 @@ def federated(responses: list[DataFrame], limit: int = 50) -> DataFrame:
 
 def reranked(hits: DataFrame, scores: DataFrame, first: int = 100) -> DataFrame:
     """hits (id, rank) with new_rank: the first so many by outside scores (id, score; missing is zero), ties and the rest as they were."""
-    joined = hits.join(scores.select("id", F.col("score").alias("_s")), "id", "left")
-    front = F.col("rank") <= first
-    order = [front.desc(), F.when(front, F.coalesce("_s", F.lit(0.0))).desc(), F.col("rank")]
-    # a ranked list is cut by its lane, so one partition holds it
-    return joined.withColumn("new_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).drop("_s")
+    best = scores.groupBy("id").agg(F.max("score").alias("_s"))
+    front = hits.where(F.col("rank") <= first).orderBy("rank").limit(first).join(best, "id", "left")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.coalesce("_s", F.lit(0.0)).desc(), "rank")  # over first rows at most
+    return front.withColumn("new_rank", F.row_number().over(order)).drop("_s").unionByName(hits.where(F.col("rank") > first).withColumn("new_rank", F.col("rank").cast("int")))
 
 
 def _word_set(text: str, most: int | None) -> frozenset:
@@ -152,25 +151,30 @@ def fact_stems(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, STEM)))
 
 
+def stems_of(text: str) -> list[str]:
+    """fact_stems() of a text at hand."""
+    low = regex.sub("[\u0300-\u036f]", "", text.lower().translate(str.maketrans(*_fold_table())))
+    words = regex.findall("[a-z0-9]+", regex.sub(rf"\b({'|'.join(PRONOUNS)})\b", " user ", low))
+    return list(dict.fromkeys(w[:STEM] for w in words if len(w) > 1 and w not in STOP_WORDS))
+
+
 def recalled(facts: DataFrame, question: str, threshold: float = FACT_THRESHOLD, limit: int = FACT_LIMIT) -> DataFrame:
     """The facts (id, fact, created_at) that a question recalls: id, score, best first, newest first among equals, copies once.
 
     A stem weighs ln((N + 1) / (1 + facts with it)) + 1. A fact scores the weight of shared stems over its own or the
     question's known weight, whichever is more, if two stems are shared or one that no other fact has.
     """
-    spark, total = facts.sparkSession, facts.count()
-    asked = spark.range(1).select(fact_stems(F.lit(question)).alias("s")).first().s
+    total = facts.agg(F.count("*").alias("total"))
+    asked = stems_of(question)
     stems = facts.select("id", F.explode(fact_stems(F.col("fact"))).alias("stem"))
-    weighed = stems.groupBy("stem").agg(F.count("*").alias("df")).withColumn("w", F.log((total + 1) / (1 + F.col("df"))) + 1)
-    known = weighed.where(F.col("stem").isin(asked)).agg(F.sum("w")).first()[0] or 0.0
-    if not known:
-        return facts.select("id", F.lit(0.0).alias("score")).limit(0)
+    weighed = stems.groupBy("stem").agg(F.count("*").alias("df")).join(F.broadcast(total)).withColumn("w", F.log((F.col("total") + 1) / (1 + F.col("df"))) + 1).drop("total")
+    known = weighed.where(F.col("stem").isin(asked)).agg(F.sum("w").alias("known")).where("known > 0")  # one row, or none
     hit = F.col("stem").isin(asked)
     sums = stems.join(weighed, "stem").groupBy("id").agg(
         F.sum("w").alias("own"), F.sum(F.when(hit, F.col("w"))).alias("shared"), F.count_if(hit).alias("hits"),
         F.bool_or(hit & (F.col("df") <= 1) & (F.length("stem") >= STEM)).alias("rare"),
     )
-    scored = sums.where("hits >= 2 or rare").select("id", F.round(F.col("shared") / F.least("own", F.lit(known)), 9).alias("score")).where(F.col("score") >= threshold)
+    scored = sums.where("hits >= 2 or rare").select("id", "shared", "own").join(F.broadcast(known)).select("id", F.round(F.col("shared") / F.least("own", "known"), 9).alias("score")).where(F.col("score") >= threshold)
     key = F.trim(F.regexp_replace(fact_text(F.col("fact")), "[^a-z0-9]+", " "))
     order = F.struct("score", "created_at", "id")
     best = scored.join(facts, "id").groupBy(key.alias("_key")).agg(F.max(order).alias("best"))

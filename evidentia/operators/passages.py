@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import ship
 
@@ -22,15 +26,27 @@ TURNS, TURN_CHARS, WINDOW_CHARS = 6, 800, 3_000
 SHORT, NEIGHBOUR_SHARE = 180, 0.95
 
 
+def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            found = batch.column(1)[k].as_buffer().to_pybytes().split(b"\n")
+            width = np.fromiter(map(len, found), np.int64, len(found))
+            end = np.cumsum(width + 1) - 1
+            for a in range(0, len(found), 100_000):
+                z = min(len(found), a + 100_000)
+                ids = batch.column(0).take(pa.array(np.full(z - a, k)))
+                yield pa.record_batch([ids, pa.array(np.arange(a + 1, z + 1)), pa.array(found[a:z], pa.binary()).cast(pa.string()), pa.array((end - width)[a:z]), pa.array(end[a:z])], names=["id", "line_no", "line", "start_byte", "end_byte"])
+
+
 def lines(docs: DataFrame, text: str = "text", id_column: str = "id") -> DataFrame:
     """(id, line_no, line, start_byte, end_byte): lines end at \\n, which no range holds; bytes are those of UTF-8.
 
-    The offsets are a running sum within the document. A null text is empty and so one empty line.
+    The offsets are a running sum within a row, worked out where the row is: nothing is shuffled. A null text is empty
+    and so one empty line.
     """
-    cut = docs.select(F.col(id_column).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "line"))
-    width = F.octet_length("line").cast("long")
-    end = F.sum(width + 1).over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return cut.select("id", (F.col("at") + 1).cast("long").alias("line_no"), "line", (end - width).alias("start_byte"), end.alias("end_byte"))
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = StructType([StructField("id", rows.schema["id"].dataType), *(StructField(n, t) for n, t in (("line_no", LongType()), ("line", StringType()), ("start_byte", LongType()), ("end_byte", LongType())))])
+    return rows.mapInArrow(_cut_lines, schema)
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +27,12 @@ def ranked(df: DataFrame, retriever: str, limit: int, score: str = "score", id_c
 
 def lexical(df: DataFrame, query: str, limit: int, text: str = "text", id_column: str = "id") -> DataFrame:
     """Matching tokens over the root of (distinct query terms times tokens of the text); rows without a match do not count."""
-    terms = query_terms(df, query)
+    terms = query_terms(query)
     return _matching(counted(df.select(F.col(id_column).alias("id"), F.col(text).alias("_text")), terms, "_text"), len(terms), "lexical", limit)
 
 
-def query_terms(df: DataFrame, query: str) -> list[str]:
-    return sorted(set(df.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
+def query_terms(query: str) -> list[str]:
+    return sorted(set(regex.findall(r"[\p{L}\p{N}_-]+", query.lower())))
 
 
 def counted(df: DataFrame, terms: list[str], text: str) -> DataFrame:
@@ -94,10 +95,24 @@ def with_neighbours(df: DataFrame, group: str, order: str, columns: list[str]) -
 
 
 def coverage(df: DataFrame, group: str, score: str, id_column: str, share: float = 0.5) -> DataFrame:
-    """The best rows of each group until they hold a share of its score; the row that crosses it is in."""
+    """The best rows of each group until they hold a share of its score; the row that crosses it is in.
+
+    Running sums go over the histogram of a group's scores, of which there are few beside its rows; only rows of the score
+    at which the share is met are numbered, by id.
+    """
     w = Window.partitionBy(group)
-    before = F.sum(score).over(w.orderBy(F.col(score).desc(), id_column).rowsBetween(Window.unboundedPreceding, 0)) - F.col(score)
-    return df.withColumn("_before", before).withColumn("_all", F.sum(score).over(w)).where(F.col("_before") < share * F.col("_all")).drop("_before", "_all")
+    mass = F.col("_s") * F.col("_n")
+    counts = df.groupBy(group, F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
+    edges = (
+        counts.withColumn("_upto", F.sum(mass).over(w.orderBy(F.col("_s").desc())))
+        .withColumn("_goal", share * F.sum(mass).over(w))
+        .where(F.col("_upto") - mass < F.col("_goal"))
+        .select(F.col(group).alias("_g"), F.col("_s"), F.when(F.col("_upto") >= F.col("_goal"), F.ceil((F.col("_goal") - (F.col("_upto") - mass)) / F.col("_s"))).alias("_take"))
+    )
+    joined = df.join(edges, df[group].eqNullSafe(F.col("_g")) & (df[score] == F.col("_s")))
+    whole, cut = joined.where("_take is null"), joined.where("_take is not null")
+    numbered = cut.withColumn("_k", F.row_number().over(w.orderBy(id_column))).where("_k <= _take")
+    return whole.select(*df.columns).unionByName(numbered.select(*df.columns))
 
 
 def hierarchical(docs: DataFrame, query: str, collection: str, text: str = "text", id_column: str = "id", limit: int = 100) -> DataFrame:
@@ -108,7 +123,7 @@ def hierarchical(docs: DataFrame, query: str, collection: str, text: str = "text
     routed to and the hits reach the driver, a fixed number of each. A text's tokens are those of its sections, so one
     pass over the texts counts for all levels. Rows without an id are left out; those without a collection are in none.
     """
-    terms = query_terms(docs, query)
+    terms = query_terms(query)
     known = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), F.col(collection).alias("collection"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = F.substring(F.encode("text", "UTF-8"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int"))
     parts = known.join(sections(known, id_column="doc").withColumnRenamed("id", "doc"), "doc").select("collection", "doc", "section", F.decode(cut, "UTF-8").alias("text"))

@@ -294,7 +294,7 @@ def _language_sql() -> str:
 @query("language_detect", _language_sql())
 def _(spark, load):
     names = list(tx.MARKERS)
-    low = load("documents").select("doc_id", tx.folded(F.col("text")).alias("low"))
+    low = load("documents").select("doc_id", tx.marked(F.col("text")).alias("low"))
     scored = low.select("doc_id", *[c.alias(n) for n, c in tx.language_scores(F.col("low")).items()])
     best, total = F.greatest(*names), sum((F.col(n) for n in names[1:]), F.col(names[0]))
     pick = F.coalesce(*[F.when(F.col(n) == best, n) for n in names])
@@ -377,10 +377,12 @@ def _(spark, load):
     return tables.delete(e, e.orderBy("label", "vec_id").limit(100), "vec_id").select("vec_id")
 
 
-@query("collection_rollup", "SELECT source, md5(string_agg(md5(text), '' ORDER BY md5(text), doc_id)) AS fingerprint, count(*) AS n FROM documents GROUP BY source")
+@query("collection_rollup", "SELECT source, md5(string_agg(f, '' ORDER BY p)) AS fingerprint, sum(n)::BIGINT AS n FROM (SELECT source, substr(h, 1, 4) AS p, md5(string_agg(h, '' ORDER BY h)) AS f, count(*) AS n FROM (SELECT source, md5(text) AS h FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def _(spark, load):
+    """The digests of a collection, ordered, are digested by their first four digits and then together: two short lists."""
     d = load("documents").select("source", F.md5("text").alias("h"))
-    return d.groupBy("source").agg(F.md5(F.expr("listagg(h, '') WITHIN GROUP (ORDER BY h)")).alias("fingerprint"), F.count("*").alias("n"))
+    parts = d.groupBy("source", F.substring("h", 1, 4).alias("p")).agg(F.md5(F.expr("listagg(h, '') WITHIN GROUP (ORDER BY h)")).alias("f"), F.count("*").alias("n"))
+    return parts.groupBy("source").agg(F.md5(F.expr("listagg(f, '') WITHIN GROUP (ORDER BY p)")).alias("fingerprint"), F.sum("n").alias("n"))
 
 
 # graph

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def event_stream(spark: SparkSession, folder: str, watermark: str = "1 hour", pattern: str = "events.parquet") -> DataFrame:
     """The events of a folder as a stream; times become instants, which a watermark needs."""
@@ -27,10 +29,18 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what its source holds now and return its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what its source holds now and return its result table, which is written and not kept by the driver.
+
+    In complete mode the last batch is the result, in append and update mode each batch adds rows.
+    """
+    folder = shared_dir(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{name}" + ("" if mode == "complete" else f"/batch={number}"))
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{name}")
