@@ -109,18 +109,19 @@ def _packed(units: pd.Series, target: pd.Series, hard: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def packed(units: DataFrame, target: int = TARGET_TOKENS, hard: int = HARD_TOKENS) -> DataFrame:
-    """Units (id, ordinal, type, text) with the passage each falls into: a new passage starts where the next unit would
+def packed(units: DataFrame, target: int = TARGET_TOKENS, hard: int = HARD_TOKENS, keys: list[str] | None = None) -> DataFrame:
+    """Units (id, ordinal, type, text, or keys in place of id) with the passage each falls into: a new passage starts where the next unit would
     pass the target, after the hard limit and between code, tables or front matter and the rest. Units above the hard
     limit are cut first. Token counts and types alone go through Python, a document at a time.
     """
     step = hard * 4
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / step).cast("int")), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(step)))
-    cut = units.select("id", "ordinal", "type", F.posexplode(pieces).alias("piece", "text"))
+    keys = keys or ["id"]
+    cut = units.select(*keys, "ordinal", "type", F.posexplode(pieces).alias("piece", "text"))
     tokens = F.greatest(F.lit(1), F.ceil(F.length("text") / 4)).cast("int")
-    listed = cut.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "piece", "type", tokens.alias("tokens")))).alias("u"))
-    zipped = listed.select("id", F.explode(F.arrays_zip(F.col("u"), _packed("u", F.lit(target), F.lit(hard)).alias("passage"))).alias("z"))
-    return zipped.select("id", "z.u.ordinal", "z.u.piece", "z.u.type", "z.u.tokens", "z.passage")
+    listed = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", "piece", "type", tokens.alias("tokens")))).alias("u"))
+    zipped = listed.select(*keys, F.explode(F.arrays_zip(F.col("u"), _packed("u", F.lit(target), F.lit(hard)).alias("passage"))).alias("z"))
+    return zipped.select(*keys, "z.u.ordinal", "z.u.piece", "z.u.type", "z.u.tokens", "z.passage")
 
 
 def verified(evidence: DataFrame, docs: DataFrame, tokens: list[str], text: str = "text", id_column: str = "id") -> DataFrame:

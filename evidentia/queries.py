@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import entities as ent
 from .functions import text as tx
-from .operators import evidence, govern, graph, observe, passages, retrieval
+from .operators import evidence, govern, graph, markdown, observe, passages, planning, retrieval, scoring
 from .plans import semantic, store_query
 from .sources import tables
 from .streaming import events as streaming
@@ -845,4 +845,202 @@ def _(spark, load):
     return govern.health_report(_states(load))
 
 
+
+# Markdown, written around the driver's documents, which hold none
+
+MARKDOWN = [
+    ("front_matter", 0, "---\ntype: Contract\njurisdiction: P{k}\nparties:\n- \"A{k}\"\n- B\nvalid_from: 2024-01-01\nvalid_to: never\n---\n"),
+    ("heading", 1, "# Title {k}\n"), ("paragraph", 1, "First line {k}.\nSecond {w}\n\n"), ("heading", 2, "## Part {k}\n"), ("table", 2, "| a | b |\n|---|---|\n| {k} | 2 |\n\n"),
+    ("code", 2, "```\n# no heading {k}\n\n```\n"), ("list", 2, "- item {k}\n- other\n\n"), ("heading", 3, "Article {k} Scope\n"), ("quote", 3, "> said {k}"),
+]
+
+
+def _markdown(load) -> DataFrame:
+    d = load("documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("w"))
+    d = d.withColumn("w", F.regexp_replace("w", r"\s+", " "))
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("doc_id").cast("string")), F.lit("{w}"), F.col("w"))
+    return d.select("doc_id", F.concat(*[fill(t) for _, _, t in MARKDOWN]).alias("text"))
+
+
+def _markdown_sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    rows = " UNION ALL ".join(f"SELECT doc_id AS id, {o} AS ordinal, {s} AS section, '{kind}' AS type, replace(replace({quote(t)}, '{{k}}', doc_id::VARCHAR), '{{w}}', regexp_replace(substr(coalesce(text, ''), 1, 40), '\\s+', ' ', 'g')) AS text FROM documents" for o, (kind, s, t) in enumerate(MARKDOWN))
+    return f"SELECT *, sum(strlen(text)) OVER (PARTITION BY id ORDER BY ordinal)::BIGINT AS end_byte FROM ({rows})"
+
+
+@query("markdown_units", f"SELECT id, ordinal, section, type, md5(text) AS digest, end_byte - strlen(text) AS start_byte, end_byte FROM ({_markdown_sql()})")
+def _(spark, load):
+    return markdown.units(_markdown(load), id_column="doc_id").select("id", "ordinal", "section", "type", F.md5("text").alias("digest"), "start_byte", "end_byte")
+
+
+@query("markdown_passages", f"SELECT id, section, passage, md5(string_agg(text, '' ORDER BY ordinal)) AS digest, min(end_byte - strlen(text))::BIGINT AS start_byte, max(end_byte) AS end_byte FROM (SELECT *, CASE WHEN type IN ('table', 'code') THEN ordinal WHEN ordinal = 3 THEN 0 ELSE 99 END AS g, CASE WHEN section < 2 OR section = 3 OR ordinal = 3 THEN 0 WHEN ordinal = 4 THEN 1 WHEN ordinal = 5 THEN 2 ELSE 3 END AS passage FROM ({_markdown_sql()}) WHERE type <> 'front_matter') GROUP BY 1, 2, 3")
+def _(spark, load):
+    return markdown.passages(_markdown(load), id_column="doc_id").select("id", "section", "passage", F.md5("text").alias("digest"), "start_byte", "end_byte")
+
+
+@query("markdown_heading_paths", f"SELECT id, section, CASE section WHEN 1 THEN 'Title ' || id WHEN 2 THEN 'Title ' || id || ' > Part ' || id ELSE 'Title ' || id || ' > Article ' || id || ' Scope' END AS path FROM ({_markdown_sql()}) WHERE type = 'heading'")
+def _(spark, load):
+    return markdown.units(_markdown(load), id_column="doc_id").where("type = 'heading'").select("id", "section", F.array_join("path", " > ").alias("path"))
+
+
+@query("markdown_front_matter", "SELECT doc_id, 'Contract' AS document_type, 'P' || doc_id AS jurisdiction, 'A' || doc_id || ',B' AS parties, '2024-01-01' AS valid_from, NULL::VARCHAR AS valid_to FROM documents")
+def _(spark, load):
+    found = _markdown(load).select("doc_id", markdown.front_matter(F.col("text")).alias("f"))
+    return found.select("doc_id", "f.document_type", "f.jurisdiction", F.array_join("f.parties", ",").alias("parties"), "f.valid_from", "f.valid_to")
+
+
+# what questions ask for
+
+#: question, intent, references, entities, parts, types and day; {k} is the customer's key.
+QUESTIONS = [
+    ("Compare  Acme Corp versus Beta Works", "comparison", "", "Compare Acme Corp;Beta Works", "Acme Corp;Beta Works;Compare Acme Corp Compare Acme Corp versus Beta Works;Beta Works Compare Acme Corp versus Beta Works", "", None),
+    ("Why did ORD-{k}00 fail", "diagnostic", "ORD-{k}00", "", "ORD-{k}00;Why did ORD-{k}00 fail root cause;Why did ORD-{k}00 fail fix workaround resolution", "", None),
+    ("What does clause {k} say as of 2025-01-01?", "as_of", "clause {k};2025-01-01", "", "clause {k};2025-01-01", "", "2025-01-01"),
+    ("Summarize type:Contract jurisdiction:PL across Blue River", "broad_synthesis", "", "Blue River", "Blue River", "contract", None),
+    ("how many units of item {k} are left", "fact_lookup", "", "", "", "", None),
+    ('"net price {k}" in the offer', "exact_reference", "", "", "", "", None),
+    ("send 1{k}0 EUR to a{k}@b.com", "exact_reference", "a{k}@b.com;1{k}0 EUR", "", "a{k}@b.com;1{k}0 EUR", "", None),
+    ("termination of the payment", "fact_lookup", "", "", "", "", None),
+]
+
+
+def _questions(load) -> DataFrame:
+    k = F.col("c_custkey")
+    asked = F.element_at(F.array(*[F.lit(q[0]) for q in QUESTIONS]), (k % len(QUESTIONS) + 1).cast("int"))
+    return load("customer").select(k.alias("id"), F.replace(asked, F.lit("{k}"), k.cast("string")).alias("text"))
+
+
+def _questions_sql(column: int) -> str:
+    of = "[" + ", ".join("NULL" if q[column] is None else "'" + q[column].replace("'", "''") + "'" for q in QUESTIONS) + "]"
+    return f"replace(({of})[c_custkey % {len(QUESTIONS)} + 1], '{{k}}', c_custkey::VARCHAR)"
+
+
+@query("question_plan", f"SELECT c_custkey AS id, {_questions_sql(1)} AS intent, {_questions_sql(2)} AS refs, {_questions_sql(3)} AS entities, {_questions_sql(4)} AS parts, {_questions_sql(5)} AS types, {_questions_sql(6)}::DATE AS as_of FROM customer")
+def _(spark, load):
+    found = planning.planned(_questions(load))
+    names = F.transform("parts", lambda p: p["query"])
+    return found.select("id", "intent", F.array_join("references", ";").alias("refs"), F.array_join("entities", ";").alias("entities"), F.array_join(names, ";").alias("parts"), F.array_join("filters.types", ";").alias("types"), "filters.as_of")
+
+
+@query("question_translations", "SELECT c_custkey AS id, 'wypowiedzenie of the payment;rozwiązanie umowy of the payment;kündigung of the payment' AS variants FROM customer WHERE c_custkey % 8 = 7")
+def _(spark, load):
+    return _questions(load).select("id", F.array_join(planning.translations(F.col("text"), ["pl", "de"]), ";").alias("variants")).where("variants <> ''")
+
+
+USERS = "SELECT conv_id, turn, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 1200) AS q FROM conversations WHERE role = 'user'"
+
+
+@query("question_rewrite", f"SELECT conv_id, CASE WHEN short THEN 'deterministic' ELSE 'identity' END AS method, md5(CASE WHEN short THEN substr(b, 1, 300) || ' ' || q ELSE q END) AS digest FROM (SELECT *, len(string_split(q, ' ')) <= 8 AND b IS NOT NULL AS short FROM (SELECT *, row_number() OVER w AS n, lead(q) OVER w AS b FROM ({USERS}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE n = 1)")
+def _(spark, load):
+    return planning.standalone(load("conversations")).select("conv_id", "method", F.md5("query").alias("digest"))
+
+
+
+# scorers and measures
+
+KINDS = ("equals", "contains", "json_schema", "citation_count", "tool_sequence", "cost_budget", "policy_decision", "retrieval_recall_at_k", "unknown")
+
+
+@query("case_scorers", "SELECT case_id, scorer_id, round(CASE scorer_id WHEN 0 THEN (event_type = 'click')::INT WHEN 1 THEN contains(event_type, 'i')::INT WHEN 2 THEN (case_id % 3 = 2)::INT WHEN 3 THEN least(1, (case_id % 3) / 2.0) WHEN 4 THEN (case_id % 3 = 1)::INT WHEN 5 THEN CASE WHEN value <= 10 THEN 1 ELSE 10 / value END WHEN 6 THEN (case_id % 3 > 0)::INT WHEN 7 THEN (case_id % 3 > 0)::INT ELSE 0 END, 6)::DOUBLE AS score FROM (SELECT event_id AS case_id, event_type, value, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 1, 5] ELSE [2, 3, 4, 6, 7, 8] END) AS scorer_id FROM events)")
+def _(spark, load):
+    e, k = load("events"), F.col("event_id") % 3
+    found = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), k.cast("int"))
+    own = F.when(F.col("event_id") % 4 == 0, F.array(F.lit(0), F.lit(1), F.lit(5))).otherwise(F.array().cast("array<int>")).cast("array<string>")
+    cases = e.select(F.col("event_id").alias("case_id"), own.alias("scorer_ids"), F.col("event_type").alias("actual"), found.alias("found"), F.col("value").alias("amount"))
+    scorers = spark.createDataFrame(
+        [(str(n), t, {0: "click", 1: "i", 6: "a"}.get(n), {2: ["a", "b"], 4: ["a"], 7: ["a"]}.get(n), {3: 2.0, 5: 10.0}.get(n), 0.5) for n, t in enumerate(KINDS)],
+        "scorer_id string, type string, expected string, wanted array<string>, budget double, threshold double",
+    )
+    found = scoring.scored(scoring.paired(cases, scorers, ["2", "3", "4", "6", "7", "8"]))
+    return found.select("case_id", F.col("scorer_id").cast("int").alias("scorer_id"), F.round("score", 6).alias("score"))
+
+
+@query("answer_rubric", r"SELECT doc_id, (regexp_matches(text, '(?i)the|und') AND regexp_matches(text, '(?i)[0-9]') AND NOT regexp_matches(text, '(?i)idiot') AND trim(text) <> '')::INT AS score FROM documents")
+def _(spark, load):
+    required = F.array(F.array(F.lit("THE"), F.lit("und")), F.array(F.lit("[0-9]")))
+    return load("documents").select("doc_id", scoring.rubric(F.col("text"), required, F.array(F.lit("idiot"))).alias("score"))
+
+
+SPANS = "SELECT user_id AS trace_id, event_id, CASE event_type WHEN 'view' THEN 'retriever' WHEN 'click' THEN 'tool' WHEN 'purchase' THEN 'guardrail' ELSE 'llm' END AS kind, CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'ok' END AS status, value AS duration, event_id % 3 AS cites, CASE WHEN event_id % 2 = 0 THEN 'denied' ELSE 'allowed' END AS policy FROM events"
+TRACES = f"SELECT trace_id, CASE WHEN count(*) FILTER (status = 'error') > 10 THEN 'error' ELSE 'ok' END AS status, sum(event_id % 7) AS input_tokens, sum(event_id % 3) AS output_tokens, sum(duration) / 1000 AS cost, max(duration) AS duration FROM ({SPANS}) GROUP BY 1"
+
+
+def _spans(load) -> DataFrame:
+    e, kind = F.col("event_id"), F.col("event_type")
+    return load("events").select(
+        F.col("user_id").alias("trace_id"), "event_id", F.when(kind == "view", "retriever").when(kind == "click", "tool").when(kind == "purchase", "guardrail").otherwise("llm").alias("kind"),
+        F.when(e % 5 == 0, "error").otherwise("ok").alias("status"), F.col("value").alias("duration"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (e % 3).cast("int")).alias("citations"),
+        F.when(e % 2 == 0, "denied").otherwise("allowed").alias("policy"),
+    )
+
+
+def _traces(load) -> DataFrame:
+    return _spans(load).groupBy("trace_id").agg(
+        F.when(F.count_if(F.col("status") == "error") > 10, "error").otherwise("ok").alias("status"), F.sum(F.col("event_id") % 7).alias("input_tokens"), F.sum(F.col("event_id") % 3).alias("output_tokens"),
+        (F.sum("duration") / 1000).alias("cost"), F.max("duration").alias("duration"),
+    )
+
+
+def _outcomes(load) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "verified_completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("escalated")
+    return load("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("baseline_id"), status.alias("status"), *[(F.col("o_orderkey") % n).cast("double").alias(c) for c, n in (("active_minutes", 20), ("review_minutes", 7), ("rework_minutes", 5))], (F.col("o_orderkey") % 3).cast("double").alias("additional_value"))
+
+
+def _measures_sql() -> str:
+    parts = {
+        "traces": (f"({TRACES})", {"total": "count(*)", "completed": "count(*) FILTER (status = 'ok')", "errors": "count(*) FILTER (status = 'error')"}),
+        "tokens": (f"({TRACES})", {"input": "sum(input_tokens)", "output": "sum(output_tokens)", "cost_usd": "round(sum(cost), 6)"}),
+        "latency": (f"({TRACES})", {"average": "round(avg(duration), 6)", "p50": "quantile_disc(duration, 0.5)", "p95": "quantile_disc(duration, 0.95)", "p99": "quantile_disc(duration, 0.99)"}),
+        "retrieval": (f"({SPANS})", {"operations": "count(*) FILTER (kind = 'retriever')", "average_latency": "round(avg(duration) FILTER (kind = 'retriever'), 6)"}),
+        "actions": (f"({SPANS})", {"attempted": "count(*) FILTER (kind = 'tool')", "succeeded": "count(*) FILTER (kind = 'tool' AND status = 'ok')", "failed": "count(*) FILTER (kind = 'tool' AND status = 'error')", "success_rate": "round(count(*) FILTER (kind = 'tool' AND status = 'ok') / count(*) FILTER (kind = 'tool'), 6)"}),
+        "policy": (f"({SPANS})", {"decisions": "count(*) FILTER (kind = 'guardrail')", "denied": "count(*) FILTER (kind = 'guardrail' AND policy = 'denied')", "deny_rate": "round(count(*) FILTER (kind = 'guardrail' AND policy = 'denied') / count(*) FILTER (kind = 'guardrail'), 6)"}),
+        "citations": (f"({SPANS})", {"resolved": "sum(cites)", "traces_with_citations": "count(DISTINCT trace_id) FILTER (cites > 0)"}),
+        "workflows": ("orders", {"outcomes": "count(*)", "verified": "count(*) FILTER (o_orderstatus = 'F')", "failed": "count(*) FILTER (o_orderstatus = 'O')", "escalated": "count(*) FILTER (o_orderstatus NOT IN ('F', 'O'))", "completion_rate": "round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6)", "escalation_rate": "round(count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) / count(*), 6)"}),
+        "evaluations": ("labels", {"runs": "count(*)", "passed": "count(*) FILTER (quality = 1)", "pass_rate": "round(count(*) FILTER (quality = 1) / count(*), 6)"}),
+    }
+    every = [f"SELECT '{g}' AS \"group\", '{m}' AS metric, ({e})::DOUBLE AS value FROM {source}" for g, (source, found) in parts.items() for m, e in found.items()]
+    return " UNION ALL ".join([*every, f"SELECT 'spans', kind, count(*)::DOUBLE FROM ({SPANS}) GROUP BY kind"])
+
+
+@query("metrics_measures", _measures_sql())
+def _(spark, load):
+    runs = load("labels").select(F.lit("completed").alias("status"), (F.col("quality") == 1).alias("passed"))
+    return scoring.measures(_traces(load), _spans(load), _outcomes(load), runs)
+
+
+SAVED = "greatest(0, 60.0::DOUBLE - o_orderkey % 20 - o_orderkey % 7 - o_orderkey % 5) / 60"
+
+
+@query("roi_total", f"SELECT *, round(total_benefit - total_cost, 4) AS net_benefit, round((total_benefit - total_cost) / total_cost, 2) AS roi FROM (SELECT count(*) AS verified_outcomes, round(sum({SAVED}) FILTER (o_custkey % 7 < 5), 6) AS time_saved_hours, round(sum({SAVED} * 120 + o_orderkey % 3) FILTER (o_custkey % 7 < 5), 4) AS total_benefit, round((SELECT sum(value) / 1000 FROM events) + 50, 4) AS total_cost FROM orders WHERE o_orderstatus = 'F')")
+def _(spark, load):
+    baselines = spark.range(5).select(F.col("id").alias("baseline_id"), F.lit(60.0).alias("manual_minutes"), F.lit(120.0).alias("hourly_rate"), F.lit(10.0).alias("fixed_cost"))
+    return scoring.returns(baselines, _outcomes(load).where("status = 'verified_completed'"), _traces(load)).withColumn("roi", F.round("roi", 2)).drop("payback_outcomes")
+
+
+@query("ir_by_category", "SELECT category, count(*) AS cases, round(avg(v), 6) AS v FROM (SELECT event_type AS category, event_id % 5 / 4.0 AS v FROM events) GROUP BY GROUPING SETS ((), (category))")
+def _(spark, load):
+    cases = load("events").select(F.col("event_type").alias("category"), (F.col("event_id") % 5 / 4).alias("v"))
+    return scoring.summary(cases, "category", ["v"])
+
+
+@query("authorization_leakage", "SELECT user_id AS case_id, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS leakage FROM events GROUP BY 1")
+def _(spark, load):
+    e = load("events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("id"), "event_type")
+    return scoring.leakage(e.drop("event_type"), e.where("event_type = 'purchase'").drop("event_type"))
+
+
+@query("citation_correctness", "SELECT source AS case_id, round(avg((doc_id % 4 <> 0)::INT), 6) AS citation_correctness FROM documents GROUP BY 1")
+def _(spark, load):
+    passages_ = load("documents").select(F.col("doc_id").alias("id"), "source", F.lit(0).alias("start_byte"), F.col("n_chars").alias("end_byte"), F.sha2("text", 256).alias("content_sha256"))
+    stale = F.when(F.col("id") % 4 == 0, F.lit("x")).otherwise(F.col("content_sha256"))
+    return scoring.citation_validity(passages_.withColumn("content_sha256", stale).withColumnRenamed("source", "case_id"), passages_.drop("source"))
+
+
+@query("census_hll_error", "SELECT event_type, true AS near FROM events GROUP BY 1")
+def _(spark, load):
+    """Whether the sketch of 2^14 registers is within three standard errors of the exact number."""
+    found = load("events").groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("event_id", F.lit(14))).alias("e"), F.count_distinct("event_id").alias("n"))
+    return found.select("event_type", (F.abs(F.col("e") - F.col("n")) <= 3 * 0.0081 * F.col("n")).alias("near"))
+
+
 SQL["graph_ingest"] = SQL["graph_ingest"].replace("$ENTITY$", _entity_sql())
