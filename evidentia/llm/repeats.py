@@ -39,7 +39,7 @@ LAST = 2**63 - 1
 CONTEXT = "b int, key long, d1 long, d2 long, n long, doc long, lo int, size int"
 VERDICT = "b int, lo int, size int, bits binary"
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_BASE, _INVERSE, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64), 0xC2B2AE3D27D4EB4F))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -57,28 +57,19 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def rolling(a: np.ndarray, length: int, odd: np.uint64) -> np.ndarray:
-    """A polynomial hash of every run of length tokens, by doubling; entries near the end mean nothing."""
-    total, done, power = None, 0, odd
-    part, size = a.copy(), 1
-    with np.errstate(over="ignore"):
-        while True:
-            if length & size:
-                if total is None:
-                    total, done = part.copy(), size
-                else:
-                    grown = total * power
-                    grown[: len(a) - done] += part[done:]
-                    total, done = grown, done + size
-            if size * 2 > length:
-                break
-            grown = part * power
-            grown[: len(a) - size] += part[size:]
-            part, power, size = grown, power * power, size * 2
-        total ^= total >> np.uint64(29)
-        total *= _ODD[1]
-        total ^= total >> np.uint64(32)
-    return total
+def rolling(a: np.ndarray, length: int) -> np.ndarray:
+    """A polynomial hash of every run of length tokens, from differences of running sums; entries near the end are zero."""
+    n, out = len(a), np.zeros(len(a), np.uint64)
+    if n < length:
+        return out
+    power = lambda base: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(a * power(_BASE))))
+    h = (total[length:] - total[:-length]) * power(_INVERSE)[: n - length + 1]
+    h ^= h >> np.uint64(29)
+    h *= _MIX
+    h ^= h >> np.uint64(32)
+    out[: len(h)] = h
+    return out
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -95,7 +86,7 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Windows lo..hi (places in the block) that share an anchor, and its hash; whole: where whole windows start."""
+    """Windows lo..hi (places in the block) that share an anchor, and its hash."""
 
     lo: np.ndarray
     hi: np.ndarray
@@ -103,40 +94,22 @@ class Runs:
 
 
 def find_runs(tokens: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> Runs:
-    """The runs of a block of documents with the given token counts, laid end to end."""
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    """The runs of a block of documents with the given token counts, laid end to end.
+
+    A window's anchor is the leftmost of its places whose hash is smallest in the upper 32 bits: with the place in the
+    lower ones, a minimum over the window's places tells it. What it hangs on is inside the window alone.
+    """
     long = sizes >= length
     if not long.any():
         return Runs(*(np.empty(0, np.int64),) * 2, np.empty(0, np.uint64))
-    h = rolling(tokens, anchor, _ODD[0])
-    width = length - anchor + 1
-    low = sliding_min(h, width)
+    h = rolling(tokens, anchor)
+    least = sliding_min((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), length - anchor + 1)
     counts = (sizes - length + 1)[long]
-    windows = np.repeat(starts[long] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    # a place is chosen if its hash is the minimum of a window that holds it; the leftmost such place is a window's anchor
-    least = low[windows]
-    chosen = np.zeros(len(h), bool)
-    reach = np.zeros(len(h), np.uint64)
-    reach[windows] = least
-    back = reach[::-1].copy()
-    top, size = back, 1
-    while size * 2 <= width:
-        top[:-size] = np.maximum(top[:-size], top[size:])
-        size *= 2
-    if width - size:
-        top[: -(width - size)] = np.maximum(top[: -(width - size)], top[width - size :])
-    chosen = top[::-1] == h
-    places = np.flatnonzero(chosen)
-    at = np.searchsorted(places, windows)
-    wrong = np.flatnonzero(h[places[at]] != least)
-    while len(wrong):
-        at[wrong] += 1
-        wrong = wrong[h[places[at[wrong]]] != least[wrong]]
-    anchor_at = places[at]
-    new = np.flatnonzero(np.concatenate(([True], (anchor_at[1:] != anchor_at[:-1]) | (windows[1:] != windows[:-1] + 1))))
-    last = np.concatenate((new[1:], [len(windows)])) - 1
-    return Runs(windows[new], windows[last], h[anchor_at[new]])
+    windows = _spread((np.cumsum(sizes) - sizes)[long], counts)
+    at = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1))))
+    last = np.append(new[1:], len(windows)) - 1
+    return Runs(windows[new], windows[last], h[at[new]])
 
 
 @dataclass

@@ -21,7 +21,7 @@ class Suffixes:
 
     def order(self, places: np.ndarray) -> np.ndarray:
         """The places in the order of their suffixes, the smaller place first where ranks are equal."""
-        return places[np.lexsort((places, self.ranks[-1][places]))]
+        return places[np.argsort(self.ranks[-1][places].astype(np.int64) * len(self.tokens) + places)]
 
     def common(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """How many tokens the suffixes at a and b have in common, limit at most.
@@ -53,7 +53,7 @@ def refined(tokens: np.ndarray, first: np.ndarray, start: int, depth: int) -> Su
     suffixes that stand alone are not touched again.
     """
     n = len(tokens)
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     new = np.flatnonzero(np.concatenate(([True], first[order][1:] != first[order][:-1]))) if n else np.empty(0, np.int64)
     sizes = np.diff(np.append(new, n))
     rank = np.empty(n, np.int32)
@@ -66,7 +66,7 @@ def refined(tokens: np.ndarray, first: np.ndarray, start: int, depth: int) -> Su
             after = open_ + reached
             follow = np.where(after < n, ranks[-1][np.minimum(after, n - 1)] + 1, 0)
             old = ranks[-1][open_]
-            place = np.argsort(old.astype(np.int64) * (n + 1) + follow, kind="stable")
+            place = np.argsort(old.astype(np.int64) * (n + 1) + follow)
             open_, old, follow = open_[place], old[place], follow[place]
             at = np.arange(len(open_))
             group = np.concatenate(([True], old[1:] != old[:-1]))

@@ -16,7 +16,7 @@ PREFIXES = (6, 12, LENGTH)
 
 
 _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_BASE, _INVERSE, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64), 0xC2B2AE3D27D4EB4F))
+_BASE, _INVERSE, _MIX = (np.uint64(x) for x in (0x27D4EB2F165667C5, pow(0x27D4EB2F165667C5, -1, 2**64), 0xC2B2AE3D27D4EB4F))
 
 
 def word_block(texts: list[bytes]) -> repeats.Block:
