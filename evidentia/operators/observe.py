@@ -23,8 +23,8 @@ def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, floa
     counted = placed.groupBy(*by, "_bucket", "_all").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket"))
     goals = F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(s))).alias("rank")) for n, s in shares.items()])
-    wanted = counted.withColumn("_upto", upto).select(*by, "_bucket", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.explode(goals).alias("g")).where("g.rank > _before AND g.rank <= _upto")
-    wanted = wanted.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("_bucket").alias("_b"), (F.col("g.rank") - F.col("_before")).alias("_rank"), F.col("g.name").alias("_name"))
+    wanted = counted.withColumn("_upto", upto).select(*by, "_bucket", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.explode(goals).alias("_goal")).where("_goal.rank > _before AND _goal.rank <= _upto")
+    wanted = wanted.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("_bucket").alias("_b"), (F.col("_goal.rank") - F.col("_before")).alias("_rank"), F.col("_goal.name").alias("_name"))
     near = placed.join(wanted, same & (F.col("_bucket") == F.col("_b"))).select(*by, "_name", "_rank", "_v")
     values = near.groupBy(*by, "_name", "_rank", "_v").agg(F.count("*").alias("_n"))
     reached = values.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_name").orderBy("_v"))).where("_upto >= _rank")
