@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import entities as ent
 from .functions import text as tx
-from .operators import evidence, govern, graph, markdown, observe, passages, planning, retrieval, scoring
+from .functions import values
+from .operators import corpus, evidence, govern, graph, markdown, observe, passages, planning, retrieval, scoring
 from .plans import semantic, store_query
 from .sources import tables
 from .streaming import events as streaming
@@ -1043,4 +1044,141 @@ def _(spark, load):
     return found.select("event_type", (F.abs(F.col("e") - F.col("n")) <= 3 * 0.0081 * F.col("n")).alias("near"))
 
 
+
+# corpus life, values and paths
+
+@query("language_profile", f"WITH s AS (SELECT doc_id, unnest(['pl', 'en', 'de', 'fr', 'es']) AS language, unnest([{_language_sql().split('SELECT doc_id, ', 1)[1].split(' FROM (SELECT doc_id, text', 1)[0].replace(' AS pl', '').replace(' AS en', '').replace(' AS de', '').replace(' AS fr', '').replace(' AS es', '')}]) AS score FROM (SELECT doc_id, text, ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' AS l FROM documents)) SELECT doc_id, round(max(score) / nullif(sum(score), 0), 6) AS confidence, count(*) FILTER (score / t >= 0.2) > 1 AS mixed FROM (SELECT *, greatest(sum(score) OVER (PARTITION BY doc_id), 1) AS t FROM s) GROUP BY 1")
+def _(spark, load):
+    names = list(tx.MARKERS)
+    scored = load("documents").select("doc_id", tx.marked(F.col("text")).alias("low")).select("doc_id", *[c.alias(n) for n, c in tx.language_scores(F.col("low")).items()])
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    shares = F.filter(F.array(*names), lambda s: s / F.greatest(total, F.lit(1.0)) >= 0.2)
+    return scored.select("doc_id", F.round(F.greatest(*names) / F.nullif(total, F.lit(0.0)), 6).alias("confidence"), (F.size(shares) > 1).alias("mixed"))
+
+
+@query("language_totals", "SELECT source, language, round(w / sum(w) OVER (PARTITION BY source), 6) AS share FROM (SELECT source, language, sum(w) AS w FROM (SELECT source, lang AS language, 0.75 * n_chars AS w FROM documents UNION ALL SELECT source, 'und', 0.25 * n_chars FROM documents) GROUP BY 1, 2)")
+def _(spark, load):
+    d = load("documents").select("source", F.col("n_chars").alias("tokens"), F.create_map(F.col("lang"), F.lit(0.75), F.lit("und"), F.lit(0.25)).alias("distribution"))
+    return corpus.language_totals(d, "source")
+
+
+@query("path_classes", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'authority' WHEN page_id % 3 = 1 THEN 'archive' ELSE 'current' END AS class FROM pages")
+def _(spark, load):
+    folder = F.element_at(F.array(F.lit("/x/Signed/"), F.lit("old/"), F.lit("/signedx/older/")), (F.col("page_id") % 3 + 1).cast("int"))
+    return load("pages").select("page_id", values.path_class(F.concat(folder, F.col("page_id").cast("string"))).alias("class"))
+
+
+@query("path_access", "SELECT page_id, page_id % 4 = 0 AS allowed, CASE page_id % 4 WHEN 1 THEN 'Denied path fragment matched: .git/' WHEN 2 THEN 'Path is outside configured workspace roots.' WHEN 3 THEN 'Workspace root is read-only.' END AS reason, page_id % 4 = 0 AS high_risk FROM pages")
+def _(spark, load):
+    path = F.element_at(F.array(F.lit("/w/a/run.SH"), F.lit("/w/.GIT/x"), F.lit("/wx/a"), F.lit("/r/a.md")), (F.col("page_id") % 4 + 1).cast("int"))
+    return load("pages").select("page_id", values.access(path, "write", {"/w": "read-write", "/r": "read-only"}, [".git/"], [".sh"]).alias("a")).select("page_id", "a.*")
+
+
+@query("snippets", r"SELECT doc_id, md5(trim(regexp_replace(substr(text, greatest(1, pos - 120), pos + 280 - greatest(1, pos - 120)), '\s+', ' ', 'g'))) AS digest FROM (SELECT doc_id, text, coalesce(least(nullif(instr(lower(text), 'the'), 0), nullif(instr(lower(text), 'und'), 0)), 1) AS pos FROM documents)")
+def _(spark, load):
+    return load("documents").select("doc_id", F.md5(values.snippet(F.col("text"), ["The", "und"])).alias("digest"))
+
+
+@query("canonical_digest", "SELECT event_id, sha256('{\"a\":[1,{\"b\":null,\"k\":' || json_extract_string(props, '$.k') || '}],\"z\":\"é\"}') AS digest FROM events")
+def _(spark, load):
+    text = F.concat(F.lit('{"z": "\\u00e9", "a": [1, {"k": '), F.get_json_object("props", "$.k"), F.lit(', "b": null}]}'))
+    return load("events").select("event_id", values.canonical_sha256(text).alias("digest"))
+
+
+@query("redact_nested", "SELECT event_id, '{\"api_key\":\"[REDACTED]\",\"in\":{\"list\":[\"Bearer [REDACTED]\",' || event_id || ']}}' AS value FROM events")
+def _(spark, load):
+    text = F.concat(F.lit('{"in": {"list": ["Bearer abcdefghijklmnop", '), F.col("event_id").cast("string"), F.lit(']}, "api_key": "x"}'))
+    return load("events").select("event_id", values.redacted_json(text).alias("value"))
+
+
+@query("schema_faults", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '$.k Expected integer.' WHEN event_id % 3 = 1 THEN '$.name Required field is missing.' ELSE '' END AS faults FROM events")
+def _(spark, load):
+    schema = {"type": "object", "properties": {"k": {"type": "integer"}, "name": {"type": "string", "minLength": 1}}, "required": ["name"]}
+    e = F.col("event_id") % 3
+    text = F.when(e == 0, '{"k": "x", "name": "n"}').when(e == 1, '{"k": 1}').otherwise('{"k": 2, "name": "n"}')
+    return load("events").select("event_id", F.array_join(F.transform(values.checked(text, schema), lambda f: F.concat_ws(" ", f["path"], f["message"])), ";").alias("faults"))
+
+
+@query("source_attention", f"SELECT id, health IN ('down', 'degraded') OR staleness IN ('stale', 'expired') OR permission = 'denied' AS attention, CASE id % 4 WHEN 0 THEN 'T' || id || ': u' WHEN 1 THEN 'T' || id || ': u' WHEN 2 THEN 'T' || id || ' (' || id || ')' ELSE 'Citation suppressed for T' || id END AS citation FROM ({STATES})")
+def _(spark, load):
+    s = _states(load)
+    policy = F.element_at(F.array(*map(F.lit, ("cite_link", "cite_path", "cite_query", "do_not_cite"))), (F.col("id") % 4 + 1).cast("int"))
+    return s.select("id", values.needs_attention(F.col("health"), F.col("staleness"), F.col("permission")).alias("attention"), values.citation(policy, F.concat(F.lit("T"), "id"), F.lit("u"), F.col("id").cast("string")).alias("citation"))
+
+
+@query("fnv_hash", "SELECT n_name, CASE WHEN n_nationkey >= 0 THEN h END AS digest FROM (SELECT n_name, n_nationkey, lower(to_hex(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(n_name, ''), lambda c: ord(c)::HUGEINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296)::BIGINT)) AS h FROM nation)")
+def _(spark, load):
+    return load("nation").select("n_name", values.fnv1a(F.col("n_name")).alias("digest"))
+
+
+@query("corpus_orphans", "SELECT 'document' AS level, vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'section', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'summary', doc_id FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def _(spark, load):
+    d, lab, v = load("documents").select(F.col("doc_id").alias("id")), load("labels").select(F.col("doc_id").alias("id")), load("embeddings").select(F.col("vec_id").alias("id"))
+    return corpus.orphans({"document": (v, d), "section": (v, lab), "summary": (lab, v)}, "id")
+
+
+@query("generation_validation", "SELECT r_regionkey AS generation, n AS documents, s AS sections, p AS passages, n > 0 AND s >= n AND p >= s AS valid FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey JOIN (SELECT n_regionkey AS a, count(*) AS s FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1) ON a = r_regionkey JOIN (SELECT n_regionkey AS b, count(*) AS p FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) ON b = r_regionkey")
+def _(spark, load):
+    n = load("nation").select(F.col("n_regionkey").alias("generation"), F.col("n_nationkey").alias("id"))
+    of = lambda t, k, at: load(t).select(F.col(k).alias("id0"), F.col(at).alias("id")).join(n, "id").select("generation", F.col("id0").alias("id"))
+    return corpus.validated(load("region").select(F.col("r_regionkey").alias("generation")), n, of("supplier", "s_suppkey", "s_nationkey"), of("customer", "c_custkey", "c_nationkey"))
+
+
+@query("fingerprint_skip", "SELECT doc_id AS path FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def _(spark, load):
+    listing = load("documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit("2024").alias("modified"))
+    known = listing.where("path % 5 <> 0").withColumn("size", F.when(F.col("path") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))).withColumn("signature", F.lit("v1"))
+    return corpus.to_read(listing, known.unionByName(listing.withColumn("signature", F.lit("v0"))), "v1").select("path")
+
+
+@query("collection_authorisation", f"SELECT DISTINCT source AS collection FROM documents JOIN ({SCOPED}) s USING (doc_id) WHERE list_has_any(acl, ['c'])")
+def _(spark, load):
+    members = _scoped(load).join(load("documents").select("doc_id", F.col("source").alias("collection")), "doc_id")
+    return corpus.authorised(members.select("collection").distinct(), members, ["c"])
+
+
+@query("embedding_tiers", "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN n_chars * 40000 <= 20971520 THEN 'eager' WHEN n_chars * 40000 <= 262144000 THEN 'async' ELSE 'lazy' END AS tier FROM documents) GROUP BY 1")
+def _(spark, load):
+    return load("documents").groupBy(corpus.embedding_tier(F.col("n_chars") * 40000).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("ttl_prune", "SELECT event_id FROM events WHERE epoch(ts) + 864000 > (SELECT epoch(TIMESTAMP '2024-02-01'))")
+def _(spark, load):
+    return corpus.kept(load("events"), "ts", F.lit("2024-02-01").cast("timestamp"), 864_000).select("event_id")
+
+
+@query("grep_byte_budget", "SELECT doc_id, line_no FROM (SELECT doc_id, line_no, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS upto FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE regexp_matches(line, '(?i)the|und')) WHERE upto <= 2000")
+def _(spark, load):
+    hits = passages.lines(load("documents").select("doc_id", "text").where("text is not null"), id_column="doc_id").where(F.col("line").rlike("(?i)the|und")).select(F.col("id").alias("doc_id"), "line_no", "line")
+    return corpus.within_budget(hits, "doc_id", [F.col("line_no")], F.octet_length("line"), 2000).select("doc_id", "line_no")
+
+
+@query("unique_values", "SELECT event_id, 'a,' || event_type || CASE WHEN event_type = 'b' THEN '' ELSE ',b' END AS v FROM events")
+def _(spark, load):
+    return load("events").select("event_id", F.array_join(planning.unique(F.array(F.lit(" a"), F.lit(""), F.col("event_type"), F.lit("b "), F.lit("a"), F.concat(F.lit(" "), "event_type"))), ",").alias("v"))
+
+
+
+# the same events as real streams, drained into a table
+
+def _streamed(name: str, sql: str):
+    def add(f):
+        QUERIES[name], SQL[name] = (lambda spark, d: f(streaming.event_stream(spark, d))), sql
+        return f
+
+    return add
+
+
+@_streamed("stream_windows_drained", SQL["stream_window_counts"])
+def _(events):
+    return streaming.drained(streaming.window_counts(events), "windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@_streamed("stream_traces_drained", "SELECT user_id, min(ts) AS started_at, max(ts) AS updated_at, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last_kind FROM events GROUP BY 1")
+def _(events):
+    """A trace's rows of all batches; the one with most events is its last."""
+    last = streaming.drained(streaming.traces(events), "traces", "update").groupBy("user_id").agg(F.max_by(F.struct("started_at", "updated_at", "n", "last_kind"), "n").alias("t"))
+    return last.select("user_id", *[F.col(f"t.{c}").cast("timestamp_ntz").alias(c) for c in ("started_at", "updated_at")], "t.n", "t.last_kind")
+
+
 SQL["graph_ingest"] = SQL["graph_ingest"].replace("$ENTITY$", _entity_sql())

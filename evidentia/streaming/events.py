@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
-from ..session import shared_dir
+from ..session import shared_dir, ship
 
 
 def event_stream(spark: SparkSession, folder: str, watermark: str = "1 hour", pattern: str = "events.parquet") -> DataFrame:
@@ -28,6 +32,28 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
+TRACE = "started_at timestamp, updated_at timestamp, n long, last_kind string, last_id long"
+
+
+def _upsert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    started, updated, n, kind, last = state.get if state.exists else (None, None, 0, None, -1)
+    for events in batches:
+        newest = events.sort_values(["ts", "event_id"]).iloc[-1]
+        first, latest = events["ts"].min().to_pydatetime(), newest["ts"].to_pydatetime()
+        started, n = first if started is None else min(started, first), n + len(events)
+        if updated is None or (latest, int(newest["event_id"])) > (updated, last):
+            updated, kind, last = latest, newest["event_type"], int(newest["event_id"])
+    state.update((started, updated, n, kind, last))
+    yield pd.DataFrame([(*key, started, updated, n, kind, last)], columns=["user_id", "started_at", "updated_at", "n", "last_kind", "last_id"])
+
+
+def traces(events: DataFrame) -> DataFrame:
+    """A row for every trace that a batch of events touches, as it stands then: first and last time, events, and the kind of
+    the last event by time. One state per trace, so that its events are taken one batch after the other, in any order."""
+    rows = events.select("user_id", "ts", "event_id", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(_upsert, f"user_id long, {TRACE}", TRACE, "update", "NoTimeout")
+
+
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what its source holds now and return its result table, which is written and not kept by the driver.
 
@@ -44,3 +70,6 @@ def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     finally:
         query.stop()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{name}")
+
+
+ship(__name__)
