@@ -15,6 +15,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
+from evidentia import session
 from evidentia.llm import bpe, chat, common, decontaminate, exact_dedup, html_text, quality, queries, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,7 +92,7 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
         sparkContext = type("S", (), {"master": "spark://far:7077"})
 
     with pytest.raises(RuntimeError):
-        common.shared_dir(Away)
+        session.shared_dir(Away)
 
 
 def test_chunks_cover_texts_and_clashing_fingerprints_get_ordinals(spark, texts, monkeypatch):
