@@ -16,10 +16,17 @@ MARKERS = {
     "es": [" y ", " es ", " no ", " contrato ", " conforme ", " será ", " con ", " para ", " que ", " por "],
 }
 LETTERS = {"pl": ("ąćęłńóśźż", 5), "de": ("äöüß", 4), "fr": ("àâçéèêëîïôûùüÿœ", 3), "es": ("áéíñóúü¿¡", 3)}
+#: Writing systems, the first one met counts.
 SCRIPTS = [
     ("Cyrillic", "[Ѐ-ӿ]"), ("Greek", "[Ͱ-Ͽ]"), ("Arabic", "[؀-ۿ]"), ("Han", "[一-鿿]"),
     ("Japanese", "[぀-ヿ]"), ("Hangul", "[가-힯]"), ("Latin", "[A-Za-zÀ-ž]"),
 ]
+#: Secrets that are seen in texts, and what stands in their place.
+SECRETS = (
+    (r"\bsk-(?:proj-)?[A-Za-z0-9_-]{12,}\b", "[REDACTED]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{12,}=*\b", "Bearer [REDACTED]"),
+    (r"(?i)([a-z][a-z0-9+.-]*://[^:/\s]+:)[^@\s]+@", r"\1[REDACTED]@"),
+)
 
 
 def folded(text: Column) -> Column:
@@ -63,9 +70,8 @@ def tokens(text: Column, pattern: str = r"[\p{L}\p{N}_-]+") -> Column:
 
 
 def redacted(text: Column) -> Column:
-    text = F.regexp_replace(text, r"\bsk-(?:proj-)?[A-Za-z0-9_-]{12,}\b", "[REDACTED]")
-    text = F.regexp_replace(text, r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{12,}=*\b", "Bearer [REDACTED]")
-    text = F.regexp_replace(text, r"(?i)([a-z][a-z0-9+.-]*://[^:/\s]+:)[^@\s]+@", "$1[REDACTED]@")
+    for pattern, instead in SECRETS:
+        text = F.regexp_replace(text, pattern, instead.replace("\\1", "$1"))
     return F.when(F.length(text) > 4000, F.concat(F.substring(text, 1, 4000), F.lit("…[TRUNCATED]"))).otherwise(text)
 
 

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..session import ship
+from .text import SECRETS
 
-#: Names of secrets, secrets within texts, and how much of a nested value is kept.
+#: Names of secrets, and how much of a nested value is kept.
 SECRET_KEY = r"(?i)secret|token|password|authorization|credential|api.?key|cookie"
-SECRETS = ((r"\bsk-(?:proj-)?[A-Za-z0-9_-]{12,}\b", "[REDACTED]"), (r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{12,}=*\b", "Bearer [REDACTED]"), (r"(?i)([a-z][a-z0-9+.-]*://[^:/\s]+:)[^@\s]+@", r"\1[REDACTED]@"))
 MAX_DEPTH, MAX_ITEMS, MAX_KEYS, MAX_CHARS = 7, 100, 200, 4_000
 #: Folders that say how much a document counts.
 PLACES = (("authority", r"(?:^|/)(?:authority|official|signed|approved|executed)(?:/|$)"), ("archive", r"(?:^|/)(?:archive|archived|history|old|obsolete)(?:/|$)"))

@@ -41,7 +41,7 @@ def heading(line: str) -> tuple[int, str] | None:
     if re.match(CLAUSE, bare):
         return 2, bare
     if re.match(NUMBERED, bare):
-        return min(6, len(re.match(r"[\d.]+", bare)[0].rstrip(".").split(".")) + 1), bare
+        return min(6, bare.count(".") + 2), bare
     return None
 
 

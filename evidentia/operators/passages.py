@@ -18,7 +18,7 @@ TARGET_TOKENS, HARD_TOKENS = 800, 1_200
 ALONE = ("code", "table", "front_matter")
 #: Lines that are headings.
 ATX = r"^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$"
-CLAUSE = r"(?iu)^((?:article|art\.?|chapter|section|clause|annex|appendix|rozdział|artykuł|§)\s+[\w.-]+(?:[ \t]+.*)?)$"
+CLAUSE = r"(?iu)^((?:article|art\.?|chapter|section|clause|annex|appendix|rozdział|artykuł|art\.?|§)\s+[\w.-]+(?:[ \t]+[-–—:]?[ \t]*.*)?)$"
 NUMBERED = r"^(\d+(?:\.\d+){1,8}[.)]?[ \t]+\S.*)$"
 FENCE = r"^\s{0,3}(```|~~~)"
 #: Fixed values of the conversation window and of neighbour expansion.

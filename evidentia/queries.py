@@ -313,7 +313,9 @@ def _(spark, load):
     return lines.where(F.col("line").rlike("(?i)[0-9]+ (the|and)|idiot")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
-REDACTED = r"regexp_replace(regexp_replace(regexp_replace(text, '\bsk-(?:proj-)?[A-Za-z0-9_-]{12,}\b', '[REDACTED]', 'g'), '(?i)\bBearer\s+[A-Za-z0-9._~+/-]{12,}=*\b', 'Bearer [REDACTED]', 'g'), '(?i)([a-z][a-z0-9+.-]*://[^:/\s]+:)[^@\s]+@', '\1[REDACTED]@', 'g')"
+REDACTED = "text"
+for _pattern, _instead in tx.SECRETS:
+    REDACTED = f"regexp_replace({REDACTED}, '{_pattern}', '{_instead}', 'g')"
 
 
 @query("redact_patterns", f"SELECT doc_id, md5(CASE WHEN length(r) > 4000 THEN substr(r, 1, 4000) || '…[TRUNCATED]' ELSE r END) AS digest FROM (SELECT doc_id, {REDACTED} AS r FROM documents)")
