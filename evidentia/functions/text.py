@@ -46,15 +46,14 @@ def language_scores(low: Column) -> dict[str, Column]:
     return out
 
 
-def marked(text: Column) -> Column:
-    """What of a text bears on its language, in one pass: the marker words it has, the markers that are beginnings of words
-    (kept with their leading space), and its accented letters."""
-    low, every = folded(text), [m for markers in MARKERS.values() for m in markers]
+def marked(low: Column) -> Column:
+    """What of a text bears on its language: the marker words it has, the markers that are beginnings of words (kept with
+    their leading space), and its letters beyond ASCII. low is a column that holds folded() text, so that it is worked out once."""
+    every = [m for markers in MARKERS.values() for m in markers]
     whole, starts = sorted({m.strip() for m in every if m.endswith(" ")}), [m for m in every if not m.endswith(" ")]
     words = F.array_intersect(F.split(low, " "), F.array(*map(F.lit, whole)))
     begun = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(m)), m) for m in starts]))
-    letters = "".join(sorted(set("".join(a for a, _ in LETTERS.values()))))
-    return F.struct(F.concat(words, begun).alias("words"), F.regexp_replace(low, f"[^{letters}]+", "").alias("letters"))
+    return F.struct(F.concat(words, begun).alias("words"), F.regexp_replace(low, r"[\x00-\x7F]+", "").alias("letters"))
 
 
 def script(text: Column) -> Column:

@@ -295,7 +295,7 @@ def _language_sql() -> str:
 @query("language_detect", _language_sql())
 def _(spark, load):
     names = list(tx.MARKERS)
-    low = load("documents").select("doc_id", tx.marked(F.col("text")).alias("low"))
+    low = load("documents").select("doc_id", tx.folded(F.col("text")).alias("low")).select("doc_id", tx.marked(F.col("low")).alias("low"))
     scored = low.select("doc_id", *[c.alias(n) for n, c in tx.language_scores(F.col("low")).items()])
     best, total = F.greatest(*names), sum((F.col(n) for n in names[1:]), F.col(names[0]))
     pick = F.coalesce(*[F.when(F.col(n) == best, n) for n in names])
@@ -1052,7 +1052,7 @@ def _(spark, load):
 @query("language_profile", f"WITH s AS (SELECT doc_id, unnest(['pl', 'en', 'de', 'fr', 'es']) AS language, unnest([{_language_sql().split('SELECT doc_id, ', 1)[1].split(' FROM (SELECT doc_id, text', 1)[0].replace(' AS pl', '').replace(' AS en', '').replace(' AS de', '').replace(' AS fr', '').replace(' AS es', '')}]) AS score FROM (SELECT doc_id, text, ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' AS l FROM documents)) SELECT doc_id, round(max(score) / nullif(sum(score), 0), 6) AS confidence, count(*) FILTER (score / t >= 0.2) > 1 AS mixed FROM (SELECT *, greatest(sum(score) OVER (PARTITION BY doc_id), 1) AS t FROM s) GROUP BY 1")
 def _(spark, load):
     names = list(tx.MARKERS)
-    scored = load("documents").select("doc_id", tx.marked(F.col("text")).alias("low")).select("doc_id", *[c.alias(n) for n, c in tx.language_scores(F.col("low")).items()])
+    scored = load("documents").select("doc_id", tx.folded(F.col("text")).alias("low")).select("doc_id", tx.marked(F.col("low")).alias("low")).select("doc_id", *[c.alias(n) for n, c in tx.language_scores(F.col("low")).items()])
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     shares = F.filter(F.array(*names), lambda s: s / F.greatest(total, F.lit(1.0)) >= 0.2)
     return scored.select("doc_id", F.round(F.greatest(*names) / F.nullif(total, F.lit(0.0)), 6).alias("confidence"), (F.size(shares) > 1).alias("mixed"))
