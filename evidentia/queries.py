@@ -673,12 +673,19 @@ def _(spark, load):
     return found.select("id", "line_no", F.md5("line").alias("digest"), "start_byte", "end_byte")
 
 
-@query("markdown_sections")
+@query("markdown_sections", f"SELECT id, 0 AS section, NULL::INT AS level, NULL::VARCHAR AS heading, NULL::VARCHAR[] AS path, 1 AS first_line, max(line_no) AS last_line, 0 AS start_byte, max(end_byte)::BIGINT AS end_byte FROM ({LINES}) GROUP BY id")
 def _(spark, load):
     return passages.sections(load("documents"), id_column="doc_id")
 
 
-@query("passage_packing")
+PACKED = f"SELECT id, line_no AS ordinal, i AS piece, greatest(1, ceil(length(substr(line, i * 4800 + 1, 4800)) / 4.0))::INT AS tokens FROM (SELECT id, line_no, line, unnest(range(0, (floor((greatest(length(line), 1) - 1) / 4800.0) + 1)::INT)) AS i FROM ({LINES}) WHERE trim(line) <> '')"
+
+
+@query("passage_packing", f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal, piece) AS n FROM ({PACKED})),
+r AS (SELECT id, n, ordinal, piece, tokens, 0 AS passage, (tokens >= 1200)::INT AS following, CASE WHEN tokens >= 1200 THEN 0 ELSE tokens END AS held FROM p WHERE n = 1
+UNION ALL SELECT id, n, ordinal, piece, tokens, q, q + (h >= 1200)::INT, CASE WHEN h >= 1200 THEN 0 ELSE h END FROM (
+SELECT p.*, r.following + (r.held > 0 AND r.held + p.tokens > 800)::INT AS q, p.tokens + CASE WHEN r.held > 0 AND r.held + p.tokens > 800 THEN 0 ELSE r.held END AS h FROM r JOIN p ON p.id = r.id AND p.n = r.n + 1))
+SELECT id, ordinal, piece, 'paragraph' AS type, tokens, passage FROM r""")
 def _(spark, load):
     found = passages.lines(load("documents"), id_column="doc_id").where("trim(line) <> ''")
     return passages.packed(found.select("id", F.col("line_no").alias("ordinal"), F.lit("paragraph").alias("type"), F.col("line").alias("text")))
