@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import excluded
 from ..functions.text import cosine
+from ..functions.values import OUTPUT_BYTES
 
 #: Bytes up to which a file is embedded at once or soon after, and vectors of a file at most.
 EAGER, ASYNC, MOST_VECTORS = 20 << 20, 250 << 20, 20_000
@@ -95,3 +96,60 @@ def nearest(vectors: DataFrame, query: list[float], limit: int, over: int = 4, e
     best = vectors.where(F.size(embedding) == len(query)).withColumn("_c", coarse).orderBy(F.col("_c").desc(), id_column).limit(limit * over)
     exact = best.select(F.col(id_column).alias("id"), F.round(cosine(F.col(embedding), F.array(*[F.lit(float(v)) for v in query])), 6).alias("score"))
     return exact.orderBy(F.col("score").desc(), "id").limit(limit)
+
+
+def usable_roots(spark: SparkSession, roots: list[str]) -> tuple[list[str], list[str]]:
+    """The folders that are there and those that are not, asked of the file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = {r: path(r).getFileSystem(conf).exists(path(r)) for r in roots}
+    return [r for r in roots if there[r]], [r for r in roots if not there[r]]
+
+
+def ordered(listing: DataFrame, limit: int) -> DataFrame:
+    """Paths of a listing by depth, then name, so many at most."""
+    return listing.orderBy(F.size(F.split("path", "/")), "path").limit(limit)
+
+
+def lines_between(lines: DataFrame, first: int, last: int, most: int = 2_000) -> DataFrame:
+    """Lines (id, line_no, ...) from first to last of every document, so many of each at most."""
+    return lines.where(F.col("line_no").between(first, min(last, first + most - 1)))
+
+
+def byte_range(text: Column, start: int, end: int, most: int = OUTPUT_BYTES) -> Column:
+    """The bytes of a text from start to end, as binary; null where the range is not within the text or too long."""
+    raw = F.encode(text, "UTF-8")
+    return F.when(F.lit(0 <= start <= end <= start + most) & (F.octet_length(raw) >= end), F.substring(raw, start + 1, end - start))
+
+
+def blobs(files: DataFrame) -> DataFrame:
+    """Contents (content, binary) once each under their address: sha256, size, content. Equal contents fold before they move."""
+    return files.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("size"), "content").dropDuplicates(["sha256"])
+
+
+def unreferenced(stored: DataFrame, references: DataFrame) -> DataFrame:
+    """Stored blobs (sha256) that nothing refers to any more."""
+    return stored.join(references.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def projected(log: DataFrame, operations: DataFrame) -> DataFrame:
+    """A log of projections (target, payload_sha256, status, at) after more operations (target, payload_sha256, at): an
+    operation whose payload the target had applied last changes nothing, another one is queued over what was there."""
+    last = log.unionByName(operations.withColumn("status", F.lit("queued")))
+    same = F.min_by("status", F.when(F.col("status") == "applied", 0).otherwise(1))
+    merged = last.groupBy("target", "payload_sha256").agg(same.alias("status"), F.max("at").alias("at"))
+    return merged.groupBy("target").agg(F.max_by(F.struct("payload_sha256", "status", "at"), F.struct("at", "payload_sha256")).alias("l")).select("target", "l.*")
+
+
+def ranked_skills(scores: DataFrame, order: str = "fact_id") -> DataFrame:
+    """Scores (fact_id, skill, score) of an outside ranker: each fact's best skill, ties by name."""
+    return scores.groupBy(order).agg(F.max_by(F.struct("skill", "score"), F.struct("score", F.expr("transform(split(skill, ''), c -> -ascii(c))"))).alias("b")).select(order, "b.skill", "b.score")
+
+
+def resolved_evidence(sources: DataFrame, workspace: str, allowed: list[str]) -> DataFrame:
+    """Sources (id, workspace_id, permission, health, staleness) that a workflow may cite: id, fault (null if it may) and warning."""
+    fault = (
+        F.when(~F.col("id").isin(allowed) if allowed else F.lit(False), "not allowed").when(F.col("workspace_id") != workspace, "other workspace").when(F.col("permission") == "denied", "denied")
+    )
+    warning = F.when(F.col("health").isin("degraded", "down"), F.concat(F.lit("health is "), "health")).when(F.col("staleness").isin("stale", "expired"), F.concat(F.lit("source is "), "staleness"))
+    return sources.select("id", fault.alias("fault"), F.when(fault.isNull(), warning).alias("warning"))

@@ -155,3 +155,18 @@ def page(df: DataFrame, query: dict, id_column: str = "id") -> tuple[DataFrame,
     total = run(df, {k: v for k, v in plain.items() if v}, id_column).count()
     end = state.get("offset", 0) + (state.get("limit") or total)
     return run(df, query, id_column), total, encode_cursor(state, end) if end < total else None
+
+
+def memory_filter(q: str | None = None, state: str = "all") -> dict | None:
+    """The filter of remembered facts that hold a text and are unprocessed, processed or ignored; None where all are asked for."""
+    clauses = [{"op": "stringContains", "field": "fact", "value": q.strip()}] if q and q.strip() else []
+    asked = {"unprocessed": ("dreamSkill", False), "processed": ("dreamSkill", True), "ignored": ("ignoreUntil", True)}.get(state)
+    if asked:
+        clauses.append({"op": "exists", "field": asked[0], "value": asked[1]})
+    return None if not clauses else clauses[0] if len(clauses) == 1 else {"op": "and", "filters": clauses}
+
+
+def triggers(df: DataFrame, tool: str | None = None, params: str | None = None) -> DataFrame:
+    """Triggers (tool, params as canonical JSON) of a tool and of exactly these params, as far as they are given."""
+    df = df if tool is None else df.where(F.col("tool") == tool)
+    return df if params is None else df.where(F.coalesce("params", F.lit("null")) == params)

@@ -1168,6 +1168,51 @@ def _(spark, load):
 
 
 
+
+@query("byte_ranges", "SELECT doc_id, CASE WHEN strlen(text) >= 60 THEN lower(substr(hex(encode(text)), 21, 100)) END AS bytes FROM documents")
+def _(spark, load):
+    return load("documents").select("doc_id", F.lower(F.hex(corpus.byte_range(F.col("text"), 10, 60))).alias("bytes"))
+
+
+@query("line_ranges", f"SELECT id, line_no, md5(line) AS digest FROM ({LINES}) WHERE line_no BETWEEN 2 AND 4")
+def _(spark, load):
+    return corpus.lines_between(passages.lines(load("documents"), id_column="doc_id"), 2, 9, 3).select("id", "line_no", F.md5("line").alias("digest"))
+
+
+@query("blob_store", "SELECT sha256(coalesce(text, '')) AS sha256, any_value(strlen(coalesce(text, ''))) AS size FROM documents GROUP BY 1 HAVING count(*) FILTER (doc_id % 2 = 0) = 0")
+def _(spark, load):
+    d = load("documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return corpus.unreferenced(corpus.blobs(d), d.where("doc_id % 2 = 0").select(F.sha2("content", 256).alias("sha256"))).select("sha256", "size")
+
+
+@query("projection_log", "SELECT user_id AS target, arg_max(event_type, (ts, event_type)) AS payload_sha256, CASE WHEN bool_or(event_id % 2 = 0 AND event_type = l) THEN 'applied' ELSE 'queued' END AS status FROM (SELECT *, last_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM events) GROUP BY 1")
+def _(spark, load):
+    e = load("events").select(F.col("user_id").alias("target"), F.col("event_type").alias("payload_sha256"), F.col("ts").alias("at"), "event_id")
+    log, operations = e.where("event_id % 2 = 0").withColumn("status", F.lit("applied")).drop("event_id"), e.where("event_id % 2 = 1").drop("event_id")
+    return corpus.projected(log, operations).select("target", "payload_sha256", "status")
+
+
+@query("skill_ranking", "SELECT fact_id, arg_max(skill, (score, -ascii(skill))) AS skill, max(score) AS score FROM (SELECT user_id AS fact_id, event_type AS skill, max(event_id % 5) AS score FROM events GROUP BY 1, 2) GROUP BY 1")
+def _(spark, load):
+    return corpus.ranked_skills(load("events").groupBy(F.col("user_id").alias("fact_id"), F.col("event_type").alias("skill")).agg(F.max(F.col("event_id") % 5).alias("score")))
+
+
+@query("workflow_evidence", f"SELECT id, CASE WHEN id % 2 = 1 THEN 'other workspace' WHEN permission = 'denied' THEN 'denied' END AS fault, CASE WHEN id % 2 = 0 AND permission <> 'denied' THEN CASE WHEN health IN ('degraded', 'down') THEN 'health is ' || health WHEN staleness IN ('stale', 'expired') THEN 'source is ' || staleness END END AS warning FROM ({STATES})")
+def _(spark, load):
+    return corpus.resolved_evidence(_states(load).withColumn("workspace_id", F.when(F.col("id") % 2 == 1, "v").otherwise("w")), "w", [])
+
+
+@query("memory_filters", "SELECT event_id AS id FROM events WHERE contains(event_type, 'i') AND event_id % 3 = 0")
+def _(spark, load):
+    facts = load("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("fact"), F.when(F.col("event_id") % 3 != 0, "x").alias("dreamSkill"), F.lit(None).cast("string").alias("ignoreUntil"))
+    return store_query.run(facts, {"where": store_query.memory_filter(" i ", "unprocessed")}).select("id")
+
+
+@query("trigger_query", "SELECT event_id FROM events WHERE event_type = 'click' AND props = '{\"k\": 3}'")
+def _(spark, load):
+    return store_query.triggers(load("events").withColumnsRenamed({"event_type": "tool", "props": "params"}), "click", '{"k": 3}').select("event_id")
+
+
 # the same events as real streams, drained into a table
 
 def _streamed(name: str, sql: str):

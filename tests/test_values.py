@@ -60,3 +60,24 @@ def test_nearest_ranks_the_candidates_by_all_dimensions(spark):
     df = spark.createDataFrame(rows, "id int, embedding array<double>")
     got = corpus.nearest(df, rows[3][1], 3).collect()
     assert got[0].id == 3 and got[0].score == 1.0 and len(got) == 3 and [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+
+
+def test_roots_and_order(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    assert corpus.usable_roots(spark, [str(tmp_path / "x"), str(tmp_path / "y")]) == ([str(tmp_path / "x")], [str(tmp_path / "y")])
+    paths = spark.createDataFrame([("a/b/c",), ("z",), ("a/a",), ("b",)], "path string")
+    assert [r.path for r in corpus.ordered(paths, 3).collect()] == ["b", "z", "a/a"]
+
+
+def test_byte_ranges_stay_within_the_text(spark):
+    df = spark.createDataFrame([("aé",), (None,)], "t string")
+    got = df.select(corpus.byte_range(F.col("t"), 1, 3).alias("x"), corpus.byte_range(F.col("t"), 1, 4).alias("y"), corpus.byte_range(F.col("t"), 2, 1).alias("z"), corpus.byte_range(F.col("t"), 0, 3, 2).alias("w")).collect()
+    assert bytes(got[0].x) == "é".encode() and got[0].y is None and got[0].z is None and got[0].w is None and got[1].x is None
+
+
+def test_projections_are_applied_once(spark):
+    schema = "target string, payload_sha256 string, status string, at int"
+    log = spark.createDataFrame([("a", "p", "applied", 1), ("b", "p", "failed", 1)], schema)
+    new = spark.createDataFrame([("a", "p", 2), ("b", "q", 2), ("c", "p", 2)], "target string, payload_sha256 string, at int")
+    got = {r.target: (r.payload_sha256, r.status) for r in corpus.projected(log, new).collect()}
+    assert got == {"a": ("p", "applied"), "b": ("q", "queued"), "c": ("p", "queued")}
