@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_list, cosine, tokens
+from ..session import saved
 from .passages import sections
 
 RRF_K = 60
@@ -71,6 +72,24 @@ def fuse(lanes: list[DataFrame], weights: dict[str, float] | None = None, k: int
     )
 
 
+def variants(lanes: dict[str, DataFrame], names: dict[str, tuple[str, ...]], weights: dict[str, float] | None = None, limit: int = 100) -> DataFrame:
+    """The fused lists of several variants, each of the lanes it names: variant, id, fusion, score, retrievers.
+
+    Every lane is worked out once and written, as it is a short list that several variants read. A lane that a variant
+    names and that is not given is left out; a variant without lanes gives no rows.
+    """
+    kept = {k: saved(lane) for k, lane in lanes.items()}
+    fused = [fuse([kept[k] for k in parts if k in kept], weights, limit=limit).select(F.lit(v).alias("variant"), "*") for v, parts in names.items() if any(k in kept for k in parts)]
+    return reduce(DataFrame.unionByName, fused)
+
+
+def passes(docs: DataFrame, questions: list[str], limit: int, text: str = "text", id_column: str = "id") -> DataFrame:
+    """The lexical lanes of a question's parts as one lane: every row with the best rank that any part gives it."""
+    every = reduce(DataFrame.unionByName, [lexical(docs, q, limit, text, id_column) for q in questions[:4]])
+    best = every.groupBy("id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    return best.select(F.lit("iterative").alias("retriever"), "rank", "score", "id")
+
+
 def in_scope(df: DataFrame, tokens: list[str], types: list[str] | None = None, as_of: str | None = None) -> DataFrame:
     """Rows whose access tokens meet the caller's, of the given types in any case, valid on a day (missing bounds are open)."""
     df = df.where(F.arrays_overlap("acl_tokens", F.array(*map(F.lit, tokens))))

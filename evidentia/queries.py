@@ -1213,6 +1213,31 @@ def _(spark, load):
     return store_query.triggers(load("events").withColumnsRenamed({"event_type": "tool", "props": "params"}), "click", '{"k": 3}').select("event_id")
 
 
+
+VARIANT_LANES = {"lexical": ("lexical", 150), "exact": ("exact_reference", 50), "dense": ("dense", 100)}
+PART = "contract for that thing"
+PART_LEX = LEX.replace("sqrt(6.0", "sqrt(4.0").replace("('the', 'of', 'contract', 'for', 'that', 'thing')", "('contract', 'for', 'that', 'thing')")
+
+
+def _variants_sql() -> str:
+    source = {"lexical": LEX, "exact": EXACT, "dense": DENSE}
+    lanes = {k: f"SELECT * FROM {_lane(n, source[k], limit)}" for k, (n, limit) in VARIANT_LANES.items()}
+    lanes["passes"] = f"SELECT 'iterative' AS retriever, min(rank) AS rank, max(score) AS score, id FROM (SELECT * FROM {_lane('x', PART_LEX, 50)} UNION ALL SELECT * FROM {_lane('x', LEX, 50)}) GROUP BY id"
+    weight = "CASE retriever WHEN 'exact_reference' THEN 2.0 WHEN 'dense' THEN 0.8 ELSE 1.0 END"
+    one = lambda v: f"SELECT * FROM (SELECT '{v}' AS variant, id, round(sum({weight} / (60 + rank)), 9) AS fusion, max(score) AS score, string_agg(retriever, ',' ORDER BY retriever) AS retrievers FROM ({' UNION ALL '.join(lanes[k] for k in planning.VARIANTS[v] if k in lanes)}) GROUP BY id ORDER BY fusion DESC, score DESC, id LIMIT 100)"
+    return " UNION ALL ".join(map(one, planning.VARIANTS))
+
+
+@query("retrieval_variants", _variants_sql())
+def _(spark, load):
+    d = load("documents").select("doc_id", "text")
+    lanes = {
+        "lexical": retrieval.lexical(d, QUESTION, 150, id_column="doc_id"), "exact": retrieval.exact(d, ["the th", "ION "], 50, id_column="doc_id"),
+        "dense": retrieval.dense(load("embeddings"), VECTOR, 100, id_column="vec_id"), "passes": retrieval.passes(d, [PART, QUESTION], 50, id_column="doc_id"),
+    }
+    return retrieval.variants(lanes, planning.VARIANTS, {"exact_reference": 2.0, "dense": 0.8})
+
+
 # the same events as real streams, drained into a table
 
 def _streamed(name: str, sql: str):
