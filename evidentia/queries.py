@@ -729,7 +729,26 @@ def _(spark, load):
     return retrieval.lexical(cut.select(F.concat_ws("/", "doc_id", "ordinal").alias("id"), "text"), QUESTION, 50).drop("retriever")
 
 
-@query("hierarchical_routing_levels")
+def _levels_sql() -> str:
+    """Documents without headings are one section each, so that document and section lanes differ by their limits alone."""
+    tallied = lambda text: rf"len(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_-]+')) AS n, len(list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_-]+'), lambda x: x IN ('the', 'of', 'contract', 'for', 'that', 'thing'))) AS m"
+    scored = "round(sum(m) / sqrt(6.0 * sum(n)), 9) AS score"
+    lane = lambda keys, source, limit: f"(SELECT *, row_number() OVER (ORDER BY score DESC, {keys}) AS r FROM (SELECT {keys}, {scored} FROM {source} GROUP BY ALL HAVING sum(m) > 0) ORDER BY r LIMIT {limit})"
+    routed = lambda level, limit: f"SELECT '{level}' AS level, c, d, round(sum(1.0 / (60 + r)), 9) AS fusion, max(score) AS score FROM (SELECT * FROM {lane('c, d', 't', limit)} UNION ALL SELECT * FROM {lane('c, d', 't SEMI JOIN cs USING (c)', limit)}) GROUP BY ALL"
+    passage = lambda name, scope: f"(SELECT '{name}' AS lane, *, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT d || '/0/' || i AS id, {scored} FROM p WHERE {scope} GROUP BY ALL HAVING sum(m) > 0) ORDER BY r LIMIT 150)"
+    order = "ORDER BY fusion DESC, score DESC, level, c, d"
+    return f"""WITH t AS (SELECT source AS c, doc_id AS d, {tallied("coalesce(text, '')")} FROM documents),
+cs AS (SELECT c FROM {lane('c', 't', 20)} WHERE r <= 10),
+h AS ({routed('document', 50)} UNION ALL {routed('section', 100)}),
+found AS (SELECT DISTINCT d FROM (SELECT d FROM h {order} LIMIT 30)),
+parts AS (SELECT d FROM h WHERE level = 'section' {order} LIMIT 50),
+p AS (SELECT c, d, i, {tallied('text')} FROM (SELECT source AS c, doc_id AS d, i, substr(text, i * 2000 + 1, 2000) AS text FROM (SELECT *, unnest(range(0, CAST(greatest(0, floor((length(text) - 1) / 2000.0)) AS INT) + 1)) AS i FROM documents)))
+SELECT id, round(sum(1.0 / (60 + r)), 9) AS fusion, max(score) AS score, string_agg(lane, ',' ORDER BY lane) AS retrievers
+FROM (SELECT * FROM {passage('passage_lexical', 'd IN (FROM found) AND d IN (FROM parts)')} UNION ALL SELECT * FROM {passage('passage_lexical_collection', 'c IN (FROM cs)')})
+GROUP BY id ORDER BY fusion DESC, score DESC, id LIMIT 100"""
+
+
+@query("hierarchical_routing_levels", _levels_sql())
 def _(spark, load):
     return retrieval.hierarchical(load("documents"), QUESTION, "source", id_column="doc_id")
 
