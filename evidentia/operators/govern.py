@@ -107,17 +107,24 @@ def merged_attributes(events: DataFrame, key: str, order: list[str], attributes:
     return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(attributes))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], width: int = 86_400) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time, null where there is none.
 
-    Both sides are stacked and carried forward in one window, so that no pair of rows is ever made.
+    Time is cut into buckets of width seconds. Within a bucket both sides are stacked and carried forward, so that no pair
+    of rows is ever made; a row that finds nothing there takes the last row of the buckets before, of which a key has few.
+    So a key of any size is spread over its buckets. Right rows of one time and key must agree, or any of them counts.
     """
-    names = left.columns
-    stacked = left.select("*", F.lit(1).alias("_left"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v")).unionByName(
-        right.select(key, time, F.lit(0).alias("_left"), F.struct(*values).alias("_v")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(key).orderBy(time, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    return stacked.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1").select(*names, *[F.col(f"_v.{v}").alias(v) for v in values])
+    names, kind = left.columns, right.select(F.struct(*values)).schema[0].dataType
+    bucket = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (width * 1_000_000)).alias("_b")
+    own, other = left.select("*", bucket), right.select(key, time, bucket, F.struct(*values).alias("_v"))
+    stacked = own.select("*", F.lit(1).alias("_left"), F.lit(None).cast(kind).alias("_v")).unionByName(other.withColumn("_left", F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(key, "_b").orderBy(time, "_left").rowsBetween(Window.unboundedPreceding, 0)
+    carried = stacked.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("_left = 1")
+    buckets = stacked.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_c")).agg(F.max_by("_v", F.when(F.col("_left") == 0, F.col(time))).alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    known = buckets.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).drop("_last").where("_before is not null")
+    found = carried.join(known, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")), "left")
+    return found.withColumn("_v", F.coalesce("_v", "_before")).select(*names, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 # scores of single cases, 0 to 1

@@ -127,3 +127,19 @@ def test_lines_are_cut_in_place(spark):
     docs = frame(spark, [("a", "é\n\nb"), ("b", None)], "id string, text string")
     assert [(r.id, r.line_no, r.line, r.start_byte, r.end_byte) for r in passages.lines(docs).collect()] == [("a", 1, "é", 0, 2), ("a", 2, "", 3, 3), ("a", 3, "b", 4, 5), ("b", 1, "", 0, 0)]
     assert "Exchange" not in passages.lines(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_as_of_across_buckets(spark):
+    import random
+
+    from evidentia.operators import govern
+
+    rng, start = random.Random(7), dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(seconds=rng.randrange(4000))
+    left = [(k, rng.choice(["a", "b", "c"]), at()) for k in range(60)] + [(99, "a", start - dt.timedelta(days=9))]
+    right = [(rng.choice(["a", "b"]), t, n) for n, t in enumerate(sorted({at() for _ in range(25)}))]
+    got = govern.as_of(spark.createDataFrame(left, "id int, k string, t timestamp"), spark.createDataFrame(right, "k string, t timestamp, n int"), "k", "t", ["n"], 300)
+    for row in got.collect():
+        past = [(t, n) for k, t, n in right if k == row.k and t <= row.t]
+        assert row.n == (max(past)[1] if past else None)
+    assert got.count() == 61
