@@ -45,4 +45,17 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, s
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLE_SQL = {"op3_suffix_trees": OP3, "op7_chat_format": OP7, "op2_exact_dedup": OP2, "op6_benchmark_decontamination": OP6}
+OP4 = r"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, (coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 201) > 200)::INT AS new FROM r),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+ends AS (SELECT doc_id, a, z FROM spans UNION ALL SELECT doc_id, n, n FROM d),
+pieces AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) AS b FROM ends),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(m, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS m, count(*) AS c FROM spans GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_suffix_arrays": OP4, "op3_suffix_trees": OP3, "op7_chat_format": OP7, "op2_exact_dedup": OP2, "op6_benchmark_decontamination": OP6}
