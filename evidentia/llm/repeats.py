@@ -363,7 +363,7 @@ def removed(docs: DataFrame, method: Method, schema: str, block_bytes: int = BLO
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(2 * partitions, -(-size // block_bytes))
     by_block = texts.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).repartition("b").groupBy("b")
-    found = saved(elected(by_block.applyInPandas(_announce(method), CONTEXT)).select("b", "key", "d1", "d2", "n", "first", "variants"))
+    found = elected(by_block.applyInPandas(_announce(method), CONTEXT)).select("b", "key", "d1", "d2", "n", "first", "variants")  # reads the exchange that the next line reads
     sent = saved(by_block.cogroup(found.groupBy("b")).applyInPandas(_send(method), "b int, key long, n long, doc long, lo int, size int, variants long, body binary"))
     copies = sent.where("key is null").select("b", "lo", "size", F.col("body").alias("bits"))
     return by_block.cogroup(verdicts(sent, method, most).unionByName(copies).groupBy("b")).applyInPandas(_finish(method), schema)
