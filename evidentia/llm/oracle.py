@@ -58,4 +58,16 @@ SELECT doc_id, n AS n_bytes, coalesce(m, 0)::BIGINT AS n_removed, coalesce(c, 0)
 FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS m, count(*) AS c FROM spans GROUP BY doc_id) USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_suffix_arrays": OP4, "op3_suffix_trees": OP3, "op7_chat_format": OP7, "op2_exact_dedup": OP2, "op6_benchmark_decontamination": OP6}
+OP13 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+hot AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT doc_id, i, line, coalesce(doc_id <> top, false) AS gone FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op13_line_dedup": OP13, "op4_suffix_arrays": OP4, "op3_suffix_trees": OP3, "op7_chat_format": OP7, "op2_exact_dedup": OP2, "op6_benchmark_decontamination": OP6}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, chat, common, decontaminate, exact_dedup, html_text, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity
+from . import bpe, chat, common, decontaminate, exact_dedup, html_text, line_dedup, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity
 from .common import table
 
 
@@ -52,6 +52,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.without_lines(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,8 +71,9 @@ QUERIES = {
         op8_html_main_text,
         op9_byte_bpe,
         op10_simhash,
+        op13_line_dedup,
     )
 }
 
 #: The modules whose functions run in Python workers.
-ship(*(m.__name__ for m in (bpe, chat, common, html_text, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity)))
+ship(*(m.__name__ for m in (bpe, chat, common, html_text, line_dedup, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity)))
