@@ -70,4 +70,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op13_line_dedup": OP13, "op4_suffix_arrays": OP4, "op3_suffix_trees": OP3, "op7_chat_format": OP7, "op2_exact_dedup": OP2, "op6_benchmark_decontamination": OP6}
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score
+      FROM cuts JOIN n ON n.lang = cuts.lang
+      JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(w[1:k], ' ')
+      JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM s),
+hidden AS (SELECT DISTINCT lang, unnest([array_to_string(w[1:m - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase, a FROM c WHERE m > 2),
+t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+      FROM b ANTI JOIN hidden USING (lang, phrase, a) WHERE best = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM t WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op12_collocations": OP12, "op13_line_dedup": OP13, "op4_suffix_arrays": OP4, "op3_suffix_trees": OP3, "op7_chat_format": OP7, "op2_exact_dedup": OP2, "op6_benchmark_decontamination": OP6}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, chat, common, decontaminate, exact_dedup, html_text, line_dedup, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity
+from . import bpe, chat, collocations, common, decontaminate, exact_dedup, html_text, line_dedup, quality, repeats, simhash, spelling, suffix_array, suffix_sort, suffix_tree, toxicity
 from .common import table
 
 
@@ -52,6 +52,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = line_dedup.without_lines(docs, line_dedup.keep_bitmaps(docs))
@@ -71,9 +79,11 @@ QUERIES = {
         op8_html_main_text,
         op9_byte_bpe,
         op10_simhash,
+        op11_spelling_variants,
+        op12_collocations,
         op13_line_dedup,
     )
 }
 
 #: The modules whose functions run in Python workers.
-ship(*(m.__name__ for m in (bpe, chat, common, html_text, line_dedup, quality, repeats, simhash, suffix_array, suffix_sort, suffix_tree, toxicity)))
+ship(*(m.__name__ for m in (bpe, chat, collocations, common, html_text, line_dedup, quality, repeats, simhash, spelling, suffix_array, suffix_sort, suffix_tree, toxicity)))
