@@ -35,9 +35,10 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 #: HTML's elements for parts of a page that are not its main text.
 ASIDE_TAGS = set("nav aside header footer form button menu dialog label option legend fieldset head".split())
 
+#: Tags, comments and text. A quote opens a quoted value only behind the = of an attribute: elsewhere it is a letter like others.
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|(?P<text>[^<]++|<)",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<more>(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|=)*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

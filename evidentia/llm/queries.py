@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .. import session
 from . import bpe, chat, collocations, common, decontaminate, exact_dedup, html_text, line_dedup, quality, repeats, simhash, spelling, suffix_array, suffix_sort, suffix_tree, toxicity
 from .common import table
 
@@ -85,5 +85,5 @@ QUERIES = {
     )
 }
 
-#: The modules whose functions run in Python workers.
-ship(*(m.__name__ for m in (bpe, chat, collocations, common, html_text, line_dedup, quality, repeats, simhash, spelling, suffix_array, suffix_sort, suffix_tree, toxicity)))
+#: The modules whose functions run in Python workers, and session, which they import.
+session.ship(*(m.__name__ for m in (session, bpe, chat, collocations, common, html_text, line_dedup, quality, repeats, simhash, spelling, suffix_array, suffix_sort, suffix_tree, toxicity)))

@@ -331,6 +331,9 @@ def test_html_blocks_and_text(spark):
         ("<p>a <select><option>x<option>y</select> b</p>", ["a b"]),
         ("<object><object>x</object><p>y</p></object><p>z", ["z"]),
         ("<div><object><p>x</div><p>a</p><div></object></div><p>b", ["a", "b"]),
+        ("<article><p title=it's>one</p><p>two</p><p title=it's>three</p></article>", ["one", "two", "three"]),
+        ("<p title=it's>a</p><nav title=it's>b</nav><p>c", ["a", "b", "c"]),
+        ("<div class=it's><p>a</p></div><p x='>' y=\"'>\" z = '\">'>b</p><p 'q>c</p><p k=a='x>d</p>", ["a", "b", "c", "d"]),
         *((f"<p>a</p><{t}>x<p>b", ["a"]) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")),
     ],
 )
