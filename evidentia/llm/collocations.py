@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -16,7 +17,9 @@ from .repeats import pack, unpack
 #: Words of a phrase at most, occurrences that make it frequent, and phrases returned for each language.
 LONGEST, FREQUENT, TOP = 5, 100, 2000
 #: Bytes of text in a block at most, but for single documents. A block's lists are what a task holds at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Occurrences of phrases for each bucket in which lengths are added up: what a task holds of them at once.
+BUCKET_PAIRS = 2_000_000
 #: The top list of a language is found over so many parts first.
 PARTS = 64
 
@@ -119,60 +122,120 @@ def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("block").slice(k, 1), packed, packed], names=["block", "words", "lists"])
 
 
-def _extended(words: bytes, lists: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every occurrence of a listed phrase of length words that has a frequent word behind it: its place, the phrase, the word.
+@dataclass(frozen=True)
+class Extensions:
+    """The phrases of a block, one word longer than its lists: each once, by bucket, phrase and word, with the length of its
+    list (n); and of every occurrence its place and its number among them (which)."""
+
+    phrase: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    bucket: np.ndarray
+    place: np.ndarray
+    which: np.ndarray
 
-    The places of each list, length further on, are merged with the postings of the words, put in order of place once.
-    """
-    word, times, at = unpack(words, *LISTS)
-    order = np.argsort(at, kind="stable")
-    at, word = at[order], np.repeat(word, times)[order]
-    phrase, times, places = unpack(lists, *LISTS)
-    behind = np.searchsorted(at, places + length)
-    behind[behind == len(at)] = 0
-    met = at[behind] == places + length if len(at) else np.zeros(len(places), bool)
-    return places[met], np.repeat(phrase, times)[met], word[behind[met]]
 
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def _lengths(length: int):
-    """(block, phrase, word, n): how long the lists of all extensions by one word are in each block."""
 
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def extensions(words: bytes, lists: bytes, length: int, buckets: int) -> Extensions:
+    """Every list's places, length further on, merged with the postings of all frequent words, put in order of place once."""
+    word, times, at = unpack(words, *LISTS)
+    order = np.argsort(at, kind="stable")
+    at, behind = at[order], np.repeat(np.arange(len(word)), times)[order]
+    phrase, times, places = unpack(lists, *LISTS)
+    found = np.minimum(np.searchsorted(at, places + length), len(at) - 1)
+    met = at[found] == places + length
+    pair = np.repeat(np.arange(len(phrase)), times)[met] * np.int64(len(word)) + behind[found[met]]
+    every, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+    head, tail = phrase[every // len(word)], word[every % len(word)]
+    mixed = (head.view(np.uint64) * _MIX[0]) ^ (tail.view(np.uint64) * _MIX[1])
+    bucket = ((mixed ^ (mixed >> np.uint64(32))) * _MIX[0] >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return Extensions(head[order], tail[order], n[order].astype(np.int32), bucket[order].astype(np.int64), places[met], rank[which])
+
+
+def _sent(length: int, buckets: int):
+    """(bucket, block, pairs): of each block the lengths of the lists of all extensions by one word, packed by bucket."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                _, phrase, word = _extended(batch.column("words")[k].as_py(), batch.column("lists")[k].as_py(), length)
-                order = np.lexsort((word, phrase))
-                phrase, word = phrase[order], word[order]
-                firsts = np.flatnonzero(np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])))) if len(phrase) else np.empty(0, np.int64)
-                n = np.diff(np.append(firsts, len(phrase)))
-                for a in range(0, len(firsts), 1 << 16):
-                    part = firsts[a : a + (1 << 16)]
-                    block = np.full(len(part), batch.column("block")[k].as_py())
-                    yield pa.record_batch([pa.array(x) for x in (block, phrase[part], word[part], n[a : a + (1 << 16)])], names=["block", "phrase", "word", "n"])
+                e = extensions(batch.column("words")[k].as_py(), batch.column("lists")[k].as_py(), length, buckets)
+                edges = np.flatnonzero(np.concatenate(([True], e.bucket[1:] != e.bucket[:-1], [True]))) if len(e.bucket) else np.zeros(1, np.int64)
+                blobs = [pack(np.diff(e.phrase[a:z], prepend=0), e.word[a:z], e.n[a:z]) for a, z in zip(edges[:-1], edges[1:])]
+                block = np.full(len(blobs), batch.column("block")[k].as_py(), np.int64)
+                yield pa.record_batch([pa.array(e.bucket[edges[:-1]], pa.int64()), pa.array(block), pa.array(blobs, pa.binary())], names=["bucket", "block", "pairs"])
+
+    return sent
+
+
+#: What a bucket gives back: its frequent phrases, and for every block (phrase -1) which of the pairs it sent are among them.
+COUNTED = "block long, bucket long, phrase long, word long, f long, id long, reply binary"
+
+
+def _summed(least: int):
+    """Over rows in order of bucket: the exact frequencies, numbers for the frequent phrases, and replies to the blocks."""
+
+    def of_bucket(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(blob, np.int64, np.int64, np.int32) for _, blob in rows]
+        phrase, word, n = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        order = np.lexsort((word, phrase))
+        phrase, word = phrase[order], word[order]
+        new = np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])))
+        firsts = np.flatnonzero(new)
+        f = np.add.reduceat(n[order].astype(np.int64), firsts)
+        frequent = f >= least
+        ids = np.where(frequent, (np.int64(bucket) << 32) + np.cumsum(frequent), _NONE)
+        of_pair = np.empty(len(order), np.int64)
+        of_pair[order] = ids[np.cumsum(new) - 1]
+        at, replies = 0, []
+        for part in parts:
+            own = of_pair[at : at + len(part[0])]
+            at += len(own)
+            there = np.flatnonzero(own != _NONE)
+            replies.append(pack(there.astype(np.int32), own[there]))
+        m, k = int(frequent.sum()), len(replies)
+        hits = firsts[frequent]
+        none = np.full(k, _NONE)
+        columns = [
+            np.concatenate((np.full(m, _NONE), [block for block, _ in rows])), np.full(m + k, bucket), np.concatenate((phrase[hits], none)),
+            np.concatenate((word[hits], none)), np.concatenate((f[frequent], none)), np.concatenate((ids[frequent], none)),
+        ]
+        names = [c.split()[0] for c in COUNTED.split(", ")]
+        yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), pa.array([None] * m + replies, pa.binary())], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            for bucket, block, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "pairs"))):
+                if rows and bucket != last:
+                    yield from of_bucket(last, rows)
+                    rows = []
+                last = bucket
+                rows.append((block, blob))
+        if rows:
+            yield from of_bucket(last, rows)
 
-    return lengths
+    return summed
 
 
-def _longer(length: int):
-    """Blocks with the lists of the frequent phrases of length + 1 words (known: phrase, word, id) in place of the shorter ones."""
+def _longer(length: int, buckets: int):
+    """Blocks with the lists of the frequent phrases of length + 1 words, by the replies, in place of the shorter ones."""
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                places, phrase, word = _extended(batch.column("words")[k].as_py(), batch.column("lists")[k].as_py(), length)
-                known = batch.column("known")[k].values
-                heads, tails, ids = (known.field(c).to_numpy() for c in ("phrase", "word", "id"))
-                # both as one number: the rank of the phrase, then that of the word, among those known
-                head, tail = np.unique(heads), np.unique(tails)
-                pair = np.searchsorted(head, heads) * np.int64(len(tail)) + np.searchsorted(tail, tails)
-                order = np.argsort(pair)
-                pair, ids = pair[order], ids[order]
-                i, j = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((head, phrase), (tail, word)))
-                wanted = i * np.int64(len(tail)) + j
-                found = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
-                met = (pair[found] == wanted) & (head[i] == phrase) & (tail[j] == word)
-                by_place = np.argsort(places[met], kind="stable")
-                packed = pack(*_vertical(ids[found[met]][by_place], places[met][by_place]))
+                e = extensions(batch.column("words")[k].as_py(), batch.column("lists")[k].as_py(), length, buckets)
+                ids = np.full(len(e.phrase), _NONE, np.int64)
+                for reply in batch.column("replies")[k].as_py():
+                    there, own = unpack(reply["reply"], np.int32, np.int64)
+                    ids[np.searchsorted(e.bucket, reply["bucket"]) + there] = own
+                met = np.flatnonzero(ids[e.which] != _NONE)
+                met = met[np.argsort(e.place[met], kind="stable")]
+                packed = pack(*_vertical(ids[e.which[met]], e.place[met]))
                 yield pa.record_batch([batch.column("block").slice(k, 1), batch.column("words").slice(k, 1), pa.array([packed], pa.binary())], names=["block", "words", "lists"])
 
     return longer
@@ -188,8 +251,9 @@ def frequent_phrases(docs: DataFrame, least: int = FREQUENT, longest: int = LONG
     """(lang, phrase, size, f) of every phrase of up to longest words that occurs least times, and (lang, n), all words counted.
 
     Level by level. A block has an inverted list of places for every frequent phrase and the postings of all frequent words.
-    Merging each list, moved on by the length of the phrase, with the postings gives the lists of all extensions; their
-    lengths are added up over the blocks: the exact frequency. Extensions that reach least get a number, by a written table, and their lists replace the shorter ones. As no
+    Merging each list, moved on by the length of the phrase, with the postings gives the lists of all extensions. Their
+    lengths travel packed to buckets of phrases and are added up over the blocks: the exact frequency. Extensions that reach
+    least get a number, which goes back to the blocks, and their lists replace the shorter ones. As no
     part of a frequent phrase is rarer than the phrase, nothing else needs lists. Phrases never cross pieces or documents.
     """
     cut = blocks(docs)
@@ -206,18 +270,18 @@ def frequent_phrases(docs: DataFrame, least: int = FREQUENT, longest: int = LONG
     )
     state = saved(cut.select("block", "ids").join(known, "block").mapInArrow(_by_word, "block long, words binary, lists binary"))
     for length in range(1, longest):
-        lengths = saved(state.mapInArrow(_lengths(length), "block long, phrase long, word long, n long"))
-        frequent = saved(
-            lengths.groupBy("phrase", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
-        )
+        buckets = max(1, -(-(level.agg(F.sum("f")).first()[0] or 0) // BUCKET_PAIRS))
+        sent = state.mapInArrow(_sent(length, buckets), "bucket long, block long, pairs binary")
+        counts = saved(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed(least), COUNTED))
+        frequent = counts.where(F.col("phrase") != _NONE)
         first = level.select(F.col("id").alias("phrase"), "lang", F.col("phrase").alias("head"))
         last = named.select(F.col("id").alias("word"), F.col("phrase").alias("tail"))
-        level = saved(frequent.join(first, "phrase").join(last, "word").select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"))
+        level = saved(frequent.select("phrase", "word", "f", "id").join(first, "phrase").join(last, "word").select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"))
         levels.append(level.select("lang", "phrase", F.lit(length + 1).alias("size"), "f"))
         if length + 1 == longest:
             break
-        known = _met(lengths.drop("n"), frequent.drop("f"), ["phrase", "word"], limit).groupBy("block").agg(F.collect_list(F.struct("phrase", "word", "id")).alias("known"))
-        state = saved(state.join(known, "block").mapInArrow(_longer(length), "block long, words binary, lists binary"))
+        replies = counts.where(F.col("phrase") == _NONE).groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
+        state = saved(state.join(replies, "block").mapInArrow(_longer(length, buckets), "block long, words binary, lists binary"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

@@ -225,6 +225,7 @@ def phrased(seed, n):
 @pytest.mark.parametrize("size,limit", [(300, 0), (1 << 20, 500_000)])
 def test_collocations(spark, monkeypatch, size, limit):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
+    monkeypatch.setattr(collocations, "BUCKET_PAIRS", size)
     docs = phrased(1, 80) + [(900, None, "en"), (901, "", "de"), (902, "a a a a " * 3000, "en"), (None, "the other " * 40, "fr"), (5, "as well as " * 20, "xx"), (5, "as well as " * 20, "xx")]
     got = collocations.collocations(frame(spark, docs), least=20, top=12, limit=limit)
     assert rows(got, *COLUMNS) == collocations_by_hand(docs, 20, 12)
