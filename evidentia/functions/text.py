@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -87,3 +88,29 @@ def hash_id(prefix: str, *parts: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def _unaccent_table() -> tuple[str, str]:
+    """Characters that fall into one other character and marks, with that character, by compatibility decomposition."""
+    pairs = []
+    for code in (*range(0xA0, 0x1100), *range(0x1200, 0xAC00), *range(0xF900, 0x10000)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c)[0] != "M")
+        if len(bare) == 1 and bare != chr(code):
+            pairs.append((chr(code), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def unaccented(text: Column) -> Column:
+    """Letters without their accents, whatever the script; characters that fall into several stay as they are."""
+    return F.regexp_replace(F.translate(text, *_unaccent_table()), r"\p{M}+", "")
+
+
+def primary_language(text: Column) -> Column:
+    """The language with the highest score, if that is 2 or more and 45 % or more of all scores, else und."""
+
+    def best(found: Column) -> Column:
+        scores = language_scores(found)
+        top, total = F.greatest(*scores.values()), reduce(lambda a, b: a + b, scores.values())
+        return F.when((top >= 2) & (top >= 0.45 * total), F.coalesce(*[F.when(c == top, name) for name, c in scores.items()])).otherwise("und")
+
+    return F.transform(F.transform(F.array(folded(text)), marked), best)[0]

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import primary_language, unaccented
+from .passages import TURNS, compacted
+
 #: Exact references of a question.
 REFERENCES = (
     r"(?iu)\b(?:article|art\.?|section|sec\.?|clause|annex|appendix|§|artykuł|rozdział)\s*[\w.-]+(?:\([\w.-]+\))*",
@@ -40,17 +43,46 @@ EXPANSIONS = {
     "liability": {"pl": ["odpowiedzialność"], "de": ["haftung"]},
     "odpowiedzialność": {"en": ["liability"], "de": ["haftung"]},
 }
-#: The lanes of the eight variants of retrieval.
+#: The eight variants of retrieval, each with the lanes that it fuses and the steps that follow. Scoped lanes
+#: look in the routed documents, collection lanes in the routed collections, lazy asks for the sections that lack vectors.
+_HYBRID = ("lexical", "exact", "dense")
+_ROUTED = ("lexical_scoped", "exact", "lexical_collection", "dense_scoped", "dense_collection", "dense", "translated", "rerank")
 VARIANTS = {
-    "exact_lexical": ("exact", "lexical"),
-    "flat_dense": ("dense",),
-    "hierarchy_dense": ("routes", "dense"),
-    "hybrid": ("exact", "lexical", "dense"),
-    "hybrid_hierarchy": ("exact", "lexical", "dense", "routes"),
-    "hybrid_rerank": ("exact", "lexical", "dense", "rerank"),
-    "full_hybrid": ("exact", "lexical", "dense", "routes", "rerank"),
-    "iterative_hybrid": ("exact", "lexical", "dense", "routes", "rerank", "passes"),
+    "flat_dense_baseline": ("dense",),
+    "lexical_only": ("lexical", "exact"),
+    "dense_only": ("dense",),
+    "hybrid_rrf": _HYBRID,
+    "hybrid_translated": (*_HYBRID, "translated"),
+    "hybrid_reranked": (*_HYBRID, "translated", "rerank"),
+    "hierarchical": _ROUTED,
+    "hierarchical_lazy": (*_ROUTED, "lazy"),
 }
+STEPS = ("rerank", "lazy")
+#: Reasons of decomposed questions and of lexical variants, and what is added to questions.
+REASONS = {
+    "subject": "comparison subject decomposition", "coverage": "comparison entity coverage", "symptom": "diagnostic exact symptom", "cause": "diagnostic cause search",
+    "remedy": "diagnostic remediation search", "drill": "broad synthesis entity drill-down", "reference": "exact-reference recovery", "entity": "entity recovery",
+    "conflict": "conflict resolution across current authoritative sources", "evidence": "low-evidence recovery search", "folded": "diacritic-folded exact expansion",
+    "term": "controlled legal terminology expansion for ",
+}
+ADDED = {"cause": " root cause", "remedy": " fix workaround resolution", "conflict": " current authoritative version effective date", "evidence": " supporting evidence explanation"}
+#: Fixed values of conversation rewriting: what shows a follow-up, questions that are short, the label before the context, and lengths.
+FOLLOW_UP = (
+    r"(?iu)\b(?:it|that|this|those|these|there|then|same|older|newer|previous|former|latter|she|he|they|them|her|his|their|again|also|what about|how about|and what|a co|co z|tam|wtedy|starsz|nowsz"
+    r"|poprzedn|ona|on|oni|sie|dasselbe|älter|neuer|vorher|sie|er)\b"
+)
+PLAIN_QUESTION, NAMED = r"^[?\p{L}\p{N}\s]+\?$", r"[A-Z][\p{L}\p{M}]{2,}"
+SHORT_QUESTION, CONTEXT_LABEL, QUESTION_CHARS, CONTEXT_CHARS, REWRITTEN_CHARS = 8, "Conversation context needed to resolve references:", 1_200, 2_400, 3_200
+#: Variants of a question that the translated lane looks for.
+MOST_VARIANTS = 3
+
+
+#: A word edge between ASCII word characters and all else, which the patterns mean by \\b; the JVM's own knows other letters too.
+EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def edged(pattern: str) -> str:
+    return pattern.replace(r"\b", EDGE)
 
 
 def cleaned(text: Column, most: int) -> Column:
@@ -64,7 +96,7 @@ def unique(values: Column) -> Column:
 
 
 def references(question: Column) -> Column:
-    return unique(F.concat(*[F.regexp_extract_all(question, F.lit(p), F.lit(0)) for p in REFERENCES]))
+    return unique(F.concat(*[F.regexp_extract_all(question, F.lit(edged(p)), F.lit(0)) for p in REFERENCES]))
 
 
 def quoted(question: Column) -> Column:
@@ -72,32 +104,37 @@ def quoted(question: Column) -> Column:
 
 
 def entities(question: Column) -> Column:
-    return unique(F.regexp_extract_all(question, F.lit(ENTITY), F.lit(0)))
+    return unique(F.regexp_extract_all(question, F.lit(edged(ENTITY)), F.lit(0)))
 
 
 def intent(question: Column, found: Column) -> Column:
     """The first intent that shows; found are the question's references, which show one of their own."""
-    tests = [question.rlike(p) | (F.size(found) > 0 if name == "exact_reference" else F.lit(False)) for name, p in INTENTS]
+    tests = [question.rlike(edged(p)) | (F.size(found) > 0 if name == "exact_reference" else F.lit(False)) for name, p in INTENTS]
     return reduce(lambda rest, k: F.when(tests[k], INTENTS[k][0]).otherwise(rest), reversed(range(len(INTENTS))), F.lit("fact_lookup"))
 
 
 def filters(question: Column) -> Column:
-    """The types, jurisdictions and the day that a question states as type:x, jurisdiction:y and as of (or on) a date."""
-    stated = lambda word: F.transform(unique(F.regexp_extract_all(question, F.lit(rf"(?i)\b{word}:([\w-]+)"), F.lit(1))), F.lower)
-    day = F.regexp_extract(question, r"(?iu)\b(?:as of|on|na dzień|według stanu na|zum stand)\s+(\d{4}-\d{2}-\d{2})", 1)
-    return F.struct(stated("type").alias("types"), stated("jurisdiction").alias("jurisdictions"), F.try_to_date(F.nullif(day, F.lit("")), "yyyy-MM-dd").alias("as_of"))
+    """The types and jurisdictions that a question states as type: x or type: "x y", as they are written, and its first ISO
+    date as the day that it asks for."""
+
+    def stated(word: str) -> Column:
+        found = F.regexp_extract_all(question, F.lit(rf"(?iu){EDGE}{word}\s*:\s*(?:[\"'][^\"']+[\"']|[\p{{L}}\p{{N}}_.-]+)"), F.lit(0))
+        return unique(F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, rf"(?iu)^{word}\s*:\s*", ""), "^[\"']|[\"']$", "")))
+
+    day = F.nullif(F.regexp_extract(question, edged(r"\b(\d{4}-\d{2}-\d{2})\b"), 1), F.lit(""))
+    return F.struct(stated("type").alias("types"), stated("jurisdiction").alias("jurisdictions"), day.alias("as_of"))
 
 
 def decomposed(question: Column, kind: Column, refs: Column, names: Column) -> Column:
     """At most four further questions (query, reason), other than the question itself and each once."""
     item = lambda q, reason: F.struct(cleaned(q, 800).alias("query"), F.lit(reason).alias("reason"))
     each = lambda values, n, reason, make=lambda v: v: F.transform(F.slice(values, 1, n), lambda v: item(make(v), reason))
-    parts = F.filter(F.transform(F.split(question, APART), lambda p: F.trim(F.regexp_replace(p, COMPARING, ""))), lambda p: F.size(F.split(p, r"\s+")) >= 2)
+    parts = F.filter(F.transform(F.split(question, edged(APART)), lambda p: F.trim(F.regexp_replace(p, edged(COMPARING), ""))), lambda p: F.size(F.split(p, r"\s+")) >= 2)
     every = (
-        F.when(kind == "comparison", F.concat(each(parts, 3, "comparison subject decomposition"), each(names, 3, "comparison entity coverage", lambda v: F.concat(v, F.lit(" "), question))))
-        .when(kind == "diagnostic", F.concat(each(refs, 3, "diagnostic exact symptom"), F.array(item(F.concat(question, F.lit(" root cause")), "diagnostic cause search"), item(F.concat(question, F.lit(" fix workaround resolution")), "diagnostic remediation search"))))
-        .when(kind == "broad_synthesis", each(names, 3, "broad synthesis entity drill-down"))
-        .otherwise(F.concat(each(refs, 3, "exact-reference recovery"), each(names, 2, "entity recovery")))
+        F.when(kind == "comparison", F.concat(each(parts, 3, REASONS["subject"]), each(names, 3, REASONS["coverage"], lambda v: F.concat(v, F.lit(" "), question))))
+        .when(kind == "diagnostic", F.concat(each(refs, 3, REASONS["symptom"]), F.array(item(F.concat(question, F.lit(ADDED["cause"])), REASONS["cause"]), item(F.concat(question, F.lit(ADDED["remedy"])), REASONS["remedy"]))))
+        .when(kind == "broad_synthesis", each(names, 3, REASONS["drill"]))
+        .otherwise(F.concat(each(refs, 3, REASONS["reference"]), each(names, 2, REASONS["entity"])))
     )
     asked = F.transform(every, lambda e: e["query"])
     first = F.filter(every, lambda e, i: (e["query"] != "") & (e["query"] != question) & (F.array_position(asked, e["query"]) == i + 1))
@@ -112,19 +149,42 @@ def planned(questions: DataFrame, text: str = "text", id_column: str = "id") ->
     return known.withColumn("parts", decomposed(F.col("query"), F.col("intent"), F.col("references"), F.col("entities")))
 
 
-def translations(question: Column, languages: list[str], most: int = 3) -> Column:
-    """The question with its first known term in other languages, so many variants at most."""
-    low = F.lower(question)
-    variants = [F.when(F.contains(low, F.lit(term)), F.replace(low, F.lit(term), F.lit(other))) for term, by in EXPANSIONS.items() for lang in languages for other in by.get(lang, [])]
-    return F.slice(F.array_distinct(F.array_compact(F.array(*variants))), 1, most) if variants else F.array().cast("array<string>")
+def lexical_variants(question: Column) -> Column:
+    """An array of (language, query, reason): the question without accents, if it has any, then for each known term in it the
+    question with all that the term is called in another language, a variant a language."""
+    plain = unaccented(question)
+    variant = lambda lang, query, reason: F.struct(lang.alias("language"), query.alias("query"), F.lit(reason).alias("reason"))
+    every = [F.when(plain != question, variant(primary_language(question), plain, REASONS["folded"]))]
+    for term, by in EXPANSIONS.items():
+        for lang, names in by.items():
+            every.append(F.when(F.contains(F.lower(question), F.lit(term)), variant(F.lit(lang), F.concat(question, F.lit(" " + " ".join(names))), REASONS["term"] + term)))
+    return F.array_compact(F.array(*every))
+
+
+def translations(question: Column, most: int = MOST_VARIANTS) -> Column:
+    """The queries of the translated lane: the first lexical variants."""
+    return F.transform(F.slice(lexical_variants(question), 1, most), lambda v: v["query"])
 
 
 def standalone(turns: DataFrame, group: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """The last question of each conversation, and a form that stands alone: short questions and those that ask for more
-    get the turn before them in front. Rows (group, question, query, method)."""
-    w = Window.partitionBy(group).orderBy(F.col(order).desc())
-    rows = turns.where(F.col("role") == "user").select(group, order, cleaned(F.coalesce(F.col(text), F.lit("")), 1200).alias("question"))
-    last = rows.withColumn("_n", F.row_number().over(w)).withColumn("before", F.lead("question").over(w)).where("_n = 1")
-    short = (F.size(F.split("question", " ")) <= 8) & F.col("before").isNotNull()
-    joined = F.concat(F.substring("before", 1, 300), F.lit(" "), F.col("question"))
-    return last.select(group, "question", F.when(short, joined).otherwise(F.col("question")).alias("query"), F.when(short, "deterministic").otherwise("identity").alias("method"))
+    """The last question of each conversation, and a form of it that stands alone: (group, question, query, method, turns_used).
+
+    A question needs the conversation if there is one and it refers back (FOLLOW_UP), is short, or is a plain question
+    without a name. It then gets the compacted turns before it, oldest first, as labelled context. Null texts are empty; a
+    conversation without a question of the user gives no row; turns of one number are taken by role and text.
+    """
+    age = Window.partitionBy(group).orderBy(F.col(order).desc(), F.col("role").desc(), F.col(text).desc())
+    rows = turns.select(group, order, "role", F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("_age", F.row_number().over(age))
+    asked = rows.where(F.col("role") == "user").groupBy(group).agg(F.min_by(F.struct(cleaned(F.col(text), QUESTION_CHARS).alias("question"), "_age"), "_age").alias("q"))
+    before = rows.join(asked.select(group, F.col("q._age").alias("_asked")), group).where(F.col("_age") > F.col("_asked")).where(F.col("_age") <= F.col("_asked") + TURNS)
+    short = compacted(before.withColumn("_order", -F.col("_age")).drop("_age", "_asked"), group, "_order", text)
+    line = F.struct("_order", F.concat("role", F.lit(": "), F.col(text)).alias("line"))
+    context = short.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("context"), F.count("*").alias("n"))
+    found = asked.select(group, "q.question").join(context, group, "left")
+    question = F.col("question")
+    refers = question.rlike(edged(FOLLOW_UP)) | (F.size(F.split(question, r"\s+")) <= SHORT_QUESTION) | (question.rlike(PLAIN_QUESTION) & ~question.rlike(NAMED))
+    needs = F.col("n").isNotNull() & refers
+    rewritten = cleaned(F.concat_ws("\n", question, F.lit(CONTEXT_LABEL), cleaned(F.col("context"), CONTEXT_CHARS)), REWRITTEN_CHARS)
+    return found.select(
+        group, "question", F.when(needs, rewritten).otherwise(question).alias("query"), F.when(needs, "deterministic").otherwise("identity").alias("method"), F.when(needs, F.col("n")).otherwise(0).cast("int").alias("turns_used")
+    )

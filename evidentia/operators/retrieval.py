@@ -72,22 +72,34 @@ def fuse(lanes: list[DataFrame], weights: dict[str, float] | None = None, k: int
     )
 
 
-def variants(lanes: dict[str, DataFrame], names: dict[str, tuple[str, ...]], weights: dict[str, float] | None = None, limit: int = 100) -> DataFrame:
-    """The fused lists of several variants, each of the lanes it names: variant, id, fusion, score, retrievers.
+def variants(lanes: dict[str, DataFrame], names: dict[str, tuple[str, ...]], weights: dict[str, float] | None = None, limit: int = 100, scores: DataFrame | None = None, steps: tuple[str, ...] = ("rerank", "lazy")) -> DataFrame:
+    """The lists of several variants, each fused of the lanes it names: variant, rank, id, fusion, score, retrievers.
 
-    Every lane is worked out once and written, as it is a short list that several variants read. A lane that a variant
-    names and that is not given is left out; a variant without lanes gives no rows.
+    A variant with the step rerank is ordered by scores (id, score) from outside, missing as 0, ties as fused. Every lane is
+    worked out once and written, as it is a short list that several variants read. A lane or scores that a variant names and
+    that are not given are an error.
     """
-    kept = {k: saved(lane) for k, lane in lanes.items()}
-    fused = [fuse([kept[k] for k in parts if k in kept], weights, limit=limit).select(F.lit(v).alias("variant"), "*") for v, parts in names.items() if any(k in kept for k in parts)]
-    return reduce(DataFrame.unionByName, fused)
-
-
-def passes(docs: DataFrame, questions: list[str], limit: int, text: str = "text", id_column: str = "id") -> DataFrame:
-    """The lexical lanes of a question's parts as one lane: every row with the best rank that any part gives it."""
-    every = reduce(DataFrame.unionByName, [lexical(docs, q, limit, text, id_column) for q in questions[:4]])
-    best = every.groupBy("id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    return best.select(F.lit("iterative").alias("retriever"), "rank", "score", "id")
+    wanted = {part for parts in names.values() for part in parts} - set(steps)
+    missing = sorted(wanted - lanes.keys()) + ["scores"] * (scores is None and any("rerank" in parts for parts in names.values()))
+    if missing:
+        raise ValueError(f"variants name lanes that are not given: {', '.join(missing)}")
+    kept = {k: saved(lane) for k, lane in lanes.items() if k in wanted}
+    best = scores.groupBy("id").agg(F.max("score").alias("_s")) if scores is not None else None
+
+    def one(name: str, parts: tuple[str, ...]) -> DataFrame:
+        fused = fuse([kept[k] for k in parts if k not in steps], weights, limit=limit)
+        order = [F.col("fusion").desc(), F.col("score").desc(), F.col("id")]
+        if "rerank" in parts:
+            fused, order = fused.join(best, "id", "left"), [F.coalesce("_s", F.lit(0.0)).desc(), *order]
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # over limit rows
+        return fused.select(F.lit(name).alias("variant"), rank.alias("rank"), "id", "fusion", "score", "retrievers")
+
+    return reduce(DataFrame.unionByName, [one(name, parts) for name, parts in names.items()])
+
+
+def translated(docs: DataFrame, queries: list[str], limit: int = 50, text: str = "text", id_column: str = "id") -> list[DataFrame]:
+    """A lexical lane for each of a question's first variants, all of them named translated_lexical."""
+    return [lexical(docs, q, limit, text, id_column).withColumn("retriever", F.lit("translated_lexical")) for q in queries]
 
 
 def in_scope(df: DataFrame, tokens: list[str], types: list[str] | None = None, as_of: str | None = None) -> DataFrame:

@@ -925,7 +925,7 @@ QUESTIONS = [
     ("Compare  Acme Corp versus Beta Works", "comparison", "", "Compare Acme Corp;Beta Works", "Acme Corp;Beta Works;Compare Acme Corp Compare Acme Corp versus Beta Works;Beta Works Compare Acme Corp versus Beta Works", "", None),
     ("Why did ORD-{k}00 fail", "diagnostic", "ORD-{k}00", "", "ORD-{k}00;Why did ORD-{k}00 fail root cause;Why did ORD-{k}00 fail fix workaround resolution", "", None),
     ("What does clause {k} say as of 2025-01-01?", "as_of", "clause {k};2025-01-01", "", "clause {k};2025-01-01", "", "2025-01-01"),
-    ("Summarize type:Contract jurisdiction:PL across Blue River", "broad_synthesis", "", "Blue River", "Blue River", "contract", None),
+    ("Summarize type:Contract jurisdiction:PL across Blue River", "broad_synthesis", "", "Blue River", "Blue River", "Contract", None),
     ("how many units of item {k} are left", "fact_lookup", "", "", "", "", None),
     ('"net price {k}" in the offer', "exact_reference", "", "", "", "", None),
     ("send 1{k}0 EUR to a{k}@b.com", "exact_reference", "a{k}@b.com;1{k}0 EUR", "", "a{k}@b.com;1{k}0 EUR", "", None),
@@ -944,27 +944,13 @@ def _questions_sql(column: int) -> str:
     return f"replace(({of})[c_custkey % {len(QUESTIONS)} + 1], '{{k}}', c_custkey::VARCHAR)"
 
 
-@query("question_plan", f"SELECT c_custkey AS id, {_questions_sql(1)} AS intent, {_questions_sql(2)} AS refs, {_questions_sql(3)} AS entities, {_questions_sql(4)} AS parts, {_questions_sql(5)} AS types, {_questions_sql(6)}::DATE AS as_of FROM customer")
+@query("question_plan", f"SELECT c_custkey AS id, {_questions_sql(1)} AS intent, {_questions_sql(2)} AS refs, {_questions_sql(3)} AS entities, {_questions_sql(4)} AS parts, {_questions_sql(5)} AS types, {_questions_sql(6)} AS as_of FROM customer")
 def _(spark, load):
     found = planning.planned(_questions(load))
     names = F.transform("parts", lambda p: p["query"])
     return found.select("id", "intent", F.array_join("references", ";").alias("refs"), F.array_join("entities", ";").alias("entities"), F.array_join(names, ";").alias("parts"), F.array_join("filters.types", ";").alias("types"), "filters.as_of")
 
 
-@query("question_translations", "SELECT c_custkey AS id, 'wypowiedzenie of the payment;rozwiązanie umowy of the payment;kündigung of the payment' AS variants FROM customer WHERE c_custkey % 8 = 7")
-def _(spark, load):
-    return _questions(load).select("id", F.array_join(planning.translations(F.col("text"), ["pl", "de"]), ";").alias("variants")).where("variants <> ''")
-
-
-USERS = "SELECT conv_id, turn, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 1200) AS q FROM conversations WHERE role = 'user'"
-
-
-@query("question_rewrite", f"SELECT conv_id, CASE WHEN short THEN 'deterministic' ELSE 'identity' END AS method, md5(CASE WHEN short THEN substr(b, 1, 300) || ' ' || q ELSE q END) AS digest FROM (SELECT *, len(string_split(q, ' ')) <= 8 AND b IS NOT NULL AS short FROM (SELECT *, row_number() OVER w AS n, lead(q) OVER w AS b FROM ({USERS}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE n = 1)")
-def _(spark, load):
-    return planning.standalone(load("conversations")).select("conv_id", "method", F.md5("query").alias("digest"))
-
-
-
 # scorers and measures
 
 KINDS = ("equals", "contains", "json_schema", "citation_count", "tool_sequence", "cost_budget", "policy_decision", "retrieval_recall_at_k", "unknown")
@@ -1232,31 +1218,6 @@ def _(spark, load):
     return store_query.triggers(load("events").withColumnsRenamed({"event_type": "tool", "props": "params"}), "click", '{"k": 3}').select("event_id")
 
 
-
-VARIANT_LANES = {"lexical": ("lexical", 150), "exact": ("exact_reference", 50), "dense": ("dense", 100)}
-PART = "contract for that thing"
-PART_LEX = LEX.replace("sqrt(6.0", "sqrt(4.0").replace("('the', 'of', 'contract', 'for', 'that', 'thing')", "('contract', 'for', 'that', 'thing')")
-
-
-def _variants_sql() -> str:
-    source = {"lexical": LEX, "exact": EXACT, "dense": DENSE}
-    lanes = {k: f"SELECT * FROM {_lane(n, source[k], limit)}" for k, (n, limit) in VARIANT_LANES.items()}
-    lanes["passes"] = f"SELECT 'iterative' AS retriever, min(rank) AS rank, max(score) AS score, id FROM (SELECT * FROM {_lane('x', PART_LEX, 50)} UNION ALL SELECT * FROM {_lane('x', LEX, 50)}) GROUP BY id"
-    weight = "CASE retriever WHEN 'exact_reference' THEN 2.0 WHEN 'dense' THEN 0.8 ELSE 1.0 END"
-    one = lambda v: f"SELECT * FROM (SELECT '{v}' AS variant, id, round(sum({weight} / (60 + rank)), 9) AS fusion, max(score) AS score, string_agg(retriever, ',' ORDER BY retriever) AS retrievers FROM ({' UNION ALL '.join(lanes[k] for k in planning.VARIANTS[v] if k in lanes)}) GROUP BY id ORDER BY fusion DESC, score DESC, id LIMIT 100)"
-    return " UNION ALL ".join(map(one, planning.VARIANTS))
-
-
-@query("retrieval_variants", _variants_sql())
-def _(spark, load):
-    d = load("documents").select("doc_id", "text")
-    lanes = {
-        "lexical": retrieval.lexical(d, QUESTION, 150, id_column="doc_id"), "exact": retrieval.exact(d, ["the th", "ION "], 50, id_column="doc_id"),
-        "dense": retrieval.dense(load("embeddings"), VECTOR, 100, id_column="vec_id"), "passes": retrieval.passes(d, [PART, QUESTION], 50, id_column="doc_id"),
-    }
-    return retrieval.variants(lanes, planning.VARIANTS, {"exact_reference": 2.0, "dense": 0.8})
-
-
 # the same events as real streams, drained into a table
 
 def _streamed(name: str, sql: str):

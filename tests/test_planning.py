@@ -18,16 +18,58 @@ def test_question_plan(spark):
     assert [got[k].intent for k in (1, 2, 3, 4, 5)] == ["comparison", "diagnostic", "as_of", "fact_lookup", "broad_synthesis"]
     assert [p.query for p in got[1].parts][:2] == ["Acme Corp", "Beta Works"] and len(got[1].parts) == 4
     assert [p.reason for p in got[2].parts] == ["diagnostic exact symptom", "diagnostic cause search", "diagnostic remediation search"]
-    assert got[3].quoted == ["net price"] and got[3].filters.types == ["contract"] and got[3].filters.as_of is None and got[4].parts == []
+    assert got[3].quoted == ["net price"] and got[3].filters.types == ["Contract"] and got[3].filters.as_of == "2025-02-30" and got[4].parts == []
     assert planning.planned(q.limit(0)).count() == 0 and len(planning.VARIANTS) == 8
 
 
-def test_standalone_questions_and_translations(spark):
-    turns = [(1, 1, "user", "What does the framework agreement with Acme say about the liability of both parties?"), (1, 2, "assistant", "x"), (1, 3, "user", " and  payment? "), (2, 1, "user", "Short one")]
-    got = {r.conv_id: r for r in planning.standalone(frame(spark, turns, "conv_id long, turn long, role string, text string")).collect()}
-    assert got[1].method == "deterministic" and got[1].query.startswith("What does") and got[1].query.endswith(" and payment?") and got[2].method == "identity"
-    one = frame(spark, [("Liability?",)], "t string").select(planning.translations(F.col("t"), ["pl", "de"]).alias("v")).first().v
-    assert one == ["odpowiedzialność?", "haftung?"]
+def test_filters_as_questions_state_them(spark):
+    asked = ['in force 2024-03-01 type: "Master Agreement" jurisdiction : PL', "TYPE:Überlassung type:'a b' type:x_y.z jurisdiction:", "12024-03-01", None]
+    q = frame(spark, [(k, t) for k, t in enumerate(asked)], "id long, text string")
+    got = {r.id: r.filters for r in planning.planned(q).collect()}
+    assert (got[0].types, got[0].jurisdictions, got[0].as_of) == (["Master Agreement"], ["PL"], "2024-03-01")
+    assert got[1].types == ["Überlassung", "a b", "x_y.z"] and got[1].jurisdictions == [] and got[2].as_of is None and got[3].types == []
+
+
+def test_lexical_variants(spark):
+    rows = frame(spark, [("termination notice",), ("Übergabe der Zahlung wypowiedzenie",), ("plain",), (None,)], "t string")
+    got = [[tuple(v) for v in r.v] if r.v is not None else None for r in rows.select(planning.lexical_variants(F.col("t")).alias("v")).collect()]
+    term = "controlled legal terminology expansion for "
+    assert got[0] == [("pl", "termination notice wypowiedzenie rozwiązanie umowy", term + "termination"), ("de", "termination notice kündigung vertragsbeendigung", term + "termination")]
+    assert got[1][0] == ("und", "Ubergabe der Zahlung wypowiedzenie", "diacritic-folded exact expansion") and [v[0] for v in got[1][1:]] == ["en", "de"]
+    assert got[2] == got[3] == []
+    three = rows.select(planning.translations(F.col("t")).alias("v")).collect()
+    assert [len(r.v) for r in three] == [2, 3, 0, 0]
+
+
+def test_standalone_questions(spark):
+    long = "word " * 400
+    turns = [
+        (1, 1, "user", "What does the framework agreement with Acme say about the liability of both parties?"), (1, 2, "assistant", " It\nsays  this. "), (1, 3, "user", " and  payment? "), (1, 4, "assistant", "later"),
+        (2, 1, "user", "Short one"), (3, 1, "assistant", "no question"), (4, 1, "user", None), (4, 2, "user", "What does Article nine of the Berlin contract require from every party today?"),
+        (5, 1, "assistant", "a"), (5, 2, "user", "What does Article nine of the Berlin contract require from every party, and is it that?"),
+        *[(6, k, "assistant", long) for k in range(8)], (6, 9, "user", "why"),
+        (7, 1, "assistant", "a"), (7, 2, "user", "what kind of insurance must every single contractor in town hold today?"), (8, 1, "assistant", "a"), (8, 2, "user", "Which kinds of insurance must every single contractor in town hold today?"),
+    ]
+    got = {r.conv_id: r for r in planning.standalone(frame(spark, turns, "conv_id long, turn long, role string, text string").withColumn("context", F.lit("x"))).collect()}
+    label = " Conversation context needed to resolve references: "
+    assert got[1].query == "and payment?" + label + "user: What does the framework agreement with Acme say about the liability of both parties? assistant: It says this." and got[1].turns_used == 2
+    assert got[2].method == got[4].method == got[8].method == "identity" and got[2].query == "Short one" and 3 not in got and got[4].turns_used == 0
+    assert got[5].method == got[7].method == "deterministic" and got[5].query.endswith(label + "assistant: a")
+    assert got[6].turns_used == 4 and got[6].query.startswith("why" + label) and len(got[6].query) <= 3 + len(label) + 2400
+
+
+def test_variants_want_their_lanes_and_scores(spark):
+    lane = lambda name, *ids: frame(spark, [(name, k + 1, 1.0, i) for k, i in enumerate(ids)], "retriever string, rank int, score double, id long")
+    every = {k: lane(k, *ids) for k, ids in {"lexical": (1, 2), "exact": (2,), "dense": (3, 1), "translated": (4,)}.items()}
+    names = {k: planning.VARIANTS[k] for k in ("lexical_only", "hybrid_reranked")}
+    with pytest.raises(ValueError, match="scores"):
+        retrieval.variants(every, names)
+    with pytest.raises(ValueError, match="dense_scoped"):
+        retrieval.variants(every, planning.VARIANTS, scores=every["dense"])
+    scores = frame(spark, [(4, 0.9), (1, 0.2), (1, 0.1)], "id long, score double")
+    got = retrieval.variants(every, names, scores=scores).orderBy("variant", "rank").collect()
+    assert [(r.variant, r.id) for r in got] == [("hybrid_reranked", 4), ("hybrid_reranked", 1), ("hybrid_reranked", 2), ("hybrid_reranked", 3), ("lexical_only", 2), ("lexical_only", 1)]
+    assert list(planning.VARIANTS) == ["flat_dense_baseline", "lexical_only", "dense_only", "hybrid_rrf", "hybrid_translated", "hybrid_reranked", "hierarchical", "hierarchical_lazy"]
 
 
 MD = "---\ntype: Contract\nparties: [A, 'B']\nbook: Law\nvalid_from: 2024-01-01\nvalid_to: soon\n---\n# Top\nintro é\n\n```\n# no\n\n```\n## Sub\n| a |\n|---|\n"
