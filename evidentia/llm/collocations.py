@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, saved
+from .common import saved
 from .repeats import pack, unpack
 
 #: Words of a phrase at most, occurrences that make it frequent, and phrases returned for each language.
@@ -20,6 +23,8 @@ LONGEST, FREQUENT, TOP = 5, 100, 2000
 BLOCK_BYTES = 8 << 20
 #: Occurrences of phrases for each bucket in which lengths are added up: what a task holds of them at once.
 BUCKET_PAIRS = 2_000_000
+#: And words of blocks for each bucket in which words are counted.
+BUCKET_WORDS = 1_000_000
 #: The top list of a language is found over so many parts first.
 PARTS = 64
 
@@ -29,6 +34,19 @@ _STOP = bytes(46 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b for b in range(256))
 _NONE = -1
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, compressed: differences, their bytes by significance, then zstd."""
+    return pack(*(np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(-1, a.itemsize).T) for a in arrays))
+
+
+def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    out = []
+    for kind, planes in zip(kinds, unpack(blob, *[np.uint8] * len(kinds))):
+        size = np.dtype(kind).itemsize
+        out.append(np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel(), dtype=kind))
+    return out
+
+
 class _Numbers(dict):
     """The words of one language in a block; a new one gets the next number of the block."""
 
@@ -58,25 +76,29 @@ class _Words:
         self.parts.append(np.fromiter(map(self.numbers[lang].__getitem__, words), np.int32, len(words)))
         self.size += len(text)
 
-    def row(self) -> tuple[list[str], list[bytes], np.ndarray, bytes]:
-        """Languages and words by number, how often each occurs, and the packed list of numbers."""
+    def rows(self) -> Iterator[tuple[str, bytes, bytes, int, bytes | None]]:
+        """For each language its words, a line each, their numbers and counts, and how many they are; the text with the first."""
         ids = np.concatenate(self.parts)
-        total = next(self.counter)
-        langs, words = [""] * total, [b""] * total
+        counts = np.bincount(ids[ids != _NONE], minlength=next(self.counter)).astype(np.int32)
+        text = packed(ids)
         for lang, known in self.numbers.items():
-            for word, n in known.items():
-                if n != _NONE:
-                    langs[n], words[n] = lang, word
-        return langs, words, np.bincount(ids[ids != _NONE], minlength=total), pack(ids)
+            del known[b"."]
+            own = np.fromiter(known.values(), np.int32, len(known))
+            yield lang, zstandard.ZstdCompressor(level=1).compress(b"\n".join(known)), packed(own, counts[own]), len(own), text
+            text = None
+
+
+BLOCKS = "lang string, words binary, numbers binary, n_words int, ids binary, part int"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a block: its words in order of number, with language and count, and the packed text."""
+    """Rows of _Words.rows(), with the number of the block in its task."""
+    number = count()
 
     def flush(block: _Words) -> pa.RecordBatch:
-        langs, words, counts, ids = block.row()
-        entry = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
-        return pa.record_batch([pa.ListArray.from_arrays([0, len(entry)], entry), pa.array([ids], pa.binary())], names=["words", "ids"])
+        lang, words, numbers, n, ids = zip(*block.rows())
+        columns = pa.array(lang, pa.string()), pa.array(words, pa.binary()), pa.array(numbers, pa.binary()), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array([next(number)] * len(n), pa.int32())
+        return pa.record_batch(list(columns), names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     block = _Words()
     for batch in batches:
@@ -90,36 +112,107 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """The corpus as blocks, written once: (block, words, ids). What later steps read is this, whatever the order of rows."""
+    """The corpus as blocks, written once, a row for each block and language. What later steps read is this, whatever the
+    order of rows in another evaluation."""
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    kinds = "words array<struct<lang string, word string, n bigint>>, ids binary"
-    return saved(rows.mapInArrow(_blocks, kinds).withColumn("block", F.monotonically_increasing_id()))
+    block = (F.spark_partition_id().cast("long") * F.lit(2**32) + F.col("part")).alias("block")
+    return saved(rows.mapInArrow(_blocks, BLOCKS).select(block, "lang", "words", "numbers", "n_words", "ids"))
+
+
+def _words_sent(buckets: int):
+    """(bucket, lang, block, words, numbers): the words of each block with their numbers and counts, packed by bucket."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "lang", "block", "words", "numbers"]
+        for batch in batches:
+            for block, lang, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "words", "numbers"))):
+                own = zstandard.ZstdDecompressor().decompress(words).split(b"\n")
+                number, n = unpacked(numbers, np.int32, np.int32)
+                if not len(number):
+                    continue
+                bucket = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
+                rows = []
+                for a, z in zip(edges[:-1], edges[1:]):
+                    part = order[a:z]
+                    text = zstandard.ZstdCompressor(level=1).compress(b"\n".join([own[i] for i in part.tolist()]))
+                    rows.append((int(bucket[part[0]]), lang, block, text, packed(number[part], n[part])))
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=names)
+
+    return sent
+
+
+#: What the buckets of words give back: frequent words, replies to blocks (numbers in the block, and in the corpus), and for
+#: every language the number of all words (word and reply null).
+COUNTED_WORDS = "lang string, block long, word string, f long, id long, reply binary"
+
+
+def _words_summed(least: int):
+    """Over rows in order of bucket and language: exact counts, numbers for the frequent words, replies, totals."""
+    names = [c.split()[0] for c in COUNTED_WORDS.split(", ")]
+
+    def of_lang(lang: str, first: int, rows: list[tuple[int, list[bytes], np.ndarray, np.ndarray]]) -> tuple[int, pa.RecordBatch]:
+        total: Counter[bytes] = Counter()
+        for _, words, _, n in rows:
+            for word, k in zip(words, n.tolist()):
+                total[word] += k
+        frequent = {word: first + k for k, word in enumerate(sorted(w for w, k in total.items() if k >= least))}
+        out = [(lang, _NONE, word.decode("utf-8", "surrogatepass"), total[word], k, None) for word, k in frequent.items()]
+        for block, words, number, _ in rows:
+            ids = np.fromiter((frequent.get(w, _NONE) for w in words), np.int64, len(words))
+            out.append((lang, block, None, None, None, packed(number[ids != _NONE], ids[ids != _NONE])))
+        out.append((lang, _NONE, None, sum(total.values()), None, None))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return first + len(frequent), pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first, rows = (None, None), 0, []
+        for batch in batches:
+            for bucket, lang, block, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "block", "words", "numbers"))):
+                if rows and (bucket, lang) != last:
+                    first, found = of_lang(last[1], first, rows)
+                    yield found
+                    rows = []
+                if bucket != last[0]:
+                    first = bucket << 32
+                last = bucket, lang
+                rows.append((block, zstandard.ZstdDecompressor().decompress(words).split(b"\n"), *unpacked(numbers, np.int32, np.int32)))
+        if rows:
+            yield of_lang(last[1], first, rows)[1]
+
+    return summed
 
 
 #: The inverted lists of a block, packed: keys (of words or phrases, corpus-wide), the length of each list, and the places.
 LISTS = (np.int64, np.int32, np.int32)
+STATE = "block long, words binary, lists binary"
 
 
-def _vertical(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _vertical(keys: np.ndarray, places: np.ndarray) -> bytes:
     """Occurrences (key, place), by place, as inverted lists: the keys, how long each list is, and the lists one after the other."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return keys[firsts], np.diff(np.append(firsts, len(keys))).astype(np.int32), places[order].astype(np.int32)
+    return packed(keys[firsts], np.diff(np.append(firsts, len(keys))).astype(np.int32), places[order].astype(np.int32))
+
+
+def _state(batch: pa.RecordBatch, k: int, words: bytes, lists: bytes | None) -> pa.RecordBatch:
+    return pa.record_batch([batch.column("block").slice(k, 1), pa.array([words], pa.binary()), pa.array([lists], pa.binary())], names=["block", "words", "lists"])
 
 
 def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of the frequent words of each block (known: number in the block, number in the corpus), which are the
-    lists of the phrases of one word too."""
+    """The postings of the frequent words of each block, by the replies. They are the lists of the phrases of one word too,
+    which therefore are left out."""
     for batch in batches:
         for k in range(batch.num_rows):
-            (ids,) = unpack(batch.column("ids")[k].as_py(), np.int32)
-            known = batch.column("known")[k].values
+            (ids,) = unpacked(batch.column("ids")[k].as_py(), np.int32)
             number = np.full(int(ids.max(initial=-1)) + 2, _NONE, np.int64)
-            number[known.field("local").to_numpy()] = known.field("id").to_numpy()
+            for reply in batch.column("replies")[k].as_py():
+                own, known = unpacked(reply, np.int32, np.int64)
+                number[own] = known
             places = np.flatnonzero(number[ids] != _NONE)
-            packed = pa.array([pack(*_vertical(number[ids[places]], places))], pa.binary())
-            yield pa.record_batch([batch.column("block").slice(k, 1), packed, packed], names=["block", "words", "lists"])
+            yield _state(batch, k, _vertical(number[ids[places]], places), None)
 
 
 @dataclass(frozen=True)
@@ -138,14 +231,14 @@ class Extensions:
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def extensions(words: bytes, lists: bytes, length: int, buckets: int) -> Extensions:
+def extensions(words: bytes, lists: bytes | None, length: int, buckets: int) -> Extensions:
     """Every list's places, length further on, merged with the postings of all frequent words, put in order of place once."""
-    word, times, at = unpack(words, *LISTS)
+    word, times, at = unpacked(words, *LISTS)
     order = np.argsort(at, kind="stable")
     at, behind = at[order], np.repeat(np.arange(len(word)), times)[order]
-    phrase, times, places = unpack(lists, *LISTS)
-    found = np.minimum(np.searchsorted(at, places + length), len(at) - 1)
-    met = at[found] == places + length
+    phrase, times, places = unpacked(lists or words, *LISTS)
+    found = np.minimum(np.searchsorted(at, places + length), max(len(at) - 1, 0))
+    met = at[found] == places + length if len(at) else np.zeros(len(places), bool)
     pair = np.repeat(np.arange(len(phrase)), times)[met] * np.int64(len(word)) + behind[found[met]]
     every, which, n = np.unique(pair, return_inverse=True, return_counts=True)
     head, tail = phrase[every // len(word)], word[every % len(word)]
@@ -165,7 +258,7 @@ def _sent(length: int, buckets: int):
             for k in range(batch.num_rows):
                 e = extensions(batch.column("words")[k].as_py(), batch.column("lists")[k].as_py(), length, buckets)
                 edges = np.flatnonzero(np.concatenate(([True], e.bucket[1:] != e.bucket[:-1], [True]))) if len(e.bucket) else np.zeros(1, np.int64)
-                blobs = [pack(np.diff(e.phrase[a:z], prepend=0), e.word[a:z], e.n[a:z]) for a, z in zip(edges[:-1], edges[1:])]
+                blobs = [packed(e.phrase[a:z], e.word[a:z], e.n[a:z]) for a, z in zip(edges[:-1], edges[1:])]
                 block = np.full(len(blobs), batch.column("block")[k].as_py(), np.int64)
                 yield pa.record_batch([pa.array(e.bucket[edges[:-1]], pa.int64()), pa.array(block), pa.array(blobs, pa.binary())], names=["bucket", "block", "pairs"])
 
@@ -180,8 +273,8 @@ def _summed(least: int):
     """Over rows in order of bucket: the exact frequencies, numbers for the frequent phrases, and replies to the blocks."""
 
     def of_bucket(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(blob, np.int64, np.int64, np.int32) for _, blob in rows]
-        phrase, word, n = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        parts = [unpacked(blob, np.int64, np.int64, np.int32) for _, blob in rows]
+        phrase, word, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((word, phrase))
         phrase, word = phrase[order], word[order]
         new = np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])))
@@ -196,7 +289,7 @@ def _summed(least: int):
             own = of_pair[at : at + len(part[0])]
             at += len(own)
             there = np.flatnonzero(own != _NONE)
-            replies.append(pack(there.astype(np.int32), own[there]))
+            replies.append(packed(there.astype(np.int32), own[there]))
         m, k = int(frequent.sum()), len(replies)
         hits = firsts[frequent]
         none = np.full(k, _NONE)
@@ -222,53 +315,51 @@ def _summed(least: int):
     return summed
 
 
-def _longer(length: int, buckets: int):
-    """Blocks with the lists of the frequent phrases of length + 1 words, by the replies, in place of the shorter ones."""
+def _longer(length: int, buckets: int, longest: int):
+    """Blocks with the lists of the frequent phrases of length + 1 words, by the replies, in place of the shorter ones, and
+    the postings at such places alone as longer phrases can reach."""
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                e = extensions(batch.column("words")[k].as_py(), batch.column("lists")[k].as_py(), length, buckets)
+                words = batch.column("words")[k].as_py()
+                e = extensions(words, batch.column("lists")[k].as_py(), length, buckets)
                 ids = np.full(len(e.phrase), _NONE, np.int64)
                 for reply in batch.column("replies")[k].as_py():
-                    there, own = unpack(reply["reply"], np.int32, np.int64)
+                    there, own = unpacked(reply["reply"], np.int32, np.int64)
                     ids[np.searchsorted(e.bucket, reply["bucket"]) + there] = own
                 met = np.flatnonzero(ids[e.which] != _NONE)
                 met = met[np.argsort(e.place[met], kind="stable")]
-                packed = pack(*_vertical(ids[e.which[met]], e.place[met]))
-                yield pa.record_batch([batch.column("block").slice(k, 1), batch.column("words").slice(k, 1), pa.array([packed], pa.binary())], names=["block", "words", "lists"])
+                word, times, at = unpacked(words, *LISTS)
+                reached = np.zeros(int(at.max(initial=0)) + longest + 1, bool)
+                for d in range(length + 1, longest):
+                    reached[e.place[met] + d] = True
+                order = np.argsort(at, kind="stable")
+                order = order[reached[at[order]]]
+                yield _state(batch, k, _vertical(np.repeat(word, times)[order], at[order]), _vertical(ids[e.which[met]], e.place[met]))
 
     return longer
 
 
-def _met(rows: DataFrame, names: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """rows with the columns of names, which has one row a key and is counted first: broadcast up to limit rows, else shuffled."""
-    small = names.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(names) if small else names, keys)
-
-
-def frequent_phrases(docs: DataFrame, least: int = FREQUENT, longest: int = LONGEST, limit: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = FREQUENT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of every phrase of up to longest words that occurs least times, and (lang, n), all words counted.
 
     Level by level. A block has an inverted list of places for every frequent phrase and the postings of all frequent words.
     Merging each list, moved on by the length of the phrase, with the postings gives the lists of all extensions. Their
     lengths travel packed to buckets of phrases and are added up over the blocks: the exact frequency. Extensions that reach
-    least get a number, which goes back to the blocks, and their lists replace the shorter ones. As no
-    part of a frequent phrase is rarer than the phrase, nothing else needs lists. Phrases never cross pieces or documents.
+    least get a number, which goes back to the blocks, and their lists replace the shorter ones. As no part of a frequent
+    phrase is rarer than the phrase, nothing else needs lists. Phrases never cross pieces or documents.
     """
     cut = blocks(docs)
-    entries = cut.select("block", F.posexplode("words").alias("local", "entry")).select("block", "local", "entry.*")
-    counted = entries.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    totals = saved(entries.groupBy("lang").agg(F.sum("n").alias("n")))
-    level = saved(counted.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f"))
+    buckets = max(1, -(-(cut.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
+    sent = cut.select("block", "lang", "words", "numbers").mapInArrow(_words_sent(buckets), "bucket long, lang string, block long, words binary, numbers binary")
+    counts = saved(sent.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_words_summed(least), COUNTED_WORDS))
+    totals = counts.where("word is null and reply is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    level = saved(counts.where("word is not null").select("id", "lang", F.col("word").alias("phrase"), "f"))
     named = level
     levels = [level.select("lang", "phrase", F.lit(1).alias("size"), "f")]
-    known = (
-        _met(entries.drop("n"), level.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"], limit)
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("local", "id")).alias("known"))
-    )
-    state = saved(cut.select("block", "ids").join(known, "block").mapInArrow(_by_word, "block long, words binary, lists binary"))
+    replies = counts.where("reply is not null").groupBy("block").agg(F.collect_list("reply").alias("replies"))
+    state = saved(cut.where("ids is not null").select("block", "ids").join(replies, "block").mapInArrow(_by_word, STATE))
     for length in range(1, longest):
         buckets = max(1, -(-(level.agg(F.sum("f")).first()[0] or 0) // BUCKET_PAIRS))
         sent = state.mapInArrow(_sent(length, buckets), "bucket long, block long, pairs binary")
@@ -281,7 +372,7 @@ def frequent_phrases(docs: DataFrame, least: int = FREQUENT, longest: int = LONG
         if length + 1 == longest:
             break
         replies = counts.where(F.col("phrase") == _NONE).groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
-        state = saved(state.join(replies, "block").mapInArrow(_longer(length, buckets), "block long, words binary, lists binary"))
+        state = saved(state.join(replies, "block").mapInArrow(_longer(length, buckets, longest), STATE))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
@@ -294,7 +385,7 @@ def score(a: str, n: str, left: str, right: str) -> Column:
     return F.expr(f"cast({wide(a)} * {wide(n)} * 1000 as decimal(38,0)) div cast({wide(left)} * {wide(right)} as decimal(38,0))")
 
 
-def collocations(docs: DataFrame, least: int = FREQUENT, longest: int = LONGEST, top: int = TOP, limit: int = BROADCAST_IDS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = FREQUENT, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """The phrases of 2 to longest words that hold together best: lang, rank, phrase, a, l, r, n and score.
 
     A-Z are lower-cased, texts are cut into pieces at [.,;:!?] and line ends and those into words at blanks and tabs.
@@ -306,7 +397,7 @@ def collocations(docs: DataFrame, least: int = FREQUENT, longest: int = LONGEST,
     Null and empty texts have no words; repeated rows and ids count each time; a very long text is a block of its own, held
     by one task; a language of few words, like an empty table, gives nothing. Other columns are not looked at.
     """
-    phrases, totals = frequent_phrases(docs, least, longest, limit)
+    phrases, totals = frequent_phrases(docs, least, longest)
     phrases = saved(phrases)
     words = F.split("phrase", " ")
     cuts = (

@@ -222,12 +222,13 @@ def phrased(seed, n):
     return [(i, " ".join(rng.choice(fixed) if rng.random() < 0.5 else rng.choice("the of a , . ! to é zz \n".split(" ")) for _ in range(60)), rng.choice(["en", "fr", None, "und"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("size,limit", [(300, 0), (1 << 20, 500_000)])
-def test_collocations(spark, monkeypatch, size, limit):
+@pytest.mark.parametrize("size", [300, 1 << 20])
+def test_collocations(spark, monkeypatch, size):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
     monkeypatch.setattr(collocations, "BUCKET_PAIRS", size)
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", size)
     docs = phrased(1, 80) + [(900, None, "en"), (901, "", "de"), (902, "a a a a " * 3000, "en"), (None, "the other " * 40, "fr"), (5, "as well as " * 20, "xx"), (5, "as well as " * 20, "xx")]
-    got = collocations.collocations(frame(spark, docs), least=20, top=12, limit=limit)
+    got = collocations.collocations(frame(spark, docs), least=20, top=12)
     assert rows(got, *COLUMNS) == collocations_by_hand(docs, 20, 12)
 
 
