@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from .operators import passes, planning, postings, retrieval, vectors
+from .operators import evidence, passes, planning, postings, retrieval, vectors
 from .queries import DENSE, EXACT, LEX, QUESTION, VECTOR, _lane, query
 
 # vectors
@@ -185,3 +185,49 @@ def _(spark, load):
     }
     scores = load("labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))
     return retrieval.variants(lanes, planning.VARIANTS, {"exact_reference": 2.0, "dense": 0.8}, scores=scores)
+
+
+# a second pass for the questions that need one
+
+ONCE = lambda p: p.replace("(?iu)", "(?i)").replace("'", "''")
+INTENT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{ONCE(p)}'){' OR len(refs) > 0' if name == 'exact_reference' else ''} THEN '{name}'" for name, p in planning.INTENTS) + " ELSE 'fact_lookup' END"
+POLAR = [f"regexp_matches(lower(coalesce(text, '')), '{evidence.polarity_pattern(words)}')" for words in (evidence.POSITIVE, evidence.NEGATIVE)]
+
+
+def _many_sql(asked: str, limit: int) -> str:
+    """The lexical lanes of the rows (query, t) of a relation."""
+    return f"""(SELECT query, rank, score, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (
+      SELECT query, id, round(m / sqrt(k::DOUBLE * n), 9) AS score FROM (SELECT query, k, id, n, count(*) AS m FROM p JOIN (SELECT query, len(u) AS k, unnest(u) AS term FROM (SELECT query, list_distinct({TOKENS.format('t')}) AS u FROM {asked})) USING (term) GROUP BY query, k, id, n))) WHERE rank <= {limit})"""
+
+
+ITERATIVE = f"""WITH p AS (SELECT doc_id AS id, len(t) AS n, unnest(t) AS term FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)),
+w AS (SELECT item_id AS query, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+a AS (SELECT query, array_to_string(w[1:4], ' ') AS a, array_to_string(w[5:8], ' ') AS b FROM w),
+q AS (SELECT query, CASE query % 3 WHEN 0 THEN 'compare ' || a || ' versus ' || b WHEN 1 THEN 'why did ' || a || ' fail' ELSE a || ' ' || b END AS t FROM a),
+r AS (SELECT query, t, list_distinct(list_concat(regexp_extract_all(t, '{ONCE(planning.REFERENCES[0])}'), regexp_extract_all(t, '{ONCE(planning.REFERENCES[2])}'))) AS refs FROM q),
+i AS (SELECT query, t, refs, {INTENT_SQL} AS intent FROM r),
+first AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY fusion DESC, score DESC, id) AS rank, id, fusion, score FROM (SELECT query, id, round(1.0 / (60 + rank), 9) AS fusion, score, rank FROM {_many_sql('q', 150)}) WHERE rank <= 100),
+h AS (SELECT query, count(*) AS n, count(DISTINCT id) AS docs, bool_or(rank <= 30 AND {POLAR[0]}) AS yes, bool_or(rank <= 30 AND {POLAR[1]}) AS no FROM first JOIN documents ON doc_id = id GROUP BY query),
+v AS (SELECT query, t, refs, intent, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < CASE WHEN intent IN ('comparison', 'diagnostic') THEN 2 ELSE 1 END OR intent = 'exact_reference' THEN 'insufficient' WHEN docs >= 2 AND yes AND no THEN 'conflicting' ELSE 'sufficient' END AS status FROM i LEFT JOIN h USING (query)),
+c AS (SELECT *, CASE intent WHEN 'comparison' THEN list_filter(list_transform(regexp_split_to_array(t, '{ONCE(planning.APART)}'), lambda x: trim(regexp_replace(x, '{ONCE(planning.COMPARING)}', '', 'g'))), lambda x: len(regexp_split_to_array(x, '\\s+')) >= 2)[1:3]
+      WHEN 'diagnostic' THEN list_concat(refs[1:3], [t || ' root cause', t || ' fix workaround resolution']) WHEN 'broad_synthesis' THEN [] ELSE refs[1:3] END AS raw FROM v),
+d AS (SELECT *, list_filter(raw, lambda x, k: x <> '' AND x <> t AND list_position(raw, x) = k)[1:4] AS parts FROM c WHERE intent IN ('comparison', 'diagnostic') OR status <> 'sufficient'),
+e AS (SELECT query, t, n, list_concat(parts, CASE WHEN status = 'conflicting' THEN [t || ' current authoritative version effective date'] ELSE [] END) AS asked FROM d),
+f AS (SELECT query, CASE WHEN len(asked) = 0 AND n < 3 THEN [t || ' supporting evidence explanation'] ELSE asked[1:4] END AS asked FROM e),
+u AS (SELECT query, unnest(asked) AS t, unnest(range(1, len(asked) + 1)) AS k FROM f WHERE len(asked) > 0),
+s AS (SELECT query.query AS query, query.k AS k, rank, score, id FROM {_many_sql('(SELECT {query: query, k: k} AS query, t FROM u)'.replace('{query: query, k: k}', "struct_pack(query := query, k := k)"), 100)}),
+two AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 9) AS fusion, max(score) AS score FROM (SELECT query, rank, score, id FROM first WHERE query IN (SELECT query FROM u) UNION ALL SELECT query, rank, score, id FROM s) GROUP BY query, id)
+SELECT query, rank, id, fusion, score, 1 AS passes FROM first WHERE query NOT IN (SELECT query FROM u)
+UNION ALL SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY fusion DESC, score DESC, id) AS rank, id, fusion, score, 2 AS passes FROM two) WHERE rank <= 100"""
+
+
+@query("iterative_retrieval", ITERATIVE)
+def _(spark, load):
+    """Questions made of the benchmark's words: comparisons, diagnoses and plain ones, of which some lack evidence."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    a, b = F.array_join(F.slice(w, 1, 4), " "), F.array_join(F.slice(w, 5, 4), " ")
+    kind = F.col("item_id") % 3
+    text = F.when(kind == 0, F.concat(F.lit("compare "), a, F.lit(" versus "), b)).when(kind == 1, F.concat(F.lit("why did "), a, F.lit(" fail"))).otherwise(F.concat_ws(" ", a, b))
+    d = load("documents")
+    found = passes.searched(load("benchmark").select(F.col("item_id").alias("id"), text.alias("text")), postings.build(d, {"text": "B"}, "doc_id"), d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.lit(None).cast("long").alias("section_id"), "text"))
+    return found.select("query", "rank", "id", "fusion", "score", "passes")
