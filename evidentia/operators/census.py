@@ -55,12 +55,13 @@ def sketched(files: DataFrame) -> DataFrame:
     files = files.where("path is not null")
     exact, near = register(F.col("content_sha256")), register(F.concat(F.substring("similarity", 1, NEAR_DIGITS), F.lit("0" * (16 - NEAR_DIGITS))))
     size = F.col("size")
-    bin_ = F.least(F.lit(1023), F.floor(F.log2(size + 1) * BINS)).cast("string")
+    bin_ = F.when(size.isNotNull(), F.least(F.lit(1023), F.floor(F.log2(size + 1) * BINS)).cast("string"))
+    sized, aged = F.when(size.isNotNull(), size_class(size)), F.when(F.col("modified_at").isNotNull(), age_class(F.col("modified_at"), F.col("scanned_at")))
     text = lambda c: c.cast("string")
     item = lambda kind, key, n: F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.cast("long").alias("n"))
     none = F.lit("")
     counts = F.array(
-        item("files", none, F.lit(1)), item("bytes", none, size), item("size", size_class(size), F.lit(1)), item("age", age_class(F.col("modified_at"), F.col("scanned_at")), F.lit(1)),
+        item("files", none, F.lit(1)), item("bytes", none, size), item("size", sized, F.lit(1)), item("age", aged, F.lit(1)),
         item("class", source_class(F.col("path")), F.lit(1)), item("bin", bin_, F.lit(1)), item("exact", text(exact[0]), exact[1]), item("near", text(near[0]), near[1]),
     )
     rows = files.select(F.explode(counts).alias("c")).select("c.*").where("key is not null and n is not null").withColumn("path", F.lit(None).cast("string"))

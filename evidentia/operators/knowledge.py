@@ -73,7 +73,7 @@ def search(entries: DataFrame, terms: list[str], scores: DataFrame | None = None
         return alone.unionByName(first)
     best = scores.groupBy("id").agg(F.max("score").alias("_s"))
     open_ = first.where("step = 'fallback'").select(F.lit(True).alias("_open"))
-    ranked = rivals.join(F.broadcast(open_)).join(best, "id", "left").select(F.lit(0).alias("_g"), "id", F.coalesce("_s", F.lit(0.0)).alias("score"))
-    kept = coverage(ranked.where("score > 0"), "_g", "score", "id", COVERAGE)
+    ranked = rivals.join(F.broadcast(open_)).join(best, "id", "left").select(F.lit(0).alias("_pool"), "id", F.coalesce("_s", F.lit(0.0)).alias("score"))
+    kept = coverage(ranked.where("score > 0"), "_pool", "score", "id", COVERAGE)
     reranked = kept.select(F.row_number().over(order).cast("int").alias("rank"), "id", "score", F.lit("rerank").alias("step"))
     return alone.unionByName(first.where("step = 'content'")).unionByName(reranked)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import shared_dir, ship
 
@@ -33,25 +34,57 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 TRACE = "started_at timestamp, updated_at timestamp, n long, last_kind string, last_id long"
+#: A trace without events for so long, by the watermark, is let go.
+IDLE_MS = 400 * 86_400_000
 
 
-def _upsert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    started, updated, n, kind, last = state.get if state.exists else (None, None, 0, None, -1)
-    for events in batches:
-        newest = events.sort_values(["ts", "event_id"]).iloc[-1]
-        first, latest = events["ts"].min().to_pydatetime(), newest["ts"].to_pydatetime()
-        started, n = first if started is None else min(started, first), n + len(events)
-        if updated is None or (latest, int(newest["event_id"])) > (updated, last):
-            updated, kind, last = latest, newest["event_type"], int(newest["event_id"])
-    state.update((started, updated, n, kind, last))
-    yield pd.DataFrame([(*key, started, updated, n, kind, last)], columns=["user_id", "started_at", "updated_at", "n", "last_kind", "last_id"])
+class _LastKind(StatefulProcessor):
+    """A trace's first and last time, its events, and the kind of the last one by time and id; a timer ends it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.trace = handle, handle.getValueState("trace", TRACE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started, updated, n, kind, last = self.trace.get() if self.trace.exists() else (None, None, 0, None, -1)
+        timers = [] if updated is None else [updated]
+        for events in rows:
+            newest = events.sort_values(["ts", "event_id"]).iloc[-1]
+            first, latest = events["ts"].min().to_pydatetime(), newest["ts"].to_pydatetime()
+            started, n = first if started is None else min(started, first), n + len(events)
+            if updated is None or (latest, int(newest["event_id"])) > (updated, last):
+                updated, kind, last = latest, newest["event_type"], int(newest["event_id"])
+        for time in timers:
+            self.handle.deleteTimer(int(time.timestamp() * 1000) + IDLE_MS)
+        self.handle.registerTimer(int(updated.timestamp() * 1000) + IDLE_MS)
+        self.trace.update((started, updated, n, kind, last))
+        yield pd.DataFrame([(*key, started, updated, n, kind, last)], columns=["user_id", "started_at", "updated_at", "n", "last_kind", "last_id"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.trace.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def traces(events: DataFrame) -> DataFrame:
     """A row for every trace that a batch of events touches, as it stands then: first and last time, events, and the kind of
-    the last event by time. One state per trace, so that its events are taken one batch after the other, in any order."""
+    the last event by time. One state per trace, so that its events are taken one batch after the other, in any order; it
+    ends IDLE_MS after them."""
     rows = events.select("user_id", "ts", "event_id", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(_upsert, f"user_id long, {TRACE}", TRACE, "update", "NoTimeout")
+    return rows.groupBy("user_id").transformWithStateInPandas(_LastKind(), f"user_id long, {TRACE}", "Update", "EventTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """While streams with timers start, states are kept in RocksDB, which those need; the setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
@@ -64,7 +97,8 @@ def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/{name}" + ("" if mode == "complete" else f"/batch={number}"))
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    with keyed_state(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:

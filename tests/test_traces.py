@@ -30,8 +30,7 @@ def key(df):
 
 def drain(spark, folder, idle, watermark="1 hour"):
     stream = spark.readStream.schema(traces.EVENT).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", watermark)
-    with traces.keyed_state(spark):
-        return streaming.drained(traces.traces(stream, idle), "traces", "update")
+    return streaming.drained(traces.traces(stream, idle), "traces", "update")
 
 
 @pytest.fixture
@@ -63,7 +62,7 @@ def test_state_is_let_go(spark, tmp_path, few):
     for part in (rows, [("end", "s", "tool", "end", "ok", None, None, T0 + dt.timedelta(days=2), 10_000, 5, None, None, None)]):
         spark.createDataFrame(part, traces.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(traces.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "10 minutes")
-    with traces.keyed_state(spark):
+    with streaming.keyed_state(spark):
         q = traces.traces(stream, "20 minutes").writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         q.awaitTermination()
     kept = spark.read.format("statestore").option("stateVarName", "trace").load(str(tmp_path / "check"))
