@@ -150,7 +150,7 @@ class Method:
     keep_first: bool
 
     def blocked(self, pdf: pd.DataFrame) -> Block:
-        """A block's documents, by doc_id, in the order of the table where ids are equal or missing."""
+        """A block's documents, by doc_id, then by a hash of their texts, or by place in the table where ids are missing."""
         pdf = pdf.sort_values(["doc", "row"], kind="stable")
         block = self.block([t.encode("utf-8", "surrogatepass") for t in pdf["text"]])
         block.doc, block.known = pdf["doc"].to_numpy(np.int64), pdf["known"].to_numpy(bool)
@@ -355,14 +355,17 @@ def removed(docs: DataFrame, method: Method, schema: str, block_bytes: int = BLO
     """Run the three passes over docs (doc_id, text) and return what method.finish makes of each block.
 
     Null texts count as empty. Rows without a doc_id come after all others; rows of one doc_id follow each other in the
-    order of the table. The dealt-out texts are one exchange that all three passes read. Rows are dealt by their place in
-    the table, so that no id, source or text can fill a block.
+    order of a hash of their texts. The dealt-out texts are one exchange that all three passes read. Rows are dealt by
+    doc_id and text, so that every evaluation deals them alike, whatever order the source gives them in, and copies under
+    different ids fall to different blocks. Rows without a doc_id, of which copies could fill a block, are dealt by their
+    place in the table.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("row", F.when(F.col("known"), F.xxhash64("text")).otherwise(F.monotonically_increasing_id()))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(2 * partitions, -(-size // block_bytes))
-    by_block = texts.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).repartition("b").groupBy("b")
+    by_block = texts.withColumn("b", F.pmod(F.xxhash64("doc", "row"), F.lit(blocks)).cast("int")).repartition("b").groupBy("b")
     found = elected(by_block.applyInPandas(_announce(method), CONTEXT)).select("b", "key", "d1", "d2", "n", "first", "variants")  # reads the exchange that the next line reads
     sent = saved(by_block.cogroup(found.groupBy("b")).applyInPandas(_send(method), "b int, key long, n long, doc long, lo int, size int, variants long, body binary"))
     copies = sent.where("key is null").select("b", "lo", "size", F.col("body").alias("bits"))

@@ -13,6 +13,8 @@ LENGTH = 200
 PREFIXES = (64, 128, LENGTH)
 #: Bytes of contexts in a shard, which has one suffix array.
 SHARD_BYTES = 256 << 10
+#: Bytes of text in a block: a token for each byte takes some sixty bytes of a worker's memory.
+BLOCK_BYTES = 1 << 20
 
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -120,4 +122,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     empty texts have no bytes; a very long text is arrays of its bytes in one task. An empty table gives an empty result.
     Other columns are not looked at.
     """
-    return repeats.removed(docs, METHOD, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return repeats.removed(docs, METHOD, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", BLOCK_BYTES)

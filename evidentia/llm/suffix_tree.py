@@ -118,7 +118,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A window is 20 consecutive words, unchanged, of one document; it is repeated if the same words also start earlier, in
     a smaller doc_id or earlier in the same document. Rows that repeat a doc_id count as one document after the other, in
-    the order of blocks and then of the table; rows without a doc_id come after all others and keep the null. Null and
+    the order of a hash of their texts; rows without a doc_id come after all others and keep the null. Null and
     empty texts have no words. A very long text is arrays of its bytes and words in one task, without objects per word.
     An empty table gives an empty result. Other columns are not looked at.
     """

@@ -167,6 +167,17 @@ def test_substring_operators_on_nothing_and_on_missing_and_repeated_ids(spark):
         assert gone == sorted([(-1, size), (7, 0), (2**60 + 1, 0 if op is suffix_tree else size), (2**60 + 1, size)])
 
 
+def test_substring_operators_over_a_source_of_changing_order(spark, texts, tmp_path):
+    """Every evaluation of the source gives its rows in another order, dealt over other partitions."""
+    df = frame(spark, texts).orderBy(common.F.rand()).repartition(3)
+    shuffled = df.withColumn("r", common.F.rand()).repartition(4, common.F.expr("cast(rand() * 1000 as int)")).drop("r")
+    moving = shuffled.where(common.F.expr("rand() >= 0"))
+    got = repeats.removed(moving, suffix_tree.METHOD, "doc_id long, n_words long, n_removed long, kept string", 2000)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept") == windows(texts)
+    got = repeats.removed(moving, suffix_array.METHOD, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", 2000)
+    assert [(*r[:4], bytes(r[4])) for r in rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept")] == strings(texts)
+
+
 def test_refined_ranks_and_common_prefixes():
     rng = np.random.default_rng(0)
     for data in (rng.integers(0, 3, 400), np.zeros(300, int), np.tile([1, 2, 3, 1], 90), np.arange(5), rng.integers(0, 2, 1)):
