@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, decontaminate, exact_dedup, queries, simhash, toxicity  # noqa: F401  (queries ships the modules)
 from evidentia.llm.common import saved, table
+from evidentia.session import release, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
+    """Apply the stages to documents. Of each stage only its rows stay, until the next stage's are written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        with scratch() as keep:
+            before, docs = docs, keep(saved(stage(spark, docs, sf_dir)))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

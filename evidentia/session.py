@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,50 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders written in each scratch() that is open, the innermost last.
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and read it back: the lineage ends there, whichever executor is lost."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._folder = path
+    if _OPEN:
+        _OPEN[-1].append((df.sparkSession, path))
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete what saved() wrote for this frame, as nothing will read it any more; other frames are left alone."""
+    if path := df.__dict__.pop("_folder", None):
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Inside, everything that saved() writes is for the moment and goes at the end, but for the frames that are handed to
+    what this gives. So a result is saved and kept inside, and what led to it takes no room any more."""
+    written: list[tuple[SparkSession, str]] = []
+    kept: set[str] = set()
+    _OPEN.append(written)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._folder)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for spark, path in written:
+            if path not in kept:
+                _delete(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append((spark, path))
