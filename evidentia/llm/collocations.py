@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import saved
 from .repeats import pack, unpack
 
@@ -354,12 +355,14 @@ def frequent_phrases(docs: DataFrame, least: int = FREQUENT, longest: int = LONG
     buckets = max(1, -(-(cut.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
     sent = cut.select("block", "lang", "words", "numbers").mapInArrow(_words_sent(buckets), "bucket long, lang string, block long, words binary, numbers binary")
     counts = saved(sent.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_words_summed(least), COUNTED_WORDS))
-    totals = counts.where("word is null and reply is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = saved(counts.where("word is null and reply is null").groupBy("lang").agg(F.sum("f").alias("n")))
     level = saved(counts.where("word is not null").select("id", "lang", F.col("word").alias("phrase"), "f"))
     named = level
     levels = [level.select("lang", "phrase", F.lit(1).alias("size"), "f")]
     replies = counts.where("reply is not null").groupBy("block").agg(F.collect_list("reply").alias("replies"))
     state = saved(cut.where("ids is not null").select("block", "ids").join(replies, "block").mapInArrow(_by_word, STATE))
+    release(cut)
+    release(counts)
     for length in range(1, longest):
         buckets = max(1, -(-(level.agg(F.sum("f")).first()[0] or 0) // BUCKET_PAIRS))
         sent = state.mapInArrow(_sent(length, buckets), "bucket long, block long, pairs binary")
@@ -370,9 +373,12 @@ def frequent_phrases(docs: DataFrame, least: int = FREQUENT, longest: int = LONG
         level = saved(frequent.select("phrase", "word", "f", "id").join(first, "phrase").join(last, "word").select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"))
         levels.append(level.select("lang", "phrase", F.lit(length + 1).alias("size"), "f"))
         if length + 1 == longest:
+            release(state)
             break
         replies = counts.where(F.col("phrase") == _NONE).groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
-        state = saved(state.join(replies, "block").mapInArrow(_longer(length, buckets, longest), STATE))
+        shorter, state = state, saved(state.join(replies, "block").mapInArrow(_longer(length, buckets, longest), STATE))
+        release(shorter)
+        release(counts)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

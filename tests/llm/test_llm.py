@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import os
 import random
 import re
 import zlib
@@ -523,6 +524,28 @@ def test_pipeline_against_brute_force(spark, sf):
     assert {r.doc_id for r in got} == want and len(got) == len(want) and all(r.decoded_sha256 == sha(left[r.doc_id]) for r in got)
 
 
+def test_pipeline_keeps_two_copies_at_most(spark, sf, monkeypatch):
+    """What lies in the shared folder whenever something has been written: tables with texts, other than the input."""
+    folder = None
+    alive = []
+    write = session.saved
+
+    def watched(df):
+        nonlocal folder
+        found = write(df)
+        folder = os.path.dirname(found._folder)
+        texts = [p for p in os.listdir(folder) if p not in before and "text" in spark.read.parquet(f"{folder}/{p}").columns]
+        alive.append(len(texts))
+        return found
+
+    root = session.shared_dir(spark).rsplit("/", 1)[0]
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    for module in (corpus_pipeline, common, exact_dedup, simhash, decontaminate):
+        monkeypatch.setattr(module, "saved", watched, raising=False)
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert alive and max(alive) <= 3  # a stage's input, the same with row numbers, and, as it is written, its result
+
+
 def test_every_query_runs_on_odd_tables(spark, tmp_path):
     d = str(tmp_path)
     frame(spark, [None, "", "a b c d e f"], [None, 1, 1]).drop("b", "g").write.parquet(f"{d}/documents.parquet")
