@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..session import ship
-from .passages import ATX, CLAUSE, HARD_TOKENS, NUMBERED, TARGET_TOKENS, packed
+from .passages import ALONE, ATX, CLAUSE, HARD_TOKENS, NUMBERED, TARGET_TOKENS
 
 #: What the first line of a unit says it is.
 KINDS = (("code", r"^(?:```|~~~)"), ("quote", r"^>"), ("list", r"^(?:[-*+]|\d+[.)])[ \t]+"), ("table", r"^\|.*\|[ \t]*$"), ("horizontal_rule", r"^---[ \t]*$"))
@@ -29,87 +32,226 @@ ALIASES = {
     "valid_to": ("valid_to", "expiry_date"),
 }
 DATES = ("publication_date", "valid_from", "valid_to")
-UNITS = "ordinal int, section int, type string, path array<string>, text string, start_line long, end_line long, start_byte long, end_byte long"
+UNITS = "ordinal int, section int, type string, level int, heading string, path array<string>, text string, start_line long, end_line long, start_byte long, end_byte long"
+#: Bytes that a unit, or a line without an end, may have before it is cut: what is held of a document at once, but for its passage.
+BUFFER = 8 << 20
+SETEXT = r"^([^\r\n]+)\r?\n(=+|-+)[ \t]*$"
 FRONT = StructType([*(StructField(k, StringType()) for k in ALIASES), StructField("parties", ArrayType(StringType()))])
 
 
 def heading(line: str) -> tuple[int, str] | None:
-    """The level and text of a line that is a heading."""
+    """The level and text of a line that is a heading: # lines, clauses and numbered lines."""
     bare = line.strip()
-    if m := re.match(ATX, line):
-        return len(line) - len(line.lstrip("#")), m[1].strip()
-    if re.match(CLAUSE, bare):
-        return 2, bare
-    if re.match(NUMBERED, bare):
-        return min(6, bare.count(".") + 2), bare
-    return None
-
-
-def cut(text: bytes) -> Iterator[tuple]:
-    """The units of a document: runs of lines up to a blank one, whole fenced blocks and front matter, headings alone."""
-    held: list[bytes] = []
-    path: list[str] = []
-    mode, section, ordinal, at, first, start = None, 0, 0, 0, 1, 0
-
-    def unit(kind: str, line: int) -> tuple:
-        nonlocal held, ordinal, first, start
-        raw = b"".join(held)
-        found = (ordinal, section, kind, list(path), raw.decode("utf-8", "surrogatepass"), first, line, start, start + len(raw))
-        held, ordinal, first, start = [], ordinal + 1, line + 1, start + len(raw)
-        return found
-
-    def kind() -> str:
-        top = held[0].decode("utf-8", "surrogatepass").strip()
+    first = bare[:1]
+    if first == "#":
+        m = re.match(ATX, line)
+        return (len(line) - len(line.lstrip("#")), m[1].strip()) if m else None
+    if first.isdigit():
+        return (min(6, bare.count(".") + 2), bare) if re.match(NUMBERED, bare) else None
+    return (2, bare) if first.lower() in "acsr§" and first and re.match(CLAUSE, bare) else None
+
+
+def underlined(text: str) -> tuple[int, str] | None:
+    """The level and text of a unit that is one line and a line of = or - below it."""
+    m = re.match(SETEXT, text.rstrip())
+    return (1 if m[2][0] == "=" else 2, m[1].strip()) if m else None
+
+
+@dataclass
+class Unit:
+    ordinal: int
+    section: int
+    type: str
+    level: int | None
+    heading: str | None
+    path: tuple[str, ...]
+    raw: bytes
+    start_line: int
+    end_line: int
+    start_byte: int
+
+    def row(self) -> tuple:
+        return (
+            self.ordinal, self.section, self.type, self.level, self.heading, self.path, self.raw.decode("utf-8", "surrogatepass"), self.start_line, self.end_line, self.start_byte,
+            self.start_byte + len(self.raw),
+        )
+
+
+class Parser:
+    """A document in pieces of bytes, cut anywhere, to its units: runs of lines up to a blank one, whole fenced blocks and
+    front matter, headings alone. It holds one unit and an unfinished line, both bounded by buffer; the units are the same
+    for every size of the pieces. What it carries between them: the mode (fence or front matter), the section and the path."""
+
+    def __init__(self, buffer: int = BUFFER):
+        self.buffer = buffer
+        self.tail, self.held, self.size = b"", [], 0
+        self.mode: str | None = None
+        self.section = self.ordinal = self.at = 0
+        self.line = self.first = 1
+        self.path: tuple[str, ...] = ()
+
+    def feed(self, data: bytes) -> Iterator[Unit]:
+        pieces = (self.tail + data).split(b"\n")
+        self.tail = pieces.pop()
+        for raw in pieces:
+            yield from self._long(raw + b"\n")
+        while len(self.tail) > self.buffer + 4:
+            part = self._cut(self.tail)
+            self.tail = self.tail[len(part) :]
+            yield from self._line(part, False)
+
+    def close(self) -> Iterator[Unit]:
+        if self.tail:
+            yield from self._long(self.tail)
+            self.tail = b""
+        if self.held:
+            self.line -= 1  # the last line has been counted
+            yield self._unit("code" if self.mode in ("```", "~~~") else self.mode or self._kind())
+
+    def _cut(self, raw: bytes) -> bytes:
+        """The first buffer bytes, or a few less, so that no character is cut."""
+        end = self.buffer
+        while end > 1 and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        return raw[:end]
+
+    def _long(self, raw: bytes) -> Iterator[Unit]:
+        while len(raw) > self.buffer + 4:
+            part = self._cut(raw)
+            raw = raw[len(part) :]
+            yield from self._line(part, False)
+        yield from self._line(raw, True)
+
+    def _kind(self) -> str:
+        top = self.held[0].decode("utf-8", "surrogatepass").strip()
         return next((k for k, p in KINDS if re.match(p, top)), "paragraph")
 
-    lines = re.findall(rb"[^\n]*\n|[^\n]+", text)
-    for number, raw in enumerate(lines, 1):
-        line = raw.decode("utf-8", "surrogatepass").rstrip("\r\n")
-        bare = line.strip()
-        if number == 1 and bare == "---":
-            mode = "front_matter"
-        elif mode is None and (found := heading(line)):
-            if held:
-                yield unit(kind(), number - 1)
-            section, path[found[0] - 1 :] = section + 1, [found[1]]
-            held = [raw]
-            yield unit("heading", number)
-            continue
-        held.append(raw)
-        if mode == "front_matter":
-            if number > 1 and bare == "---":
-                yield unit(mode, number)
-                mode = None
-        elif mode:
-            if bare.startswith(mode):
-                yield unit("code", number)
-                mode = None
-        elif re.match(r"```|~~~", bare):
-            mode = bare[:3]
-        elif not bare:
-            yield unit(kind(), number)
-    if held:
-        yield unit("code" if mode in ("```", "~~~") else mode or kind(), len(lines))
+    def _unit(self, kind: str, found: tuple[int, str] | None = None) -> Unit:
+        raw = self.held[0] if len(self.held) == 1 else b"".join(self.held)
+        if found is None and kind != "front_matter" and raw.count(b"\n") < 8:
+            found = underlined(raw.decode("utf-8", "surrogatepass"))
+        if found:
+            self.section, self.path = self.section + 1, (*self.path[: found[0] - 1], found[1])
+        unit = Unit(self.ordinal, self.section, kind, *(found or (None, None)), self.path, raw, self.first, self.line, self.at)
+        self.held, self.size, self.ordinal, self.at = [], 0, self.ordinal + 1, self.at + len(raw)
+        return unit
+
+    def _line(self, raw: bytes, ends: bool) -> Iterator[Unit]:
+        text = raw.decode("utf-8", "surrogatepass").rstrip("\r\n")
+        bare = text.strip()
+        if self.line == 1 and bare == "---" and not self.held:
+            self.mode = "front_matter"
+        if self.mode is None and (found := heading(text)):
+            if self.held:
+                here, self.line = self.line, self.line - 1
+                yield self._unit(self._kind())
+                self.line = here
+            self.first, self.held = self.line, [raw]
+            yield self._unit("heading", found)
+        else:
+            if not self.held:
+                self.first = self.line
+            self.held.append(raw)
+            self.size += len(raw)
+            full = self.size >= self.buffer
+            if self.mode == "front_matter":
+                if self.line > 1 and bare == "---":
+                    yield self._unit("front_matter")
+                    self.mode = None
+            elif self.mode:
+                if bare.startswith(self.mode):
+                    yield self._unit("code")
+                    self.mode = None
+                elif full:
+                    yield self._unit("code")
+            elif bare[:3] in ("```", "~~~"):
+                self.mode = bare[:3]
+            elif not bare or full:
+                yield self._unit(self._kind())
+        self.line += ends
+
+
+def cut(text: bytes) -> Iterator[Unit]:
+    """The units of a document at hand."""
+    parser = Parser()
+    yield from parser.feed(text)
+    yield from parser.close()
+
+
+def _columns(rows: list[tuple], spec: str) -> tuple[list[pa.Array], list[str]]:
+    arrow = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    names, kinds = zip(*(c.split() for c in spec.split(", ")))
+    return [pa.array(c, arrow[k]) for c, k in zip(zip(*rows), kinds)], list(names)
+
+
+def _emitted(made: Callable[[Iterator[bytes]], Iterator[tuple]], spec: str) -> Callable:
+    """Over batches of (id, data) in order of documents, and of the pieces of each: the rows that made gives of a document's
+    pieces, with its id. A document's pieces may lie in several batches; none but the one at hand is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((batch.column(0).slice(k, 1), batch.column(1)[k].as_py()) for batch in batches for k in range(batch.num_rows))
+        ready = next(pieces, None)
+        while ready is not None:
+            name = ready[0]
+
+            def own() -> Iterator[bytes]:
+                nonlocal ready
+                while ready is not None and ready[0].equals(name):
+                    yield ready[1]
+                    ready = next(pieces, None)
+
+            held = made(own())
+            while rows := list(islice(held, 4096)):
+                columns, names = _columns(rows, spec)
+                yield pa.record_batch([pa.concat_arrays([name] * len(rows)) if len(rows) < 64 else name.take(pa.array(np.zeros(len(rows), np.int64))), *columns], names=["id", *names])
+
+    return run
+
+
+def _unit_rows(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    parser = Parser()
+    for piece in pieces:
+        yield from (u.row() for u in parser.feed(piece))
+    yield from (u.row() for u in parser.close())
+
+
+def _whole(docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    """id and data of every row, and a number that keeps rows of one id apart."""
+    return docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id")).alias("key"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
+
+
+def _each(docs: DataFrame, made: Callable, spec: str, text: str, id_column: str) -> DataFrame:
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = _whole(docs, text, id_column).mapInArrow(_emitted(made, spec), f"id struct<row: long, id: {kind}>, {spec}")
+    return rows.select(F.col("id.id").alias("id"), *[c.split()[0] for c in spec.split(", ")])
 
 
 def units(docs: DataFrame, text: str = "text", id_column: str = "id") -> DataFrame:
-    """The units of every document with their section, heading path, lines and bytes: each range gives back its text.
+    """The units of every document with their section, heading, path, lines and bytes: each range gives back its text.
 
-    A document is cut where its row is, so nothing is shuffled. Null and empty texts have no units.
+    A document is cut where its row is, so nothing is shuffled. Null and empty texts have no units. A line, or a block
+    without a blank line, of over BUFFER bytes is cut there.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return _each(docs, _unit_rows, UNITS, text, id_column)
+
+
+def pieces(docs: DataFrame, size: int, text: str = "text", id_column: str = "id") -> DataFrame:
+    """(id, seq, data): documents as byte pieces of a size, cut anywhere."""
+    data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(data) - 1) / size)).cast("int")), lambda i: F.substring(data, (i * size + 1).cast("int"), F.lit(size)))
+    return docs.select(F.col(id_column).alias("id"), F.posexplode(cuts).alias("seq", "data"))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                found = list(cut(batch.column(1)[k].as_buffer().to_pybytes()))
-                for a in range(0, len(found), 10_000):
-                    part = found[a : a + 10_000]
-                    columns = zip(*part)
-                    kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), *[pa.int64()] * 4)
-                    yield pa.record_batch([batch.column(0).take(pa.array([k] * len(part))), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", *(c.split()[0] for c in UNITS.split(", "))])
 
-    return rows.mapInArrow(build, f"id {rows.schema['id'].dataType.simpleString()}, {UNITS}")
+def _of_pieces(rows: DataFrame, made: Callable, spec: str) -> DataFrame:
+    kind = rows.schema["id"].dataType.simpleString()
+    dealt = rows.where("id is not null").select("id", "seq", "data").repartition("id").sortWithinPartitions("id", "seq").select("id", "data")
+    return dealt.mapInArrow(_emitted(made, spec), f"id {kind}, {spec}")
+
+
+def units_of_pieces(rows: DataFrame) -> DataFrame:
+    """units() of documents that lie in pieces (id, seq, data), which come to one task in order and pass through it: a
+    document of any size is never held whole. Pieces without an id are left out; seq says their order and must be unique."""
+    return _of_pieces(rows, _unit_rows, UNITS)
 
 
 def _unquoted(value: str) -> str:
@@ -158,22 +300,117 @@ def front_matter(text: Column) -> Column:
     return F.when(block != "", _front(block))
 
 
+SECTIONS = "section int, level int, heading string, path array<string>, first_line long, last_line long, start_byte long, end_byte long"
+
+
+def _section_rows(data: Iterator[bytes]) -> Iterator[tuple]:
+    parser, now = Parser(), None
+
+    def every() -> Iterator[Unit]:
+        for piece in data:
+            yield from parser.feed(piece)
+        yield from parser.close()
+
+    for u in every():
+        end = u.start_byte + len(u.raw)
+        if now is None or u.section != now[0]:
+            if now is not None:
+                yield tuple(now)
+            path = u.path if u.level else None
+            now = [u.section, u.level, u.heading, path, u.start_line, u.end_line, u.start_byte, end]
+        else:
+            now[5], now[7] = u.end_line, end
+    if now is not None:
+        yield tuple(now)
+
+
+def sections(docs: DataFrame, text: str = "text", id_column: str = "id") -> DataFrame:
+    """(id, section, level, heading, path, first_line, last_line, start_byte, end_byte) of every document: a section begins at
+    each heading, of whatever kind; what stands before the first one is section 0 without a heading. One pass, no shuffle."""
+    return _each(docs, _section_rows, SECTIONS, text, id_column)
+
+
+PASSAGES = "section int, passage int, path array<string>, type string, text string, lexical_text string, tokens int, start_line long, end_line long, start_byte long, end_byte long"
+
+
+def _split(unit: Unit, most: int) -> Iterator[tuple[bytes, str, int]]:
+    """A unit in parts of at most so many bytes, no character cut: the part, what its lexical text has in front, where it starts."""
+    raw = unit.raw
+    if len(raw) <= most:
+        yield raw, "", 0
+        return
+    header = ""
+    if unit.type == "table":
+        header = "\n".join(re.split(r"\r?\n", raw.decode("utf-8", "surrogatepass"))[:2]).strip()
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + most)
+        while at + 1 < end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        yield raw[at:end], header + "\n" if header and at else "", at
+        at = end
+
+
+def _passage_rows(target: int, hard: int) -> Callable[[Iterator[bytes]], Iterator[tuple]]:
+    """The passages of a document, packed as its units come: what is held is the passage at hand."""
+    most = max(1024, hard * 4)
+
+    def made(data: Iterator[bytes]) -> Iterator[tuple]:
+        parser = Parser()
+        held: list[tuple[bytes, str, int, int, int, str]] = []  # bytes, prefix, start byte, lines, type
+        tokens = number = 0
+        section, path = -1, ()
+
+        def flush() -> Iterator[tuple]:
+            nonlocal held, tokens, number
+            if held:
+                raw = b"".join(h[0] for h in held)
+                text = raw.decode("utf-8", "surrogatepass")
+                start = held[0][2]
+                yield section, number, path, held[0][5], text, "".join(h[1] for h in held) + text, max(1, -(-len(text) // 4)), held[0][3], held[-1][4], start, start + len(raw)
+                held, tokens, number = [], 0, number + 1
+
+        def every() -> Iterator[Unit]:
+            for piece in data:
+                yield from parser.feed(piece)
+            yield from parser.close()
+
+        for unit in every():
+            if unit.type == "front_matter":
+                continue
+            if unit.section != section:
+                yield from flush()
+                section, path, number = unit.section, unit.path, 0
+            if held and held[-1][5] != unit.type and (held[-1][5] in ALONE or unit.type in ALONE):
+                yield from flush()
+            line = unit.start_line
+            for raw, prefix, at in _split(unit, most):
+                n = max(1, -(-len(raw.decode("utf-8", "surrogatepass")) // 4))
+                if held and tokens + n > target:
+                    yield from flush()
+                ends = line + raw.count(b"\n")
+                held.append((raw, prefix, unit.start_byte + at, line, max(line, ends - raw.endswith(b"\n")), unit.type))
+                line, tokens = ends, tokens + n
+                if tokens >= hard:
+                    yield from flush()
+        yield from flush()
+
+    return made
+
+
 def passages(docs: DataFrame, text: str = "text", id_column: str = "id", target: int = TARGET_TOKENS, hard: int = HARD_TOKENS) -> DataFrame:
-    """(id, section, passage, path, type, text, lexical_text, start_byte, end_byte): a section's units packed up to the target.
+    """(id, section, passage, path, type, text, lexical_text, tokens, lines, bytes): a section's units packed up to the target.
 
-    Front matter is no passage. A table that is cut repeats its header in the lexical text of its later pieces.
+    Passages are packed in the pass that cuts the document, so nothing is shuffled. Code, tables and other text do not share
+    a passage; a unit of over hard tokens (4 bytes each) is split, and the later parts of a table repeat its header in
+    their lexical text. Front matter is no passage.
     """
-    step, every = hard * 4, units(docs, text, id_column).where("type <> 'front_matter'")
-    rows = packed(every.select("id", "section", "ordinal", "type", "text"), target, hard, ["id", "section"])
-    piece = F.substring(F.col("text"), F.col("piece") * step + 1, F.lit(step))
-    before = F.octet_length(F.substring(F.col("text"), F.lit(1), F.col("piece") * step))
-    head = F.when((F.col("type") == "table") & (F.col("piece") > 0), F.concat(F.trim(F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n")), F.lit("\n"))).otherwise("")
-    parts = rows.drop("type").join(every.drop("section"), ["id", "ordinal"]).select(
-        "id", "section", "passage", "ordinal", "piece", "path", "type", head.alias("head"), piece.alias("text"), (F.col("start_byte") + before).alias("start_byte"), (F.col("start_byte") + before + F.octet_length(piece)).alias("end_byte")
-    )
-    listed = parts.groupBy("id", "section", "passage").agg(F.array_sort(F.collect_list(F.struct("ordinal", "piece", "type", "path", "head", "text"))).alias("u"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
-    whole = F.array_join("u.text", "")
-    return listed.select("id", "section", "passage", F.col("u")[0]["path"].alias("path"), F.col("u")[0]["type"].alias("type"), whole.alias("text"), F.concat(F.array_join("u.head", ""), whole).alias("lexical_text"), "start_byte", "end_byte")
+    return _each(docs, _passage_rows(target, hard), PASSAGES, text, id_column)
+
+
+def passages_of_pieces(rows: DataFrame, target: int = TARGET_TOKENS, hard: int = HARD_TOKENS) -> DataFrame:
+    """passages() of documents that lie in pieces (id, seq, data), as units_of_pieces() reads them."""
+    return _of_pieces(rows, _passage_rows(target, hard), PASSAGES)
 
 
 ship(__name__)

@@ -20,7 +20,6 @@ ALONE = ("code", "table", "front_matter")
 ATX = r"^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$"
 CLAUSE = r"(?iu)^((?:article|art\.?|chapter|section|clause|annex|appendix|rozdział|artykuł|art\.?|§)\s+[\w.-]+(?:[ \t]+[-–—:]?[ \t]*.*)?)$"
 NUMBERED = r"^(\d+(?:\.\d+){1,8}[.)]?[ \t]+\S.*)$"
-FENCE = r"^\s{0,3}(```|~~~)"
 #: Fixed values of the conversation window and of neighbour expansion.
 TURNS, TURN_CHARS, WINDOW_CHARS = 6, 800, 3_000
 SHORT, NEIGHBOUR_SHARE = 180, 0.95
@@ -49,49 +48,6 @@ def lines(docs: DataFrame, text: str = "text", id_column: str = "id") -> DataFra
     return rows.mapInArrow(_cut_lines, schema)
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def _paths(headings: pd.Series) -> pd.Series:
-    out = []
-    for found in headings:
-        path, paths = [], []
-        for h in found:
-            path = [*path[: h["level"] - 1], h["heading"]]
-            paths.append(path)
-        out.append(paths)
-    return pd.Series(out)
-
-
-def sections(docs: DataFrame, text: str = "text", id_column: str = "id") -> DataFrame:
-    """(id, section, level, heading, path, first_line, last_line, start_byte, end_byte) of every document.
-
-    Headings are # lines, lines underlined with = or -, clauses and numbered lines outside fenced blocks; a section ends
-    before the next one. What stands before the first heading is section 0, without a heading. Only the list of a
-    document's headings goes through Python, to fold the paths.
-    """
-    w = Window.partitionBy("id").orderBy("line_no")
-    bare = F.regexp_replace("line", r"\r$", "")
-    marked = lines(docs, text, id_column).select("*", bare.alias("bare"), F.lead(bare).over(w).alias("below"), (F.count_if(bare.rlike(FENCE)).over(w) % 2 == 1).alias("fenced"))
-    under = F.col("below").rlike(r"^(=+|-+)[ \t]*$") & (F.trim("bare") != "") & ~F.col("bare").rlike(r"^(=+|-+)[ \t]*$")
-    trimmed = F.trim("bare")
-    level = (
-        F.when(F.col("fenced") | F.col("bare").rlike(FENCE), None)
-        .when(F.col("bare").rlike(ATX), F.length(F.regexp_extract("bare", r"^(#+)", 1)))
-        .when(F.coalesce(under, F.lit(False)), F.when(F.startswith(F.col("below"), F.lit("=")), 1).otherwise(2))
-        .when(trimmed.rlike(CLAUSE), 2)
-        .when(trimmed.rlike(NUMBERED), F.least(F.lit(6), F.size(F.split(trimmed, r"\.")) + 1))
-    )
-    name = F.when(F.col("bare").rlike(ATX), F.regexp_extract("bare", ATX, 1)).otherwise(trimmed)
-    headed = marked.select("id", "line_no", "start_byte", "end_byte", level.alias("level"), F.when(level.isNotNull(), name).alias("heading"))
-    numbered = headed.withColumn("section", F.count("level").over(w))
-    found = numbered.groupBy("id", "section").agg(
-        F.max("level").alias("level"), F.max("heading").alias("heading"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
-        F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"),
-    )
-    listed = found.where("level is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("section", "level", "heading"))).alias("h"))
-    paths = listed.select("id", F.explode(F.arrays_zip(F.col("h.section").alias("section"), _paths("h").alias("path"))).alias("p")).select("id", "p.section", "p.path")
-    return found.join(paths, ["id", "section"], "left")
-
-
 @F.pandas_udf(ArrayType(IntegerType()))
 def _packed(units: pd.Series, target: pd.Series, hard: pd.Series) -> pd.Series:
     out = []

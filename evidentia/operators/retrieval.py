@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunk_list, cosine, tokens
 from ..session import saved
-from .passages import sections
+from .markdown import sections
 
 RRF_K = 60
 #: Fixed values of hierarchical routing: rows of a lane of each level, and how many of each the fused lanes route to.

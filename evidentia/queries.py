@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import entities as ent
 from .functions import text as tx
 from .functions import values
-from .operators import corpus, evidence, govern, graph, markdown, observe, passages, planning, retrieval, scoring
+from .operators import corpus, evidence, govern, graph, observe, passages, planning, retrieval, scoring
 from .plans import semantic, store_query
 from .sources import tables
 from .streaming import events as streaming
@@ -673,11 +673,6 @@ def _(spark, load):
     return found.select("id", "line_no", F.md5("line").alias("digest"), "start_byte", "end_byte")
 
 
-@query("markdown_sections", f"SELECT id, 0 AS section, NULL::INT AS level, NULL::VARCHAR AS heading, NULL::VARCHAR[] AS path, 1 AS first_line, max(line_no) AS last_line, 0 AS start_byte, max(end_byte)::BIGINT AS end_byte FROM ({LINES}) GROUP BY id")
-def _(spark, load):
-    return passages.sections(load("documents"), id_column="doc_id")
-
-
 PACKED = f"SELECT id, line_no AS ordinal, i AS piece, greatest(1, ceil(length(substr(line, i * 4800 + 1, 4800)) / 4.0))::INT AS tokens FROM (SELECT id, line_no, line, unnest(range(0, (floor((greatest(length(line), 1) - 1) / 4800.0) + 1)::INT)) AS i FROM ({LINES}) WHERE trim(line) <> '')"
 
 
@@ -877,46 +872,6 @@ def _(spark, load):
 
 # Markdown, written around the driver's documents, which hold none
 
-MARKDOWN = [
-    ("front_matter", 0, "---\ntype: Contract\njurisdiction: P{k}\nparties:\n- \"A{k}\"\n- B\nvalid_from: 2024-01-01\nvalid_to: never\n---\n"),
-    ("heading", 1, "# Title {k}\n"), ("paragraph", 1, "First line {k}.\nSecond {w}\n\n"), ("heading", 2, "## Part {k}\n"), ("table", 2, "| a | b |\n|---|---|\n| {k} | 2 |\n\n"),
-    ("code", 2, "```\n# no heading {k}\n\n```\n"), ("list", 2, "- item {k}\n- other\n\n"), ("heading", 3, "Article {k} Scope\n"), ("quote", 3, "> said {k}"),
-]
-
-
-def _markdown(load) -> DataFrame:
-    d = load("documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("w"))
-    d = d.withColumn("w", F.regexp_replace("w", r"\s+", " "))
-    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("doc_id").cast("string")), F.lit("{w}"), F.col("w"))
-    return d.select("doc_id", F.concat(*[fill(t) for _, _, t in MARKDOWN]).alias("text"))
-
-
-def _markdown_sql() -> str:
-    quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    rows = " UNION ALL ".join(f"SELECT doc_id AS id, {o} AS ordinal, {s} AS section, '{kind}' AS type, replace(replace({quote(t)}, '{{k}}', doc_id::VARCHAR), '{{w}}', regexp_replace(substr(coalesce(text, ''), 1, 40), '\\s+', ' ', 'g')) AS text FROM documents" for o, (kind, s, t) in enumerate(MARKDOWN))
-    return f"SELECT *, sum(strlen(text)) OVER (PARTITION BY id ORDER BY ordinal)::BIGINT AS end_byte FROM ({rows})"
-
-
-@query("markdown_units", f"SELECT id, ordinal, section, type, md5(text) AS digest, end_byte - strlen(text) AS start_byte, end_byte FROM ({_markdown_sql()})")
-def _(spark, load):
-    return markdown.units(_markdown(load), id_column="doc_id").select("id", "ordinal", "section", "type", F.md5("text").alias("digest"), "start_byte", "end_byte")
-
-
-@query("markdown_passages", f"SELECT id, section, passage, md5(string_agg(text, '' ORDER BY ordinal)) AS digest, min(end_byte - strlen(text))::BIGINT AS start_byte, max(end_byte) AS end_byte FROM (SELECT *, CASE WHEN type IN ('table', 'code') THEN ordinal WHEN ordinal = 3 THEN 0 ELSE 99 END AS g, CASE WHEN section < 2 OR section = 3 OR ordinal = 3 THEN 0 WHEN ordinal = 4 THEN 1 WHEN ordinal = 5 THEN 2 ELSE 3 END AS passage FROM ({_markdown_sql()}) WHERE type <> 'front_matter') GROUP BY 1, 2, 3")
-def _(spark, load):
-    return markdown.passages(_markdown(load), id_column="doc_id").select("id", "section", "passage", F.md5("text").alias("digest"), "start_byte", "end_byte")
-
-
-@query("markdown_heading_paths", f"SELECT id, section, CASE section WHEN 1 THEN 'Title ' || id WHEN 2 THEN 'Title ' || id || ' > Part ' || id ELSE 'Title ' || id || ' > Article ' || id || ' Scope' END AS path FROM ({_markdown_sql()}) WHERE type = 'heading'")
-def _(spark, load):
-    return markdown.units(_markdown(load), id_column="doc_id").where("type = 'heading'").select("id", "section", F.array_join("path", " > ").alias("path"))
-
-
-@query("markdown_front_matter", "SELECT doc_id, 'Contract' AS document_type, 'P' || doc_id AS jurisdiction, 'A' || doc_id || ',B' AS parties, '2024-01-01' AS valid_from, NULL::VARCHAR AS valid_to FROM documents")
-def _(spark, load):
-    found = _markdown(load).select("doc_id", markdown.front_matter(F.col("text")).alias("f"))
-    return found.select("doc_id", "f.document_type", "f.jurisdiction", F.array_join("f.parties", ",").alias("parties"), "f.valid_from", "f.valid_to")
-
 
 # what questions ask for
 

@@ -1,12 +1,14 @@
 """Sections, passages, entities and governance on hand-computed rows."""
 
 import hashlib
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import entities as ent
-from evidentia.operators import govern, passages, retrieval
+from evidentia.operators import govern, markdown, passages, retrieval
 
 
 def test_lines_slice_back_to_the_text(spark):
@@ -18,14 +20,53 @@ def test_lines_slice_back_to_the_text(spark):
 
 
 def test_sections_follow_headings(spark):
-    text = "intro\n# One\na\n```\n# code\n```\n### Deep\nTwo\n---\nb\n3.1 Third\nArticle 7 - Terms\nc"
-    got = passages.sections(spark.createDataFrame([(1, text, "x"), (2, None, "y")], "id int, text string, path string")).orderBy("id", "section").collect()
+    text = "intro\n# One\na\n```\n# code\n```\n### Deep\nTwo\n---\n\nb\n3.1 Third\nArticle 7 - Terms\nc\n===\nd"
+    got = markdown.sections(spark.createDataFrame([(1, text, "x"), (2, None, "y")], "id int, text string, path string")).orderBy("id", "section").collect()
     one = [(r.section, r.level, r.heading, r.path, r.first_line, r.last_line) for r in got if r.id == 1]
     assert one == [
-        (0, None, None, None, 1, 1), (1, 1, "One", ["One"], 2, 6), (2, 3, "Deep", ["One", "Deep"], 7, 7), (3, 2, "Two", ["One", "Two"], 8, 10),
-        (4, 3, "3.1 Third", ["One", "Two", "3.1 Third"], 11, 11), (5, 2, "Article 7 - Terms", ["One", "Article 7 - Terms"], 12, 13),
+        (0, None, None, None, 1, 1), (1, 1, "One", ["One"], 2, 6), (2, 3, "Deep", ["One", "Deep"], 7, 7), (3, 2, "Two", ["One", "Two"], 8, 11),
+        (4, 3, "3.1 Third", ["One", "Two", "3.1 Third"], 12, 12), (5, 2, "Article 7 - Terms", ["One", "Article 7 - Terms"], 13, 16),
     ]
-    assert [(r.section, r.first_line) for r in got if r.id == 2] == [(0, 1)]
+    assert not [r for r in got if r.id == 2]
+
+
+def assorted(seed, n):
+    rng = random.Random(seed)
+    lines = ["# Top", "## Sub  ##", "Title", "=====", "---", "", "", "```", "~~~", "text é👉 of a line", "| a | b |", "|---|---|", "- item", "> said", "Article 5 - Scope", "2.1 Numbered", "x" * 70, "\u2028", " indented"]
+    return ("---\ntype: x\n---\n" if seed % 2 else "") + rng.choice(["\n", "\r\n"]).join(rng.choice(lines) for _ in range(n)) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("buffer", [200, markdown.BUFFER])
+def test_pieces_of_any_size_give_the_same_units(monkeypatch, buffer):
+    for seed in range(40):
+        data = assorted(seed, 120).encode()
+        whole = markdown.Parser(buffer)
+        want = [u.row() for u in (*whole.feed(data), *whole.close())]
+        assert b"".join(u[6].encode() for u in want) == data and [u[9] for u in want[1:]] == [u[10] for u in want[:-1]]
+        assert all(len(u[6].encode()) <= buffer + 74 for u in want)
+        for size in (1, 7, 1000):
+            parser, got = markdown.Parser(buffer), []
+            for at in range(0, len(data), size):
+                got += [u.row() for u in parser.feed(data[at : at + size])]
+            assert got + [u.row() for u in parser.close()] == want
+
+
+def test_documents_in_pieces_equal_whole_ones(spark):
+    docs = spark.createDataFrame([(k, assorted(k, 600)) for k in range(12)] + [(50, ""), (51, None)], "id long, text string").withColumn("seq", F.lit("x"))
+    key = lambda df: sorted(tuple(str(v) for v in r) for r in df.collect())
+    for whole, of_pieces in ((markdown.units, markdown.units_of_pieces), (markdown.passages, markdown.passages_of_pieces)):
+        want = key(whole(docs))
+        for size in (1000, 1 << 20):
+            assert key(of_pieces(markdown.pieces(docs, size))) == want
+    rows = markdown.passages(docs, target=60, hard=90).collect()
+    texts = {r.id: (r.text or "").encode() for r in docs.collect()}
+    assert all(texts[r.id][r.start_byte : r.end_byte].decode() == r.text and r.lexical_text.endswith(r.text) for r in rows)
+    assert markdown.units(docs.where("false")).count() == 0 and len({r.id for r in rows}) == 12
+
+
+def test_two_rows_of_one_id_are_two_documents(spark):
+    docs = spark.createDataFrame([(1, "a\n\n# b"), (1, "c"), (None, "d")], "id long, text string")
+    assert sorted((r.id or 0, r.ordinal, r.text) for r in markdown.units(docs).collect()) == [(0, 0, "d"), (1, 0, "a\n\n"), (1, 0, "c"), (1, 1, "# b")]
 
 
 def test_packing(spark):

@@ -76,7 +76,7 @@ MD = "---\ntype: Contract\nparties: [A, 'B']\nbook: Law\nvalid_from: 2024-01-01\
 
 
 def test_markdown_units_slice_back(spark):
-    table = "".join(f"| row {k} |\n" for k in range(90))
+    table = "".join(f"| row {k} |\n" for k in range(290))
     docs = frame(spark, [(1, MD + table), (2, ""), (3, None), (4, "a\r\nb\r\n\r\nArticle 5 Scope\r\n- x"), (5, "```\nopen")], "id long, text string")
     texts = {r.id: r.text for r in docs.collect()}
     units = markdown.units(docs).orderBy("id", "ordinal").collect()
