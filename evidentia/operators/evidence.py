@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,13 +225,39 @@ def file_search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return chunks.select("id", score.cast("long").alias("score")).where("score > 0").orderBy(F.col("score").desc(), "id").limit(limit)
 
 
+#: Words whose bucket a worker remembers at most.
+REMEMBERED = 500_000
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    pattern = re.compile("[a-z0-9À-ɏ]{2,}")
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ids, buckets, weights = [], [], []
+            for k, text in enumerate(part.column(1)):
+                words = Counter(pattern.findall(text.as_py() or ""))
+                counts: Counter[int] = Counter()
+                for word, n in words.items():
+                    if word not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[word] = int.from_bytes(hashlib.sha1(word.encode()).digest()[:4], "big") % VECTOR_DIMENSIONS
+                    counts[known[word]] += n
+                norm = math.sqrt(sum(n * n for n in counts.values()))
+                ids += [k] * len(counts)
+                buckets += counts
+                weights += [n / norm for n in counts.values()]
+            yield pa.record_batch([part.column(0).take(pa.array(ids, pa.int64())), pa.array(buckets, pa.int64()), pa.array(weights, pa.float64())], names=["id", "bucket", "weight"])
+
+
 def hash_vectors(df: DataFrame, text: str = "text", id_column: str = "id") -> DataFrame:
-    """The hashed word counts of each text, of unit length, as rows (id, bucket, weight) of its non-zero buckets; a text without words has none."""
-    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9À-ɏ]{2,}"), F.lit(0)))
-    bucket = F.conv(F.substring(F.sha1("w"), 1, 8), 16, 10).cast("long") % VECTOR_DIMENSIONS
-    counts = df.select(F.col(id_column).alias("id"), words.alias("w")).groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
-    return counts.select("id", "bucket", F.round(F.col("n") / norm, 9).alias("weight"))
+    """The hashed word counts of each text, of unit length, as rows (id, bucket, weight) of its non-zero buckets; a text
+    without words has none. A vector is folded where its row is, so nothing is shuffled."""
+    rows = df.select(F.col(id_column).alias("id"), F.lower(F.col(text)).alias("text"))
+    found = rows.mapInArrow(_hash_rows, f"id {rows.schema['id'].dataType.simpleString()}, bucket long, weight double")
+    return found.withColumn("weight", F.round("weight", 9))
 
 
 def fingerprints(df: DataFrame, text: str = "text", id_column: str = "id") -> DataFrame:

@@ -7,28 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+from .narrowing import running_totals
 
-def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float], buckets: int = 64) -> DataFrame:
-    """Nearest-rank percentiles of each group, exact, without gathering a group in one task.
 
-    A sketch of each group cuts its values into buckets of about equal size; the buckets are counted, and only the values
-    of those in which a percentile falls are counted one by one. Nulls of value do not count.
+#: Up to so many pairs of group and value, running sums go over a group's values in one task; beyond it, over ranges of them.
+FEW_VALUES = 1_000_000
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float], few: int = FEW_VALUES) -> DataFrame:
+    """Nearest-rank percentiles of each group, exact: the smallest value that so many of the group's are at most.
+
+    The input is read once, to count each value of each group, before the shuffle first. All else works on the counts, which
+    are written and counted: few of them are summed group by group, more by ranges, so that a group of any size, and of any
+    number of values, meets in no task. Nulls of value do not count; null is a group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    cuts = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    counts = saved(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
+    if counts.limit(few + 1).count() <= few:
+        upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v")))
+    else:
+        upto = running_totals(counts, by, [F.col("_v")], F.col("_n"), "_upto")
     keys = [f"_k{n}" for n in range(len(by))]
-    bounds = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(F.percentile_approx("_v", cuts, F.lit(10 * buckets)).alias("_cuts"), F.count("*").alias("_all"))
+    totals = counts.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(F.sum("_n").alias("_all"))
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)], F.lit(True))
-    placed = rows.join(bounds, same).select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bucket"), "_all")
-    counted = placed.groupBy(*by, "_bucket", "_all").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket"))
-    goals = F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(s))).alias("rank")) for n, s in shares.items()])
-    wanted = counted.withColumn("_upto", upto).select(*by, "_bucket", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.explode(goals).alias("_goal")).where("_goal.rank > _before AND _goal.rank <= _upto")
-    wanted = wanted.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col("_bucket").alias("_b"), (F.col("_goal.rank") - F.col("_before")).alias("_rank"), F.col("_goal.name").alias("_name"))
-    near = placed.join(wanted, same & (F.col("_bucket") == F.col("_b"))).select(*by, "_name", "_rank", "_v")
-    values = near.groupBy(*by, "_name", "_rank", "_v").agg(F.count("*").alias("_n"))
-    reached = values.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_name").orderBy("_v"))).where("_upto >= _rank")
-    return reached.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
+    rank = lambda share: F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(share)))
+    return upto.join(totals, same).groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= rank(s), F.col("_v"))).alias(n) for n, s in shares.items()])
 
 
 def trace_rollup(events: DataFrame, trace: str, time: str, kind: str, value: str) -> DataFrame:
