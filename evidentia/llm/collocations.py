@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..session import release
 from .common import saved
-from .repeats import pack, unpack
 
 #: Words of a phrase at most, occurrences that make it frequent, and phrases returned for each language.
 LONGEST, FREQUENT, TOP = 5, 100, 2000
@@ -36,15 +35,24 @@ _NONE = -1
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers, compressed: differences, their bytes by significance, then zstd."""
-    return pack(*(np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(-1, a.itemsize).T) for a in arrays))
+    """Arrays of whole numbers, compressed: as they are or by differences, what is shorter, their bytes by significance."""
+    out = []
+    for a in arrays:
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, a.itemsize).T) for x in (np.ascontiguousarray(a), np.diff(a, prepend=a.dtype.type(0)))]
+        short = [zstandard.ZstdCompressor(level=3).compress(p) for p in planes]
+        best = int(len(short[1]) < len(short[0]))
+        out += [np.array([best, len(short[best])], np.int64).tobytes(), short[best]]
+    return b"".join(out)
 
 
 def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    out = []
-    for kind, planes in zip(kinds, unpack(blob, *[np.uint8] * len(kinds))):
-        size = np.dtype(kind).itemsize
-        out.append(np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel(), dtype=kind))
+    at, out = 0, []
+    for kind in kinds:
+        differs, size = np.frombuffer(blob, np.int64, 2, at).tolist()
+        raw = zstandard.ZstdDecompressor().decompress(blob[at + 16 : at + 16 + size])
+        values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+        out.append(np.cumsum(values, dtype=kind) if differs else values)
+        at += 16 + size
     return out
 
 
@@ -78,14 +86,19 @@ class _Words:
         self.size += len(text)
 
     def rows(self) -> Iterator[tuple[str, bytes, bytes, int, bytes | None]]:
-        """For each language its words, a line each, their numbers and counts, and how many they are; the text with the first."""
+        """For each language its words in order, a line each, their numbers and counts, and how many they are; the text with
+        the first. Words are numbered anew, the most frequent first, which makes the text shorter."""
         ids = np.concatenate(self.parts)
         counts = np.bincount(ids[ids != _NONE], minlength=next(self.counter)).astype(np.int32)
-        text = packed(ids)
+        rank = np.empty(len(counts) + 1, np.int32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        rank[-1] = _NONE
+        text = packed(rank[ids])
         for lang, known in self.numbers.items():
             del known[b"."]
-            own = np.fromiter(known.values(), np.int32, len(known))
-            yield lang, zstandard.ZstdCompressor(level=1).compress(b"\n".join(known)), packed(own, counts[own]), len(own), text
+            words = sorted(known)
+            own = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+            yield lang, zstandard.ZstdCompressor(level=3).compress(b"\n".join(words)), packed(rank[own], counts[own]), len(own), text
             text = None
 
 
@@ -137,7 +150,7 @@ def _words_sent(buckets: int):
                 rows = []
                 for a, z in zip(edges[:-1], edges[1:]):
                     part = order[a:z]
-                    text = zstandard.ZstdCompressor(level=1).compress(b"\n".join([own[i] for i in part.tolist()]))
+                    text = zstandard.ZstdCompressor(level=3).compress(b"\n".join([own[i] for i in part.tolist()]))
                     rows.append((int(bucket[part[0]]), lang, block, text, packed(number[part], n[part])))
                 yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=names)
 
@@ -191,11 +204,15 @@ STATE = "block long, words binary, lists binary"
 
 
 def _vertical(keys: np.ndarray, places: np.ndarray) -> bytes:
-    """Occurrences (key, place), by place, as inverted lists: the keys, how long each list is, and the lists one after the other."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return packed(keys[firsts], np.diff(np.append(firsts, len(keys))).astype(np.int32), places[order].astype(np.int32))
+    """Occurrences (key, place), by place, as inverted lists: the keys, how long each list is, and the lists one after the other.
+
+    The longest list comes first, as lists whose places are about as far apart are packed best side by side.
+    """
+    every, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return packed(every[order], times[order].astype(np.int32), places[np.argsort(rank[which], kind="stable")].astype(np.int32))
 
 
 def _state(batch: pa.RecordBatch, k: int, words: bytes, lists: bytes | None) -> pa.RecordBatch:
@@ -245,7 +262,7 @@ def extensions(words: bytes, lists: bytes | None, length: int, buckets: int) ->
     head, tail = phrase[every // len(word)], word[every % len(word)]
     mixed = (head.view(np.uint64) * _MIX[0]) ^ (tail.view(np.uint64) * _MIX[1])
     bucket = ((mixed ^ (mixed >> np.uint64(32))) * _MIX[0] >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((tail, head, bucket))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return Extensions(head[order], tail[order], n[order].astype(np.int32), bucket[order].astype(np.int64), places[met], rank[which])
