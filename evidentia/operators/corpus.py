@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.entities import excluded
-from ..functions.text import cosine
 from ..functions.values import OUTPUT_BYTES
 
 #: Bytes up to which a file is embedded at once or soon after, and vectors of a file at most.
@@ -88,16 +87,6 @@ def language_totals(passages: DataFrame, by: str) -> DataFrame:
     return weights.join(weights.groupBy(by).agg(F.sum("_w").alias("_all")), by).where("_all > 0").select(by, "language", F.round(F.col("_w") / F.col("_all"), 6).alias("share"))
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int, over: int = 4, embedding: str = "embedding", id_column: str = "id") -> DataFrame:
-    """The nearest vectors by cosine, sought among limit times over by the signs and sizes of their first eight dimensions
-    and then ranked by the whole of them: approximate, as the coarse measure may miss some."""
-    head = [float(v) for v in query[:8]]
-    coarse = cosine(F.slice(F.col(embedding), 1, 8), F.array(*map(F.lit, head)))
-    best = vectors.where(F.size(embedding) == len(query)).withColumn("_c", coarse).orderBy(F.col("_c").desc(), id_column).limit(limit * over)
-    exact = best.select(F.col(id_column).alias("id"), F.round(cosine(F.col(embedding), F.array(*[F.lit(float(v)) for v in query])), 6).alias("score"))
-    return exact.orderBy(F.col("score").desc(), "id").limit(limit)
-
-
 def usable_roots(spark: SparkSession, roots: list[str]) -> tuple[list[str], list[str]]:
     """The folders that are there and those that are not, asked of the file system that Spark reads."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -150,16 +150,17 @@ def hierarchical(docs: DataFrame, query: str, collection: str, text: str = "text
     """Passages (document/section/ordinal) by fusion of a lane in the routed documents and sections and one in the routed collections.
 
     Collection, document and section lanes are fused to the routed collections; document and section lanes inside those
-    join them, and their fusion routes to documents (of documents and of sections) and to sections. The ids that are
-    routed to and the hits reach the driver, a fixed number of each. A text's tokens are those of its sections, so one
-    pass over the texts counts for all levels. Rows without an id are left out; those without a collection are in none.
+    join them, and their fusion routes to documents (of documents and of sections) and to sections. What is routed to
+    narrows the next lanes by semi joins with lists of a fixed length; nothing reaches the driver. A text's tokens are those
+    of its sections, so one pass over the texts counts for all levels, and is written. Rows without an id are left out; those without a collection are in none.
     """
     terms = query_terms(query)
     known = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), F.col(collection).alias("collection"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = F.substring(F.encode("text", "UTF-8"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int"))
     parts = known.join(sections(known, id_column="doc").withColumnRenamed("id", "doc"), "doc").select("collection", "doc", "section", F.decode(cut, "UTF-8").alias("text"))
     tallies = F.transform(chunk_list(F.col("text")), lambda c: F.struct(F.size(tokens(c)).alias("_n"), F.size(F.filter(tokens(c), lambda t: t.isin(terms))).alias("_m")))
-    counts = counted(parts.withColumn("pieces", tallies), terms, "text").persist()
+    counts = saved(counted(parts.withColumn("pieces", tallies), terms, "text"))
+    order = [F.col("fusion").desc(), F.col("score").desc(), F.col("id")]
 
     def lane(level: str, inside: DataFrame, retriever: str = "lexical") -> DataFrame:
         keys = ["collection", "doc", "section"][: list(LANES).index(level) + 1]
@@ -167,18 +168,19 @@ def hierarchical(docs: DataFrame, query: str, collection: str, text: str = "text
         sums = inside.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
         return _matching(sums.select(F.struct(F.lit(level).alias("level"), *names).alias("id"), "_n", "_m"), len(terms), retriever, LANES[level])
 
-    lanes = [lane("collection", counts.where("collection is not null")), lane("document", counts), lane("section", counts)]
-    hits = [r.id for r in fuse(lanes, limit=sum(LANES.values())).collect()]
-    collections = [h.collection for h in hits if h.level == "collection"][: ROUTED["collection"]]
-    if collections:
-        members = counts.where(F.col("collection").isin(collections))
-        lanes += [lane(level, members, "collection_member_route") for level in ("document", "section")]
-        hits = [r.id for r in fuse(lanes, limit=2 * sum(LANES.values())).collect()]
-    found = {h.doc: None for h in [h for h in hits if h.level != "collection"][: ROUTED["document"]]}
-    inner = [f"{h.doc}/{h.section}" for h in hits if h.level == "section"][: ROUTED["section"]]
-    scopes = {"passage_lexical": F.col("doc").isin([*found]) & F.concat_ws("/", "doc", "section").isin(inner), "passage_lexical_collection": F.col("collection").isin(collections)}
-    pieces = lambda scope: counts.where(scope).select("doc", "section", F.posexplode("pieces").alias("ordinal", "p")).select(F.concat_ws("/", "doc", "section", "ordinal").alias("id"), "p._n", "p._m")
-    fused = fuse([_matching(pieces(scope), len(terms), name, LANES["passage"]) for name, scope in scopes.items()], limit=limit)
-    best = docs.sparkSession.createDataFrame(fused.collect(), fused.schema)
-    counts.unpersist()
-    return best
+    def routed(hits: DataFrame, levels: tuple[str, ...], most: int, *columns: str) -> DataFrame:
+        """The distinct columns of the first hits of some levels: a short list, by which others are narrowed."""
+        first = hits.where(F.col("id.level").isin(*levels)).orderBy(*order).limit(most)
+        return F.broadcast(first.select(*[F.col(f"id.{c}").alias(c) for c in columns]).distinct())
+
+    first = [lane("collection", counts.where("collection is not null")), lane("document", counts), lane("section", counts)]
+    lanes = [saved(reduce(DataFrame.unionByName, first))]  # short lists, which both fusions read
+    collections = routed(fuse(lanes, limit=sum(LANES.values())), ("collection",), ROUTED["collection"], "collection")
+    members = counts.join(collections, "collection", "left_semi")
+    hits = saved(fuse([*lanes, *(lane(level, members, "collection_member_route") for level in ("document", "section"))], limit=2 * sum(LANES.values())))
+    found = routed(hits, ("document", "section"), ROUTED["document"], "doc")
+    inner = routed(hits, ("section",), ROUTED["section"], "doc", "section")
+    chosen = routed(hits, ("collection",), ROUTED["collection"], "collection")
+    scopes = {"passage_lexical": counts.join(found, "doc", "left_semi").join(inner, ["doc", "section"], "left_semi"), "passage_lexical_collection": counts.join(chosen, "collection", "left_semi")}
+    pieces = lambda rows: rows.select("doc", "section", F.posexplode("pieces").alias("ordinal", "p")).select(F.concat_ws("/", "doc", "section", "ordinal").alias("id"), "p._n", "p._m")
+    return fuse([_matching(pieces(rows), len(terms), name, LANES["passage"]) for name, rows in scopes.items()], limit=limit)

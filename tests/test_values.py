@@ -55,13 +55,6 @@ def test_retired_rows_wait_for_their_grace_and_jobs(spark):
     assert [r.n for r in corpus.active(rows, generations).collect()] == [2] and [r.n for r in corpus.active(rows, generations, "g1").collect()] == [1]
 
 
-def test_nearest_ranks_the_candidates_by_all_dimensions(spark):
-    rows = [(k, [float((k * 7 + j * j) % 11) for j in range(12)]) for k in range(30)]
-    df = spark.createDataFrame(rows, "id int, embedding array<double>")
-    got = corpus.nearest(df, rows[3][1], 3).collect()
-    assert got[0].id == 3 and got[0].score == 1.0 and len(got) == 3 and [r.score for r in got] == sorted((r.score for r in got), reverse=True)
-
-
 def test_roots_and_order(spark, tmp_path):
     (tmp_path / "x").mkdir()
     assert corpus.usable_roots(spark, [str(tmp_path / "x"), str(tmp_path / "y")]) == ([str(tmp_path / "x")], [str(tmp_path / "y")])
