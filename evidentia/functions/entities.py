@@ -57,3 +57,21 @@ def duration_ms(text: Column) -> Column:
     for name, ms in UNITS.items():
         factor = F.when(unit == name, F.lit(ms).cast("long")).otherwise(factor)
     return F.when(number != "", number.cast("long") * factor)
+
+
+#: The shortest interval of what recurs, in milliseconds.
+LEAST_INTERVAL = 10_000
+
+
+def interval_ms(text: Column) -> Column:
+    """Milliseconds of an interval such as '1.5h'; null where it is none, or under LEAST_INTERVAL."""
+    pattern = r"^\s*(\d+(?:\.\d+)?)(ms|s|m|h|d)\s*$"
+    number, unit = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), F.regexp_extract(text, pattern, 2)
+    ms = F.round(number.cast("double") * F.coalesce(*[F.when(unit == name, float(size)) for name, size in UNITS.items()])).cast("long")
+    return F.when(ms >= LEAST_INTERVAL, ms)
+
+
+def duration_text(ms: Column) -> Column:
+    """Milliseconds in the largest unit that they are whole numbers of."""
+    by_size = sorted(UNITS.items(), key=lambda u: -u[1])
+    return F.coalesce(*[F.when(ms % size == 0, F.concat((ms / size).cast("long").cast("string"), F.lit(name))) for name, size in by_size])

@@ -142,3 +142,39 @@ def resolved_evidence(sources: DataFrame, workspace: str, allowed: list[str]) ->
     )
     warning = F.when(F.col("health").isin("degraded", "down"), F.concat(F.lit("health is "), "health")).when(F.col("staleness").isin("stale", "expired"), F.concat(F.lit("source is "), "staleness"))
     return sources.select("id", fault.alias("fault"), F.when(fault.isNull(), warning).alias("warning"))
+
+
+def main_language(shares: DataFrame, by: str) -> DataFrame:
+    """by, language and share: the language of the greatest share of language_totals(), ties to the first name."""
+    best = shares.groupBy(by).agg(F.min(F.struct((-F.col("share")).alias("s"), "language")).alias("b"))
+    return best.select(by, "b.language", (-F.col("b.s")).alias("share"))
+
+
+def forecast(files: DataFrame, dimensions: int = 384) -> DataFrame:
+    """What an index of files (size, passages, sections) will take: one row of document, section and passage vectors and bytes.
+
+    Passages get vectors up to MOST_VECTORS a file in the eager and async tiers, and none at first in the lazy one.
+    """
+    size, lazy = F.coalesce("size", F.lit(0)), embedding_tier(F.coalesce("size", F.lit(0))) == "lazy"
+    planned = F.when(lazy, 0).otherwise(F.least(F.coalesce("passages", F.lit(0)), F.lit(MOST_VECTORS)))
+    sums = files.agg(
+        F.coalesce(F.sum(size), F.lit(0)).alias("object_bytes"), F.count("*").alias("document_vectors"), F.coalesce(F.sum(F.greatest(F.lit(1), F.coalesce("sections", F.lit(0)))), F.lit(0)).alias("section_vectors"),
+        F.coalesce(F.sum(planned), F.lit(0)).alias("passage_vectors"),
+    )
+    raw = (F.col("document_vectors") + F.col("section_vectors") + F.col("passage_vectors")) * dimensions * 4
+    return sums.select("*", F.ceil(F.col("object_bytes") * F.expr("0.65")).cast("long").alias("lexical_bytes"), raw.alias("vector_bytes"), F.ceil(raw * F.expr("1.5")).cast("long").alias("hnsw_bytes"))
+
+
+def collection_profile(members: DataFrame, by: str = "collection", samples: int = 50, most: int = 12_000) -> DataFrame:
+    """by, n, fingerprint and summary of collections of documents (by, content_sha256, title, routing_summary).
+
+    fingerprint is the MD5 of the sorted digests of all members end to end, as the store defines it, so a collection's
+    digests, 64 bytes each, meet in one row. summary has the first samples members by title as `title: summary` lines, cut to most
+    characters; those are found for each collection before their texts meet.
+    """
+    digests = members.groupBy(by).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("content_sha256")), "").cast("binary")).alias("fingerprint"))
+    order = Window.partitionBy(by).orderBy("title", "content_sha256")
+    first = members.select(by, "title", "content_sha256", F.left("routing_summary", F.lit(most)).alias("routing_summary")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= samples)
+    line = F.struct("_k", F.concat(F.coalesce("title", F.lit("")), F.lit(": "), F.coalesce("routing_summary", F.lit(""))).alias("line"))
+    text = first.groupBy(by).agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n"), F.lit(most)).alias("summary"))
+    return digests.join(text, by)

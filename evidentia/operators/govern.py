@@ -49,10 +49,35 @@ def outcome(labels: Column) -> Column:
     return F.when(F.coalesce(F.size(clean), F.lit(0)) <= 0, "unlabeled").when(yes & ~no, "accepted").when(no & ~yes, "rejected").otherwise("mixed")
 
 
+#: What an outcome scores.
+OUTCOME_SCORES = {"accepted": 1.0, "rejected": 0.0, "mixed": 0.5, "unlabeled": 0.0}
+
+
+def outcome_score(outcome_column: Column) -> Column:
+    return F.coalesce(*[F.when(outcome_column == name, score) for name, score in OUTCOME_SCORES.items()])
+
+
+def shadow_summary(comparisons: DataFrame) -> DataFrame:
+    """Comparisons (workflow_id, outcome) counted: place, workflow_id (null: all), total, a count for each outcome, and the
+    rate of accepted ones. Place 0 is the whole, the workflows follow by total, then id; unknown outcomes are unlabeled."""
+    known = comparisons.withColumn("outcome", F.when(F.col("outcome").isin("accepted", "rejected", "mixed"), F.col("outcome")).otherwise("unlabeled"))
+    sums = known.groupingSets([["workflow_id"], []], "workflow_id").agg(
+        F.grouping("workflow_id").alias("_whole"), F.count("*").alias("total"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOME_SCORES]
+    )
+    rate = F.round(F.coalesce(F.col("accepted") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)), 9)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("_whole").desc(), F.col("total").desc(), "workflow_id")) - 1  # a row a workflow
+    return sums.select(place.alias("place"), "workflow_id", "total", *OUTCOME_SCORES, rate.alias("acceptance_rate"))
+
+
 # The severity of an issue; what is not critical is a warning.
 CRITICAL = ("expired", "down", "permission_denied")
 
 
+def findings_in_order(found: DataFrame) -> DataFrame:
+    """Findings, the critical ones first, then by source and issue: a total order for paging."""
+    return found.orderBy((F.col("severity") == "critical").desc(), "source_id", "issue")
+
+
 def findings(sources: DataFrame, unknown: bool = False) -> DataFrame:
     """(source_id, issue, severity) for each issue of sources (id, health, permission, staleness); null states raise none."""
     health, stale = F.col("health"), F.col("staleness")

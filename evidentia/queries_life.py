@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions import entities as ent
 from .functions import text as tx
-from .operators import census, citations, knowledge, narrowing, reconcile, skills
+from .operators import census, citations, corpus, govern, knowledge, narrowing, reconcile, retrieval, skills
 from .queries import QUERIES, SQL, query
 from .session import saved
+from .sources import tables
 from .streaming import events as streaming
 from .streaming import traces
 
@@ -246,3 +249,86 @@ def _stream_traces(spark, folder):
 
 
 QUERIES["stream_trace_rollups"], SQL["stream_trace_rollups"] = _stream_traces, TRACES
+
+
+# small operators in full
+
+VERSIONS = "SELECT o_orderkey AS id, 'v' || o_orderkey % 4 AS version FROM orders"
+EXPECTED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN 'v' || (o_orderkey % 3) END AS expected FROM orders WHERE o_orderkey % 5 = 0"
+
+
+def _versions(load):
+    k = F.col("o_orderkey")
+    old = load("orders").select(k.alias("id"), F.concat(F.lit("v"), (k % 4).cast("string")).alias("version"))
+    keys = load("orders").where(k % 5 == 0).select(k.alias("id"), F.when(k % 3 > 0, F.concat(F.lit("v"), (k % 3).cast("string"))).alias("expected"))
+    return tables.delete_expected(old, keys)
+
+
+@query("store_delete_expected", f"SELECT id, version FROM ({VERSIONS}) v WHERE NOT EXISTS (SELECT 1 FROM ({EXPECTED}) e WHERE e.id = v.id AND (expected IS NULL OR expected = version))")
+def _(spark, load):
+    return _versions(load)[0]
+
+
+@query("store_delete_told", f"SELECT e.id, expected, expected IS NULL OR expected = version AS deleted FROM ({EXPECTED}) e JOIN ({VERSIONS}) v ON e.id = v.id")
+def _(spark, load):
+    return _versions(load)[1]
+
+
+COMPARED = "SELECT event_type AS workflow_id, CASE WHEN value > 60 THEN 'accepted' WHEN value > 30 THEN 'rejected' WHEN value > 10 THEN 'mixed' WHEN value > 5 THEN 'odd' END AS outcome FROM events"
+
+
+@query("shadow_summary_outcomes", f"""SELECT row_number() OVER (ORDER BY whole DESC, total DESC, workflow_id) - 1 AS place, workflow_id, total, accepted, rejected, mixed, unlabeled, round(accepted / total, 9) AS acceptance_rate FROM (
+SELECT workflow_id, grouping(workflow_id) AS whole, count(*) AS total, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'mixed') AS mixed, count(*) FILTER (coalesce(outcome, 'odd') = 'odd') AS unlabeled FROM ({COMPARED}) GROUP BY GROUPING SETS ((workflow_id), ()))""")
+def _(spark, load):
+    v = F.col("value")
+    outcome = F.when(v > 60, "accepted").when(v > 30, "rejected").when(v > 10, "mixed").when(v > 5, "odd")
+    return govern.shadow_summary(load("events").select(F.col("event_type").alias("workflow_id"), outcome.alias("outcome")))
+
+
+@query("shadow_label_scores", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM labels")
+def _(spark, load):
+    names = F.array_compact(F.array(F.when(F.col("quality") == 1, " Good"), F.when(F.col("toxic") == 1, "REJECT")))
+    return load("labels").select("doc_id", govern.outcome_score(govern.outcome(names)).alias("score"))
+
+
+@query("language_main", "SELECT source, arg_min(lang, (-n, lang)) AS language, round(max(n) / sum(n), 6) AS share FROM (SELECT source, lang, sum(n_chars) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")
+def _(spark, load):
+    d = load("documents").select("source", F.col("n_chars").alias("tokens"), F.create_map(F.col("lang"), F.lit(1.0)).alias("distribution"))
+    return corpus.main_language(corpus.language_totals(d, "source"), "source")
+
+
+@query("storage_forecast_tiers", """SELECT sum(s)::BIGINT AS object_bytes, count(*) AS document_vectors, sum(greatest(1, doc_id % 4))::BIGINT AS section_vectors, sum(CASE WHEN s > 262144000 THEN 0 ELSE least(p, 20000) END)::BIGINT AS passage_vectors, ceil(sum(s) * 0.65)::BIGINT AS lexical_bytes,
+(count(*) + sum(greatest(1, doc_id % 4)) + sum(CASE WHEN s > 262144000 THEN 0 ELSE least(p, 20000) END))::BIGINT * 1536 AS vector_bytes, ceil((count(*) + sum(greatest(1, doc_id % 4)) + sum(CASE WHEN s > 262144000 THEN 0 ELSE least(p, 20000) END)) * 1536 * 1.5)::BIGINT AS hnsw_bytes
+FROM (SELECT doc_id, n_chars * (1 + (doc_id % 10) * 9000) AS s, n_chars * (1 + doc_id % 10) AS p FROM documents)""")
+def _(spark, load):
+    k = F.col("doc_id")
+    return corpus.forecast(load("documents").select((F.col("n_chars") * (1 + (k % 10) * 9000)).alias("size"), (F.col("n_chars") * (1 + k % 10)).alias("passages"), (k % 4).alias("sections")))
+
+
+@query("collection_profile", """WITH d AS (SELECT source, sha256(text) AS h, lang || ' ' || doc_id AS title, substr(text, 1, 900) AS s FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY title, h) AS k FROM d)
+SELECT source, n, fingerprint, md5(substr(summary, 1, 12000)) AS summary FROM (SELECT source, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS fingerprint FROM d GROUP BY 1) JOIN (SELECT source, string_agg(title || ': ' || s, chr(10) ORDER BY k) AS summary FROM k WHERE k <= 50 GROUP BY 1) USING (source)""")
+def _(spark, load):
+    d = load("documents").select("source", F.sha2("text", 256).alias("content_sha256"), F.concat_ws(" ", "lang", "doc_id").alias("title"), F.left("text", F.lit(900)).alias("routing_summary"))
+    return corpus.collection_profile(d, "source").withColumn("summary", F.md5("summary"))
+
+
+@query("intervals", "SELECT event_id, CASE WHEN ms >= 10000 THEN ms END AS ms, CASE WHEN ms >= 10000 THEN CASE WHEN ms % 86400000 = 0 THEN ms // 86400000 || 'd' WHEN ms % 3600000 = 0 THEN ms // 3600000 || 'h' WHEN ms % 60000 = 0 THEN ms // 60000 || 'm' WHEN ms % 1000 = 0 THEN ms // 1000 || 's' ELSE ms || 'ms' END END AS text FROM (SELECT event_id, round((event_id % 48 + 0.5) * [1, 1000, 60000, 3600000, 86400000][event_id % 5 + 1])::BIGINT AS ms FROM events)")
+def _(spark, load):
+    k = F.col("event_id")
+    unit = F.element_at(F.array(*map(F.lit, ("ms", "s", "m", "h", "d"))), (k % 5 + 1).cast("int"))
+    ms = ent.interval_ms(F.concat(F.lit(" "), (k % 48).cast("string"), F.lit(".5"), unit))
+    return load("events").select("event_id", ms.alias("ms")).withColumn("text", ent.duration_text(F.col("ms")))
+
+
+@query("preceding_texts", "SELECT conv_id, turn, md5(coalesce(string_agg(role || ': ' || coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '')) AS context FROM conversations")
+def _(spark, load):
+    """A message's context: what the three before it say."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
+    said = F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))
+    return load("conversations").withColumn("said", said).select("conv_id", "turn", F.md5(F.array_join(F.collect_list("said").over(w), "\n")).alias("context"))
+
+
+@query("neighbour_texts", "SELECT conv_id, turn, md5(lag(text) OVER w) AS previous_text, md5(lead(text) OVER w) AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def _(spark, load):
+    found = retrieval.with_neighbours(load("conversations").select("conv_id", "turn", "text"), "conv_id", "turn", ["text"])
+    return found.select("conv_id", "turn", F.md5("previous_text").alias("previous_text"), F.md5("next_text").alias("next_text"))

@@ -64,3 +64,13 @@ def compare_and_swap(old: DataFrame, changes: DataFrame, key: str = "id") -> Dat
 
 def delete(old: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return old.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def delete_expected(old: DataFrame, keys: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """old without the rows that keys (key, expected) names with their version, and keys with deleted. A null expectation
+    names any version; a row whose version differs, or that is not there, is not deleted."""
+    now = old.select(F.col(key), F.col("version").alias("_now"), F.lit(True).alias("_there"))
+    met = keys.join(now, key, "left")
+    deleted = F.coalesce(F.col("_there") & (F.col("expected").isNull() | (F.col("expected") == F.col("_now"))), F.lit(False))
+    told = met.select(*keys.columns, deleted.alias("deleted"))
+    return old.join(told.where("deleted").select(key).distinct(), key, "left_anti"), told
