@@ -42,11 +42,14 @@ def trace_rollup(events: DataFrame, trace: str, time: str, kind: str, value: str
     )
 
 
-def price(tokens_in: Column, cached: Column, tokens_out: Column, rates: DataFrame | None = None) -> Column:
-    """Dollars at rates per million (columns rate_in, rate_cached, rate_out): nothing without a rate or for a negative count."""
-    bad = (tokens_in < 0) | (cached < 0) | (tokens_out < 0) | (F.col("rate_in") < 0) | (F.col("rate_cached") < 0) | (F.col("rate_out") < 0)
-    cost = (F.greatest(tokens_in - cached, F.lit(0)) * F.col("rate_in") + cached * F.col("rate_cached") + tokens_out * F.col("rate_out")) / 1e6
-    return F.when(bad | F.col("rate_in").isNull(), 0.0).otherwise(cost)
+def price(tokens_in: Column, cached: Column, tokens_out: Column, direct: Column | None = None) -> Column:
+    """Dollars of a call: what it says itself, if over 0; else at rates per million (columns rate_in, rate_cached, by default
+    that of input, and rate_out): nothing without a rate or for a negative count or rate."""
+    rate_cached = F.coalesce("rate_cached", "rate_in")
+    bad = (tokens_in < 0) | (cached < 0) | (tokens_out < 0) | (F.col("rate_in") < 0) | (rate_cached < 0) | (F.col("rate_out") < 0)
+    cost = (F.greatest(tokens_in - cached, F.lit(0)) * F.col("rate_in") + cached * rate_cached + tokens_out * F.col("rate_out")) / 1e6
+    rated = F.when(bad | F.col("rate_in").isNull(), 0.0).otherwise(cost)
+    return rated if direct is None else F.when(direct > 0, direct).otherwise(rated)
 
 
 def roi(baselines: DataFrame, outcomes: DataFrame) -> DataFrame:

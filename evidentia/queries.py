@@ -501,10 +501,10 @@ def _(spark, load):
     return observe.percentiles(load("events"), "value", ["event_type"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query("pricing", "SELECT event_id, round(CASE WHEN event_type = 'click' THEN 0 ELSE (greatest(user_id * 10 - user_id, 0) * 2.0 + user_id * 0.5 + event_id % 97 * 8.0) / 1e6 END, 9) AS cost FROM events")
+@query("pricing", "SELECT event_id, round(CASE WHEN event_id % 13 = 0 AND value > 0 THEN value / 100 WHEN event_type = 'click' THEN 0 ELSE (greatest(user_id * 10 - user_id, 0) * 2.0 + user_id * 0.5 + event_id % 97 * 8.0) / 1e6 END, 9) AS cost FROM events")
 def _(spark, load):
     rated = load("events").select("*", F.when(F.col("event_type") != "click", 2.0).alias("rate_in"), F.lit(0.5).alias("rate_cached"), F.lit(8.0).alias("rate_out"))
-    return rated.select("event_id", F.round(observe.price(F.col("user_id") * 10, F.col("user_id"), F.col("event_id") % 97), 9).alias("cost"))
+    return rated.select("event_id", F.round(observe.price(F.col("user_id") * 10, F.col("user_id"), F.col("event_id") % 97, F.when(F.col("event_id") % 13 == 0, F.col("value") / 100)), 9).alias("cost"))
 
 
 @query("metrics_block", "SELECT count(*) AS n_events, count(DISTINCT user_id) AS n_traces, count(*) FILTER (event_type = 'click') AS clicks, round(count(*) FILTER (value > 50) / greatest(1, count(*)), 9) AS slow_share, round(avg(value), 6) AS mean FROM events")
