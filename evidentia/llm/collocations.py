@@ -249,14 +249,25 @@ class Extensions:
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _followed(places: np.ndarray) -> np.ndarray:
+    """Whether the place after each one is among them."""
+    ordered = np.sort(places)
+    behind = np.minimum(np.searchsorted(ordered, places + 1), max(len(ordered) - 1, 0))
+    return ordered[behind] == places + 1
+
+
 def extensions(words: bytes, lists: bytes | None, length: int, buckets: int) -> Extensions:
-    """Every list's places, length further on, merged with the postings of all frequent words, put in order of place once."""
+    """Every list's places, length further on, merged with the postings of all frequent words, put in order of place once.
+
+    A phrase is no more frequent than what is left without its first word, so only places count whose next place starts a
+    listed phrase too: a merge of the lists with themselves.
+    """
     word, times, at = unpacked(words, *LISTS)
     order = np.argsort(at, kind="stable")
     at, behind = at[order], np.repeat(np.arange(len(word)), times)[order]
     phrase, times, places = unpacked(lists or words, *LISTS)
     found = np.minimum(np.searchsorted(at, places + length), max(len(at) - 1, 0))
-    met = at[found] == places + length if len(at) else np.zeros(len(places), bool)
+    met = (at[found] == places + length if len(at) else np.zeros(len(places), bool)) & _followed(places)
     pair = np.repeat(np.arange(len(phrase)), times)[met] * np.int64(len(word)) + behind[found[met]]
     every, which, n = np.unique(pair, return_inverse=True, return_counts=True)
     head, tail = phrase[every // len(word)], word[every % len(word)]
@@ -350,8 +361,10 @@ def _longer(length: int, buckets: int, longest: int):
                 met = met[np.argsort(e.place[met], kind="stable")]
                 word, times, at = unpacked(words, *LISTS)
                 reached = np.zeros(int(at.max(initial=0)) + longest + 1, bool)
+                starts = e.place[met]
+                starts = starts[_followed(starts)]
                 for d in range(length + 1, longest):
-                    reached[e.place[met] + d] = True
+                    reached[starts + d] = True
                 order = np.argsort(at, kind="stable")
                 order = order[reached[at[order]]]
                 yield _state(batch, k, _vertical(np.repeat(word, times)[order], at[order]), _vertical(ids[e.which[met]], e.place[met]))
