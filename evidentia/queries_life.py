@@ -245,7 +245,7 @@ def _(spark, load):
 
 def _stream_traces(spark, folder):
     events = _trace_events(streaming.event_stream(spark, folder))
-    return _traced(traces.latest(streaming.drained(traces.traces(events, "1 day"), "rollups", "update")))
+    return _traced(traces.merged(streaming.drained(traces.partials(events), "rollups", "update")))
 
 
 QUERIES["stream_trace_rollups"], SQL["stream_trace_rollups"] = _stream_traces, TRACES

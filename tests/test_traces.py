@@ -69,6 +69,23 @@ def test_state_is_let_go(spark, tmp_path, few):
     assert [r.key.trace_id for r in kept.select("key").collect()] == ["end"]
 
 
+def test_partials_of_any_windows_and_batches_come_to_the_rollup(spark, tmp_path, few):
+    rows = made(4, 200) + [(None, "s", "agent", "end", "ok", None, None, T0, 900, 1, None, None, None), ("t0", "s1", "agent", "end", "ok", None, None, None, 901, 1, None, None, None)]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], traces.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(traces.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
+    found = traces.merged(streaming.drained(traces.partials(stream, "10 minutes"), "partials", "update"))
+    assert key(found) == key(traces.rollup(spark.createDataFrame(rows, traces.EVENT)))
+
+
+def test_the_query_sends_no_message_for_each_trace(spark, sf, monkeypatch):
+    """A state of its own in Python for every trace took the query over its time on many short traces."""
+    from evidentia import queries_life
+
+    monkeypatch.setattr(traces, "traces", lambda *a: pytest.fail("a processor in Python"))
+    assert sorted(map(tuple, queries_life.QUERIES["stream_trace_rollups"](spark, sf).collect())) == sorted(map(tuple, queries_life.QUERIES["trace_rollups"](spark, sf).collect()))
+
+
 def test_costs(spark):
     rates = {"a": (2.0, None, 10.0), "b": (1.0, 0.5, 4.0), "bad": (-1.0, 0.0, 0.0)}
     calls = [(0.7, "a", 100, 0, 10), (0.0, "a", 1_000_000, 400_000, 100_000), (None, "b", 1_000_000, 2_000_000, 0), (None, "bad", 5, 5, 5), (None, "none", 5, 5, 5), (None, "a", -1, 0, 0), (None, None, 1, 1, 1), (None, "a", None, None, 10)]
