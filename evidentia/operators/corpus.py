@@ -77,8 +77,8 @@ def within_budget(rows: DataFrame, by: str, order: list[Column], amount: Column,
 
 
 def kept(rows: DataFrame, time: str, now: Column, seconds: int) -> DataFrame:
-    """Rows that have not outlived their time; those without one stay."""
-    return rows.where(F.col(time).isNull() | (F.unix_timestamp(F.col(time).cast("timestamp")) + seconds > F.unix_timestamp(now)))
+    """Rows that have not outlived their time, to the microsecond; those without one stay."""
+    return rows.where(F.col(time).isNull() | (F.unix_micros(F.col(time).cast("timestamp")) + F.lit(seconds).cast("long") * 1_000_000 > F.unix_micros(now)))
 
 
 def language_totals(passages: DataFrame, by: str) -> DataFrame:

@@ -42,3 +42,13 @@ def test_forecasts_and_profiles(spark):
     assert got["d"].summary == ": "
     shares = spark.createDataFrame([("a", "fr", 0.5), ("a", "en", 0.5), ("b", "de", 1.0)], "by string, language string, share double")
     assert sorted(map(tuple, corpus.main_language(shares, "by").collect())) == [("a", "en", 0.5), ("b", "de", 1.0)]
+
+
+def test_a_lifetime_ends_to_the_microsecond(spark, tmp_path):
+    from evidentia.queries import QUERIES
+
+    times = ["2024-01-21 23:59:59.999999", "2024-01-22 00:00:00", "2024-01-22 00:00:00.000001", "2024-01-22 00:00:00.5", "2024-01-22 00:00:01", None]
+    spark.createDataFrame(list(enumerate(times)), "event_id long, t string").selectExpr("event_id", "cast(t as timestamp_ntz) ts").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r[0] for r in QUERIES["ttl_prune"](spark, str(tmp_path)).collect()) == [2, 3, 4]
+    rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r[0] for r in corpus.kept(rows, "ts", F.lit("2024-02-01").cast("timestamp"), 864_000).select("event_id").collect()) == [2, 3, 4, 5]
