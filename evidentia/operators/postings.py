@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
-from ..session import saved, shared_dir
+from ..session import saved, shared_dir, ship
+from .blocks import Best
 from .retrieval import query_terms, ranked
 
 #: What an occurrence weighs in a field of each label.
 LABELS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 #: Folders that terms are dealt to, and parts of each, so that a term that all documents have fills several tasks.
 BUCKETS, PARTS = 32, 8
+#: Questions of a block, postings of the index for each block of documents, numbers of a dense matrix.
+QUESTIONS, POSTINGS, DENSE = 512, 400_000, 4_000_000
+#: Terms and blocks of questions that are broadcast at most.
+BROADCAST_TERMS, BROADCAST_BLOCKS = 200_000, 64
 
 
 @dataclass(frozen=True)
@@ -34,8 +43,8 @@ def _bucket(term: Column, buckets: int) -> Column:
 def build(docs: DataFrame, fields: dict[str, str], id_column: str = "id", buckets: int = BUCKETS) -> PostingIndex:
     """Index the fields of docs, named with their labels (A to D). Null fields have no terms; rows without an id are left out.
 
-    A document's terms are counted in its own row, so that a posting, and never an occurrence, is what is shuffled. Postings
-    are dealt by bucket and a part drawn from the document, sorted by term: a lookup reads the folders of its terms' buckets
+    A document's terms are sorted and counted in its own row, so that postings are shuffled once and occurrences never.
+    Postings are dealt by bucket and a part drawn from the document, sorted by term: a lookup reads the folders of its terms' buckets
     and, by the files' statistics, little else of them.
     """
     names = tuple(fields)
@@ -44,14 +53,22 @@ def build(docs: DataFrame, fields: dict[str, str], id_column: str = "id", bucket
     )
     every = [f"_t{k}" for k in range(len(names))]
     of_field = lambda k: lambda w: F.struct(w.alias("term"), F.lit(k).alias("field"))
-    occurrences = F.explode(F.flatten(F.array(*[F.transform(t, of_field(k)) for k, t in enumerate(every)])))
+    in_field = lambda k: lambda x: x["field"] == k
+    term = (lambda x: x["term"]) if len(names) > 1 else (lambda x: x)
     total = sum((F.size(t) for t in every), F.lit(0))
-    counted = (
-        lists.select("id", total.alias("n"), occurrences.alias("o"))
-        .groupBy("id", "n", F.col("o.term").alias("term"))
-        .agg(F.array(*[F.count(F.when(F.col("o.field") == k, 1)) for k in range(len(names))]).alias("tf"))
-        .withColumn("bucket", _bucket(F.col("term"), buckets))
-    )
+    words = F.flatten(F.array(*[F.transform(t, of_field(k)) for k, t in enumerate(every)])) if len(names) > 1 else F.col(every[0])
+    row = lists.select("id", total.alias("n"), F.sort_array(words).alias("s")).where(F.size("s") > 0)
+    # equal terms lie side by side: a run begins where the term before is another one
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (term(F.get("s", i)) != term(F.get("s", i - 1))))
+    row = row.select("id", "n", "s", begins.alias("b"))
+
+    def posting(begin: Column, k: Column) -> Column:
+        length = F.coalesce(F.get("b", k + 1), F.size("s")) - begin
+        run = F.slice("s", begin + 1, length)
+        tf = [F.size(F.filter(run, in_field(f))) for f in range(len(names))] if len(names) > 1 else [length]
+        return F.struct(term(F.get("s", begin)).alias("term"), F.array(*[c.cast("long") for c in tf]).alias("tf"))
+
+    counted = row.select("id", "n", F.explode(F.transform("b", posting)).alias("p")).select("id", "n", "p.term", "p.tf").withColumn("bucket", _bucket(F.col("term"), buckets))
     path = shared_dir(docs.sparkSession)
     part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
     counted.repartition("bucket", part).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
@@ -85,19 +102,80 @@ def weighted(index: PostingIndex, query: str, limit: int, require_all: bool = Fa
     weights = F.array(*map(F.lit, index.weights))
     found = matching(index, terms)
     if require_all:
-        rows = index.postings.where(F.col("term").isin(terms)).groupBy("id").agg(F.count("*").alias("_k")).where(F.col("_k") == len(terms))
+        rows = index.postings.where(F.col("term").isin(terms)).groupBy("id").agg(F.count_distinct("term").alias("_k")).where(F.col("_k") == len(terms))
         found = found.join(rows, "id", "left_semi")
     mass = F.aggregate(F.zip_with("tf", weights, lambda t, w: t * w), F.lit(0.0), lambda s, x: s + x) / F.sqrt("n")
     return ranked(found.withColumn("score", F.round(mass / (mass + 1), 9)), "weighted_lexical", limit)
 
 
+def _scores(limit: int, ids_type: pa.DataType):
+    """For mapInArrow: pairs of a block of postings and a block of questions to the best documents of each question."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = {}, {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                of = lambda name: batch.column(name)[row]  # noqa: B023, E731
+                block = of("block").as_py()
+                if block not in asked:
+                    lists = of("terms").values
+                    sizes = np.diff(lists.offsets.to_numpy()[: len(lists) + 1])
+                    terms, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                    a = np.zeros((len(terms), len(lists)))
+                    np.add.at(a, (at, np.repeat(np.arange(len(lists)), sizes)), 1)
+                    asked[block], best[block] = (terms, a, of("k").values.to_numpy().astype(float)), Best(len(lists), limit, 9)
+                terms, a, k = asked[block]
+                p = of("postings").values
+                no, m, n = (p.field(c).to_numpy() for c in ("no", "m", "n"))
+                ids = p.field("id").to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(terms, no), len(terms) - 1)
+                known = terms[at] == no
+                at, m, n, ids = at[known], m[known], n[known], ids[known]
+                order = np.lexsort((n, ids))
+                at, m, n, ids = at[order], m[order], n[order], ids[order]
+                begins = np.append(True, (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])) if len(ids) else np.empty(0, bool)
+                doc, first = np.cumsum(begins) - 1, np.nonzero(begins)[0]
+                kind = np.float32 if m.sum() < 1 << 24 else np.float64  # whole numbers, which both hold exactly
+                rows = max(1, DENSE // max(len(terms), len(k)))
+                for start in range(0, len(first), rows):
+                    stop = min(start + rows, len(first))
+                    part = slice(first[start], first[stop] if stop < len(first) else len(doc))
+                    w = np.zeros((stop - start, len(terms)), kind)
+                    np.add.at(w, (doc[part] - start, at[part]), m[part])
+                    hits = (w @ a.astype(kind)).T.astype(float)
+                    best[block].add(hits / np.sqrt(k[:, None] * n[first[start:stop]][None, :]), ids[first[start:stop]])
+        for block, found in best.items():
+            if found.id is not None:
+                columns = [pa.array(np.full(len(found.query), block), pa.int32()), pa.array(found.query, pa.int32()), pa.array(found.id, ids_type), pa.array(found.score)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "nth", "id", "score"])
+
+    return run
+
+
 def lexical_many(index: PostingIndex, questions: DataFrame, limit: int, id_column: str = "query", text: str = "text") -> DataFrame:
-    """The lexical lanes of a table of questions at once: query, rank, score, id. Questions meet postings by term; a term
-    that many documents and questions share is joined skew-aware, and each question keeps its best rows before the shuffle."""
+    """The lexical lanes of a table of questions at once: query, rank, score, id.
+
+    Postings of the questions' terms meet in blocks of documents and are multiplied with blocks of questions, so what is
+    shuffled are postings, however many questions share a term; each task hands on the best documents of a question alone.
+    """
     asked = questions.select(F.col(id_column).alias("query"), F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("terms"))
-    each = saved(asked.select("query", F.size("terms").alias("k"), F.explode("terms").alias("term")).withColumn("bucket", _bucket(F.col("term"), index.buckets)))
+    each = saved(asked.select("query", F.size("terms").alias("k"), F.explode("terms").alias("term")))
+    numbered = saved(each.select("term").distinct().select("term", F.monotonically_increasing_id().alias("no"), _bucket(F.col("term"), index.buckets).alias("bucket")))
+    per_question = each.join(numbered, "term").groupBy("query", "k").agg(F.collect_list("no").alias("terms"))
+    blocks = max(1, -(-each.select("query").distinct().count() // QUESTIONS))
+    dealt = per_question.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query", "k", "terms")).alias("q"))
+    asked = saved(dealt.select("block", "q.query", "q.k", "q.terms"))
+    parts = max(1, -(-index.postings.count() // POSTINGS))
+    terms = F.broadcast(numbered) if numbered.count() <= BROADCAST_TERMS else numbered
     hits = F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)
-    met = index.postings.join(each, ["bucket", "term"]).groupBy("query", "k", "id", "n").agg(F.sum(hits).alias("m"))
-    scored = met.withColumn("score", F.round(F.col("m") / F.sqrt(F.col("k").cast("double") * F.col("n")), 9))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= limit)
+    met = index.postings.join(terms, ["bucket", "term"]).select("id", "n", "no", hits.alias("m"))
+    packed = met.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "n", "no", "m")).alias("postings"))
+    side = F.broadcast(asked.select("block", "k", "terms")) if blocks <= BROADCAST_BLOCKS else asked.select("block", "k", "terms")
+    kind = index.postings.schema["id"].dataType
+    found = packed.crossJoin(side).select("block", "k", "terms", "postings").mapInArrow(_scores(limit, to_arrow_type(kind)), f"block int, nth int, id {kind.simpleString()}, score double")
+    best = found.join(asked.select("block", "query"), "block").select(F.get("query", F.col("nth")).alias("query"), "id", "score")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= limit)
     return best.select("query", "rank", "score", "id")
+
+
+ship(__name__)

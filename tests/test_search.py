@@ -91,3 +91,47 @@ def test_a_lookup_reads_its_buckets_alone(spark):
     plan = postings.matching(index, ["contract"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:60]
     assert "PushedFilters" in plan and "contract" in plan.split("PushedFilters")[1][:120]
+
+
+def shuffled(spark, run):
+    """Records that what run() starts writes to shuffles."""
+    sc, none = spark.sparkContext, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_postings_are_shuffled_once(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 300}" for k in range(40)) + " of of") for i in range(400)], "id long, text string")
+    assert shuffled(spark, lambda: postings.build(df, {"text": "B"})) <= 1.1 * 400 * 41
+
+
+def test_questions_that_share_terms_do_not_multiply_postings(spark):
+    """Every document met every question that has one of its words as a row of its own."""
+    df = spark.createDataFrame([(i, f"the contract of w{i % 50} of the"[: 30 - i % 7]) for i in range(300)], "id long, text string")
+    index = postings.build(df, {"text": "B"})
+    asked = spark.createDataFrame([(q, f"the contract of w{q % 60}") for q in range(200)] + [(7, "the contract of w7")], "query long, text string")
+    found = []
+    assert shuffled(spark, lambda: found.extend(postings.lexical_many(index, asked, 3).collect())) < 10_000
+    for q in (3, 58):
+        lane = postings.lexical(index, f"the contract of w{q}", 3).collect()
+        assert sorted((r["rank"], r.score, r.id) for r in found if r["query"] == q) == sorted((r["rank"], r.score, r.id) for r in lane)
+    assert len(found) == 600
+
+
+def test_questions_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(postings, "QUESTIONS", 3)
+    monkeypatch.setattr(postings, "POSTINGS", 50)
+    monkeypatch.setattr(postings, "DENSE", 20)
+    df = spark.createDataFrame(spoken(4, 100), "id long, text string, title string").selectExpr("concat('d', id) id", "text")
+    index = postings.build(df, {"text": "B"})
+    texts = ["the contract", "über é", "x-1 of", "payment", "termination the of", "é", "none", ""]
+    found = postings.lexical_many(index, spark.createDataFrame(list(enumerate(texts)), "query long, text string"), 12).collect()
+    for q, text in enumerate(texts):
+        assert sorted((r["rank"], r.score, r.id) for r in found if r["query"] == q) == sorted((r["rank"], r.score, r.id) for r in postings.lexical(index, text, 12).collect())
