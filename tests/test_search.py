@@ -135,3 +135,15 @@ def test_questions_in_several_blocks(spark, monkeypatch):
     found = postings.lexical_many(index, spark.createDataFrame(list(enumerate(texts)), "query long, text string"), 12).collect()
     for q, text in enumerate(texts):
         assert sorted((r["rank"], r.score, r.id) for r in found if r["query"] == q) == sorted((r["rank"], r.score, r.id) for r in postings.lexical(index, text, 12).collect())
+
+
+def test_an_index_has_about_as_many_files_as_cells_and_scores_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    table = {i: rng.normal(size=8).tolist() for i in range(400)} | {400 + i: [1.0] * 8 for i in range(60)}
+    df = spark.createDataFrame(list(table.items()), "id long, embedding array<double>").repartition(6)
+    index = vectors.build(df, 8)
+    assert len(index.rows.inputFiles()) <= index.cells + 6 and index.rows.count() == 460
+    queries = {i: table[i] for i in (3, 77, 401)}
+    found = vectors.search(index, spark.createDataFrame(list(queries.items()), "id long, embedding array<double>"), 5, index.cells, 0)
+    assert "zip_with(unit" not in found._jdf.queryExecution().analyzed().toString()  # a row for each pair, each product in the interpreter
+    assert [(r["query"], r["rank"], r.id) for r in found.orderBy("query", "rank").collect()] == sorted(x[:3] for x in nearest(table, queries, 5))
