@@ -41,6 +41,27 @@ def counted(df: DataFrame, terms: list[str], text: str) -> DataFrame:
     return df.withColumn("_t", tokens(F.col(text))).drop(text).select(*[c for c in df.columns if c != text], F.size("_t").alias("_n"), F.size(F.filter("_t", lambda t: t.isin(terms))).alias("_m"))
 
 
+def tallied(df: DataFrame, queries: dict[str, str], references: list[str], text: str = "text") -> DataFrame:
+    """df with its text read once for several lanes: the tokens (_n), those that are terms of each query (_m_<name>) and how
+    many of the references it contains (_exact). Written without the text, for tally_lane() and reference_lane()."""
+    hits = reduce(lambda a, b: a + b, [F.contains(F.col("_l"), F.lit(r.lower())).cast("int") for r in references], F.lit(0))
+    rest = [c for c in df.columns if c != text]
+    read = df.select(*rest, F.lower(text).alias("_l"), tokens(F.col(text)).alias("_t"))
+    among = lambda terms: lambda t: t.isin(terms)
+    of = [F.size(F.filter("_t", among(query_terms(q)))).alias(f"_m_{name}") for name, q in queries.items()]
+    return saved(read.select(*rest, F.size("_t").alias("_n"), *of, hits.cast("double").alias("_exact")))
+
+
+def tally_lane(tallies: DataFrame, name: str, query: str, limit: int, id_column: str = "id") -> DataFrame:
+    """lexical() of a query whose terms tallied() has counted under this name."""
+    return _matching(tallies.select(F.col(id_column).alias("id"), "_n", F.col(f"_m_{name}").alias("_m")), len(query_terms(query)), "lexical", limit)
+
+
+def reference_lane(tallies: DataFrame, limit: int, id_column: str = "id") -> DataFrame:
+    """exact() of the references that tallied() has counted."""
+    return ranked(tallies.select(F.col(id_column).alias("id"), F.col("_exact").alias("score")).where("score > 0"), "exact_reference", limit)
+
+
 def _matching(counts: DataFrame, terms: int, retriever: str, limit: int) -> DataFrame:
     return ranked(counts.where("_m > 0").withColumn("score", F.round(F.col("_m") / F.sqrt(F.lit(float(terms)) * F.col("_n")), 9)), retriever, limit)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators import evidence, passes, planning, postings, retrieval, vectors
 from .queries import DENSE, EXACT, LEX, QUESTION, VECTOR, _lane, query
+from .session import saved
 
 # vectors
 
@@ -166,21 +167,21 @@ def _variants_sql() -> str:
 @query("retrieval_variants", _variants_sql())
 def _(spark, load):
     """All eight over one question; the labels' quality stands for a reranker's scores."""
-    d, e = load("documents").select("doc_id", "text", "source"), load("embeddings")
-    lex = lambda df, limit=150: retrieval.lexical(df, LAW, limit, id_column="doc_id")
+    asked = {"law": LAW} | {f"t{k}": f"{LAW} {' '.join(names)}" for k, names in enumerate(planning.EXPANSIONS["payment"].values())}
+    d, e = retrieval.tallied(load("documents").select("doc_id", "text", "source"), asked, ["the th", "ION "]), load("embeddings")
+    lex = lambda df, limit=150, name="law": retrieval.tally_lane(df, name, asked[name], limit, "doc_id")
     near = lambda df, limit=100: retrieval.dense(df, VECTOR, limit, id_column="vec_id")
     named = lambda lane, name: lane.withColumn("retriever", F.lit(name))
-    exact = retrieval.exact(d, ["the th", "ION "], 50, id_column="doc_id")
-    routed = retrieval.fuse([lex(d, 50), exact, near(e, 50)], limit=30).select(F.col("id").alias("_id"))
-    groups = retrieval.counted(d.select("source", F.col("text").alias("_text")), retrieval.query_terms(LAW), "_text").groupBy(F.col("source").alias("id")).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
-    best = retrieval._matching(groups, len(retrieval.query_terms(LAW)), "lexical", 10).select(F.col("id").alias("source"))
-    members = d.join(best, "source", "left_semi")
+    exact = retrieval.reference_lane(d, 50, "doc_id")
+    routed = saved(retrieval.fuse([lex(d, 50), exact, near(e, 50)], limit=30).select(F.col("id").alias("_id")))
+    groups = d.groupBy(F.col("source").alias("id")).agg(F.sum("_n").alias("_n"), F.sum("_m_law").alias("_m"))
+    best = saved(retrieval._matching(groups, len(retrieval.query_terms(LAW)), "lexical", 10).select(F.col("id").alias("source")))
+    members = d.join(F.broadcast(best), "source", "left_semi")
     inside = lambda df, ids, key: df.join(ids, df[key] == ids[ids.columns[0]], "left_semi")
-    variants = [f"{LAW} {' '.join(names)}" for names in planning.EXPANSIONS["payment"].values()]
-    translated = retrieval.translated(d, variants, id_column="doc_id")
+    translated = [named(lex(d, 50, f"t{k}"), "translated_lexical") for k in range(len(asked) - 1)]
     lanes = {
-        "lexical": lex(d), "exact": exact, "dense": near(e), "lexical_scoped": lex(inside(d, routed, "doc_id")), "lexical_collection": named(lex(members), "passage_lexical_collection"),
-        "dense_scoped": named(near(inside(e, routed, "vec_id")), "passage_dense_scoped"), "dense_collection": named(near(inside(e, members.select("doc_id"), "vec_id")), "passage_dense_collection"),
+        "lexical": lex(d), "exact": exact, "dense": near(e), "lexical_scoped": lex(inside(d, F.broadcast(routed), "doc_id")), "lexical_collection": named(lex(members), "passage_lexical_collection"),
+        "dense_scoped": named(near(inside(e, F.broadcast(routed), "vec_id")), "passage_dense_scoped"), "dense_collection": named(near(inside(e, members.select("doc_id"), "vec_id")), "passage_dense_collection"),
         "translated": translated[0].unionByName(translated[1]),
     }
     scores = load("labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))

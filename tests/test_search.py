@@ -147,3 +147,19 @@ def test_an_index_has_about_as_many_files_as_cells_and_scores_by_blocks(spark):
     found = vectors.search(index, spark.createDataFrame(list(queries.items()), "id long, embedding array<double>"), 5, index.cells, 0)
     assert "zip_with(unit" not in found._jdf.queryExecution().analyzed().toString()  # a row for each pair, each product in the interpreter
     assert [(r["query"], r["rank"], r.id) for r in found.orderBy("query", "rank").collect()] == sorted(x[:3] for x in nearest(table, queries, 5))
+
+
+def test_lanes_of_one_reading_equal_those_of_their_own(spark, sf):
+    from evidentia.queries_search import query  # noqa: F401  (adds its queries)
+    from evidentia.queries import QUERIES
+
+    df = spark.createDataFrame(spoken(8, 150), "id long, text string, title string")
+    asked = {"a": "the contract", "b": "payment of über"}
+    tallies = retrieval.tallied(df.select("id", "text", "title"), asked, ["the c", "ATION "])
+    for name, q in asked.items():
+        assert retrieval.tally_lane(tallies, name, q, 40).collect() == retrieval.lexical(df, q, 40).collect()
+    assert retrieval.reference_lane(tallies, 40).collect() == retrieval.exact(df, ["the c", "ATION "], 40).collect()
+    # the eight variants read no text but in that one pass
+    found = QUERIES["retrieval_variants"](spark, sf)
+    assert "documents.parquet" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in tallies.columns
