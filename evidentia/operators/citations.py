@@ -1,13 +1,14 @@
-"""Citations in nested values: JSON as VARIANT, walked level by level in the JVM."""
+"""Citations in nested values: JSON that the JVM has checked, walked level by level in its own row."""
 
 from __future__ import annotations
 
-from functools import reduce
+import json as js
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import ship
 
 #: Levels of objects and lists that are walked, and ids that are kept of a value.
 DEPTH, MOST_IDS = 8, 100
@@ -15,34 +16,39 @@ DEPTH, MOST_IDS = 8, 100
 ID_KEY, SIGNS = "sourceId", ("citation", "citationText", "versionId")
 
 
-def _has(value: Column, key: str) -> Column:
-    """Whether an object has a key, whatever stands there, null too."""
-    return F.try_variant_get(value, f"$.{key}", "variant").isNotNull()
+def _sources(text: str, depth: int) -> list[str]:
+    found, level = set(), [js.loads(text, parse_int=len, parse_float=len)]  # numbers do not matter, however long
+    for _ in range(depth + 1):
+        inner = []
+        for value in level:
+            if isinstance(value, dict):
+                if isinstance(value.get(ID_KEY), str) and any(s in value for s in SIGNS):
+                    found.add(value[ID_KEY])
+                value = value.values()
+            inner.extend(v for v in value if isinstance(v, (dict, list)))
+        level = inner
+    return [s.encode("utf-8", "replace").decode() for s in found]
 
 
-def walked(rows: DataFrame, json: str, id_column: str = "id", depth: int = DEPTH) -> DataFrame:
-    """id, level and value (VARIANT) of a JSON value and of everything in it down to so many levels; bad JSON and nulls have none."""
-    level = saved(rows.select(F.col(id_column).alias("id"), F.try_parse_json(json).alias("value")).where("value is not null"))
-    spark, found = rows.sparkSession, []
-    for k in range(depth + 1):
-        found.append(level.select("id", F.lit(k).alias("level"), "value"))
-        if k < depth:
-            inner = level.select("id", F.col("value").alias("outer_value")).lateralJoin(spark.tvf.variant_explode(F.col("outer_value").outer()))
-            level = inner.where("value is not null").select("id", "value")
-    return reduce(DataFrame.unionByName, found)
+def _cited_in(json: Column, depth: int) -> Column:
+    @F.pandas_udf("array<string>")
+    def sources(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _sources(t, depth) if t is not None and t.lstrip()[:1] in ("{", "[") else [])
+
+    return sources(json)
 
 
 def cited(rows: DataFrame, json: str, id_column: str = "id", depth: int = DEPTH, most: int = MOST_IDS) -> DataFrame:
     """id, n and sources: the distinct sources that each value cites, sorted, and the first so many of them.
 
     A record cites if its sourceId is a string and it has a citation, a citationText or a versionId. Values without any, and
-    those that are no JSON, give n 0 and no sources; rows without an id are left out.
+    those that are no JSON, give n 0 and no sources; rows without an id are left out. A value is walked in its own row, a
+    level at a time down to depth, so that what is shuffled are the sources of a value and never the values inside it.
     """
-    value = F.col("value")
-    source = F.try_variant_get(value, f"$.{ID_KEY}", "variant")
-    sign = reduce(lambda a, b: a | b, [_has(value, s) for s in SIGNS])
-    hits = walked(rows, json, id_column, depth).where((F.schema_of_variant(source) == "STRING") & sign).select("id", F.try_variant_get(value, f"$.{ID_KEY}", "string").alias("source")).distinct()
-    lists = hits.groupBy("id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    known = rows.select(F.col(id_column).alias("id")).where("id is not null").distinct().join(lists, "id", "left")
-    every = F.coalesce("sources", F.array().cast("array<string>"))
-    return known.select("id", F.size(every).alias("n"), F.slice(every, 1, most).alias("sources"))
+    valid = F.when(F.try_parse_json(json).isNotNull(), F.col(json))
+    found = rows.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), _cited_in(valid, depth).alias("hits"))
+    every = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("sources"))
+    return every.select("id", F.size("sources").alias("n"), F.slice("sources", 1, most).alias("sources"))
+
+
+ship(__name__)

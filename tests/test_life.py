@@ -138,3 +138,13 @@ def test_census_united_is_one_pass(spark):
     kinds = {(r.kind, r.key): r.n for r in merged.where("kind in ('class', 'age', 'size')").collect()}
     assert kinds["class", "archive"] == 1800 and kinds["class", "authority"] == kinds["class", "current"] == 600 and sum(n for (k, _), n in kinds.items() if k == "age") == 3000
     assert census.summary(census.sketched(df.where("false"))).first().files == 0
+
+
+def test_citations_shuffle_a_value_once(spark):
+    """Every value inside a value was a row of its own, beside what it lay in, at every level anew."""
+    words = [{"inner": [{"sourceId": f"w{k % 40}", "versionId": 1}]} for k in range(3000)]
+    df = spark.createDataFrame([(i, json.dumps({"items": words})) for i in range(6)] + [(0, '{"sourceId": "x", "citation": null}')], "id long, j string")
+    found = citations.cited(df, "j")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Union" not in plan and "Join" not in plan
+    assert {r.id: r.n for r in found.collect()} == {0: 41} | {i: 40 for i in range(1, 6)}
